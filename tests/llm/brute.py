@@ -89,3 +89,102 @@ def pieces(docs, tokenizer, size=4096, end_id=1):
             own = ids[at : at + size]
             out.append((d, k, at, len(own), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in own))))
     return out
+
+
+ASSIGN = re.compile(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+
+
+def secrets(docs):
+    out = []
+    for d, t in docs:
+        t = t or ""
+        spans = [(m.start(), 0, m.end(), "assign") for m in ASSIGN.finditer(t) if len(m[1]) >= 6]
+        spans += [(m.start(), 1, m.end(), "access") for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+        spans += [(m.start(), 2, m.end(), "hex") for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+        spans.sort()
+        counts = [sum(s[1] == k for s in spans) for k in range(3)]
+        out.append((d, *counts, sha(",".join(f"{k}:{a}:{b}" for a, _, b, k in spans))))
+    return out
+
+
+RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
+
+
+def urls(pages):
+    """page_id, host, path, rule, the rule's verdict or None."""
+    out = []
+    for p, u in pages:
+        host = path = ""
+        if u and "://" in u:
+            rest = u.split("://", 1)[1]
+            host = re.match("[^/?#]*", rest)[0]
+            path = re.match("[^?#]*", rest[len(host) :])[0]
+            host = low(host)
+        best = (None, None)
+        for kind, rule in RULES:
+            own, _, tail = rule.partition("/")
+            if (host == own or host.endswith("." + own)) and path.startswith("/" + tail) and (best[1] is None or len(rule) > len(best[1])):
+                best = (kind, rule)
+        out.append((p, host, path, best[1], best[0]))
+    return out
+
+
+def warc(pages, least=1000):
+    rows = [(NULL_ID if p is None else p, (h or "").encode()) for p, h in pages]
+    last = {}
+    for p, h in rows:
+        last[h] = max(p, last.get(h, p))
+    out = []
+    for p, h in rows:
+        again = len(h) >= least and p < last[h]
+        out.append((None if p == NULL_ID else p, len(h), hashlib.sha1(h).hexdigest(), "revisit" if again else "response", last[h] if again else None))
+    return out
+
+
+def measures(docs):
+    out = []
+    for d, t in docs:
+        t = t or ""
+        w = WORD.findall(t)
+        lines, seen, dup = t.split("\n"), set(), 0
+        for line in lines:
+            if WORD.search(line):
+                dup += line in seen
+                seen.add(line)
+        windows = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        count = defaultdict(int)
+        for x in windows:
+            count[x] += 1
+        again = {i + k for i, x in enumerate(windows) if count[x] > 1 for k in range(3)}
+        n = len(w)
+        out.append((d, n, sum(map(len, w)), sum(x in "#*$%&|<>" for x in t), dup, len(again), n < 50 or 100 * len(again) > 50 * n))
+    return out
+
+
+def contaminated(docs, items, least=0.8):
+    """{(doc_id, item_id): best similarity} over all item-sized windows."""
+    from collections import Counter
+
+    def grams(words):
+        n = min(5, len(words))
+        return [" ".join(words[i : i + n]) for i in range(len(words) - n + 1)] if words else []
+
+    found = {}
+    for d, t in docs:
+        w = WORD.findall(low(t or ""))
+        for i, x in items:
+            v = WORD.findall(low(x or ""))
+            if not v or len(w) < min(5, len(v)):
+                continue
+            own = Counter(grams(v))
+            if not set(own) & set(" ".join(w[k : k + min(5, len(v))]) for k in range(len(w))):
+                continue
+            size = min(len(v), len(w))
+            for k in range(len(w) - size + 1):
+                n = min(5, len(v))
+                part = w[k : k + size]
+                b = Counter(" ".join(part[j : j + n]) for j in range(size - n + 1))
+                s = sum((own & b).values()) / sum((own | b).values())
+                if s >= least and s > found.get((d, i), 0):
+                    found[d, i] = s
+    return found
