@@ -21,7 +21,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -122,6 +122,20 @@ class Index:
                 for n in lengths[place[i]]:
                     yield int(at[i]), k, n
 
+    def seeded(self, texts: list[bytes]) -> tuple[list[list[bytes]], dict[int, list[tuple[int, int, int]]]]:
+        """The words of the texts, and by text its seeds."""
+        words = [t.lower().split() for t in texts]
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        first = np.concatenate([[0], np.cumsum(size + 1)])  # a zero after each text
+        numbers = np.zeros(int(first[-1]), np.int64)
+        for k, w in enumerate(words):
+            numbers[first[k] : first[k] + size[k]] = np.fromiter(map(self.known.get, w, repeat(0)), np.int64, len(w))
+        found = defaultdict(list)
+        for at, k, n in self.seeds(numbers):
+            doc = int(np.searchsorted(first, at, "right")) - 1
+            found[doc].append((at - int(first[doc]), k, n))
+        return words, found
+
     def matches(self, words: list[bytes], seeds: list[tuple[int, int, int]], least: float) -> dict[int, tuple[float, int]]:
         """item -> (similarity, first word of its best window, the first of equals)."""
         windows = defaultdict(set)
@@ -187,16 +201,7 @@ def scanned(rows: DataFrame, items: list[tuple[int | None, bytes]], least: float
         index = Index(sent.value)
         names = [x.split()[0] for x in shape.split(", ")]
         for part, texts in slices(batches):
-            words = [t.lower().split() for t in texts]
-            size = np.fromiter(map(len, words), np.int64, len(words))
-            first = np.concatenate([[0], np.cumsum(size + 1)])  # a zero after each text
-            numbers = np.zeros(int(first[-1]), np.int64)
-            for k, w in enumerate(words):
-                numbers[first[k] : first[k] + size[k]] = np.fromiter(map(index.known.get, w, repeat(0)), np.int64, len(w))
-            seeds = defaultdict(list)
-            for at, k, n in index.seeds(numbers):
-                doc = int(np.searchsorted(first, at, "right")) - 1
-                seeds[doc].append((at - int(first[doc]), k, n))
+            words, seeds = index.seeded(texts)
             out = []
             for doc, own in seeds.items():
                 doc_id = part.column(0)[doc].as_py()
@@ -207,3 +212,29 @@ def scanned(rows: DataFrame, items: list[tuple[int | None, bytes]], least: float
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()), strict=True)], names=names)
 
     return rows.mapInArrow(each, shape)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
+    """docs, with all their columns, without the rows whose text matches an item."""
+    for items in parts_of(benchmark):
+        docs = docs.filter(~leaks(docs, items, least))
+    return docs
+
+
+def leaks(docs: DataFrame, items: list[tuple[int | None, bytes]], least: float) -> Column:
+    sent = docs.sparkSession.sparkContext.broadcast(items)
+
+    @F.arrow_udf("boolean")
+    def each(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        index = Index(sent.value)
+        for batch in batches:
+            found = np.zeros(len(batch), bool)
+            at = 0
+            for _, texts in slices([pa.RecordBatch.from_arrays([batch], ["text"])], column=0):
+                words, seeds = index.seeded(texts)
+                for doc, own in seeds.items():
+                    found[at + doc] = bool(index.matches(words[doc], own, least))
+                at += len(texts)
+            yield pa.array(found)
+
+    return each(F.col("text").cast("string"))

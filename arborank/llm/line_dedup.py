@@ -158,21 +158,34 @@ class LineIndex:
         filters = written(changed_filters(self.filters, changes, self.n_shards), "line-filters")
         return LineIndex(postings, refs, filters, self.n_shards, self.min_docs, self.min_chars)
 
-    def decide(self, docs: DataFrame, postings: DataFrame | None = None) -> DataFrame:
-        """doc_id, n_lines, n_dropped, kept (the text without its dropped lines), one row for each row of docs.
-
-        postings: those of docs, if they are at hand.
-        """
+    def drops(self, docs: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+        """doc, drop (keys of its lines that go), for documents that lose any. postings: those of docs, if they are at hand."""
         posted = postings_of(docs, self.min_chars) if postings is None else postings
         hot = self.refs.filter(F.col("n_docs") >= self.min_docs).select("key", "last_doc")
         known = posted.select("doc", "key")
         if (self.filters.agg(F.sum(F.octet_length("slots"))).first()[0] or 0) <= MAX_BROADCAST_BYTES:
             known = self.probed(known)
         drops = known.join(hot, "key").filter(F.col("doc") < F.col("last_doc")).groupBy("doc").agg(F.collect_list("key").alias("drop"))
+        return known.join(hot, "key").filter(F.col("doc") < F.col("last_doc")).groupBy("doc").agg(F.collect_list("key").alias("drop"))
+
+    def decide(self, docs: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+        """doc_id, n_lines, n_dropped, kept (the text without its dropped lines), one row for each row of docs."""
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), doc_key().alias("doc"))
-        rows = rows.join(drops, "doc", "left").select("doc_id", "text", "drop")
+        rows = rows.join(self.drops(docs, postings), "doc", "left").select("doc_id", "text", "drop")
         return rows.mapInArrow(kept_lines(self.min_chars), "doc_id long, n_lines long, n_dropped long, kept string")
 
+    def applied(self, docs: DataFrame, postings: DataFrame | None = None) -> DataFrame:
+        """docs, with all their columns, with the text that decide() keeps."""
+        drops = self.drops(docs, postings).select(F.col("doc").alias("__doc"), F.col("drop").alias("__drop"))
+        rows = docs.withColumn("__doc", doc_key()).join(drops, "__doc", "left")
+        min_chars = self.min_chars
+
+        @F.arrow_udf("string")
+        def kept(text: pa.Array, drop: pa.Array) -> pa.Array:
+            return pa.array([t if not d else without(t.encode(), set(d), min_chars)[0].decode("utf-8", "replace") for t, d in zip(text.to_pylist(), drop.to_pylist(), strict=True)], pa.string())
+
+        return rows.select(*[kept(F.col("text").cast("string"), F.col("__drop")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+
     def probed(self, postings: DataFrame) -> DataFrame:
         """The postings whose key the filters may hold. The filters' size has been checked."""
         shards = {r.shard: (r.n_buckets, bytes(r.slots)) for r in self.filters.collect()}
@@ -236,6 +249,12 @@ def changed_filters(filters: DataFrame, changes: DataFrame, n_shards: int) -> Da
     return filters.groupBy("shard").cogroup(changes.select("key", "add", "shard").groupBy("shard")).applyInPandas(change, "shard int, n_buckets int, slots binary")
 
 
+def without(text: bytes, gone: set[bytes], min_chars: int) -> tuple[bytes, int]:
+    """The text without the lines of these keys, and the number of lines that stay."""
+    stay = [line for line, key in zip(text.split(b"\n"), line_keys(text, min_chars), strict=True) if key not in gone]
+    return b"\n".join(stay), len(stay)
+
+
 def kept_lines(min_chars: int):
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
@@ -243,9 +262,8 @@ def kept_lines(min_chars: int):
             for text, drop in zip(texts, part.column(2).to_pylist(), strict=True):
                 n = text.count(b"\n") + 1
                 if drop:
-                    gone = set(drop)
-                    stay = [line for line, key in zip(text.split(b"\n"), line_keys(text, min_chars), strict=True) if key not in gone]
-                    text, n_dropped = b"\n".join(stay), n - len(stay)
+                    text, stay = without(text, set(drop), min_chars)
+                    n_dropped = n - stay
                 else:
                     n_dropped = 0
                 out.append(text)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import doc_key, slices, written
 
 #: A block value with more fingerprints than this is dealt out by its remaining bits.
 HOT_GROUP = 1024
@@ -221,5 +221,25 @@ def grouped(prints: DataFrame, radius: int) -> DataFrame:
     roots = written(components(edges_of(each.select("fp"), radius)), "simhash-roots")
     labelled = each.join(roots, each["fp"] == roots["node"], "left").select("fp", "doc_id", F.coalesce("root", "fp").alias("root"))
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labelled = labelled.join(least, "root").select("fp", "component_id")
+    labelled = labelled.join(least, "root").select("fp", "root", "component_id")
     return prints.join(labelled, "fp")
+
+
+def one_of_each(docs: DataFrame, n: int = 3, radius: int = 2) -> DataFrame:
+    """docs, with all their columns, with one row of each component: one with the smallest doc_id (any one if rows repeat that)."""
+
+    @F.arrow_udf("long")
+    def print_of(text: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint((t or "").encode(), n) for t in text.to_pylist()], np.uint64).view(np.int64))
+
+    prints = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), print_of(F.col("text").cast("string")).alias("fp")), "simhash")
+    chosen = grouped(prints, radius).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    chosen = chosen.select(doc_key().alias("__doc"), F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct()
+    # ids are rarely repeated: only where one is kept with several fingerprints is the text's own needed
+    keyed = docs.withColumn("__doc", doc_key())
+    many = chosen.groupBy("__doc").count().filter("count > 1").limit(1)
+    if many.isEmpty() and prints.groupBy("doc_id").count().filter("count > 1").limit(1).isEmpty():
+        return keyed.join(chosen.select("__doc"), "__doc", "left_semi").select(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = keyed.withColumn("__own", print_of(F.col("text").cast("string")))
+    kept = keyed.join(chosen, "__doc").filter("__own = __fp").dropDuplicates(["__doc", "__root"])
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

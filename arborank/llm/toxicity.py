@@ -12,13 +12,14 @@ several labels is toxic if any says so; repeated rows are scored each; labels wi
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import slices
@@ -142,36 +143,49 @@ def fit(bags: list[tuple[int, int, list[list[int]]]], chosen: dict[str, float],
     return Model(b, dict(zip(chosen, w.tolist(), strict=True)))
 
 
+def noisy_or(text: str, bias: float, words: WordScores) -> tuple[float, int, list[tuple[float, int]]]:
+    """The document's score, its number of sentences, and (score, number) of those above 0.5."""
+    parts, total, top = sentences(text), 0.0, []
+    plain = math.log1p(math.exp(bias))
+    for k, s in enumerate(parts):
+        x = sum(map(words.__getitem__, s.split()))
+        if x:
+            z = bias + x
+            total += math.log1p(math.exp(z)) if z < 30 else z
+            if z > 0:
+                top.append((1 / (1 + math.exp(-min(z, 50))), k))
+        else:
+            total += plain
+    return -math.expm1(-total), len(parts), top
+
+
 def scored(docs: DataFrame, model: Model, worst: int = 3) -> DataFrame:
     """doc_id, score, n_sentences, worst (number of the sentence and its score, of the highest ones above 0.5)."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value
-        words, plain = WordScores(model.weights), float(np.logaddexp(0, model.bias))
+        words = WordScores(sent.value.weights)
         for part, texts in slices(batches):
-            scores, totals, tops = [], [], []
-            for t in texts:
-                parts = sentences(t.decode("utf-8", "replace"))
-                total, top = 0.0, []
-                for k, s in enumerate(parts):
-                    x = sum(map(words.__getitem__, s.split()))
-                    if x:
-                        z = model.bias + x
-                        total += float(np.logaddexp(0, z))
-                        if z > 0:
-                            top.append((1 / (1 + float(np.exp(-min(z, 50)))), k))
-                    else:
-                        total += plain
-                scores.append(-float(np.expm1(-total)))
-                totals.append(len(parts))
-                tops.append([{"sentence": k, "score": p} for p, k in sorted(top, key=lambda x: (-x[0], x[1]))[:worst]])
+            found = [noisy_or(t.decode("utf-8", "replace"), sent.value.bias, words) for t in texts]
+            tops = [[{"sentence": k, "score": p} for p, k in sorted(top, key=lambda x: (-x[0], x[1]))[:worst]] for _, _, top in found]
             kind = pa.list_(pa.struct([("sentence", pa.int32()), ("score", pa.float64())]))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(scores, pa.float64()), pa.array(totals, pa.int32()), pa.array(tops, kind)], ["doc_id", "score", "n_sentences", "worst"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.int32()), pa.array(tops, kind)], ["doc_id", "score", "n_sentences", "worst"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(each, "doc_id long, score double, n_sentences int, worst array<struct<sentence:int,score:double>>")
 
 
+def score(model: Model, text: Column) -> Column:
+    """The score of a text column, as in scored()."""
+
+    @F.arrow_udf("double")
+    def each(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        words = WordScores(model.weights)
+        for batch in texts:
+            yield pa.array([noisy_or(t.as_py() or "", model.bias, words)[0] for t in batch], pa.float64())
+
+    return each(text.cast("string"))
+
+
 def held_out(column: str = "doc_id"):
     """Rows that training never sees: crc32 of the id as text leaves 1 when divided by 3."""
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % 3 == 1, F.lit(False))
