@@ -353,10 +353,10 @@ def session_boost(t: Tables):
     return R.session_boost(content_scores(t).withColumn("source", F.lit("Content")), near).withColumn("score", X.r6(F.col("score")))
 
 
-@query(f"{CONTENT}, dt as (select item as item_id, max(ts)::date as day from vecread group by 1), f as (select user_id, item_id, score, case when day is null then 0.5 else exp(-0.1 * greatest(date_diff('day', day, date '2024-02-01'), 0)) end as f from content left join dt using (item_id)), g as (select *, max(f) over (partition by user_id) as mf, max(score) over (partition by user_id) as ms from f) select user_id, item_id, round(0.7 * score + 0.3 * case when mf > 0 then f / mf else f end * ms, 6) as score from g", ("vecread",))
+@query(f"{CONTENT}, dt as (select item as item_id, max(ts)::date as day from vecread group by 1), f as (select user_id, item_id, round(score, 4) as score, case when day is null then 0.5 else exp(-0.1 * greatest(date_diff('day', day, date '2024-02-01'), 0)) end as f from content left join dt using (item_id)), g as (select *, max(f) over (partition by user_id) as mf, max(score) over (partition by user_id) as ms from f) select user_id, item_id, round(0.7 * score + 0.3 * case when mf > 0 then f / mf else f end * ms, 6) as score from g", ("vecread",))
 def freshness(t: Tables):
     dates = reading_history(t, "embeddings").groupBy(F.col("item").alias("item_id")).agg(F.max("ts").cast("date").alias("day"))
-    return R.freshness(content_scores(t), dates, "2024-02-01").withColumn("score", X.r6(F.col("score")))
+    return R.freshness(content_scores(t).withColumn("score", F.round("score", 4)), dates, "2024-02-01").withColumn("score", X.r6(F.col("score")))
 
 
 @query()
