@@ -291,12 +291,13 @@ CONTENT = f"with {VEC}, h as (select user_id, item from (select *, row_number()
 POP = "popular as (select u.user_id, c.item as item_id, c.n::double as score from (select distinct user_id from h) u cross join (select item, count(*) as n from vecread group by 1) c)"
 
 
-def content_scores(t: Tables):
+def content_scores(t: Tables, digits: int | None = 6):
     """user_id, item_id, score of all vectors for the query users, by cosine with the mean of their last 10."""
     p = S.profile(reading_history(t, "embeddings").filter("user_id % 20 = 0"), t.embeddings, "mean", 10)
     p = p.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("x")).select("user_id", F.transform("x", lambda r: r["value"]).alias("p"))
     rows = t.embeddings.select(F.col("vec_id").alias("item_id"), X.doubles("embedding").alias("e"))
-    return rows.crossJoin(F.broadcast(p)).select("user_id", "item_id", F.round(X.cosine(F.col("p"), F.col("e")), 6).alias("score"))
+    x = X.cosine(F.col("p"), F.col("e"))
+    return rows.crossJoin(F.broadcast(p)).select("user_id", "item_id", (F.round(x, digits) if digits else x).alias("score"))
 
 
 def popular_scores(t: Tables):
@@ -353,10 +354,10 @@ def session_boost(t: Tables):
     return R.session_boost(content_scores(t).withColumn("source", F.lit("Content")), near).withColumn("score", X.r6(F.col("score")))
 
 
-@query(f"{CONTENT}, dt as (select item as item_id, max(ts)::date as day from vecread group by 1), f as (select user_id, item_id, round(score, 4) as score, case when day is null then 0.5 else exp(-0.1 * greatest(date_diff('day', day, date '2024-02-01'), 0)) end as f from content left join dt using (item_id)), g as (select *, max(f) over (partition by user_id) as mf, max(score) over (partition by user_id) as ms from f) select user_id, item_id, round(0.7 * score + 0.3 * case when mf > 0 then f / mf else f end * ms, 6) as score from g", ("vecread",))
+@query(f"{CONTENT.replace('round(list_dot', '(list_dot').replace(', 6) as score', ') as score')}, dt as (select item as item_id, max(ts)::date as day from vecread group by 1), f as (select user_id, item_id, score, case when day is null then 0.5 else exp(-0.1 * greatest(date_diff('day', day, date '2024-02-01'), 0)) end as f from content left join dt using (item_id)), g as (select *, max(f) over (partition by user_id) as mf, max(score) over (partition by user_id) as ms from f) select user_id, item_id, round(0.7 * score + 0.3 * case when mf > 0 then f / mf else f end * ms, 6) as score from g", ("vecread",))
 def freshness(t: Tables):
     dates = reading_history(t, "embeddings").groupBy(F.col("item").alias("item_id")).agg(F.max("ts").cast("date").alias("day"))
-    return R.freshness(content_scores(t).withColumn("score", F.round("score", 4)), dates, "2024-02-01").withColumn("score", X.r6(F.col("score")))
+    return R.freshness(content_scores(t, None), dates, "2024-02-01").withColumn("score", X.r6(F.col("score")))
 
 
 @query()
