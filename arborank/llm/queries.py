@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from . import decontamination, line_dedup, packing, quality, secrets, simhash, substring, toxicity, url_filter, warc
 from .common import table
+from .oracles import SQL
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +57,8 @@ URL_RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outcomes: the quality label of the document with the page's id."""
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
-    return url_filter.filter_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
+    found = url_filter.filter_urls(table(spark, sf_dir, "pages"), labels, URL_RULES)
+    return found.withColumns({c: F.round(c, 6) for c in ("p_good", "good_from")})
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -77,3 +79,5 @@ QUERIES = {
     f.__name__: f
     for f in (op1_line_dedup, op2_toxicity, op3_simhash, op4_secrets, op5_url_filter, op6_decontamination, op7_warc, op8_substring, op9_quality, op10_packing)
 }
+
+__all__ = ["QUERIES", "SQL"]
