@@ -12,9 +12,13 @@ gives no pieces. Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import os
 import zlib
+from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import accumulate
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -24,29 +28,67 @@ from pyspark.sql import functions as F
 
 from .common import slices, written
 
-CACHED_WORDS = 300_000
+#: Words whose ids a Python worker keeps, across tasks.
+CACHED_WORDS = 350_000
+#: New words that the tokenizer gets at once.
+BATCH = 2000
+
+
+def byte_signs() -> dict[int, int]:
+    """The sign that byte-level vocabularies write for each byte: itself if it can be printed, else the next from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: b for b in shown} | {b: 256 + k for k, b in enumerate(hidden)}
+
+
+BYTE_SIGNS = byte_signs()
 
 
 class WordIds(dict):
-    """Token ids (little-endian bytes) of each word that white space bounds; no token of the vocabulary spans such space."""
+    """Token ids (little-endian bytes) of each word that white space bounds; no token of the vocabulary spans such space.
+
+    Letters and signs are cut apart before tokens are looked up, so a word that ends in one full stop or comma after a
+    letter or digit has the ids of both parts. Words of small letters in composed form are one piece for the tokenizer's
+    model and need none of the steps before it but the signs for their bytes.
+    """
 
     def __init__(self, path: str):
         super().__init__()
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
 
-    def __missing__(self, word: bytes) -> bytes:
-        made = np.array(self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = made
-        return made
-
     def learn(self, words: set[bytes]) -> None:
+        """Makes sure that all the words are there."""
         if len(self) > CACHED_WORDS:
             self.clear()
-        new = [w for w in words if w not in self]
-        for w, x in zip(new, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in new], add_special_tokens=False), strict=True):
-            self[w] = np.array(x.ids, "<u4").tobytes()
+        new = words - self.keys()
+        ending = {w for w in new if len(w) > 1 and w[-1] in b".," and chr(w[-2]).isascii() and chr(w[-2]).isalnum()}
+        whole = list((new - ending | {w[:-1] for w in ending} | {b".", b","}) - self.keys())
+        tokenize, rest = self.tokenizer.model.tokenize, []
+        for w in whole:
+            x = w.decode("utf-8", "replace")
+            if x.isalpha() and x == x.lower() and is_normalized("NFC", x):
+                self[w] = array("I", [t.id for t in tokenize(x if x.isascii() else w.decode("latin-1").translate(BYTE_SIGNS))]).tobytes()
+            else:
+                rest.append((w, x))
+        for at in range(0, len(rest), BATCH):
+            own = rest[at : at + BATCH]
+            for (w, _), x in zip(own, self.tokenizer.encode_batch_fast([x for _, x in own], add_special_tokens=False), strict=True):
+                self[w] = array("I", x.ids).tobytes()
+        for w in ending:
+            self[w] = self[w[:-1]] + self[w[-1:]]
+
+
+@lru_cache(maxsize=1)
+def word_ids(path: str) -> WordIds:
+    return WordIds(path)
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """A-Z are lower-cased, as the tokenizer would do; not where a special token may be written out."""
+    return (text if b"<|" in text else text.lower()).split()
 
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, task int, nth long"
@@ -56,11 +98,11 @@ def pieces_of(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFr
     """One row a piece, with its number among those of its length in its task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end, task = WordIds(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        ids, end, task = word_ids(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
         seen = [0] * (size + 1)
         for part, texts in slices(batches, limit=2 << 20):
-            words = [t.split() for t in texts]
-            ids.learn({w for x in words for w in x})
+            words = [words_of(t) for t in texts]
+            ids.learn(set().union(*words))
             rows = []
             for doc, x in zip(part.column(0).to_pylist(), words, strict=True):
                 found = b"".join(map(ids.__getitem__, x)) + end
