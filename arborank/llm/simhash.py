@@ -194,7 +194,7 @@ def dealt(fps: DataFrame, radius: int) -> DataFrame:
     for _ in range(6):
         step = F.create_map(*[x for m in masks for x in (F.lit(signed(m)), F.array(*[F.lit(signed(m | b)) for b in blocks_of(~m & (2**64 - 1), radius + 1)]))])
         spread = spread.select("fp", F.explode(step[F.col("mask")]).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
-        masks = [m | b for m in masks for b in blocks_of(~m & (2**64 - 1), radius + 1)]
+        masks = list(dict.fromkeys(m | b for m in masks for b in blocks_of(~m & (2**64 - 1), radius + 1)))
         spread = written(spread, "simhash-blocks")
         hot = spread.groupBy("mask", "key").count().filter(F.col("count") > HOT_GROUP).select("mask", "key")
         hot = written(hot, "simhash-hot")
@@ -202,7 +202,7 @@ def dealt(fps: DataFrame, radius: int) -> DataFrame:
             return spread if done is None else done.unionByName(spread)
         calm = spread.join(hot, ["mask", "key"], "left_anti").select("fp", "mask", "key")
         done = calm if done is None else done.unionByName(calm)
-        spread = spread.join(hot, ["mask", "key"], "left_semi").select("fp", "mask", "key")
+        spread = spread.join(hot, ["mask", "key"], "left_semi").select("fp", "mask", "key").distinct()
     return done.unionByName(spread)
 
 
