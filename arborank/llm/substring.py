@@ -7,12 +7,17 @@ only windows whose estimate says "repeated" are emitted and exactly grouped by a
 each. The merged sketch keeps one bit a cell (two or more) and grows with the text up to `max_sketch_bytes`; past that
 its estimates get looser and the exact pass reads more, but no window is lost.
 
+Exact copies of a text are told apart first: all but the smallest document of each are removed as a whole (if they have a window at all)
+and stay out of both passes. The table of copied texts is sent to the tasks up to `max_copies_bytes`, those with the most copies first;
+copies beyond it go through the windows like any other text.
+
 Defined cases: a null or empty text has no words; rows that repeat a doc_id are judged each, and windows they share with rows of the
 same id stay; null ids count as one id before all others. Columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
+import hashlib
 import zlib
 from collections.abc import Iterator
 
@@ -20,10 +25,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, ids_of, slices
+from .common import doc_key, ids_of, slices, written
 
 RUN = 8
 BLOCK = 1 << 16
@@ -89,7 +95,29 @@ def cells_of(minimizer: np.ndarray, width: int) -> list[np.ndarray]:
     return [(mixed(minimizer + np.uint64(k + 1)) & np.uint64(width - 1)).astype(np.int64) for k in range(ROWS)]
 
 
-def sketch(docs: DataFrame, size: int, max_sketch_bytes: int) -> np.ndarray:
+class Copies:
+    """Texts that several documents hold, and the smallest of these."""
+
+    ROW_BYTES = 24
+
+    def __init__(self, docs: DataFrame, max_bytes: int):
+        each = docs.select(doc_key().alias("doc"), F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("md5"))
+        found = each.groupBy("md5").agg(F.min("doc").alias("first"), F.max("doc").alias("last"), F.count(F.lit(1)).alias("n")).filter("first < last")
+        rows = found.orderBy(F.desc("n"), "md5").limit(max_bytes // self.ROW_BYTES).select("md5", "first").toLocalIterator()
+        pairs = sorted((bytes.fromhex(r.md5), r.first) for r in rows)
+        self.keys = np.array([k for k, _ in pairs], "S16") if pairs else np.zeros(0, "S16")
+        self.first = np.array([d for _, d in pairs], np.int64)
+
+    def later(self, texts: list[bytes], docs: np.ndarray) -> np.ndarray:
+        """Which of the texts are known to be held by a smaller document."""
+        if not len(self.keys):
+            return np.zeros(len(texts), bool)
+        own = np.array([hashlib.md5(t, usedforsecurity=False).digest() for t in texts], "S16")
+        at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+        return (self.keys[at] == own) & (self.first[at] < docs)
+
+
+def sketch(docs: DataFrame, size: int, max_sketch_bytes: int, copies: Broadcast) -> np.ndarray:
     """(ROWS, width / 8) bytes: one bit a cell, set where windows of two or more runs of documents' words meet."""
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     width = BLOCK
@@ -98,7 +126,8 @@ def sketch(docs: DataFrame, size: int, max_sketch_bytes: int) -> np.ndarray:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, cells = WordHashes(), [[] for _ in range(ROWS)]
-        for _, texts in slices(batches, column=0):
+        for part, texts in slices(batches):
+            texts = [b"" if c else t for t, c in zip(texts, copies.value.later(texts, ids_of(part)), strict=True)]
             _, text, least, _, _ = windows_of(texts, hashes, size)
             if len(least):
                 fresh = np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])])
@@ -124,20 +153,25 @@ def sketch(docs: DataFrame, size: int, max_sketch_bytes: int) -> np.ndarray:
                 count[own] = np.minimum(count[own] + n, 2)
         return pd.DataFrame({"row": pdf["row"].iloc[:1], "block": pdf["block"].iloc[:1], "bits": [np.packbits(count > 1).tobytes()]})
 
-    parts = docs.select("text").mapInArrow(partial, "row int, block int, once binary, more binary")
+    parts = docs.mapInArrow(partial, "row int, block int, once binary, more binary")
     bits = np.zeros((ROWS, width // 8), np.uint8)
     for r in parts.groupBy("row", "block").applyInPandas(merged, "row int, block int, bits binary").toLocalIterator():
         bits[r.row, r.block * BLOCK // 8 : (r.block + 1) * BLOCK // 8] = np.frombuffer(r.bits, np.uint8)
     return bits
 
 
-def repeated(docs: DataFrame, bits: np.ndarray, size: int) -> DataFrame:
-    """h1, h2 (the window), doc, crc (of its text), pos: of the windows that the sketch estimates as repeated."""
+def repeated(docs: DataFrame, bits: np.ndarray, size: int, copies: Broadcast) -> DataFrame:
+    """h1, h2 (the window), doc, at: of the windows that the sketch estimates as repeated.
+
+    at: the CRC-32 of the text, for rows that share an id, and the place of the window's first word in the lower 31 bits.
+    """
     sent, width = docs.sparkSession.sparkContext.broadcast(bits), bits.shape[1] * 8
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, held = WordHashes(), sent.value
         for part, texts in slices(batches, limit=2 << 20):
+            crc = np.array([zlib.crc32(t) for t in texts], np.int64)
+            texts = [b"" if c else t for t, c in zip(texts, copies.value.later(texts, ids_of(part)), strict=True)]
             start, text, least, runs, first = windows_of(texts, hashes, size)
             maybe = np.ones(len(start), bool)
             for row, cell in enumerate(cells_of(least, width)):
@@ -147,30 +181,33 @@ def repeated(docs: DataFrame, bits: np.ndarray, size: int) -> DataFrame:
                 continue
             words = (runs.sums[1:] - runs.sums[:-1]) * runs.inverse[:-1]
             other = Runs(mixed(words), BASES[1])
-            crc = np.array([zlib.crc32(t) for t in texts], np.int64)
-            columns = mixed(runs.of(size, start)).view(np.int64), mixed(other.of(size, start)).view(np.int64), ids_of(part)[text], crc[text], (start - first[text]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "doc", "crc", "pos"])
+            columns = mixed(runs.of(size, start)).view(np.int64), mixed(other.of(size, start)).view(np.int64), ids_of(part)[text], crc[text] << 31 | (start - first[text])
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["h1", "h2", "doc", "at"])
 
-    return docs.mapInArrow(each, "h1 long, h2 long, doc long, crc long, pos int")
+    return docs.mapInArrow(each, "h1 long, h2 long, doc long, at long")
 
 
-def dedup_windows(docs: DataFrame, size: int = 50, max_sketch_bytes: int = 64 << 20) -> DataFrame:
+def dedup_windows(docs: DataFrame, size: int = 50, max_sketch_bytes: int = 64 << 20, max_copies_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the words that stay, joined by a space), one row for each row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    found = repeated(rows, sketch(rows, size, max_sketch_bytes), size)
+    copies = rows.sparkSession.sparkContext.broadcast(Copies(rows, max_copies_bytes))
+    found = repeated(rows, sketch(rows, size, max_sketch_bytes, copies), size, copies)
     first = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("h1", "h2", "first")
-    later = found.join(first, ["h1", "h2"]).filter("doc > first")
-    spans = later.groupBy("doc", "crc").agg(F.collect_list("pos").alias("pos"))
+    later = found.join(written(first, "windows"), ["h1", "h2"]).filter("doc > first")
+    place = F.col("at").bitwiseAND(2**31 - 1).cast("int")
+    spans = later.groupBy("doc", F.shiftright("at", 31).alias("crc")).agg(F.collect_list(place).alias("pos"))
     keyed = rows.select("doc_id", "text", doc_key().alias("doc"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"))
     keyed = keyed.join(spans, ["doc", "crc"], "left").select("doc_id", "text", "pos")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             out, total, removed = [], [], []
-            for text, pos in zip(texts, part.column(2), strict=True):
+            for text, pos, copy in zip(texts, part.column(2), copies.value.later(texts, ids_of(part)), strict=True):
                 words = text.split()
                 total.append(len(words))
-                if pos.is_valid:
+                if copy and len(words) >= size:
+                    words = []
+                elif pos.is_valid:
                     edge, at = np.zeros(len(words) + 1, np.int32), pos.values.to_numpy()
                     np.add.at(edge, at, 1)
                     np.add.at(edge, at + size, -1)
