@@ -26,7 +26,7 @@ mo as (select lv, count(*) as m, sum(n) as n, sum(k) as k, sum(n * n) as nn, sum
 va as (select *, (kp - n * (k / n) * (k / n)) / nullif(m - 1, 0) as b, wi / nullif(n - m, 0) as w, (n - nn / n) / nullif(m - 1, 0) as size from mo),
 rh as (select *, case when b + (size - 1) * w > 0 then (b - w) / (b + (size - 1) * w) else 0 end as share from va),
 st as (select lv, case when m < 2 or n <= m then 10.0 when share > 0 then least(1000.0, greatest(1.0, (1 - share) / share)) else 1000.0 end as s from rh),
-pri as (select (sum(k) + 1) / (sum(n) + 2) as mean, coalesce((select s from st where lv = 's'), 10.0) as ss, coalesce((select s from st where lv = 'd'), 10.0) as sd, coalesce((select s from st where lv = 'h'), 10.0) as sh from suffixes),
+pri as (select case when sum(n) > 0 then (sum(k) + 1) / (sum(n) + 2) else 1.0 end as mean, coalesce((select s from st where lv = 's'), 10.0) as ss, coalesce((select s from st where lv = 'd'), 10.0) as sd, coalesce((select s from st where lv = 'h'), 10.0) as sh from suffixes),
 g1 as (select suffix, (k + ss * mean) / (n + ss) as g from suffixes, pri),
 g2 as (select domain, suffix, (d.k + sd * g) / (d.n + sd) as g from domains d join g1 using (suffix), pri),
 g3 as (select host, (k + sh * g) / (n + sh) as p_good, n + sh + 1 as t from hosts join g2 using (domain, suffix), pri),

@@ -65,35 +65,49 @@ def measures(docs: DataFrame) -> DataFrame:
     )
 
 
-def em(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 100, prior: float = 0.8, start: float = 0.8, weight: float = 20.0) -> tuple[float, list[float]]:
+def em(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = 100, prior: float = 0.8, start: tuple[float, float] = (0.95, 0.5), weight: float = 20.0) -> tuple[float, list[tuple[float, float]]]:
     """(share of good documents, accuracy of each rule) from vote patterns (1 good, -1 bad, 0 abstains) and their counts.
 
-    Accuracies are those of a rule's votes and start above one half with `weight` pseudo-votes, which keeps
-    "good" and "bad" from changing places.
+    A rule's accuracy is a pair: how often its vote is right on good documents, and on bad ones. Both start from
+    `weight` pseudo-votes, and a rule stays better than chance, which keeps "good" and "bad" from changing places.
     """
-    n = len(patterns[0][0]) if patterns else 0
-    share, accuracy = prior, [start] * n
+    share, accuracy = prior, [start] * n_rules
     total = sum(c for _, c in patterns)
     for _ in range(rounds if total else 0):
-        right, voted, good = [start * weight] * n, [weight] * n, prior * weight
+        right = [[a * weight for a in start] for _ in range(n_rules)]
+        voted = [[weight, weight] for _ in range(n_rules)]
+        good = prior * weight
         for votes, count in patterns:
             p = posterior(votes, share, accuracy)
             good += p * count
             for j, v in enumerate(votes):
                 if v:
-                    voted[j] += count
-                    right[j] += count * (p if v > 0 else 1 - p)
+                    voted[j][0] += count * p
+                    voted[j][1] += count * (1 - p)
+                    right[j][v < 0] += count * (p if v > 0 else 1 - p)
         share = min(0.99, max(0.01, good / (total + weight)))
-        accuracy = [min(0.99, max(0.51, r / v)) for r, v in zip(right, voted, strict=True)]
+        accuracy = [bounded(r[0] / v[0], r[1] / v[1]) for r, v in zip(right, voted, strict=True)]
     return share, accuracy
 
 
+def bounded(on_good: float, on_bad: float) -> tuple[float, float]:
+    on_good = min(0.99, max(0.5, on_good))
+    return on_good, min(0.99, max(1.05 - on_good, on_bad))
+
+
 def logit(p: float) -> float:
     return math.log(p / (1 - p))
 
 
-def posterior(votes: tuple[int, ...], share: float, accuracy: list[float]) -> float:
-    return 1 / (1 + math.exp(-logit(share) - sum(v * logit(a) for v, a in zip(votes, accuracy, strict=True))))
+def vote_odds(accuracy: tuple[float, float]) -> tuple[float, float]:
+    """What a good vote and a bad vote add to the log odds of "good"."""
+    on_good, on_bad = accuracy
+    return math.log(on_good / (1 - on_bad)), math.log((1 - on_good) / on_bad)
+
+
+def posterior(votes: tuple[int, ...], share: float, accuracy: list[tuple[float, float]]) -> float:
+    odds = logit(share) + sum(vote_odds(a)[v < 0] for v, a in zip(votes, accuracy, strict=True) if v)
+    return 1 / (1 + math.exp(-odds))
 
 
 def judge(docs: DataFrame, rules: dict[str, tuple[str, str]] = RULES, keep_from: float = 0.5) -> DataFrame:
@@ -102,8 +116,9 @@ def judge(docs: DataFrame, rules: dict[str, tuple[str, str]] = RULES, keep_from:
     voted = written(measures(docs).select("*", *votes), "quality")
     names = [f"vote_{k}" for k in rules]
     counts = voted.groupBy(*names).count().collect()
-    share, accuracy = em(sorted((tuple(r[:-1]), r[-1]) for r in counts))
+    share, accuracy = em(sorted((tuple(r[:-1]), r[-1]) for r in counts), len(names))
     odds = F.lit(logit(share))
     for name, a in zip(names, accuracy, strict=True):
-        odds = odds + F.col(name) * F.lit(logit(a))
+        up, down = vote_odds(a)
+        odds = odds + F.when(F.col(name) > 0, up).when(F.col(name) < 0, down).otherwise(0.0)
     return voted.withColumn("p_good", 1 / (1 + F.exp(-odds))).withColumn("good", F.col("p_good") >= keep_from)

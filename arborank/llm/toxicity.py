@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from .common import slices
 
 SENTENCE = re.compile(r"[.!?\n…]+")
+#: A sentence without any known feature scores at most e^-12, so that not even 10,000 of them make a document toxic.
+BIAS = -12.0
 EDGES = ".,;:!?\"'()[]{}<>|*#-_“”«»¡¿"
 
 
@@ -41,7 +43,7 @@ def features(word: str) -> list[str]:
 
 @dataclass(frozen=True)
 class Model:
-    bias: float = -8.0
+    bias: float = BIAS
     weights: dict[str, float] = field(default_factory=dict)
 
 
@@ -68,7 +70,7 @@ def sampled(docs: DataFrame, labels: DataFrame, max_per_class: int) -> tuple[Dat
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id"), sizes
 
 
-def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 4000, max_features: int = 4000, rounds: int = 300) -> Model:
+def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 4000, max_features: int = 4000, rounds: int = 600) -> Model:
     """labels: doc_id, toxic. Both bounds hold at every size of the input."""
     rows, sizes = sampled(docs, labels, max_per_class)
     rows = rows.persist()
@@ -97,7 +99,7 @@ def best_features(rows: DataFrame, taken: dict[int, int], most: int) -> dict[str
     share = taken[1] / (taken[0] + taken[1])
     n = F.col("bad") + F.col("fine")
     z = (F.col("bad") - n * share) / F.sqrt(n * (share * (1 - share)) + 0.5)
-    best = counts.filter("bad >= 2").select("feature", odds.alias("odds"), z.alias("z")).filter("z > 2.5").orderBy(F.desc("z"), "feature").limit(most)
+    best = counts.filter("bad >= 2").select("feature", odds.alias("odds"), z.alias("z")).filter("z > 3.6").orderBy(F.desc("z"), "feature").limit(most)
     return {r.feature: r.odds for r in best.collect()}
 
 
@@ -117,7 +119,7 @@ def bags(rows: DataFrame, chosen: dict[str, float]) -> DataFrame:
     return rows.select("doc_id", "text", "toxic").mapInArrow(each, "toxic int, n int, hits array<array<int>>")
 
 
-def fit(bags: list[tuple[int, int, list[list[int]]]], chosen: dict[str, float], weight: dict[int, float], rounds: int, decay: float = 1e-3, step: float = 0.05) -> Model:
+def fit(bags: list[tuple[int, int, list[list[int]]]], chosen: dict[str, float], weight: dict[int, float], rounds: int, decay: float = 1e-4, step: float = 0.05) -> Model:
     """Climbs the weighted likelihood of the noisy-or by Adam. With softplus s(z) summed over the sentences to S, p = 1 - exp(-S)."""
     toxic = np.array([b[0] for b in bags], float)
     plain = np.array([b[1] - len(b[2]) for b in bags], float)
@@ -127,7 +129,7 @@ def fit(bags: list[tuple[int, int, list[list[int]]]], chosen: dict[str, float],
     hits = [x for b in bags for x in b[2]]
     sentence = np.repeat(np.arange(len(hits)), [len(x) for x in hits])
     feature = np.array([f for x in hits for f in x], np.int64)
-    w, b = 0.5 * np.clip(np.array(list(chosen.values())), -4, 6), -8.0
+    w, b = 0.5 * np.clip(np.array(list(chosen.values())), -4, 6), BIAS
     start = w.copy()
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
@@ -136,10 +138,10 @@ def fit(bags: list[tuple[int, int, list[list[int]]]], chosen: dict[str, float],
         pull = each * np.where(toxic > 0, -1 / np.expm1(np.clip(total, 1e-9, 500)), 1.0)
         sigma, plain_sigma = 1 / (1 + np.exp(-np.clip(z, -50, 50))), 1 / (1 + np.exp(-b))
         dz = pull[doc] * sigma
-        grad = np.concatenate([np.bincount(feature, dz[sentence], len(w)) + decay * (w - start), [dz.sum() + (pull * plain).sum() * plain_sigma + 1e-4 * (b + 8)]])
+        grad = np.concatenate([np.bincount(feature, dz[sentence], len(w)) + decay * (w - start), [dz.sum() + (pull * plain).sum() * plain_sigma + 1e-4 * (b - BIAS)]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
-        w, b = w - move[:-1], float(min(b - move[-1], -5.0))
+        w, b = w - move[:-1], float(min(b - move[-1], BIAS))
     return Model(b, dict(zip(chosen, w.tolist(), strict=True)))
 
 

@@ -73,7 +73,7 @@ def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
-    mean = ((total.k or 0) + 1) / ((total.n or 0) + 2)
+    mean = (total.k + 1) / (total.n + 2) if total.n else 1.0  # without any outcome there is nothing to hold against a host
     by_suffix, by_domain, by_host = strength(suffixes), strength(domains), strength(hosts)
 
     def shrunk(prior: Column, weight: float) -> Column:
