@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..operators import graph as G
 from ..operators import interactions as I
+from ..operators import models as M
 from ..operators import ranking as R
 from ..operators import scoring as S
 from ..operators.ordering import top_per
@@ -127,7 +128,7 @@ def components(t: Tables):
     return G.components(G.same_days(first_days(t)))
 
 
-@query(f"with {TRAIN} select user_id as src, item_id as dst from test where false", ("inter",))
+@query(f"with {TRAIN} select user_id as src, item_id as dst from train g where not exists (select 1 from train t where t.user_id = g.user_id and t.item_id = g.item_id)", ("inter",))
 def leakage_guard(t: Tables):
     """Graph edges from the training split only, so no row comes back."""
     train, _ = split(t)
@@ -208,6 +209,23 @@ def lightgcn_2layer(t: Tables):
     return S.propagate(edges, start, 2).withColumn("value", X.r6(F.col("value")))
 
 
+@query(f"""with {NODES}, d as (select src, sum(w) as d from e group by 1), a as (select e.src, e.dst, w / sqrt(a.d * b.d) as w from e join d a on e.src = a.src join d b on e.dst = b.src),
+    v0 as (select src as node, dim, {UNIT} as value from (select distinct src from e), range(0, 4) r(dim)), v1 as (select dst as node, dim, sum(w * value) as value from a join v0 on node = src group by 1, 2),
+    i as (select node, dim, sum(value) / 2 as value from (select * from v0 union all select * from v1) group by 1, 2),
+    s0 as (select distinct 'u' || reply_user_id as src, 'u' || parent_user_id as dst from replies where reply_user_id <> parent_user_id), s as (select src, dst, 1.0::double as w from (select src, dst from s0 union select dst, src from s0)), sd as (select src, sum(w) as d from s group by 1), sa as (select s.src, s.dst, w / sqrt(x.d * y.d) as w from s join sd x on s.src = x.src join sd y on s.dst = y.src),
+    s1 as (select dst as node, dim, sum(w * value) as value from sa join v0 on node = src group by 1, 2), so as (select node, dim, sum(value) / 2 as value from (select * from v0 union all select * from s1) where node like 'u%' group by 1, 2)
+    select i.node, i.dim::int as dim, round(0.6 * i.value + 0.4 * so.value, 6) as value from i join so using (node, dim)""", ("inter", "replies"))
+def fused_streams(t: Tables):
+    """CF-15: users' vectors from the interest graph and from the social graph, one layer each, with fixed weights."""
+    edges = G.normalised(G.as_nodes(interactions(t).select(F.col("user_id").alias("src"), F.col("item_id").alias("dst"), F.lit(1.0).alias("w"))))
+    start = edges.select(F.col("src").alias("node")).distinct().withColumn("dim", F.explode(F.sequence(F.lit(0), F.lit(3)))).withColumn("value", X.hash_unit("node", "dim") - 0.5)
+    u = lambda c: F.concat(F.lit("u"), F.col(c).cast("string")).alias(c)
+    social = G.normalised(I.symmetric(I.social_edges(replies(t))).select(u("src"), u("dst"), F.lit(1.0).alias("w")))
+    interest = S.propagate(edges, start, 1).withColumnRenamed("value", "a")
+    friends = S.propagate(social, start.filter("node like 'u%'"), 1).withColumnRenamed("value", "b")
+    return interest.join(friends, ["node", "dim"]).select("node", "dim", X.r6(0.6 * F.col("a") + 0.4 * F.col("b")).alias("value"))
+
+
 def _words():
     from .text_queries import WORDS
 
@@ -386,11 +404,77 @@ def rerank_chain(t: Tables):
     return R.mmr(fresh.join(chosen, ["user_id", "item_id"]), t.embeddings, 10)
 
 
-@query("select vec_id, 0 as n from embeddings where false")
-def semantic_id_gaps(t: Tables):
-    """EMB-17, EMB-18: residual codes of all vectors; lists vectors without three codes, of which there must be none."""
-    codes = S.quantize(t.embeddings, 3, 8)
-    return t.embeddings.select("vec_id").join(codes, "vec_id", "left").withColumn("n", F.coalesce(F.size("codes"), F.lit(0))).filter("n <> 3").select("vec_id", "n")
+@query()
+def semantic_ids(t: Tables):
+    """EMB-17: residual codes of all vectors. Trained, so without a twin."""
+    return S.quantize(t.embeddings, 3, 8)
+
+
+@query()
+def embedding_map(t: Tables):
+    """EMB-20: principal components, whose signs are free."""
+    from ..api import embedding_map as mapped
+
+    return mapped(t.embeddings)
+
+
+@query()
+def svd_top10(t: Tables):
+    """CF-8 for the query users; tests compare the factors with NumPy's best rank."""
+    r = ratings(t)
+    users, items = M.svd(r, 8, 4)
+    return R.masked_top(M.factor_scores(users.filter("user_id % 20 = 0"), items), r, 10)
+
+
+@query()
+def als_top10(t: Tables):
+    """CF-9 for the query users."""
+    r = ratings(t)
+    users, items = M.als(r, 8, rounds=5)
+    return R.masked_top(M.factor_scores(users.filter("user_id % 20 = 0"), items), r, 10)
+
+
+@query()
+def bpr_top10(t: Tables):
+    """CF-11, CF-22 for the query users: two gradient steps from hashed factors."""
+    r = ones(interactions(t))
+    most = r.agg(F.max("item_id")).first()[0]
+    triples = r.select("user_id", F.col("item_id").alias("pos"), ((F.col("item_id") * 7) % F.lit(most) + 1).alias("neg"))
+    start = lambda key: r.select(key).distinct().select(key, F.transform(F.sequence(F.lit(1), F.lit(8)), lambda d: X.hash_unit(F.lit(key), F.col(key), d) - 0.5).alias("v"))
+    users, items = M.bpr(triples, start("user_id"), start("item_id"), rounds=2)
+    return R.masked_top(M.factor_scores(users.filter("user_id % 20 = 0"), items), r, 10)
+
+
+def hashed_words(post):
+    dims = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda d: X.hash_unit(F.col("word"), d) - 0.5)
+    return post.select(F.col("term").alias("word")).distinct().select("word", dims.alias("embedding"))
+
+
+def _doc_vectors(weight: str, value: str, more: str = "") -> str:
+    return f"with {_words()}{more}, x as (select doc_id, dim, tf, {weight} as w, ('0x' || substr(md5(term || ':' || dim), 1, 8))::bigint / 4294967296.0 - 0.5 as x from post {'join aux using (term)' if more else ''}, range(0, 4) r(dim)) select doc_id, dim::int as dim, round({value}, 6) as value from x group by 1, 2"
+
+
+@query(_doc_vectors("tf", "sum(w * x) / sum(w)"))
+def doc_vectors_mean(t: Tables):
+    """EMB-3 with word vectors from hashes."""
+    return doc_vectors(t, "mean")
+
+
+@query(_doc_vectors("tf * idf", "sum(w * x) / sum(abs(w))", ", aux as (select term, ln(((select count(distinct doc_id) from post) + 1.0) / (count(*) + 1.0)) as idf from post group by 1)"))
+def doc_vectors_tfidf(t: Tables):
+    return doc_vectors(t, "tfidf")
+
+
+@query(_doc_vectors("tf * 0.001 / (0.001 + p)", "sum(w * x) / sum(tf)", ", aux as (select term, sum(tf) / (select sum(tf) from post)::double as p from post group by 1)"))
+def doc_vectors_sif(t: Tables):
+    return doc_vectors(t, "sif")
+
+
+def doc_vectors(t: Tables, how: str):
+    from .text_queries import posted
+
+    post = posted(t)
+    return M.doc_vectors(post, hashed_words(post), how).select("doc_id", "dim", X.r6(F.col("value")).alias("value"))
 
 
 # evaluation
