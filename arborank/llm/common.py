@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +10,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.storage import shared_dir, written
+
 #: White space that separates words, as a Java and DuckDB character class.
 SPACE = r"[\x20\x09-\x0D]"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,26 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder for one table under spark.checkpoint.dir, the folder that driver and executors share.
-
-    Only where that setting is missing (local tests) does a temporary folder of this machine stand in.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"{tempfile.gettempdir()}/spark-shared-{spark.sparkContext.applicationId}"
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, what: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: computed once, cut from its lineage, safe from lost executors."""
-    spark, path = df.sparkSession, shared_dir(df.sparkSession, what)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def doc_key(column: str = "doc_id"):
     """The document id with nulls as NULL_ID, so that equal joins and minima treat nulls as one smallest id."""
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
@@ -66,3 +46,6 @@ def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = 4 <<
 
 def ids_of(batch: pa.RecordBatch, column: int = 0) -> np.ndarray:
     return pc.fill_null(batch.column(column), NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+__all__ = ["NULL_ID", "SPACE", "doc_key", "ids_of", "shared_dir", "slices", "table", "written"]
