@@ -477,6 +477,54 @@ def doc_vectors(t: Tables, how: str):
     return M.doc_vectors(post, hashed_words(post), how).select("doc_id", "dim", X.r6(F.col("value")).alias("value"))
 
 
+@query("""with p as (select sqrt(sum(y * y) over (partition by vec_id)) as l, vec_id, k, y from (select vec_id, k, sum(x * (('0x' || substr(md5(dim || ':' || k || ':42'), 1, 8))::bigint / 4294967296.0 - 0.5)) as y from (select vec_id, unnest(embedding::double[]) as x, unnest(range(0, len(embedding))) as dim from embeddings), range(0, 8) r(k) group by 1, 2))
+    select vec_id, k::int as k, round(case when l > 0 then y / l else 0 end, 6) as y from p""")
+def random_projection(t: Tables):
+    """EMB-15: eight hashed directions, at length 1."""
+    rows = t.embeddings.select("vec_id", F.posexplode(X.doubles("embedding")).alias("dim", "x")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    y = rows.groupBy("vec_id", "k").agg(F.sum(F.col("x") * (X.hash_unit("dim", "k", F.lit(42)) - 0.5)).alias("y"))
+    length = F.sqrt(F.sum(F.col("y") * F.col("y")).over(Window.partitionBy("vec_id")))
+    return y.select("vec_id", "k", X.r6(F.when(length > 0, F.col("y") / length).otherwise(0.0)).alias("y"))
+
+
+@query("select label, count(*)::bigint as n, count(*) filter (where list_dot_product(e, e) = 0)::bigint as zero, count(*) filter (where len(list_filter(e, lambda x: isnan(x))) > 0)::bigint as nan, count(*) filter (where vec_id not in (select item from vecread))::bigint as isolated from (select vec_id, label, embedding::double[] as e from embeddings) group by 1", ("vecread",))
+def feature_audit(t: Tables):
+    """AGG-18: zero or NaN features and vectors that nobody reads."""
+    e = X.doubles("embedding")
+    read = reading_history(t, "embeddings").select(F.col("item").alias("vec_id")).distinct().withColumn("read", F.lit(1))
+    rows = t.embeddings.join(read, "vec_id", "left")
+    return rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.count_if(X.dot(e, e) == 0).alias("zero"), F.count_if(F.exists(e, lambda x: F.isnan(x))).alias("nan"), F.count_if(F.col("read").isNull()).alias("isolated"))
+
+
+@query(f"{BLEND} select source, least(floor(score * 10), 9)::int as bucket, count(*)::bigint as n from bl group by 1, 2", ("vecread",))
+def score_histogram(t: Tables):
+    """RNK-16."""
+    return blend(t).groupBy("source", F.least(F.floor(F.col("score") * 10), F.lit(9)).cast("int").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+
+
+GUEST = "('0x' || substr(md5(p_partkey || ':42'), 1, 8))::bigint"
+
+
+@query(f"with r as (select p_partkey as item_id, p_type as category, row_number() over (order by {GUEST}, p_partkey) as g, row_number() over (partition by p_type order by {GUEST}, p_partkey) as c from part) select item_id, category from r where g <= 3 or (c <= 3 and category in (select p_type from part where p_partkey <= 2))")
+def guest_profile(t: Tables):
+    """SMP-5: three items at random and three of each chosen category, those of the first two parts here."""
+    rows = categories(t)
+    h = X.hash_unit("item_id", F.lit(42))
+    some = rows.orderBy(h, "item_id").limit(3)
+    chosen = rows.filter("item_id <= 2").select("category").distinct()
+    each = top_per(rows.join(F.broadcast(chosen), "category", "left_semi"), ["category"], [h, F.col("item_id")], 3).select("item_id", "category")
+    return some.unionByName(each).distinct()
+
+
+@query(f"with {RANKED}, l as (select t.user_id, t.item_id, round(ln(1 + exp(-coalesce(sc.score, 0))), 6) as loss from train t left join sc using (user_id, item_id)), q as (select quantile_cont(loss, 0.9) as q from l) select user_id, item_id, loss from l, q where loss <= q", ("inter",))
+def hard_examples_pruned(t: Tables):
+    """SMP-7: training pairs without the tenth of highest loss."""
+    train, _ = split(t)
+    rows = train.join(scored(train).withColumn("score", X.r6(F.col("score"))), ["user_id", "item_id"], "left")
+    rows = rows.select("user_id", "item_id", X.r6(F.log1p(F.exp(-F.coalesce("score", F.lit(0.0))))).alias("loss"))
+    return rows.filter(F.col("loss") <= F.lit(rows.agg(F.percentile("loss", 0.9)).first()[0]))
+
+
 # evaluation
 
 METRICS = """m as (select t.user_id, t.n, count(h.rk) as h, coalesce(sum(1 / log2(h.rk + 1.0)), 0) as dcg, min(h.rk) as first, coalesce(sum(h.nth / h.rk::double), 0) as ap from (select user_id, count(*) as n from test group by 1) t left join (select top.user_id, rk, row_number() over (partition by top.user_id order by rk) as nth from top join test using (user_id, item_id) where rk <= {k}) h using (user_id) group by 1, 2),
