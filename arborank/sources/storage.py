@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_dir(spark: SparkSession, what: str) -> str:
-    """A new folder for one table under spark.checkpoint.dir.
+def shared_root(spark: SparkSession) -> str:
+    """This application's own folder under spark.checkpoint.dir.
 
     Only where that setting is missing (local tests) does a temporary folder of this machine stand in.
     """
@@ -17,8 +17,19 @@ def shared_dir(spark: SparkSession, what: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"{tempfile.gettempdir()}/spark-shared-{spark.sparkContext.applicationId}"
-    return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
+        root = f"{tempfile.gettempdir()}/spark-shared"
+    return f"{root.rstrip('/')}/{spark.sparkContext.applicationId}"
+
+
+def shared_dir(spark: SparkSession, what: str) -> str:
+    """A new folder for one table."""
+    return f"{shared_root(spark)}/{what}-{uuid.uuid4().hex}"
+
+
+def clear_shared(spark: SparkSession) -> None:
+    """Deletes all tables that this application has written there; results that still read them must be done."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_root(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written(df: DataFrame, what: str) -> DataFrame:

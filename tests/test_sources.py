@@ -69,6 +69,17 @@ def test_sinks(spark, tmp_path):
     assert sinks.markdown(edges, "Edges").splitlines()[-1] == "| 1 | 2 | 0.5 |"
 
 
+def test_shared_tables_can_be_cleared(spark):
+    import os
+
+    from arborank.sources import storage
+
+    df = storage.written(spark.range(3).toDF("a"), "t")
+    assert df.count() == 3 and os.path.isdir(storage.shared_root(spark))
+    storage.clear_shared(spark)
+    assert not os.path.isdir(storage.shared_root(spark))
+
+
 def catalogue(spark):
     r = random.Random(1)
     items = [(k, f"title{k} {'apple' if k % 3 else 'pear'}", "words here", "ab"[k % 2], [r.gauss(0, 1) for _ in range(4)]) for k in range(20)]
