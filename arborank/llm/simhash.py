@@ -142,25 +142,27 @@ def roots_of(parent: np.ndarray) -> np.ndarray:
     return parent
 
 
-def forest(codes: np.ndarray, radius: int, leaders: int = 4) -> tuple[np.ndarray, np.ndarray]:
+def forest(codes: np.ndarray, radius: int, leaders: int = 4, root: np.ndarray | None = None, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs of the codes (in Gray order) that connect all that the radius connects.
 
     A few leaders first gather all that is near them, so that a large group of near copies is one component before
-    the index is searched for what links the rest. Past that, each pair joins two components.
+    the index is searched for what links the rest. Past that, each pair joins two components. root: the first index of
+    each code's component, where some are joined already. Another turn takes other leaders.
     """
-    parent, free, found = np.arange(len(codes)), np.ones(len(codes), bool), []
+    parent, free, found = np.arange(len(codes)) if root is None else root.copy(), np.ones(len(codes), bool), []
     for _ in range(leaders if len(codes) > 4 * NODE else 0):
         lone = np.flatnonzero(free)
         if not len(lone):
             break
-        near = np.bitwise_count(codes ^ codes[lone[0]]).sum(axis=1, dtype=np.int32) <= radius
-        near = near & (parent != parent[lone[0]])
+        first = lone[len(lone) * (turn % 4) // 4]
+        near = np.bitwise_count(codes ^ codes[first]).sum(axis=1, dtype=np.int32) <= radius
+        near = near & (parent != parent[first])
         own = np.unique(parent[near], return_index=True)[1]
-        found.append((np.full(len(own), lone[0]), np.flatnonzero(near)[own]))
-        joined = np.isin(parent, parent[near]) | (parent == parent[lone[0]])
+        found.append((np.full(len(own), first), np.flatnonzero(near)[own]))
+        joined = np.isin(parent, parent[near]) | (parent == parent[first])
         parent[joined] = parent[joined].min()
         free &= ~near
-        free[lone[0]] = False
+        free[first] = False
     for i, j in linked_pairs(codes, radius, parent):
         while len(i):  # hook each root to a smaller one, until both ends of every pair agree
             parent = roots_of(parent)
@@ -209,15 +211,21 @@ def dealt(fps: DataFrame, radius: int) -> DataFrame:
 def edges_of(fps: DataFrame, radius: int) -> DataFrame:
     """src, dst of 64-bit fingerprints: within each group enough links to connect what the radius connects."""
     groups = dealt(fps, radius).select(F.xxhash64("mask", "key").alias("group"), F.col("fp").alias("node"), F.col("fp").alias("f0"))
-    return searched(groups, radius, 1)
+    return searched(groups, radius, 1).select("src", "dst").distinct()
 
 
-def searched(groups: DataFrame, radius: int, words: int) -> DataFrame:
-    """src, dst: links within each group of (group, node, f0, ...), enough to connect what the radius connects."""
+def searched(groups: DataFrame, radius: int, words: int, turn: int = 0, every: bool = False) -> DataFrame:
+    """src, dst, group: links within each group of (group, node, f0, ...), enough to connect what the radius connects.
+
+    Nodes of one root, if that column is there, are connected already. With `every`, all links between different roots come
+    back. group is null for a group of SMALL nodes or fewer, of which all links always do.
+    """
+    if "root" not in groups.columns:
+        groups = groups.withColumn("root", F.col("node"))
 
     def each(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The groups of a sorted partition, one after another."""
-        rest = [np.zeros(0, np.int64)] * (2 + words)
+        rest = [np.zeros(0, np.int64)] * (3 + words)
         for batch in parts:
             rows = [np.concatenate([old, new.to_numpy(zero_copy_only=False)]) for old, new in zip(rest, batch.columns, strict=True)]
             cuts = np.flatnonzero(np.diff(rows[0])) + 1
@@ -227,29 +235,39 @@ def searched(groups: DataFrame, radius: int, words: int) -> DataFrame:
         yield from found(rest, np.array([len(rest[0])]))
 
     def found(rows: list[np.ndarray], cuts: np.ndarray) -> Iterator[pa.RecordBatch]:
-        node, codes = rows[1], np.stack(rows[2:], axis=1).view(np.uint64)
+        node, root, codes = rows[1], rows[2], np.stack(rows[3:], axis=1).view(np.uint64)
         starts = np.concatenate([[0], cuts[:-1]]).astype(np.int64)
         size = np.repeat(cuts - starts, cuts - starts) if len(node) else np.zeros(0, np.int64)
         src, dst = [], []
         for shift in range(1, SMALL):  # small groups: all pairs of the partition at once
             i = np.flatnonzero((rows[0][:-shift] == rows[0][shift:]) & (size[shift:] <= SMALL))
-            i = i[np.bitwise_count(codes[i] ^ codes[i + shift]).sum(axis=1, dtype=np.int32) <= radius]
+            i = i[(root[i] != root[i + shift]) & (np.bitwise_count(codes[i] ^ codes[i + shift]).sum(axis=1, dtype=np.int32) <= radius)]
             src.append(node[i + shift])
             dst.append(node[i])
+        yield links(src, dst, pa.nulls(sum(map(len, src)), pa.int64()))
+        src, dst, group = [], [], []
         for k in np.flatnonzero(cuts - starts > SMALL):
             own = slice(starts[k], cuts[k])
             order = gray_order(codes[own])
-            ids = node[own][order]
-            i, j = forest(codes[own][order], radius)
-            src.append(ids[j])
-            dst.append(ids[i])
-        src, dst = np.concatenate(src), np.concatenate(dst)
-        if len(src):
-            yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
-
-    columns = ["group", "node", *(f"f{k}" for k in range(words))]
+            ids, mine = node[own][order], codes[own][order]
+            first, place = np.unique(root[own][order], return_index=True, return_inverse=True)[1:]
+            for i, j in linked_pairs(mine, radius, first[place]) if every else [forest(mine, radius, root=first[place], turn=turn)]:
+                src.append(ids[j])
+                dst.append(ids[i])
+                group.append(np.full(len(i), rows[0][own.start]))
+                if sum(map(len, src)) > 1 << 16:
+                    yield links(src, dst, pa.array(np.concatenate(group)))
+                    src, dst, group = [], [], []
+        if src:
+            yield links(src, dst, pa.array(np.concatenate(group)))
+
+    def links(src: list[np.ndarray], dst: list[np.ndarray], group: pa.Array) -> pa.RecordBatch:
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (src, dst))
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b)), group], ["src", "dst", "group"])
+
+    columns = ["group", "node", "root", *(f"f{k}" for k in range(words))]
     rows = groups.select(*columns).repartition("group").sortWithinPartitions("group")
-    return rows.mapInArrow(each, "src long, dst long").distinct()
+    return rows.mapInArrow(each, "src long, dst long, group long").distinct()
 
 
 def sampled_groups(prints: DataFrame, words: int, tables: int, bits: int = 16, depth: int = 3) -> DataFrame:
@@ -345,6 +363,36 @@ def similar_edges(edges: DataFrame, prints: DataFrame, rows: DataFrame, n: int,
     return edges.join(a, "src").join(b, "dst").filter(alike).select("src", "dst").distinct()
 
 
+def alike_edges(groups: DataFrame, radius: int, words: int, alike: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """src, dst: links that `alike` (a filter of src, dst) confirms, enough to connect all that such links within the groups connect.
+
+    A group is done once all links that connect it are confirmed. In the others what is confirmed so far is one component each and
+    other leaders look for links between those; the last turn gives every link between different components to `alike`, so that
+    none is left out because a link near it was refuted.
+    """
+    good = bad = None
+    for turn in range(3):
+        found = written(searched(groups, radius, words, turn, every=turn == 2), "simhash-edges")
+        fresh = found.select("src", "dst").distinct()
+        if bad is not None:
+            fresh = fresh.join(bad, ["src", "dst"], "left_anti")
+        fresh = written(fresh, "simhash-candidates") if bad is not None else fresh
+        more = written(alike(fresh), "simhash-alike")
+        good = more if good is None else good.unionByName(more)
+        if turn == 2:
+            return good
+        none = fresh.join(more, ["src", "dst"], "left_anti")
+        bad = written(none if bad is None else bad.unionByName(none), "simhash-refuted")
+        wanting = found.filter("group is not null").join(bad, ["src", "dst"], "left_semi").select("group").distinct()
+        wanting = written(wanting, "simhash-open")
+        if wanting.isEmpty():
+            return good
+        roots = written(components(good), "simhash-roots").withColumnRenamed("root", "__root")
+        now = groups.drop("root").join(wanting, "group", "left_semi").join(roots, "node", "left")
+        groups = written(now.withColumn("root", F.coalesce("__root", "node")).drop("__root"), "simhash-open-groups")
+    raise AssertionError
+
+
 def one_of_each(docs: DataFrame, n: int = 5, least: float = 0.8, radius: int = 46, tables: int = 32) -> DataFrame:
     """docs, with all their columns, with one row of each component: one with the smallest doc_id (any one if rows repeat that).
 
@@ -363,8 +411,7 @@ def one_of_each(docs: DataFrame, n: int = 5, least: float = 0.8, radius: int = 4
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     prints = written(rows.mapInArrow(each, f"doc_id long, {', '.join(f'{x} long' for x in names)}").withColumn("node", F.xxhash64(*names)), "simhash")
     groups = sampled_groups(prints.select("node", *names).distinct(), words, tables)
-    edges = written(searched(groups, radius, words), "simhash-edges")
-    edges = similar_edges(edges, prints.select("doc_id", "node"), rows, n, least)
+    edges = alike_edges(groups, radius, words, lambda some: similar_edges(some, prints.select("doc_id", "node"), rows, n, least))
     chosen = grouped(prints.select("doc_id", "node"), edges).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     chosen = written(chosen.select(doc_key().alias("__doc"), "node", "root").distinct(), "simhash-chosen")
     keyed, columns = docs.withColumn("__doc", doc_key()), [F.col(f"`{c}`") for c in docs.columns]

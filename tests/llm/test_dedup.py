@@ -109,6 +109,37 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(documents_df(spark, [])).collect() == []
 
 
+def template_family(size, pairs, words=600, changed=10):
+    """Texts of about 0.72 of common shingles, and as many of them with a near copy as `pairs`."""
+    r = random.Random(3)
+    base = [f"b{k}" for k in range(words)]
+
+    def edited(text, n, mark):
+        at = set(r.sample(range(len(text)), n))
+        return [f"{mark}x{k}" if k in at else w for k, w in enumerate(text)]
+
+    texts = [edited(base, changed, f"m{k}") for k in range(size)]
+    texts += [edited(texts[k], 2, f"c{k}") for k in range(pairs)]
+    return [(k, " ".join(t)) for k, t in enumerate(texts)]
+
+
+def first_of_alike(rows, least=0.8, n=5):
+    """The smallest id of each component, by exact comparison of all texts."""
+    sets = {k: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for k, w in ((k, t.split()) for k, t in rows)}
+    pairs = [(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b])]
+    root = brute.components(list(sets), pairs)
+    return sorted({min(k for k in root if root[k] == r) for r in root.values()})
+
+
+def test_near_copies_beside_refuted_links(spark, monkeypatch):
+    """In a group of texts that are nearly, but not quite, similar enough, links to a leader fail; the near copies among them are found all the same."""
+    monkeypatch.setattr(simhash, "sampled_groups", lambda prints, words, tables: prints.withColumn("group", F.lit(1).cast("long")))
+    rows = template_family(120, 12)
+    want = first_of_alike(rows)
+    assert 100 < len(want) <= 120
+    assert sorted(r.doc_id for r in simhash.one_of_each(documents_df(spark, rows)).collect()) == want
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "src long, dst long")
     found = {r.node: r.root for r in simhash.components(edges).collect()}
