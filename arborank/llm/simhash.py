@@ -31,6 +31,8 @@ from .common import doc_key, slices, written
 
 #: A block value with more fingerprints than this is dealt out by its remaining bits.
 HOT_GROUP = 1024
+#: A group of samples with more fingerprints than this is compared in parts.
+WIDE_GROUP = 2048
 #: Groups up to this size are compared pair by pair.
 SMALL = 16
 NODE = 8
@@ -270,35 +272,34 @@ def searched(groups: DataFrame, radius: int, words: int, turn: int = 0, every: b
     return rows.mapInArrow(each, "src long, dst long, group long").distinct()
 
 
-def sampled_groups(prints: DataFrame, words: int, tables: int, bits: int = 16, depth: int = 3) -> DataFrame:
+def sampled_groups(prints: DataFrame, words: int, tables: int, bits: int = 16) -> DataFrame:
     """group, node, f0, ...: each fingerprint once for each table, under the values of the table's sample of bits.
 
-    Groups above HOT_GROUP are dealt out again by samples of their own.
+    A group above WIDE_GROUP is cut in parts, and any two of them are a group: all its pairs still meet, on many tasks.
     """
     names = [f"f{k}" for k in range(words)]
-    done, now = None, prints.select("node", F.lit(0).cast("long").alias("group"), *names)
-    for level in range(depth):
-        picks = np.random.default_rng(level).permuted(np.tile(np.arange(64 * words), (tables, 1)), axis=1)[:, :bits]
-
-        def deal(batches: Iterator[pa.RecordBatch], picks: np.ndarray = picks) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-                raw = np.stack(columns[2:], axis=1).view(np.uint64)
-                on = np.unpackbits(raw.astype(">u8").view(np.uint8).reshape(len(raw), -1), axis=1)
-                for k, pick in enumerate(picks):
-                    value = on[:, pick].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
-                    group = gray_rank((columns[1].view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(k << 32)) ^ value.astype(np.uint64)
-                    yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(group.view(np.int64)), *(pa.array(c) for c in columns[2:])], ["node", "group", *names])
-
-        now = written(now.mapInArrow(deal, f"node long, group long, {', '.join(f'{x} long' for x in names)}"), "simhash-tables")
-        hot = written(now.groupBy("group").count().filter(F.col("count") > HOT_GROUP).select("group"), "simhash-hot")
-        if level == depth - 1 or hot.isEmpty():
-            return now if done is None else done.unionByName(now)
-        calm = now.join(hot, "group", "left_anti").select("node", "group", *names)
-        done = calm if done is None else done.unionByName(calm)
-        now = now.join(hot, "group", "left_semi").select("node", "group", *names)
-        tables = max(4, tables // 8)
-    raise AssertionError
+    picks = np.random.default_rng(0).permuted(np.tile(np.arange(64 * words), (tables, 1)), axis=1)[:, :bits]
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            raw = np.stack(columns[1:], axis=1).view(np.uint64)
+            on = np.unpackbits(raw.astype(">u8").view(np.uint8).reshape(len(raw), -1), axis=1)
+            for k, pick in enumerate(picks):
+                value = on[:, pick].astype(np.int64) @ (1 << np.arange(bits, dtype=np.int64))
+                group = gray_rank(np.full(len(raw), k << 32, np.uint64)) ^ value.astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(group.view(np.int64)), *(pa.array(c) for c in columns[1:])], ["node", "group", *names])
+
+    now = written(prints.select("node", *names).mapInArrow(deal, f"node long, group long, {', '.join(f'{x} long' for x in names)}"), "simhash-tables")
+    hot = now.groupBy("group").count().filter(F.col("count") > WIDE_GROUP)
+    hot = written(hot.select("group", F.ceil(2 * F.col("count") / WIDE_GROUP).cast("int").alias("parts")), "simhash-hot")
+    if hot.isEmpty():
+        return now
+    own, other = F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts")).cast("int"), F.col("other")
+    # each row once for every part, so a part meets each other, and itself beside them
+    cut = now.join(hot, "group").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cut = cut.filter("own <> other").withColumn("group", F.xxhash64("group", F.least("own", other), F.greatest("own", other)))
+    return now.join(hot, "group", "left_anti").select("node", "group", *names).unionByName(cut.select("node", "group", *names))
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:

@@ -140,6 +140,25 @@ def test_near_copies_beside_refuted_links(spark, monkeypatch):
     assert sorted(r.doc_id for r in simhash.one_of_each(documents_df(spark, rows)).collect()) == want
 
 
+def test_pairs_of_large_samples_still_meet(spark, monkeypatch):
+    """Whatever shares a sample shares a group, also where the sample's group is too large for one task."""
+    r = np.random.default_rng(1)
+    codes = np.repeat(r.integers(0, 2**63, (2, 4), dtype=np.uint64), 60, axis=0)
+    bits = np.unpackbits(codes.view(np.uint8), axis=1) ^ (r.random((len(codes), 256)) < 0.08)
+    codes = np.packbits(bits, axis=1).view(np.int64)
+    prints = spark.createDataFrame([(k, *map(int, c)) for k, c in enumerate(codes)], "node long, f0 long, f1 long, f2 long, f3 long")
+
+    def met(size):
+        for name in ("HOT_GROUP", "WIDE_GROUP"):
+            monkeypatch.setattr(simhash, name, size, raising=False)
+        groups = simhash.sampled_groups(prints, 4, 8).groupBy("group").agg(F.sort_array(F.collect_list("node")).alias("nodes")).collect()
+        return {(a, b) for g in groups for k, b in enumerate(g.nodes) for a in g.nodes[:k]}, max(len(g.nodes) for g in groups)
+
+    (want, largest), (got, parts) = met(1000), met(8)
+    assert want and got == want
+    assert parts < largest
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(60)] + [(100, 101)], "src long, dst long")
     found = {r.node: r.root for r in simhash.components(edges).collect()}
