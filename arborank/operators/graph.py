@@ -58,6 +58,23 @@ def cross_category(user_categories: DataFrame, least: int) -> DataFrame:
     return a.join(b, "category").filter("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
+def cross_category_classes(user_categories: DataFrame, least: int) -> DataFrame:
+    """G7 without writing out its pairs: user_id, class, linked, links, one row for each user.
+
+    Users with equal categories are one class, named by its smallest user. linked: the classes (its own too) whose users share
+    `least` categories or more with this one; links: how many other users that is.
+    """
+    sets = user_categories.groupBy("user_id").agg(F.sort_array(F.collect_set("category")).alias("categories"))
+    classes = written(sets.groupBy("categories").agg(F.min("user_id").alias("class"), F.count(F.lit(1)).alias("members")), "classes")
+    each = classes.select("class", F.explode("categories").alias("category"))
+    a, b = each.select(F.col("class").alias("src"), "category"), each.select(F.col("class").alias("class"), "category")
+    near = a.join(b, "category").groupBy("src", "class").count().filter(F.col("count") >= least).join(classes.select("class", "members"), "class")
+    own = F.sum(F.when(F.col("src") == F.col("class"), 1).otherwise(0))
+    near = near.groupBy("src").agg(F.sort_array(F.collect_list("class")).alias("linked"), (F.sum("members") - own).alias("links"))
+    named = classes.join(near, F.col("class") == F.col("src"), "left").select("categories", "class", "linked", "links")
+    return sets.join(named, "categories").select("user_id", "class", F.coalesce("linked", F.array().cast("array<long>")).alias("linked"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def tenure(interactions: DataFrame, joined: DataFrame, now: str) -> DataFrame:
     """Features of a user's age in months (30 days) and activity. joined: user_id, join_date."""
     n = interactions.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))

@@ -93,6 +93,12 @@ def g7_cross_category(t: Tables):
     return G.cross_category(G.user_category(interactions(t).filter("user_id % 20 = 0"), categories(t)), 6)
 
 
+@query()
+def g7_cross_category_all(t: Tables):
+    """All users, by classes of equal categories; the pairs themselves would be their square. Tests compare it with the pairs."""
+    return G.cross_category_classes(G.user_category(interactions(t), categories(t)), 6)
+
+
 @query(f"with j as (select user_id, min(ts)::date as d, count(*) as n from purchases group by 1), a as (select user_id, greatest(date_diff('day', d, date '{NOW}') / 30.0, 0) as age, n from j) select user_id, round(age / 120, 6) as f_age, (age > 60)::int as f_old, (age < 6)::int as f_new, round(ln(1 + age) / 5, 6) as f_log_age, round(ln(1 + n) / 5, 6) as f_log_n from a", ("purchases",))
 def g8_tenure(t: Tables):
     rows = purchases(t)

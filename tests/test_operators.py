@@ -218,3 +218,23 @@ def test_empty_inputs(spark):
     assert R.masked_top(none.withColumnRenamed("r", "score"), none, 5).collect() == []
     assert I.split_per_user(none).collect() == []
     assert G.shared_interest(none).collect() == []
+
+
+def test_cross_category_of_all_users(spark):
+    """The classes stand for just the pairs that the join gives, users without any link included."""
+    r = random.Random(7)
+    rows = [(u, c) for u in range(60) for c in range(5) if r.random() < 0.6] + [(60, 0), (61, None)]
+    uc = spark.createDataFrame(rows, "user_id long, category int")
+    want = {(p.src, p.dst) for p in G.cross_category(uc, 3).collect()}
+    got = {x.user_id: x for x in G.cross_category_classes(uc, 3).collect()}
+    assert got.keys() == {u for u, _ in rows}
+    assert {(a, b) for a in got for b in got if a < b and got[b]["class"] in got[a].linked} == want
+    assert all(x.links == sum(u in p for p in want) for u, x in got.items())
+
+
+def test_cross_category_query_has_all_users(spark):
+    import __spark_entry__ as entry
+
+    data = "/root/testdata/sf0.001"
+    users = bindings.interactions(bindings.Tables(spark, data)).select("user_id").distinct().count()
+    assert entry.queries()["g7_cross_category_all"](spark, data).count() == users
