@@ -196,6 +196,23 @@ def rank_user_knn(t: Tables):
     return R.masked_top(S.user_scores(ones(train), S.similarity(ones(train), "cosine", of="user_id", by="item_id", k=20)), train, 10)
 
 
+WHOLE = 1 << 30
+
+
+@query(f"with {TRAIN}, {_sims('1', COS, k=WHOLE, source='train')}, {SCORES} select user_id, item_id, score, rk from top", ("inter",))
+def rank_masked_top10_all(t: Tables):
+    """CF-6 over all neighbours."""
+    train, _ = split(t)
+    return R.masked_top(S.item_scores(ones(train), S.similarity(ones(train), "cosine")), train, 10)
+
+
+@query(f"with {TRAIN}, {_sims('1', COS, 'user_id', 'item_id', k=WHOLE, source='train')}, sc as (select a as user_id, item_id, round(sum(sim), 6) as score from si join train on b = user_id group by 1, 2), fr as (select * from sc where not exists (select 1 from train x where x.user_id = sc.user_id and x.item_id = sc.item_id)) select user_id, item_id, score, rk from (select *, row_number() over (partition by user_id order by score desc, item_id) as rk from fr) where rk <= 10", ("inter",))
+def rank_user_knn_all(t: Tables):
+    """CF-5 over all neighbours."""
+    train, _ = split(t)
+    return R.masked_top(S.user_scores(ones(train), S.similarity(ones(train), "cosine", of="user_id", by="item_id")), train, 10)
+
+
 @query("with rt as (select user_id, item_id, reactions::double as r from inter), dv as (select x.item_id as a, y.item_id as b, count(*) as c, avg(x.r - y.r) as dev from rt x join rt y on x.user_id = y.user_id and x.item_id <> y.item_id group by 1, 2), sc as (select user_id, a as item_id, round(sum((r + dev) * c) / sum(c), 6) as score from rt join dv on b = item_id where user_id % 20 = 0 group by 1, 2), fr as (select * from sc where not exists (select 1 from rt x where x.user_id = sc.user_id and x.item_id = sc.item_id)) select user_id, item_id, score, rk from (select *, row_number() over (partition by user_id order by score desc, item_id) as rk from fr) where rk <= 10", ("inter",))
 def slope_one(t: Tables):
     """CF-7 for the query users."""

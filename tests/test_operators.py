@@ -238,3 +238,17 @@ def test_cross_category_query_has_all_users(spark):
     data = "/root/testdata/sf0.001"
     users = bindings.interactions(bindings.Tables(spark, data)).select("user_id").distinct().count()
     assert entry.queries()["g7_cross_category_all"](spark, data).count() == users
+
+
+def test_ranking_over_all_neighbours(spark):
+    """Lists reach items that only neighbours past the twentieth share."""
+    import __spark_entry__ as entry
+
+    data = "/root/testdata/sf0.001"
+    tables = bindings.Tables(spark, data)
+    train = I.split_time(bindings.interactions(tables)).filter("split = 'train'").select("user_id", "item_id", F.lit(1.0).alias("r"))
+    scores = S.item_scores(train, S.similarity(train)).join(train, ["user_id", "item_id"], "left_anti")
+    want = {(x.user_id, n + 1): round(s, 5) for x in scores.groupBy("user_id").agg(F.collect_list("score").alias("s")).collect() for n, s in enumerate(sorted(x.s, reverse=True)[:10])}
+    got = {(x.user_id, x.rk): round(x.score, 5) for x in entry.queries()["rank_masked_top10_all"](spark, data).collect()}
+    assert got.keys() == want.keys()
+    assert all(abs(got[k] - want[k]) < 2e-5 for k in want)
