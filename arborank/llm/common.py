@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.storage import shared_dir, written
@@ -28,24 +28,51 @@ def doc_key(column: str = "doc_id"):
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of the batches with about `limit` bytes of text each (one row at least), with their texts as UTF-8; null is empty."""
+#: A key with more than this share of the rows, and this many rows, is dealt over several tasks; there are at most 1 / share of them.
+HOT_SHARE, HOT_ROWS, HOT_PARTS = 0.001, 5000, 64
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, key: list[str], by: Column, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with lookup, which has one row a key at most and no column of rows but the key.
+
+    The rows of hot keys are dealt by the hash `by` to HOT_PARTS tasks a key, and each of these gets the key's lookup row. The list of hot keys
+    has at most 1 / HOT_SHARE rows, so it can be broadcast. rows are read twice and should be a table, or cheap.
+    """
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    total = rows.agg(F.count(F.lit(1))).first()[0]
+    hot = written(sizes.filter(F.col("__n") > max(HOT_ROWS, HOT_SHARE * total)).select(*key, F.lit(True).alias("__hot")), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(lookup, key, how)
+    part = F.when(F.col("__hot"), F.pmod(by, F.lit(HOT_PARTS))).otherwise(F.lit(0)).cast("int")
+    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__part", part).drop("__hot")
+    parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    known = lookup.join(F.broadcast(hot), key, "left").withColumn("__part", F.explode(parts)).drop("__hot")
+    return dealt.join(known, [*key, "__part"], how).drop("__part")
+
+
+def parts_of(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Parts of the batches with about `limit` bytes of text each (one row at least)."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        text = pc.fill_null(batch.column(column), "")
-        ends = np.cumsum(pc.binary_length(text).to_numpy(zero_copy_only=False).astype(np.int64))
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
         at = 0
         while at < batch.num_rows:
             base = ends[at - 1] if at else 0
             to = max(at + 1, int(np.searchsorted(ends, base + limit, "right")))
-            part = text.slice(at, to - at)
-            yield batch.slice(at, to - at), part.cast(pa.large_binary() if pa.types.is_large_string(part.type) else pa.binary()).to_pylist()
+            yield batch.slice(at, to - at)
             at = to
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = 4 << 20) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """parts_of() with their texts as UTF-8; null is empty."""
+    for part in parts_of(batches, column, limit):
+        text = pc.fill_null(part.column(column), "")
+        yield part, text.cast(pa.large_binary() if pa.types.is_large_string(text.type) else pa.binary()).to_pylist()
+
+
 def ids_of(batch: pa.RecordBatch, column: int = 0) -> np.ndarray:
     return pc.fill_null(batch.column(column), NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-__all__ = ["NULL_ID", "SPACE", "doc_key", "ids_of", "shared_dir", "slices", "table", "written"]
+__all__ = ["NULL_ID", "SPACE", "doc_key", "ids_of", "parts_of", "shared_dir", "slices", "spread_join", "table", "written"]

@@ -13,25 +13,29 @@ gives no pieces. Columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
-from unicodedata import is_normalized
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import parts_of, written
 
 #: Words whose ids a Python worker keeps, across tasks.
-CACHED_WORDS = 350_000
+CACHED_WORDS = 600_000
 #: New words that the tokenizer gets at once.
 BATCH = 2000
+#: Fixed value: the short forms that the tokenizer cuts off as pieces of their own.
+SHORT = "'s|'t|'re|'ve|'m|'ll|'d"
 
 
 def byte_signs() -> dict[int, int]:
@@ -44,12 +48,26 @@ def byte_signs() -> dict[int, int]:
 BYTE_SIGNS = byte_signs()
 
 
+def piece_patterns() -> tuple[re.Pattern, re.Pattern]:
+    """(words that need no tokenizer but its model, the pieces of such a word in small letters).
+
+    These are words of Latin signs up to U+024F that are no space or control sign and whose small form is one such sign. Below
+    U+0300 nothing composes, so they are in composed form as they stand.
+    """
+    signs = [c for c in map(chr, range(33, 0x250)) if category(c) not in ("Cc", "Zs") and len(c.lower()) == 1 and ord(c.lower()) < 0x250]
+    letters = "".join(c for c in signs if category(c)[0] == "L")
+    digits = "".join(c for c in signs if category(c)[0] == "N")
+    return re.compile(f"[{re.escape(''.join(signs))}]+"), re.compile(f"{SHORT}|[{letters}]+|[{digits}]|[^{letters}{digits}]+")
+
+
+PLAIN, PARTS = piece_patterns()
+
+
 class WordIds(dict):
     """Token ids (little-endian bytes) of each word that white space bounds; no token of the vocabulary spans such space.
 
-    Letters and signs are cut apart before tokens are looked up, so a word that ends in one full stop or comma after a
-    letter or digit has the ids of both parts. Words of small letters in composed form are one piece for the tokenizer's
-    model and need none of the steps before it but the signs for their bytes.
+    Words that PLAIN knows are cut into pieces here and go piece by piece to the tokenizer's model; all others go through
+    the whole tokenizer as they stand, as do words in which a special token may be written out.
     """
 
     def __init__(self, path: str):
@@ -59,26 +77,30 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
 
-    def learn(self, words: set[bytes]) -> None:
+    def learn(self, words: list[bytes]) -> None:
         """Makes sure that all the words are there."""
         if len(self) > CACHED_WORDS:
             self.clear()
-        new = words - self.keys()
-        ending = {w for w in new if len(w) > 1 and w[-1] in b".," and chr(w[-2]).isascii() and chr(w[-2]).isalnum()}
-        whole = list((new - ending | {w[:-1] for w in ending} | {b".", b","}) - self.keys())
-        tokenize, rest = self.tokenizer.model.tokenize, []
-        for w in whole:
+        tokenize, rest, pieces = self.tokenizer.model.tokenize, [], {}
+        for w in words:
+            if w in self:
+                continue
             x = w.decode("utf-8", "replace")
-            if x.isalpha() and x == x.lower() and is_normalized("NFC", x):
-                self[w] = array("I", [t.id for t in tokenize(x if x.isascii() else w.decode("latin-1").translate(BYTE_SIGNS))]).tobytes()
+            if not w:
+                self[w] = b""
+            elif PLAIN.fullmatch(x) and "<|" not in x:
+                found = b""
+                for part in PARTS.findall(x.lower()):
+                    if part not in pieces:
+                        pieces[part] = array("I", [t.id for t in tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(BYTE_SIGNS))]).tobytes()
+                    found += pieces[part]
+                self[w] = found
             else:
                 rest.append((w, x))
         for at in range(0, len(rest), BATCH):
             own = rest[at : at + BATCH]
             for (w, _), x in zip(own, self.tokenizer.encode_batch_fast([x for _, x in own], add_special_tokens=False), strict=True):
                 self[w] = array("I", x.ids).tobytes()
-        for w in ending:
-            self[w] = self[w[:-1]] + self[w[-1:]]
 
 
 @lru_cache(maxsize=1)
@@ -86,9 +108,23 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
-def words_of(text: bytes) -> list[bytes]:
-    """A-Z are lower-cased, as the tokenizer would do; not where a special token may be written out."""
-    return (text if b"<|" in text else text.lower()).split()
+def ids_of_texts(texts: pa.Array, ids: WordIds) -> Iterator[np.ndarray]:
+    """The token ids of each text (string or large string, no nulls). Each distinct word of all of them is looked up once."""
+    lists = pc.ascii_split_whitespace(texts)
+    words = lists.flatten().dictionary_encode()
+    _, place, raw = words.dictionary.cast(pa.large_string()).buffers()
+    place, raw = np.frombuffer(place, np.int64, len(words.dictionary) + 1).tolist(), raw.to_pybytes() if raw else b""
+    distinct = [raw[a:b] for a, b in zip(place, place[1:], strict=False)]
+    ids.learn(distinct)
+    own = [ids[w] for w in distinct]
+    size = np.fromiter(map(len, own), np.int64, len(own)) // 4
+    first, flat = np.cumsum(size) - size, np.frombuffer(b"".join(own), "<u4")
+    word = words.indices.to_numpy(zero_copy_only=False)
+    n_words = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    ends = np.concatenate([[0], np.cumsum(size[word])])
+    found = flat[np.repeat(first[word] - ends[:-1], size[word]) + np.arange(ends[-1])]
+    for a, b in zip(ends[[0, *n_words[:-1]]].tolist(), ends[n_words].tolist(), strict=True):
+        yield found[a:b]
 
 
 PIECES = "doc_id long, piece int, start long, length int, ids_crc32 long, task int, nth long"
@@ -98,18 +134,16 @@ def pieces_of(docs: DataFrame, tokenizer: str, size: int, end_id: int) -> DataFr
     """One row a piece, with its number among those of its length in its task."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, end, task = word_ids(tokenizer), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        ids, end, task = word_ids(tokenizer), np.array([end_id], "<u4"), TaskContext.get().partitionId()
         seen = [0] * (size + 1)
-        for part, texts in slices(batches, limit=2 << 20):
-            words = [words_of(t) for t in texts]
-            ids.learn(set().union(*words))
+        for part in parts_of(batches, limit=8 << 20):
             rows = []
-            for doc, x in zip(part.column(0).to_pylist(), words, strict=True):
-                found = b"".join(map(ids.__getitem__, x)) + end
-                for k, at in enumerate(range(0, len(found), 4 * size)):
-                    own = found[at : at + 4 * size]
-                    n = len(own) // 4
-                    rows.append((doc, k, at // 4, n, zlib.crc32(own), task, seen[n]))
+            for doc, found in zip(part.column(0).to_pylist(), ids_of_texts(pc.fill_null(part.column(1), ""), ids), strict=True):
+                found = np.concatenate([found, end])
+                for k, at in enumerate(range(0, len(found), size)):
+                    own = found[at : at + size]
+                    n = len(own)
+                    rows.append((doc, k, at, n, zlib.crc32(own), task, seen[n]))
                     seen[n] += 1
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()), strict=True)], names=[x.split()[0] for x in PIECES.split(", ")])
 

@@ -64,16 +64,24 @@ def test_packing(spark, size):
     assert packing.pack(documents_df(spark, []), PATH, size).collect() == []
 
 
+def strange_texts():
+    """Random strings of letters with and without marks, capitals, digits, signs, spaces of all kinds and special tokens."""
+    r = random.Random(11)
+    signs = [chr(k) for k in (*range(0x20, 0x250), *range(0x300, 0x370), *range(0x370, 0x600), *range(0x1E00, 0x2070), *range(0xFB00, 0xFB10), *range(0x1F600, 0x1F610))]
+    common = list("aabcdeeestWJTHYıİſßÅéσΣ'.,-_09 \t\u0308\u030a\u030c\u0331") + ["'s", "'LL", "<|endoftext|>", "<|", "\u00a0", "\x1c", "\x85"]
+    for _ in range(400):
+        yield "".join(r.choice(signs if r.random() < 0.2 else common) for _ in range(r.randrange(1, 40)))
+
+
 def test_words_have_the_ids_of_the_whole_text():
+    import pyarrow as pa
+
     tokenizer, ids = Tokenizer.from_file(PATH), packing.WordIds(PATH)
-    for text in ["It's 3.14, naïve ÀB e\u0301. x\u00a0y <|startoftext|>a <|STARTOFTEXT|> \u2028 ΑΣ Σ. ..., a.b,", prose(300, 3), "\t\x1c a\x85b \ufeff,", "straße éàü ñandú ǆ ŉ ﬁ 漢字 हिन्दी ªº ǅ İi ı ſ ᾳ ა ⅷ ͅ a\u0301b", "".join(chr(k) + " " for k in range(0x21, 0x600))]:
-        raw = text.encode()
-        words = packing.words_of(raw)
-        ids.learn(set(words))
-        import numpy as np
-
-        got = np.frombuffer(b"".join(ids[w] for w in words), "<u4").tolist()
-        assert got == tokenizer.encode(text, add_special_tokens=False).ids
+    texts = ["", "W\u030a J\u030c T\u0308 H\u0331 Y\u030a", "It's 3.14, naïve ÀB e\u0301. x\u00a0y <|startoftext|>a <|STARTOFTEXT|> \u2028 ΑΣ Σ. ..., a.b,", prose(300, 3), "\t\x1c a\x85b \ufeff,"]
+    texts += ["straße éàü ñandú ǆ ŉ ﬁ 漢字 हिन्दी ªº ǅ İi ı ſ ᾳ ა ⅷ ͅ a\u0301b", "".join(chr(k) + " " for k in range(0x21, 0x600)), *strange_texts()]
+    for kind in (pa.string(), pa.large_string()):
+        for text, got in zip(texts, packing.ids_of_texts(pa.array(texts, kind), ids), strict=True):
+            assert got.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
 def test_fullest_combination():
