@@ -107,6 +107,14 @@ def secrets(docs):
     return out
 
 
+def best_tags(gain, moves):
+    """(score, tags) of the best labelling of one chain that starts and ends with 0, over all of it."""
+    held = {0: (0.0, [])}
+    for own in gain:
+        held = {y: max((s + moves[x][y] + own[y], [*t, y]) for x, (s, t) in held.items()) for y in range(3)}
+    return max((s + moves[y][0], t) for y, (s, t) in held.items())
+
+
 RULES = [("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/")]
 
 
