@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -32,22 +32,61 @@ def doc_key(column: str = "doc_id"):
 HOT_SHARE, HOT_ROWS, HOT_PARTS = 0.001, 5000, 64
 
 
+def hot_keys(rows: DataFrame, key: list[str]) -> DataFrame:
+    """The hot keys of rows, a written table of at most 1 / HOT_SHARE rows, with __hot = true."""
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    total = rows.agg(F.count(F.lit(1))).first()[0]
+    return written(sizes.filter(F.col("__n") > max(HOT_ROWS, HOT_SHARE * total)).select(*key, F.lit(True).alias("__hot")), "hot-keys")
+
+
+def dealt(rows: DataFrame, lookup: DataFrame, key: list[str], by: Column, hot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both with __part: rows of a hot key are dealt to HOT_PARTS parts by the hash `by`, and the key's lookup row goes to each."""
+    hot = F.broadcast(hot)
+    part = F.when(F.col("__hot"), F.pmod(by, F.lit(HOT_PARTS))).otherwise(F.lit(0)).cast("int")
+    parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    return rows.join(hot, key, "left").withColumn("__part", part).drop("__hot"), lookup.join(hot, key, "left").withColumn("__part", F.explode(parts)).drop("__hot")
+
+
 def spread_join(rows: DataFrame, lookup: DataFrame, key: list[str], by: Column, how: str = "inner") -> DataFrame:
     """rows joined (inner or left) with lookup, which has one row a key at most and no column of rows but the key.
 
-    The rows of hot keys are dealt by the hash `by` to HOT_PARTS tasks a key, and each of these gets the key's lookup row. The list of hot keys
-    has at most 1 / HOT_SHARE rows, so it can be broadcast. rows are read twice and should be a table, or cheap.
+    No key's rows need meet in one task; see dealt(). rows are read twice and should be a table, or cheap.
     """
-    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
-    total = rows.agg(F.count(F.lit(1))).first()[0]
-    hot = written(sizes.filter(F.col("__n") > max(HOT_ROWS, HOT_SHARE * total)).select(*key, F.lit(True).alias("__hot")), "hot-keys")
+    hot = hot_keys(rows, key)
     if hot.isEmpty():
         return rows.join(lookup, key, how)
-    part = F.when(F.col("__hot"), F.pmod(by, F.lit(HOT_PARTS))).otherwise(F.lit(0)).cast("int")
-    dealt = rows.join(F.broadcast(hot), key, "left").withColumn("__part", part).drop("__hot")
-    parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
-    known = lookup.join(F.broadcast(hot), key, "left").withColumn("__part", F.explode(parts)).drop("__hot")
-    return dealt.join(known, [*key, "__part"], how).drop("__part")
+    left, right = dealt(rows, lookup, key, by, hot)
+    return left.join(right, [*key, "__part"], how).drop("__part")
+
+
+def probed(rows: DataFrame, shards: DataFrame, by: Column, test: Callable[[tuple, pa.RecordBatch], np.ndarray]) -> DataFrame:
+    """The rows that `test`, a mask of a batch by what their shard holds, lets through. Rows whose shard isn't there go.
+
+    rows: any columns and `shard`; shards: `shard` and what it holds, one row each, no other column of rows. What a shard holds is sent
+    to where its rows are dealt and comes before them in the order of the partition, so a task keeps one shard at a time and no group.
+    """
+    held = [c for c in shards.columns if c != "shard"]
+    left, right = dealt(rows, shards, ["shard"], by, hot_keys(rows, ["shard"]))
+    both = left.withColumn("__row", F.lit(True)).unionByName(right.withColumn("__row", F.lit(False)), allowMissingColumns=True)
+    both = both.select("__row", "shard", "__part", *held, *[c for c in rows.columns if c != "shard"]).repartition("shard", "__part").sortWithinPartitions("shard", "__part", "__row")
+    width = 3 + len(held)
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, what = None, ()
+        for batch in batches:
+            is_row, shard, part = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            for a, b in zip(cuts := [0, *np.flatnonzero(~is_row).tolist()], [*cuts[1:], len(is_row)], strict=True):
+                if a < b and not is_row[a]:
+                    now, what = (shard[a], part[a]), tuple(batch.column(3 + k)[a].as_py() for k in range(len(held)))
+                    a += 1
+                # rows of this shard come first, then those of shards that hold nothing
+                n = int(((shard[a:b] == now[0]) & (part[a:b] == now[1])).sum()) if now else 0
+                if n:
+                    own = pa.RecordBatch.from_arrays(batch.slice(a, n).columns[width:], batch.schema.names[width:])
+                    yield own.filter(pa.array(test(what, own)))
+
+    kept = rows.drop("shard")
+    return both.mapInArrow(each, kept.schema)
 
 
 def parts_of(batches: Iterator[pa.RecordBatch], column: int = 1, limit: int = 4 << 20) -> Iterator[pa.RecordBatch]:
@@ -75,4 +114,4 @@ def ids_of(batch: pa.RecordBatch, column: int = 0) -> np.ndarray:
     return pc.fill_null(batch.column(column), NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-__all__ = ["NULL_ID", "SPACE", "doc_key", "ids_of", "parts_of", "shared_dir", "slices", "spread_join", "table", "written"]
+__all__ = ["NULL_ID", "SPACE", "doc_key", "ids_of", "parts_of", "probed", "shared_dir", "slices", "spread_join", "table", "written"]

@@ -9,8 +9,9 @@ dealt out again by blocks of its remaining bits. Each group gives only the edges
 smallest member, and the parts are joined across groups by rounds of star operations over written tables.
 
 For similar texts, rather than nearly equal ones, 64 bits and a radius of two are too narrow: at a similarity of 0.8 of five-word
-shingles about 15 % of the bits differ. one_of_each() therefore takes 256 bits and a wide radius, deals fingerprints out by many
-samples of 16 bits, of which similar texts share some, and searches the groups by the same index.
+shingles about 15 % of the bits differ. one_of_each() therefore takes 256 bits of the distinct shingles and a wide radius, deals
+fingerprints out by many samples of 16 bits or more, of which similar texts share some, and searches the groups by the same index. There, only
+the exact similarity joins texts; texts that are equal but for white space and A-Z are one from the start, by a 64-bit hash.
 
 Defined cases: a null or empty text has fingerprint zero and links like any other; rows that repeat a doc_id are documents of
 their own with that id; a null doc_id takes part and never becomes a component's id unless the component has no other.
@@ -19,6 +20,7 @@ Columns other than doc_id and text are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, slices, written
+from .common import doc_key, slices, spread_join, written
 
 #: A block value with more fingerprints than this is dealt out by its remaining bits.
 HOT_GROUP = 1024
@@ -44,12 +46,17 @@ def fingerprint(text: bytes, n: int = 3, seed: int = 42) -> int:
 
 
 def wide_print(text: bytes, n: int) -> np.ndarray:
-    """256 bits as four numbers."""
+    """256 bits of the distinct shingles, as four numbers."""
     one = xxhash.xxh3_128_digest
-    return majority(text, n, lambda x: one(x) + one(x, 1), 32).view(">u8").astype(np.uint64)
+    return majority(text, n, lambda x: one(x) + one(x, 1), 32, distinct=True).view(">u8").astype(np.uint64)
 
 
-def majority(text: bytes, n: int, digest: Callable[[bytes], bytes], size: int = 8) -> np.ndarray:
+def text_node(text: bytes) -> int:
+    """64 bits that are equal for texts of equal words in small letters."""
+    return xxhash.xxh3_64_intdigest(b" ".join(text.lower().split())) - 2**63
+
+
+def majority(text: bytes, n: int, digest: Callable[[bytes], bytes], size: int = 8, distinct: bool = False) -> np.ndarray:
     """The bits set in over half the shingles' hashes, packed. Fewer than n words are one shingle, none give zeros."""
     words = text.lower().split()
     if not words:
@@ -60,7 +67,8 @@ def majority(text: bytes, n: int, digest: Callable[[bytes], bytes], size: int =
     else:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
         starts = [0, *(ends[:-n] + 1).tolist()]
-        hashes = b"".join([digest(joined[a:b]) for a, b in zip(starts, ends[n - 1 :].tolist(), strict=True)])
+        shingles = [joined[a:b] for a, b in zip(starts, ends[n - 1 :].tolist(), strict=True)]
+        hashes = b"".join(map(digest, set(shingles) if distinct else shingles))
     bits = np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, size), axis=1)
     return np.packbits(2 * bits.sum(axis=0, dtype=np.uint32) > len(bits))
 
@@ -272,6 +280,17 @@ def searched(groups: DataFrame, radius: int, words: int, turn: int = 0, every: b
     return rows.mapInArrow(each, "src long, dst long, group long").distinct()
 
 
+#: Of the bits of two texts with a similarity of 0.8, the share that is equal; and how many of such pairs some sample shall hold.
+EQUAL_BITS, FOUND = 0.85, 0.92
+
+
+def samples_for(n: int) -> tuple[int, int]:
+    """(bits a sample, samples) for n fingerprints: enough bits that values which agree by chance alone stay some 1000 a group, 16 at
+    least, and as many samples as keep the share of similar pairs that meet at FOUND."""
+    bits = max(16, math.ceil(math.log2(max(n, 2))) - 10)
+    return bits, math.ceil(math.log(1 - FOUND) / math.log(1 - EQUAL_BITS**bits))
+
+
 def sampled_groups(prints: DataFrame, words: int, tables: int, bits: int = 16) -> DataFrame:
     """group, node, f0, ...: each fingerprint once for each table, under the values of the table's sample of bits.
 
@@ -333,31 +352,41 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 2) -> DataFrame:
     return grouped(prints, edges_of(prints.select("fp").distinct(), radius)).select("doc_id", "fp", "component_id")
 
 
+def labelled_nodes(each: DataFrame, edges: DataFrame) -> DataFrame:
+    """each (node, doc_id, one row a node) with root (a node of its component)."""
+    roots = written(components(edges), "simhash-roots").withColumnRenamed("node", "__node")
+    return each.join(roots, each["node"] == roots["__node"], "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+
+
 def grouped(prints: DataFrame, edges: DataFrame) -> DataFrame:
-    """prints (doc_id, node, further columns) with root (a node) and component_id."""
+    """prints (doc_id, node, further columns) with component_id."""
     each = written(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "simhash-distinct")
-    roots = written(components(edges), "simhash-roots").withColumnRenamed("node", "__node")
-    labelled = each.join(roots, each["node"] == roots["__node"], "left").select("node", "doc_id", F.coalesce("root", "node").alias("root"))
+    labelled = labelled_nodes(each, edges)
     least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    labelled = labelled.join(least, "root").select("node", "root", "component_id")
-    return prints.join(labelled, "node")
+    found = written(labelled.join(least, "root").select("node", "component_id"), "simhash-components")
+    return spread_join(prints, found, ["node"], F.xxhash64("doc_id"))
 
 
-def similar_edges(edges: DataFrame, prints: DataFrame, rows: DataFrame, n: int, least: float) -> DataFrame:
-    """The edges between nodes whose texts share at least that part of their n-word shingles. Only texts on edges are read again."""
+def similar_edges(edges: DataFrame, nodes: DataFrame, rows: DataFrame, n: int, least: float) -> DataFrame:
+    """The edges between nodes whose texts share at least that part of their n-word shingles. Only texts on edges are read again.
+
+    nodes: node, doc (doc_key of a row with that text), one row a node.
+    """
     on = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()
-    chosen = prints.join(on, "node", "left_semi").groupBy("node").agg(F.min(doc_key()).alias("doc"))
+    chosen = nodes.join(on, "node", "left_semi").select("node", "doc")
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            sets = []
-            for t in texts:
+            nodes, sets = [], []
+            for node, t in zip(part.column(0).to_pylist(), texts, strict=True):
                 words = t.lower().split()
-                sets.append(list({xxhash.xxh64_intdigest(b" ".join(words[i : i + n])) - 2**63 for i in range(max(1, len(words) - n + 1))}))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], ["node", "own"])
+                if text_node(t) == node:  # else another row of the same id
+                    nodes.append(node)
+                    sets.append(list({xxhash.xxh64_intdigest(b" ".join(words[i : i + n])) - 2**63 for i in range(max(1, len(words) - n + 1))}))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["node", "own"])
 
     texts = rows.withColumn("doc", doc_key()).join(chosen, "doc").select("node", "text")
-    sets = written(texts.mapInArrow(each, "node long, own array<long>"), "shingles")
+    sets = written(texts.mapInArrow(each, "node long, own array<long>").dropDuplicates(["node"]), "shingles")
     a, b = (sets.select(F.col("node").alias(k), F.col("own").alias(f"own_{k}")) for k in ("src", "dst"))
     shared = F.size(F.array_intersect("own_src", "own_dst"))
     alike = shared >= least * (F.size("own_src") + F.size("own_dst") - shared)
@@ -394,12 +423,12 @@ def alike_edges(groups: DataFrame, radius: int, words: int, alike: Callable[[Dat
     raise AssertionError
 
 
-def one_of_each(docs: DataFrame, n: int = 5, least: float = 0.8, radius: int = 46, tables: int = 32) -> DataFrame:
+def one_of_each(docs: DataFrame, n: int = 5, least: float = 0.8, radius: int = 46) -> DataFrame:
     """docs, with all their columns, with one row of each component: one with the smallest doc_id (any one if rows repeat that).
 
     Texts link if they share `least` or more of their n-word shingles. Candidates are those whose 256-bit fingerprints differ in
-    at most `radius` bits (a similarity of 0.8 gives 39 on average, and 46 or less nine times in ten); `tables` samples of 16
-    bits find them.
+    at most `radius` bits (a similarity of 0.8 gives 39 on average, and 46 or less nine times in ten) and that agree in one of many
+    samples of bits; see samples_for().
     """
     words = 4
     names = [f"f{k}" for k in range(words)]
@@ -407,24 +436,26 @@ def one_of_each(docs: DataFrame, n: int = 5, least: float = 0.8, radius: int = 4
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
             codes = np.array([wide_print(t, n) for t in texts]).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(codes[:, k]) for k in range(words))], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([text_node(t) for t in texts], pa.int64()), *(pa.array(codes[:, k]) for k in range(words))], ["doc_id", "node", *names])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    prints = written(rows.mapInArrow(each, f"doc_id long, {', '.join(f'{x} long' for x in names)}").withColumn("node", F.xxhash64(*names)), "simhash")
-    groups = sampled_groups(prints.select("node", *names).distinct(), words, tables)
-    edges = alike_edges(groups, radius, words, lambda some: similar_edges(some, prints.select("doc_id", "node"), rows, n, least))
-    chosen = grouped(prints.select("doc_id", "node"), edges).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    chosen = written(chosen.select(doc_key().alias("__doc"), "node", "root").distinct(), "simhash-chosen")
+    prints = written(rows.mapInArrow(each, f"doc_id long, node long, {', '.join(f'{x} long' for x in names)}"), "simhash")
+    # one row a text from here on, so copies, however many, are one
+    nodes = written(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *[F.min(x).alias(x) for x in names]), "simhash-nodes").withColumn("doc", doc_key())
+    bits, tables = samples_for(nodes.count())
+    groups = sampled_groups(nodes.select("node", *names), words, tables, bits)
+    edges = alike_edges(groups, radius, words, lambda some: similar_edges(some, nodes, rows, n, least))
+    first = F.min_by(F.struct("doc", "node"), F.struct(F.col("doc_id").isNull(), "doc", "node"))
+    chosen = labelled_nodes(nodes.select("node", "doc_id"), edges).withColumn("doc", doc_key()).groupBy("root").agg(first.alias("x"))
+    chosen = written(chosen.select(F.col("x.doc").alias("__doc"), F.col("x.node").alias("__own")), "simhash-chosen")
     keyed, columns = docs.withColumn("__doc", doc_key()), [F.col(f"`{c}`") for c in docs.columns]
     if prints.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return keyed.join(chosen.select("__doc"), "__doc", "left_semi").select(*columns)
+        return keyed.join(chosen, "__doc", "left_semi").select(*columns)
 
     # some id is repeated: of its rows the text tells which one is meant
-    @F.arrow_udf("array<long>")
-    def codes_of(text: pa.Array) -> pa.Array:
-        return pa.array([wide_print((t or "").encode(), n).view(np.int64).tolist() for t in text.to_pylist()], pa.list_(pa.int64()))
-
-    keyed = keyed.withColumn("__codes", codes_of(F.col("text").cast("string")))
-    keyed = keyed.withColumn("__node", F.xxhash64(*[F.get("__codes", F.lit(k)) for k in range(words)]))
-    kept = keyed.join(chosen.select("__doc", F.col("node").alias("__own"), F.col("root").alias("__root")), "__doc").filter("__node = __own")
-    return kept.dropDuplicates(["__doc", "__root"]).select(*columns)
+    @F.arrow_udf("long")
+    def node_of(text: pa.Array) -> pa.Array:
+        return pa.array([text_node((t or "").encode()) for t in text.to_pylist()], pa.int64())
+
+    kept = keyed.withColumn("__node", node_of(F.col("text").cast("string"))).join(chosen, "__doc").filter("__node = __own")
+    return kept.dropDuplicates(["__doc", "__own"]).select(*columns)
