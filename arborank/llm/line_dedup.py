@@ -3,8 +3,9 @@
 The index holds three tables: `postings` (line key, document), `refs` (line key, number of documents, largest
 document) and `filters` (one cuckoo filter a shard, over the keys that enough documents share). Inserting or deleting
 documents rewrites the counts from the postings it touches and adds keys to, or takes keys from, the filters, so that
-a deletion gives back exactly the state of an index that never saw the document. Deciding on documents probes the
-filters first: a line that they don't know is surely kept, and only the others are joined with the exact counts.
+a deletion gives back exactly the counts of an index that never saw the document. A filter that gets too full for its keys is built
+anew, larger, from the exact ones. Deciding on documents probes the filters first, each where the lines of its shard are dealt: a line
+that its filter doesn't know is surely kept, and only the others are joined with the exact counts.
 
 Defined cases: a null or empty text has one empty line; lines whose key has fewer than `min_chars` code points always
 stay; rows that repeat a doc_id count as one document; null ids count as one document, before all others. Columns
@@ -23,13 +24,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, ids_of, slices, written
+from .common import doc_key, ids_of, probed, slices, spread_join, written
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SLOTS = 4
-#: Filters up to this size go to every task; larger ones are left out and all lines meet the exact counts.
-MAX_BROADCAST_BYTES = 32 << 20
-SHARD_KEYS = 1 << 17
+#: Keys a filter is laid out for, so that it has some 64 KB.
+SHARD_KEYS = 1 << 14
 
 
 def line_keys(text: bytes, min_chars: int) -> list[bytes | None]:
@@ -108,10 +108,8 @@ def halves(keys) -> np.ndarray:
     return np.frombuffer(b"".join(keys), "<u8").reshape(-1, 2)
 
 
-def shard_of(keys: np.ndarray, n_shards: int) -> np.ndarray:
-    """The shard by bytes 8 and 9 of the key, as in changed_filters()."""
-    tail = keys[:, 1]
-    return (((tail & np.uint64(255)) << np.uint64(8)) | ((tail >> np.uint64(8)) & np.uint64(255))) % np.uint64(n_shards)
+def shard_of(n_shards: int, key: str = "key"):
+    return (F.conv(F.hex(F.substring(key, 9, 4)), 16, 10).cast("long") % n_shards).cast("int")
 
 
 @dataclass(frozen=True)
@@ -155,18 +153,14 @@ class LineIndex:
         if now.count() > 0.7 * SLOTS * room:
             return LineIndex(postings, refs, *new_filters(now), self.min_docs, self.min_chars)
         changes = now.join(was, "key", "left_anti").withColumn("add", F.lit(True)).unionByName(was.join(now, "key", "left_anti").withColumn("add", F.lit(False)))
-        filters = written(changed_filters(self.filters, changes, self.n_shards), "line-filters")
-        return LineIndex(postings, refs, filters, self.n_shards, self.min_docs, self.min_chars)
+        return LineIndex(postings, refs, changed_filters(self.filters, changes, now, self.n_shards), self.n_shards, self.min_docs, self.min_chars)
 
     def drops(self, docs: DataFrame, postings: DataFrame | None = None) -> DataFrame:
         """doc, drop (keys of its lines that go), for documents that lose any. postings: those of docs, if they are at hand."""
         posted = postings_of(docs, self.min_chars) if postings is None else postings
         hot = self.refs.filter(F.col("n_docs") >= self.min_docs).select("key", "last_doc")
-        known = posted.select("doc", "key")
-        if (self.filters.agg(F.sum(F.octet_length("slots"))).first()[0] or 0) <= MAX_BROADCAST_BYTES:
-            known = self.probed(known)
-        drops = known.join(hot, "key").filter(F.col("doc") < F.col("last_doc")).groupBy("doc").agg(F.collect_list("key").alias("drop"))
-        return known.join(hot, "key").filter(F.col("doc") < F.col("last_doc")).groupBy("doc").agg(F.collect_list("key").alias("drop"))
+        known = written(self.known(posted), "line-known")
+        return spread_join(known, hot, ["key"], F.xxhash64("doc")).filter(F.col("doc") < F.col("last_doc")).groupBy("doc").agg(F.collect_list("key").alias("drop"))
 
     def decide(self, docs: DataFrame, postings: DataFrame | None = None) -> DataFrame:
         """doc_id, n_lines, n_dropped, kept (the text without its dropped lines), one row for each row of docs."""
@@ -186,23 +180,15 @@ class LineIndex:
 
         return rows.select(*[kept(F.col("text").cast("string"), F.col("__drop")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
-    def probed(self, postings: DataFrame) -> DataFrame:
-        """The postings whose key the filters may hold. The filters' size has been checked."""
-        shards = {r.shard: (r.n_buckets, bytes(r.slots)) for r in self.filters.collect()}
-        sent, n_shards = self.filters.sparkSession.sparkContext.broadcast(shards), self.n_shards
+    def known(self, postings: DataFrame) -> DataFrame:
+        """doc, key: the postings whose key the filter of its shard may hold."""
 
-        def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            filters = {k: CuckooFilter(n, np.frombuffer(b, np.uint16).reshape(n, SLOTS)) for k, (n, b) in sent.value.items()}
-            for batch in batches:
-                keys = halves(batch.column(1).to_pylist())
-                maybe = np.zeros(len(keys), bool)
-                shard = shard_of(keys, n_shards)
-                for k, x in filters.items():
-                    own = np.flatnonzero(shard == k)
-                    maybe[own] = x.has(keys[own])
-                yield batch.filter(pa.array(maybe))
+        def test(shard: tuple, batch: pa.RecordBatch) -> np.ndarray:
+            n, slots = shard
+            return CuckooFilter(n, np.frombuffer(slots, np.uint16).reshape(n, SLOTS)).has(halves(batch.column(1).to_pylist()))
 
-        return postings.select("doc", "key").mapInArrow(probe, "doc long, key binary")
+        rows = postings.select("doc", "key", shard_of(self.n_shards).alias("shard"))
+        return probed(rows, self.filters, F.xxhash64("doc"), test)
 
 
 def postings_of(docs: DataFrame, min_chars: int) -> DataFrame:
@@ -223,13 +209,16 @@ def counted(postings: DataFrame) -> DataFrame:
 
 
 def new_filters(hot: DataFrame) -> tuple[DataFrame, int]:
-    n_shards = min(1 << 16, max(1, -(-hot.count() // SHARD_KEYS)))
+    n_shards = max(1, -(-hot.count() // SHARD_KEYS))
     none = hot.sparkSession.createDataFrame([], "shard int, n_buckets int, slots binary")
-    return written(changed_filters(none, hot.withColumn("add", F.lit(True)), n_shards), "line-filters"), n_shards
+    return changed_filters(none, hot.withColumn("add", F.lit(True)), hot, n_shards), n_shards
 
 
-def changed_filters(filters: DataFrame, changes: DataFrame, n_shards: int) -> DataFrame:
-    """Filters after adding and removing keys, one shard a group; a shard holds about SHARD_KEYS keys by its number."""
+def changed_filters(filters: DataFrame, changes: DataFrame, held: DataFrame, n_shards: int) -> DataFrame:
+    """Filters after adding and removing keys, one shard a group; held: all keys that they then hold.
+
+    A shard holds about SHARD_KEYS keys by its number. One that has no room for its new keys is built from all that it holds.
+    """
 
     def change(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
         shard = int(old["shard"].iloc[0] if len(old) else new["shard"].iloc[0])
@@ -240,13 +229,21 @@ def changed_filters(filters: DataFrame, changes: DataFrame, n_shards: int) -> Da
             for k in halves(list(new["key"][~new["add"]])) if len(new) else ():
                 made.remove(k)
             if not all(made.add(k) for k in fresh):
-                raise OverflowError(f"cuckoo filter of shard {shard} is full: build the index anew")
+                return pd.DataFrame({"shard": [shard], "n_buckets": [0], "slots": [b""]})
         else:
             made = CuckooFilter.of(fresh)
         return pd.DataFrame({"shard": [shard], "n_buckets": [made.n], "slots": [made.slots.tobytes()]})
 
-    changes = changes.withColumn("shard", (F.conv(F.hex(F.substring("key", 9, 2)), 16, 10).cast("int") % n_shards).cast("int"))
-    return filters.groupBy("shard").cogroup(changes.select("key", "add", "shard").groupBy("shard")).applyInPandas(change, "shard int, n_buckets int, slots binary")
+    def changed(old: DataFrame, new: DataFrame) -> DataFrame:
+        by_shard = new.withColumn("shard", shard_of(n_shards)).select("key", "add", "shard").groupBy("shard")
+        return written(old.groupBy("shard").cogroup(by_shard).applyInPandas(change, "shard int, n_buckets int, slots binary"), "line-filters")
+
+    found = changed(filters, changes)
+    full = found.filter("n_buckets = 0").select("shard")
+    if full.isEmpty():
+        return found
+    own = held.withColumn("shard", shard_of(n_shards)).join(full, "shard", "left_semi").select("key", F.lit(True).alias("add"))
+    return found.filter("n_buckets > 0").unionByName(changed(filters.limit(0), own))
 
 
 def without(text: bytes, gone: set[bytes], min_chars: int) -> tuple[bytes, int]:
