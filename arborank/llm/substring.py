@@ -29,7 +29,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, ids_of, slices, written
+from .common import doc_key, ids_of, slices, spread_join, written
 
 RUN = 8
 BLOCK = 1 << 16
@@ -191,9 +191,9 @@ def dedup_windows(docs: DataFrame, size: int = 50, max_sketch_bytes: int = 64 <<
     """doc_id, n_words, n_removed, kept (the words that stay, joined by a space), one row for each row of docs."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     copies = rows.sparkSession.sparkContext.broadcast(Copies(rows, max_copies_bytes))
-    found = repeated(rows, sketch(rows, size, max_sketch_bytes, copies), size, copies)
+    found = written(repeated(rows, sketch(rows, size, max_sketch_bytes, copies), size, copies), "windows")
     first = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first < last").select("h1", "h2", "first")
-    later = found.join(written(first, "windows"), ["h1", "h2"]).filter("doc > first")
+    later = spread_join(found, written(first, "windows-first"), ["h1", "h2"], F.xxhash64("doc")).filter("doc > first")
     place = F.col("at").bitwiseAND(2**31 - 1).cast("int")
     spans = later.groupBy("doc", F.shiftright("at", 31).alias("crc")).agg(F.collect_list(place).alias("pos"))
     keyed = rows.select("doc_id", "text", doc_key().alias("doc"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("crc"))

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from arborank.llm import line_dedup, simhash, substring
+from arborank.llm import common, line_dedup, simhash, substring
 
 from . import brute
 from .rows import LINE, documents, documents_df, ordered, prose
@@ -34,6 +34,31 @@ def test_line_dedup_is_reversible(spark):
     assert lines_of(back.decide(documents_df(spark, rows))) == ordered(brute.line_dedup(rows))
 
 
+def test_filters_that_get_full_are_built_anew(spark, monkeypatch):
+    """A filter with room for 16 keys gets 22; the others are left as they are, and the index decides as one built from all documents."""
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", 4)
+    by_shard = {0: [], 1: [], 2: []}
+    for k in range(200):
+        line = f"shared line with the number {k}"
+        by_shard[int.from_bytes(xxhash.xxh3_128_digest(line)[8:12]) % 3].append(line)
+    rows = [(d, "\n".join(x for own in by_shard.values() for x in own[:4])) for d in range(3)]
+    index = line_dedup.LineIndex.build(documents_df(spark, rows))
+    was = {r.shard: r.n_buckets for r in index.filters.collect()}
+    assert was == {0: 4, 1: 4, 2: 4}
+    more = [(100 + d, "\n".join(by_shard[0][4:22])) for d in range(3)]
+    grown = index.insert(documents_df(spark, more))
+    assert {r.shard: r.n_buckets for r in grown.filters.collect()} == {0: 16, 1: 4, 2: 4}
+    assert lines_of(grown.decide(documents_df(spark, rows + more))) == ordered(brute.line_dedup(rows + more))
+
+
+def test_shards_are_probed_where_their_rows_are(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.createDataFrame([(k, 3 if k % 2 else k % 40) for k in range(2000)], "doc long, shard int")
+    shards = spark.createDataFrame([(k, k % 7) for k in range(0, 60) if k % 5], "shard int, rest int")
+    got = common.probed(rows, shards, F.xxhash64("doc"), lambda held, batch: np.array([d % 7 == held[0] for d in batch.column(0).to_pylist()]))
+    assert sorted(r.doc for r in got.collect()) == [k for k in range(2000) for s in [3 if k % 2 else k % 40] if s % 5 and k % 7 == s % 7]
+
+
 def test_line_dedup_keeps_all_columns(spark):
     docs = documents_df(spark)
     index = line_dedup.LineIndex.build(docs)
@@ -109,6 +134,35 @@ def test_one_of_each(spark):
     assert simhash.one_of_each(documents_df(spark, [])).collect() == []
 
 
+def test_texts_with_one_dominant_shingle_are_no_copies(spark):
+    """A shingle that makes up over half of two texts doesn't make them alike, however often it is repeated; copies are still one."""
+    r = random.Random(8)
+    other = [" ".join(f"v{r.randrange(10**6)}" for _ in range(150)) for _ in range(3)]
+    rows = [(1, "la " * 400 + other[0]), (2, "la " * 400 + other[1]), (3, prose(200, 3)), (4, "LA\n" * 400 + other[0]), (5, "la " * 900 + other[2]), (6, "la " * 900 + other[2] + " end")]
+    assert sorted(x.doc_id for x in simhash.one_of_each(documents_df(spark, rows)).collect()) == first_of_alike([(k, t.lower()) for k, t in rows]) == [1, 2, 3, 5]
+
+
+def test_rows_of_one_id_keep_their_own_texts(spark):
+    rows = [(1, prose(100, 1)), (1, prose(100, 2)), (2, prose(100, 2)), (3, prose(100, 1) + " more"), (None, prose(100, 9)), (None, prose(100, 9)), (4, None), (None, "")]
+    kept = sorted((r.doc_id or 0, r.text or "") for r in simhash.one_of_each(documents_df(spark, rows)).collect())
+    assert kept == sorted([(1, prose(100, 1)), (1, prose(100, 2)), (0, prose(100, 9)), (4, "")])
+
+
+def test_samples_grow_with_the_fingerprints():
+    for n in (0, 10, 10**5, 10**9, 10**11):
+        bits, tables = simhash.samples_for(n)
+        assert n / 2**bits <= 1024 and 1 - (1 - simhash.EQUAL_BITS**bits) ** tables >= 0.92
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    rows = spark.createDataFrame([(k, 7 if k % 3 else k) for k in range(300)] + [(None, None), (301, None)], "doc_id long, node long")
+    lookup = spark.createDataFrame([(k, f"v{k}") for k in range(0, 300, 6)] + [(7, "hot"), (1000, "no")], "node long, v string")
+    for how in ("inner", "left"):
+        got = common.spread_join(rows, lookup, ["node"], F.xxhash64("doc_id"), how)
+        assert ordered(map(tuple, got.select("node", "doc_id", "v").collect())) == ordered(map(tuple, rows.join(lookup, "node", how).select("node", "doc_id", "v").collect()))
+
+
 def template_family(size, pairs, words=600, changed=10):
     """Texts of about 0.72 of common shingles, and as many of them with a near copy as `pairs`."""
     r = random.Random(3)
@@ -133,7 +187,7 @@ def first_of_alike(rows, least=0.8, n=5):
 
 def test_near_copies_beside_refuted_links(spark, monkeypatch):
     """In a group of texts that are nearly, but not quite, similar enough, links to a leader fail; the near copies among them are found all the same."""
-    monkeypatch.setattr(simhash, "sampled_groups", lambda prints, words, tables: prints.withColumn("group", F.lit(1).cast("long")))
+    monkeypatch.setattr(simhash, "sampled_groups", lambda prints, words, tables, bits: prints.withColumn("group", F.lit(1).cast("long")))
     rows = template_family(120, 12)
     want = first_of_alike(rows)
     assert 100 < len(want) <= 120
