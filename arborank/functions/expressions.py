@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from unicodedata import normalize
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def r6(c: Column) -> Column:
@@ -40,14 +44,20 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 #: Texts that stand for "no id".
-SENTINELS = ("", "nan", "N/A", "N/A (Format Error)", "NO_COMMENT")
+SENTINELS = ("N/A", "N/A (Format Error)", "NO_COMMENT")
 
 
 def clean_id(c: Column) -> Column:
-    """Numeric text as an integer's digits; sentinels as null; other text as it is."""
-    c = F.trim(c.cast("string"))
-    number = c.try_cast("double")
-    return F.when(c.isin(*SENTINELS), None).otherwise(F.coalesce(number.try_cast("bigint").cast("string"), c))
+    """CLN-1, CLN-2: numeric text as an integer's digits, "" and "nan" in any letters as null, other text as it is."""
+    c = c.cast("string")
+    number = F.trim(c).try_cast("double").try_cast("bigint").cast("string")
+    return F.when((c == "") | (F.lower(c) == "nan"), None).otherwise(F.coalesce(number, c))
+
+
+def real_id(c: Column) -> Column:
+    """CLN-3: clean_id() without the texts that stand for no user."""
+    c = clean_id(c)
+    return F.when(c.isin(*SENTINELS), None).otherwise(c)
 
 
 def non_negative(c: Column) -> Column:
@@ -61,17 +71,19 @@ def plain_url(c: Column) -> Column:
 
 
 def relative_date(c: Column, now: Column) -> Column:
-    """"Nh ago" and "Np ago" as the news site writes them, or "HH:MM d/m" in the year before `now` at the latest; else null."""
-    hours = F.regexp_extract(c, r"^(\d+)h trước$", 1).try_cast("int")
-    minutes = F.regexp_extract(c, r"^(\d+)p trước$", 1).try_cast("int")
-    part = [F.regexp_extract(c, r"^(\d{1,2}):(\d{2}) (\d{1,2})/(\d{1,2})$", k).try_cast("int") for k in (1, 2, 3, 4)]
+    """The first "Nh trước" or "Np trước" in a text, as the news site writes times ago, or the first "HH:MM d/m" in it, in the year of `now`, or
+    the year before where that would be later than `now`; null for other texts and for days that the year doesn't have."""
+    hours = F.regexp_extract(c, r"(\d+)h trước", 1).try_cast("int")
+    minutes = F.regexp_extract(c, r"(\d+)p trước", 1).try_cast("int")
+    part = [F.regexp_extract(c, r"(\d{1,2}):(\d{1,2})[ \t\n\r\f\x0B]+(\d{1,2})/(\d{1,2})", k).try_cast("int") for k in (1, 2, 3, 4)]
 
     def at(year: Column) -> Column:
         return F.try_make_timestamp(year, part[3], part[2], part[0], part[1], F.lit(0))
 
     this, last = at(F.year(now)), at(F.year(now) - 1)
-    ago = now - F.make_dt_interval(F.lit(0), F.coalesce(hours, F.lit(0)), F.coalesce(minutes, F.lit(0)), F.lit(0))
-    return F.when(hours.isNotNull() | minutes.isNotNull(), ago).otherwise(F.when(this > now, last).otherwise(F.coalesce(this, last)))
+    ago = lambda h, m: now - F.make_dt_interval(F.lit(0), h, m, F.lit(0))
+    zero = F.lit(0)
+    return F.when(hours.isNotNull(), ago(F.coalesce(hours, zero), zero)).when(minutes.isNotNull(), ago(zero, F.coalesce(minutes, zero))).otherwise(F.when(this > now, last).otherwise(this))
 
 
 def day_in_text(c: Column) -> Column:
@@ -83,7 +95,27 @@ def day_in_text(c: Column) -> Column:
 TAGS = r"<[^>]+>"
 URLS = r"https?://\S+|www\.\S+|[a-zA-Z0-9.-]+\.(com|vn|net|org|edu|gov)\S*"
 PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\]\\^_`{|}~“”‘’…–—]"""
-NUMBERS = r"\b[0-9]+\.?[0-9]*\b"
+NUMBERS = r"(?<![\p{L}\p{N}_])[0-9]+\.?[0-9]*(?![\p{L}\p{N}_])"
+
+
+@F.arrow_udf(StringType())
+def composed(text: pa.Array) -> pa.Array:
+    """TXT-1: Unicode in composed form (NFC), for which Spark has no function; plain ASCII stays as it is."""
+    return pa.array([t if t is None or t.isascii() else normalize("NFC", t) for t in text.to_pylist()], pa.string())
+
+
+def simple_clean(text: Column) -> Column:
+    """TXT-4: small letters without tags and signs, single spaces."""
+    text = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"<[^>]+>", " ")
+    text = F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", " ")
+    return F.trim(F.regexp_replace(text, r"\s+", " "))
+
+
+def assembled(url: Column, *parts: Column) -> Column:
+    """CLN-10: the parts that have a text joined by spaces; where none has, the words of the address."""
+    text = F.concat_ws(" ", *[F.nullif(F.trim(p), F.lit("")) for p in parts])
+    slug = F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(url, r"[?#].*$", ""), r"^.*/|\.html?$", ""), "[-_]+", " "))
+    return F.when(text != "", text).otherwise(slug)
 
 
 def cleaned(text: Column, tags: bool = True, urls: bool = True, punctuation: bool = True, numbers: bool = False, lower: bool = True) -> Column:

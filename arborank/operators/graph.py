@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import written
+from .ordering import paired
 
 
 def reaction_weight(reactions, decay=None):
@@ -22,9 +23,9 @@ def bipartite(train: DataFrame, now: str | None = None, decay_lambda: float = 0.
 
 def shared_interest(train: DataFrame, least: int = 2) -> DataFrame:
     """Pairs of users with `least` items or more in common, once a pair (src < dst), by an equal self-join on the item."""
-    a = train.select("item_id", F.col("user_id").alias("src"))
-    b = train.select("item_id", F.col("user_id").alias("dst"))
-    return a.join(b, "item_id").filter("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    one, other, keys = paired(train.select("item_id", "user_id"), "item_id", "user_id")
+    a, b = one.select(*keys, F.col("user_id").alias("src")), other.select(*keys, F.col("user_id").alias("dst"))
+    return a.join(b, keys).filter("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
 def user_category(train: DataFrame, categories: DataFrame) -> DataFrame:
@@ -52,10 +53,17 @@ def same_days(published: DataFrame, day_window: int = 0, categories: DataFrame |
 
 def cross_category(user_categories: DataFrame, least: int) -> DataFrame:
     """Pairs of users (src < dst) with `least` categories or more in common."""
+    one, other, keys = paired(user_categories.select("user_id", "category").distinct(), "category", "user_id")
+    a, b = one.select(*keys, F.col("user_id").alias("src")), other.select(*keys, F.col("user_id").alias("dst"))
+    return a.join(b, keys).filter("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+
+
+def asked_cross_category(user_categories: DataFrame, asked: DataFrame, least: int) -> DataFrame:
+    """G7 for the users asked for (user_id), each against all users: src (asked), dst, n."""
     each = user_categories.select("user_id", "category").distinct()
-    a = each.select("category", F.col("user_id").alias("src"))
-    b = each.select("category", F.col("user_id").alias("dst"))
-    return a.join(b, "category").filter("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+    own = each.join(asked.select("user_id").distinct(), "user_id", "left_semi").select("category", F.col("user_id").alias("src"))
+    pairs = own.join(each.select("category", F.col("user_id").alias("dst")), "category").filter("src <> dst")
+    return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
 def cross_category_classes(user_categories: DataFrame, least: int) -> DataFrame:
@@ -90,6 +98,25 @@ def normalised(edges: DataFrame) -> DataFrame:
     return rows.select("src", "dst", F.when(F.col("d") * F.col("d2") > 0, F.col("w") / F.sqrt(F.col("d") * F.col("d2"))).otherwise(0.0).alias("w"))
 
 
+def block_adjacency(reads: DataFrame, items: DataFrame, users: DataFrame, social_weight: float = 1.0) -> DataFrame:
+    """One normalised adjacency of reads (user src, item dst, w), item-item edges (weight 1) and user-user edges (social_weight).
+
+    An edge that occurs in several rows or directions is one edge.
+    """
+
+    def block(edges: DataFrame, kind: str, weight: float) -> DataFrame:
+        a, b = (F.concat(F.lit(kind), F.col(c).cast("string")).alias(c) for c in ("src", "dst"))
+        one = edges.select(a, b)
+        return one.unionByName(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct().withColumn("w", F.lit(float(weight)))
+
+    return normalised(as_nodes(reads).unionByName(block(items, "i", 1.0)).unionByName(block(users, "u", social_weight)))
+
+
+def augmented(edges: DataFrame, more: DataFrame) -> DataFrame:
+    """Edges (src, dst, w) and those of another source that aren't among them."""
+    return edges.unionByName(more.join(edges.select("src", "dst"), ["src", "dst"], "left_anti").select("src", "dst", "w"))
+
+
 def rectangular(edges: DataFrame) -> DataFrame:
     """W / sqrt(row degree * column degree) of user to item edges; a degree of 0 counts as 1."""
     rows = edges.groupBy("src").agg(F.sum("w").alias("dr"))

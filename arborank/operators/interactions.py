@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import hash_unit
 from ..sources.storage import written
-from .ordering import numbered, top_per
+from .ordering import numbered, running, top_per
 
 
 def role_union(replies: DataFrame) -> DataFrame:
@@ -71,7 +71,7 @@ def split_hash(pairs: DataFrame, seed: int = 42, share: float = 0.8) -> DataFram
 def split_time(pairs: DataFrame, share: float = 0.8) -> DataFrame:
     """SPL-2: the first share of all rows by time is for training."""
     rows = numbered(pairs, ["ts", "user_id", "item_id"])
-    return rows.withColumn("split", F.when(F.col("rn") <= F.floor(F.lit(share) * pairs.count()), "train").otherwise("test")).drop("rn")
+    return rows.withColumn("split", F.when(F.col("rn") <= F.floor(F.lit(share) * rows.count()), "train").otherwise("test")).drop("rn")
 
 
 def split_per_user(pairs: DataFrame, seed: int = 42, share: float = 0.2) -> DataFrame:
@@ -91,21 +91,72 @@ def split_last_out(pairs: DataFrame) -> DataFrame:
 
 
 def negatives(pairs: DataFrame, items: DataFrame, users: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """SMP-1, SMP-3: for each of the users the n items of least hash that it has no row with.
+    """SMP-1, SMP-3: for each of the users n items that it has no row with: user_id, item_id.
 
-    The users asked for are a stated set against all items; ranking is by user, never over all pairs in one place.
+    The d-th draw of a user is an item number by the hash of user and d; draws of own or earlier items are rejected, and the first n of
+    the others count. Users who lack some draw twice as often in the next round, until they have n or all that are free.
     """
-    every = users.select("user_id").distinct().crossJoin(F.broadcast(items.select("item_id").distinct()))
-    free = every.join(pairs.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
-    return top_per(free, ["user_id"], [hash_unit("user_id", "item_id", F.lit(seed)), F.col("item_id")], n).select("user_id", "item_id")
+    pairs = written(pairs.select("user_id", "item_id").distinct(), "negatives")
+    numbers = written(dense_ids(items, "item_id").withColumnRenamed("raw_id", "item_id"), "negatives")
+    total, draws, done = numbers.count(), 2 * n, None
+    own = pairs.groupBy("user_id").agg(F.count(F.lit(1)).alias("own"))
+    wanting = users.select("user_id").distinct().join(own, "user_id", "left").select("user_id", F.least(F.lit(n), total - F.coalesce("own", F.lit(0))).alias("want"))
+    wanting = written(wanting.filter("want > 0"), "negatives")
+    while not wanting.isEmpty():
+        each = wanting.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
+        idx = F.floor(hash_unit("user_id", "draw", F.lit(seed)) * total).cast("bigint")
+        first = each.withColumn("idx", idx).groupBy("user_id", "idx", "want").agg(F.min("draw").alias("draw")).join(numbers, "idx")
+        free = first.join(pairs, ["user_id", "item_id"], "left_anti")
+        got = written(top_per(free, ["user_id"], [F.col("draw")], n).filter("rk <= want").select("user_id", "item_id", "rk", "want"), "negatives")
+        whole = got.filter("rk = want").select("user_id")
+        own = got.join(whole, "user_id", "left_semi").select("user_id", "item_id")
+        done = own if done is None else done.unionByName(own)
+        wanting, draws = written(wanting.join(whole, "user_id", "left_anti"), "negatives"), 2 * draws
+    return pairs.limit(0) if done is None else done
 
 
 def popular_negatives(pairs: DataFrame, n: int, seed: int = 42) -> DataFrame:
-    """SMP-2: n draws for each user in proportion to popularity: draw, item_id; draws of own items go."""
-    pop = pairs.groupBy("item_id").agg(F.count(F.lit(1)).alias("c"))
-    ranked = numbered(pop, ["item_id"])
-    total = pop.agg(F.sum("c")).first()[0] or 0
-    top = ranked.withColumn("high", F.sum("c").over(Window.orderBy("rn"))).withColumn("low", F.col("high") - F.col("c"))
-    slots = top.select("item_id", F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("slot"))
+    """SMP-2: n draws for each user in proportion to popularity: draw, item_id; draws of own items go.
+
+    Each item has as many slots as rows. A draw finds its item by the block of slots that it falls in, of about one item a block.
+    """
+    pop = written(pairs.groupBy("item_id").agg(F.count(F.lit(1)).alias("c")), "popular")
+    sums = pop.agg(F.sum("c"), F.count(F.lit(1))).first()
+    total, wide = sums[0] or 0, max(1, (sums[0] or 0) // max(1, sums[1]))
+    top = running(pop, ["item_id"], F.col("c"), "high").withColumn("low", F.col("high") - F.col("c"))
+    block = lambda c: F.floor(F.col(c) / wide) if isinstance(c, str) else F.floor(c / wide)
+    held = top.select("item_id", "low", "high", F.explode(F.sequence(block("low"), block(F.col("high") - 1))).alias("block"))
     draws = pairs.select("user_id").distinct().withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("slot", F.floor(hash_unit("user_id", "draw", F.lit(seed)) * total).cast("bigint"))
-    return draws.join(slots, "slot").select("user_id", "draw", "item_id").join(pairs.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    found = draws.withColumn("block", block("slot")).join(held, "block").filter("slot >= low and slot < high")
+    return found.select("user_id", "draw", "item_id").join(pairs.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+
+
+def first_seen_ids(rows: DataFrame, column: str, by: str) -> DataFrame:
+    """INT-6: raw_id and idx from 0 in the order in which the ids first occur by `by`, smaller ids first among equals."""
+    ids = rows.select(F.col(column).alias("raw_id"), F.col(by).alias("at")).filter("raw_id is not null").groupBy("raw_id").agg(F.min("at").alias("at"))
+    return numbered(ids, ["at", "raw_id"]).select("raw_id", (F.col("rn") - 1).alias("idx"))
+
+
+def proxy_time(url):
+    """INT-9: the number before ".html" that news sites count up, 0 where there is none."""
+    return F.coalesce(F.regexp_extract(url, r"(\d+)\.html", 1).try_cast("bigint"), F.lit(0))
+
+
+def user_sample(rows: DataFrame, n: int = 500, seed: int = 42) -> DataFrame:
+    """SMP-4: n users by hash."""
+    users = rows.select("user_id").distinct()
+    return users.orderBy(hash_unit("user_id", F.lit(seed)), "user_id").limit(n)
+
+
+def mini_batches(pairs: DataFrame, size: int, epoch: int = 0, seed: int = 42) -> DataFrame:
+    """SMP-6: pairs with their batch: all pairs once, in an order that each epoch draws anew."""
+    rows = numbered(pairs.withColumn("__h", hash_unit("user_id", "item_id", F.lit(epoch), F.lit(seed))), ["__h", "user_id", "item_id"])
+    return rows.withColumn("batch", F.floor((F.col("rn") - 1) / size)).drop("__h", "rn")
+
+
+def known_social(replies: DataFrame, users: DataFrame, train: DataFrame) -> DataFrame:
+    """Who answers whom under training items; users without an id go. users: user_id."""
+    known = replies.join(train.select("item_id").distinct(), "item_id", "left_semi")
+    for side in ("reply_user_id", "parent_user_id"):
+        known = known.join(users.select(F.col("user_id").alias(side)).distinct(), side, "left_semi")
+    return social_edges(known)

@@ -13,13 +13,17 @@ def postings(docs: DataFrame, words) -> DataFrame:
     return docs.select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def tf_idf(post: DataFrame, n_docs: int, min_df: int = 1, max_df: float = 1.0, sublinear: bool = False, fit_on: DataFrame | None = None) -> DataFrame:
+def tf_idf(post: DataFrame, n_docs: int, min_df: int = 1, max_df: float = 1.0, sublinear: bool = False, fit_on: DataFrame | None = None, max_features: int | None = None) -> DataFrame:
     """TXT-9, TXT-10: doc_id, term, w; idf = ln((1 + n) / (1 + df)) + 1, rows at length 1.
 
-    fit_on: the documents (doc_id) whose counts make the vocabulary; all are weighed.
+    fit_on: the documents (doc_id) whose counts make the vocabulary; all are weighed. max_features: only so many terms, those that
+    occur most often.
     """
     base = post if fit_on is None else post.join(fit_on.select("doc_id"), "doc_id", "left_semi")
     df = base.groupBy("term").agg(F.count(F.lit(1)).alias("df")).filter((F.col("df") >= min_df) & (F.col("df") <= max_df * n_docs))
+    if max_features is not None:
+        often = base.groupBy("term").agg(F.sum("tf").alias("n")).join(df.select("term"), "term", "left_semi")
+        df = df.join(often.orderBy(F.desc("n"), "term").limit(max_features).select("term"), "term", "left_semi")
     idf = df.select("term", (F.log((1.0 + n_docs) / (1.0 + F.col("df"))) + 1.0).alias("idf"))
     tf = 1 + F.log(F.col("tf").cast("double")) if sublinear else F.col("tf").cast("double")
     rows = post.join(idf, "term").select("doc_id", "term", (tf * F.col("idf")).alias("w"))
@@ -43,7 +47,7 @@ def bm25(post: DataFrame, queries: DataFrame, kind: str = "okapi", k1: float = 1
     size = post.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     total = size.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    wanted = post.join(F.broadcast(queries.select("term").distinct()), "term", "left_semi")
+    wanted = post.join(queries.select("term").distinct(), "term", "left_semi")
     rows = wanted.join(df, "term").join(size, "doc_id").crossJoin(F.broadcast(total))  # total is one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     length = 1 - b + b * F.col("dl") / F.col("avgdl")
@@ -63,14 +67,24 @@ def best_docs(scores: DataFrame, k: int, exclude: DataFrame | None = None) -> Da
     return top_per(scores.withColumn("score", F.round("score", 6)).filter("score > 0"), ["query_id"], [F.desc("score"), F.col("doc_id")], k)
 
 
-def profile_terms(history: DataFrame, post: DataFrame, cap: int = 100, repeats: int = 3) -> DataFrame:
-    """TXT-17: the terms of what a user has read, most frequent first, each at most `repeats` times: query_id, term, qtf.
+def profile_terms(history: DataFrame, post: DataFrame, cap: int = 100, repeats: int = 3, how: str = "tf") -> DataFrame:
+    """TXT-17: the terms of what a user has read: query_id, term, qtf. history: user_id, doc_id.
 
-    history: user_id, doc_id.
+    how: "tf", the most frequent, each at most `repeats` times; "tfidf", those of largest count times idf, once each;
+    "distinct", each once, by the alphabet. `cap` terms a user.
     """
     counts = history.join(post, "doc_id").groupBy("user_id", "term").agg(F.sum("tf").alias("c"))
-    best = top_per(counts, ["user_id"], [F.desc("c"), F.col("term")], cap)
-    return best.select(F.col("user_id").alias("query_id"), "term", F.least("c", F.lit(repeats)).alias("qtf"))
+    order, qtf = [F.desc("c"), F.col("term")], F.least("c", F.lit(repeats))
+    if how == "distinct":
+        order, qtf = [F.col("term")], F.lit(1)
+    if how == "tfidf":
+        n = post.select("doc_id").distinct().count()
+        df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        idf = F.log((F.lit(n) - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
+        counts = counts.join(df, "term").withColumn("c", F.round(F.col("c") * idf, 6))
+        qtf = F.lit(1)
+    best = top_per(counts, ["user_id"], order, cap)
+    return best.select(F.col("user_id").alias("query_id"), "term", qtf.cast("bigint").alias("qtf"))
 
 
 def top_terms(weights: DataFrame, k: int) -> DataFrame:
@@ -84,3 +98,12 @@ def unknown_rate(post: DataFrame, vocabulary: DataFrame) -> DataFrame:
     words = post.groupBy("term").agg(F.sum("tf").alias("n")).join(vocabulary.select("term").distinct().withColumn("known", F.lit(1)), "term", "left")
     out = F.col("known").isNull().cast("int")
     return words.agg(F.round(F.sum(out * F.col("n")) / F.sum("n"), 6).alias("token_oov"), F.round(F.avg(out.cast("double")), 6).alias("type_oov"))
+
+
+def explained(history: DataFrame, shown: DataFrame, least: float = 0.1) -> DataFrame:
+    """TXT-20: user_id, item_id, because, score, kind: for each item shown (item_id, title; a short list, which is sent to the tasks) the
+    most similar title of a user's history (user_id, because, theirs) by Jaccard; up to `least` the category has to do as a reason."""
+    union = F.size(F.array_union("title", "theirs"))
+    score = F.coalesce(F.round(F.size(F.array_intersect("title", "theirs")) / F.nullif(union, F.lit(0)), 6), F.lit(0.0))
+    best = history.crossJoin(F.broadcast(shown)).groupBy("user_id", "item_id").agg(F.max_by(F.struct("because", score.alias("score")), F.struct(score, -F.col("because"))).alias("x"))
+    return best.select("user_id", "item_id", "x.because", "x.score", F.when(F.col("x.score") > least, "title").otherwise("category").alias("kind"))

@@ -2,24 +2,62 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.storage import written
 
 
+#: Rows of a query set that are sent to the tasks at once.
+BLOCK = 4096
+#: Rows of a key up to which a self-join pairs them in one task.
+WIDE_KEY = 1000
+
+
+def ranges(df: DataFrame, order: list[str]) -> DataFrame:
+    """df as a written table, sorted into ranges of the order, with the range's number as __part."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return written(df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id()), "numbered")
+
+
+def running(df: DataFrame, order: list[str], value: Column, name: str) -> DataFrame:
+    """df with the running sum of `value` in the order, which must be total.
+
+    Rows are sorted by ranges, summed within each range, and shifted by the ranges before; only the ranges' sums meet, one row a range.
+    """
+    parts = ranges(df.withColumn("__value", value), order)
+    sums = parts.groupBy("__part").agg(F.sum("__value").alias("__n"))
+    before = sums.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    own = F.sum("__value").over(Window.partitionBy("__part").orderBy(*order))
+    return parts.withColumn("__own", own).join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__own")).drop("__part", "__own", "__before", "__value")
+
+
 def numbered(df: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
-    """df with its 1-based place in the order, which must be total.
+    """df with its 1-based place in the order, which must be total; no task sees all rows."""
+    return running(df, order, F.lit(1).cast("bigint"), name)
+
+
+def by_block(queries: DataFrame, key: str, scored: Callable[[DataFrame], DataFrame], size: int = BLOCK) -> DataFrame:
+    """What `scored` makes of the query rows, in blocks of about `size` rows by hash, so that what it broadcasts is bounded."""
+    n = max(1, -(-queries.count() // size))
+    found = [scored(queries if n == 1 else queries.filter(F.pmod(F.xxhash64(key), F.lit(n)) == k)) for k in range(n)]
+    return reduce(DataFrame.unionByName, found)
 
-    Rows are sorted by ranges, counted within each range, and shifted by the ranges before; only the ranges' counts meet.
+
+def paired(rows: DataFrame, by: str, of: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides of a self-join of rows on `by`, and its keys.
+
+    A value of `by` with over WIDE_KEY rows is cut in parts by the hash of `of` on the first side and repeated for each part on the second, so that
+    its pairs are made in several tasks.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = df.repartitionByRange(n, *order).withColumn("__part", F.spark_partition_id())
-    parts = written(parts, "numbered")
-    w = Window.partitionBy("__part").orderBy(*order)
-    counts = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
-    return parts.withColumn("__own", F.row_number().over(w)).join(F.broadcast(before), "__part").withColumn(name, (F.col("__before") + F.col("__own")).cast("bigint")).drop("__part", "__own", "__before")
+    wide = rows.groupBy(by).agg(F.ceil(F.count(F.lit(1)) / WIDE_KEY).cast("int").alias("__parts")).filter("__parts > 1")
+    rows = rows.join(wide, by, "left")
+    parts = F.coalesce("__parts", F.lit(1))
+    first = rows.withColumn("__part", F.pmod(F.xxhash64(of), parts).cast("int")).drop("__parts")
+    return first, rows.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts"), [by, "__part"]
 
 
 def top_per(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rk") -> DataFrame:

@@ -165,3 +165,15 @@ def popularity_bias(ranked: DataFrame, train: DataFrame) -> DataFrame:
     shown = ranked.join(pop, "item_id", "left").agg(F.avg(F.coalesce("n", F.lit(0))).alias("arp"), F.countDistinct("item_id").alias("shown"))
     every = pop.agg(F.avg("n").alias("mean"), F.count(F.lit(1)).alias("items"))
     return shown.crossJoin(every).select(F.round("arp", 6).alias("arp"), F.round("mean", 6).alias("catalogue_mean"), F.round(F.col("arp") / F.col("mean"), 6).alias("ratio"), F.round(F.col("shown") / F.col("items"), 6).alias("coverage"))
+
+
+def weighted(cf: DataFrame, content: DataFrame, alpha: float) -> DataFrame:
+    """RNK-8, RNK-9: user_id, item_id, score: alpha times one model's score plus the rest of the other's; 0 where a model has none."""
+    a, b = cf.select("user_id", "item_id", F.col("score").alias("a")), content.select("user_id", "item_id", F.col("score").alias("b"))
+    none = F.lit(0.0)
+    return a.join(b, ["user_id", "item_id"], "full_outer").select("user_id", "item_id", (alpha * F.coalesce("a", none) + (1 - alpha) * F.coalesce("b", none)).alias("score"))
+
+
+def bias_flags(bias: DataFrame) -> DataFrame:
+    """EVL-10: popularity_bias() and whether what is shown is over twice, or five times, as popular as the catalogue."""
+    return bias.withColumn("over_2", F.col("ratio") > 2).withColumn("over_5", F.col("ratio") > 5)

@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.expressions import cosine, doubles, unit
+from ..functions.expressions import cosine, dot, doubles, hash_unit, unit
 from ..sources.storage import written
-from .ordering import top_per
+from .ordering import by_block, paired, top_per
 
 
 def overlaps(ratings: DataFrame, by: str, of: str) -> DataFrame:
     """a, b (a <> b), shared, dot: over the common values of `by` for pairs of `of`, by an equal self-join."""
-    a = ratings.select(by, F.col(of).alias("a"), F.col("r").alias("ra"))
-    b = ratings.select(by, F.col(of).alias("b"), F.col("r").alias("rb"))
-    pairs = a.join(b, by).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.sum(F.col("ra") * F.col("rb")).alias("dot"))
+    one, other, keys = paired(ratings.select(by, of, "r"), by, of)
+    a = one.select(*keys, F.col(of).alias("a"), F.col("r").alias("ra"))
+    b = other.select(*keys, F.col(of).alias("b"), F.col("r").alias("rb"))
+    pairs = a.join(b, keys).filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.sum(F.col("ra") * F.col("rb")).alias("dot"))
     return pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "shared", "dot"))
 
 
@@ -44,10 +45,11 @@ def user_scores(ratings: DataFrame, sims: DataFrame) -> DataFrame:
 
 def slope_one(ratings: DataFrame, users: DataFrame) -> DataFrame:
     """CF-7: user_id, item_id, score for the users asked for: mean of rating plus deviation, weighted by the co-raters."""
-    a = ratings.select("user_id", F.col("item_id").alias("a"), F.col("r").alias("ra"))
-    b = ratings.select("user_id", F.col("item_id").alias("b"), F.col("r").alias("rb"))
-    dev = a.join(b, "user_id").filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.avg(F.col("ra") - F.col("rb")).alias("dev"))
     own = ratings.join(users.select("user_id"), "user_id", "left_semi").select("user_id", F.col("item_id").alias("b"), "r")
+    one, other, keys = paired(ratings.select("user_id", "item_id", "r"), "user_id", "item_id")
+    a = one.select(*keys, F.col("item_id").alias("a"), F.col("r").alias("ra"))
+    b = other.select(*keys, F.col("item_id").alias("b"), F.col("r").alias("rb")).join(own.select("b").distinct(), "b", "left_semi")  # others are never asked for
+    dev = a.join(b, keys).filter("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.avg(F.col("ra") - F.col("rb")).alias("dev"))
     return own.join(dev, "b").groupBy("user_id", F.col("a").alias("item_id")).agg((F.sum((F.col("r") + F.col("dev")) * F.col("c")) / F.sum("c")).alias("score"))
 
 
@@ -83,10 +85,14 @@ def naive_bayes(post: DataFrame, classes: DataFrame, smoothing: float = 1.0) ->
 
 def similar_vectors(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """EMB-8: a, b, sim, rk: the k nearest others of each query row by cosine. A stated query set against all rows."""
-    q = queries.select(F.col("vec_id").alias("a"), unit(doubles("embedding")).alias("va"))
     rows = vectors.select(F.col("vec_id").alias("b"), unit(doubles("embedding")).alias("vb"))
-    sims = rows.crossJoin(F.broadcast(q)).filter("a <> b").select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("sim"))
-    return top_per(sims, ["a"], [F.desc("sim"), F.col("b")], k)
+
+    def nearest(block: DataFrame) -> DataFrame:
+        q = block.select(F.col("vec_id").alias("a"), unit(doubles("embedding")).alias("va"))
+        sims = rows.crossJoin(F.broadcast(q)).filter("a <> b").select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("sim"))
+        return top_per(sims, ["a"], [F.desc("sim"), F.col("b")], k)
+
+    return by_block(queries, "vec_id", nearest)
 
 
 def profile(history: DataFrame, vectors: DataFrame, how: str = "mean", last: int | None = None) -> DataFrame:
@@ -120,3 +126,77 @@ def quantize(vectors: DataFrame, codebooks: int = 3, k: int = 32, seed: int = 42
         rows = model.transform(rows).withColumn("rest", F.zip_with(vector_to_array("features"), F.get(table, F.col("code")), lambda x, y: x - y)).withColumn("codes", F.concat("codes", F.array("code"))).select("vec_id", "rest", "codes")
         rows = written(rows, "codes")
     return rows.select("vec_id", "codes", F.round(F.aggregate("rest", F.lit(0.0), lambda s, x: s + x * x), 6).alias("error"))
+
+
+def similar_words(vectors: DataFrame, words: DataFrame, k: int) -> DataFrame:
+    """EMB-10: a, b, sim, rk: the k words nearest to each of `words` (word) by cosine. vectors: word, embedding."""
+    rows = vectors.select(F.col("word").alias("vec_id"), "embedding")
+    return similar_vectors(rows, rows.join(words.select(F.col("word").alias("vec_id")), "vec_id", "left_semi"), k)
+
+
+def semantic_sum(codes: DataFrame, books: DataFrame) -> DataFrame:
+    """EMB-18: vec_id, dim, value: the sum of the vectors that an item's codes name. codes: vec_id, codes; books: book, code, embedding."""
+    each = codes.select("vec_id", F.posexplode("codes").alias("book", "code")).join(books, ["book", "code"])
+    rows = each.select("vec_id", F.posexplode(doubles("embedding")).alias("dim", "x"))
+    return rows.groupBy("vec_id", "dim").agg(F.sum("x").alias("value"))
+
+
+def noisy(vectors: DataFrame, layer: int, size: float = 0.1, seed: int = 42) -> DataFrame:
+    """CF-11: node, dim, value moved by a hashed noise of length `size` that has the signs of the vector."""
+    noise = hash_unit("node", "dim", F.lit(layer), F.lit(seed))
+    rows = vectors.withColumn("__noise", noise)
+    length = F.sqrt(F.sum(F.col("__noise") * F.col("__noise")).over(Window.partitionBy("node")))
+    moved = F.col("value") + F.signum("value") * F.when(length > 0, F.col("__noise") / length).otherwise(0.0) * size
+    return rows.select("node", "dim", moved.alias("value"))
+
+
+def propagate_noisy(edges: DataFrame, vectors: DataFrame, layers: int, size: float = 0.1, seed: int = 42) -> DataFrame:
+    """CF-11, CF-12: the mean of `layers` rounds of edges times vectors, each with noise; the start doesn't count."""
+    every, now = None, vectors
+    for layer in range(layers):
+        step = edges.join(now.select(F.col("node").alias("src"), "dim", "value"), "src").groupBy(F.col("dst").alias("node"), "dim").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
+        now = written(noisy(step, layer, size, seed), "layer")
+        every = now if every is None else every.unionByName(now)
+    return every.groupBy("node", "dim").agg((F.sum("value") / layers).alias("value"))
+
+
+def info_nce(one: DataFrame, other: DataFrame, temperature: float = 0.2) -> DataFrame:
+    """CF-20: the contrastive loss of two views (id, v) of one batch: each row against all rows of the batch.
+
+    A batch is bounded by its caller; it is sent to the tasks.
+    """
+    a = one.select("id", unit(doubles("v")).alias("a"))
+    b = other.select(F.col("id").alias("__id"), unit(doubles("v")).alias("b"))
+    s = cosine(F.col("a"), F.col("b")) / temperature
+    rows = a.crossJoin(F.broadcast(b)).select("id", "__id", s.alias("s")).groupBy("id")
+    loss = rows.agg((F.log(F.sum(F.exp("s"))) - F.max(F.when(F.col("id") == F.col("__id"), F.col("s")))).alias("loss"))
+    return loss.agg(F.round(F.avg("loss"), 6).alias("info_nce"), F.count(F.lit(1)).alias("n"))
+
+
+def bce_loss(edges: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
+    """CF-21: mean cross-entropy of edges (user_id, item_id, label) by the dot product of their vectors (user_id or item_id, v)."""
+    rows = edges.join(users.select("user_id", doubles("v").alias("a")), "user_id").join(items.select("item_id", doubles("v").alias("b")), "item_id")
+    s = dot(F.col("a"), F.col("b"))
+    loss = F.log1p(F.exp(-F.abs(s))) + F.greatest(s, F.lit(0.0)) - s * F.col("label")
+    return rows.agg(F.round(F.avg(loss), 6).alias("bce_loss"), F.count(F.lit(1)).alias("n"))
+
+
+def dominant_class(history: DataFrame, classes: DataFrame) -> DataFrame:
+    """CF-24: user_id and the class that most of what they read has, the smallest of equals. history: user_id, item; classes: item, class."""
+    n = history.join(classes, "item").groupBy("user_id", "class").agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy("user_id").agg(F.min_by("class", F.struct(-F.col("n"), "class")).alias("class"))
+
+
+def class_odds(post: DataFrame, classes: DataFrame, smoothing: float = 1.0) -> DataFrame:
+    """CF-24: doc_id, class, p: the multinomial model's P(class | document) of all documents; words it doesn't know count nothing."""
+    model = naive_bayes(post, classes, smoothing)
+    vocabulary = model.select("term").distinct()
+    names = classes.groupBy("class").agg(F.count(F.lit(1)).alias("docs"))
+    prior = names.select("class", F.log(F.col("docs") / F.sum("docs").over(Window.partitionBy())).alias("prior"))  # one row a class
+    total = post.join(classes, "doc_id").groupBy("class").agg(F.sum("tf").alias("total"))
+    rest = F.round(F.log(F.lit(smoothing) / (F.col("total") + smoothing * vocabulary.count())), 6)
+    each = post.join(vocabulary, "term").crossJoin(F.broadcast(prior.join(total, "class").select("class", "prior", rest.alias("rest"))))
+    logs = each.join(model, ["class", "term"], "left").groupBy("doc_id", "class").agg((F.max("prior") + F.sum(F.col("tf") * F.coalesce("logp", "rest"))).alias("s"))
+    top = F.max("s").over(Window.partitionBy("doc_id"))
+    shifted = logs.withColumn("e", F.exp(F.col("s") - top))
+    return shifted.select("doc_id", "class", (F.col("e") / F.sum("e").over(Window.partitionBy("doc_id"))).alias("p"))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..operators.ordering import numbered, top_per
+from ..operators.ordering import numbered, running, top_per
 from ..sources.bindings import Tables, interactions, purchases, replies
 from .registry import query
 
@@ -34,9 +34,9 @@ def eda_degree(t: Tables):
 def eda_pareto(t: Tables):
     """WIN-2, WIN-3: rank and cumulative share of items."""
     d = interactions(t).groupBy("item_id").agg(F.count(F.lit(1)).alias("n")).withColumn("less", -F.col("n"))
-    rows = numbered(d, ["less", "item_id"], "rank").drop("less")
-    total = d.agg(F.sum("n")).first()[0] or 0
-    return rows.withColumn("share", X.r6(F.sum("n").over(Window.orderBy("rank")) / F.lit(total)))
+    rows = running(numbered(d, ["less", "item_id"], "rank").drop("less"), ["rank"], F.col("n"), "sum")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    return rows.select("item_id", "n", "rank", X.r6(F.col("sum") / F.lit(total)).alias("share"))
 
 
 @query("select source, count(*)::bigint as n, round(avg(length(text)), 6) as mean, round(median(length(text)), 6) as middle, max(length(text))::bigint as most, round(stddev_samp(length(text)), 6) as sd from documents group by 1")

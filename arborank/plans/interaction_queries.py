@@ -97,12 +97,18 @@ def split_link(t: Tables):
     return interactions(t).select("user_id", "item_id", F.when(h < 0.1, "val").when(h < 0.2, "test").otherwise("train").alias("split"))
 
 
-@query(f"""with u as (select distinct user_id from inter where user_id % 20 = 0), i as (select distinct item_id from inter)
-    select user_id, item_id from (select user_id, item_id, row_number() over (partition by user_id order by {HASH.format('''user_id || ':' || item_id || ':42' ''')}, item_id) as rk from u cross join i where not exists (select 1 from inter x where x.user_id = u.user_id and x.item_id = i.item_id)) where rk <= 100""", ("inter",))
+def drawn(users: str, pairs: str, n: int = 100, draws: int = 1600) -> str:
+    """CTEs of negatives(): ng (user_id, item_id) for `users`, a table of user_id; `draws` is far beyond what any user needs."""
+    return f"""nb as (select item_id, row_number() over (order by item_id) - 1 as idx, count(*) over () as tot from (select distinct item_id from {pairs})),
+    dr as (select user_id, idx, min(draw) as draw from (select user_id, draw, floor({HASH.format("user_id || ':' || draw || ':42'")} * (select max(tot) from nb))::bigint as idx from {users}, range(1, {draws + 1}) r(draw)) group by 1, 2),
+    ng as (select user_id, item_id from (select dr.user_id, nb.item_id, row_number() over (partition by dr.user_id order by dr.draw) as k from dr join nb using (idx) where not exists (select 1 from {pairs} x where x.user_id = dr.user_id and x.item_id = nb.item_id)) where k <= {n})"""
+
+
+@query(f"with u as (select distinct user_id from inter), {drawn('u', 'inter')} select user_id, item_id from ng", ("inter",))
 def negatives_100(t: Tables):
-    """SMP-3 for the query users, those whose id 20 divides, against all items."""
+    """SMP-1, SMP-3 for all users."""
     pairs = interactions(t)
-    return I.negatives(pairs, pairs, pairs.filter("user_id % 20 = 0"), 100)
+    return I.negatives(pairs, pairs, pairs, 100)
 
 
 @query(f"""with p as (select item_id, count(*) as c from inter group by 1), s as (select item_id, sum(c) over (order by item_id) - c as low, sum(c) over (order by item_id) as high from p), tot as (select sum(c) as n from p),
@@ -133,24 +139,49 @@ def norm_url(t: Tables):
     return t.pages.select("page_id", X.plain_url(F.col("url")).alias("url"), F.sha1(X.plain_url(F.col("url"))).alias("article_id"))
 
 
-@query("""select event_id, case when raw in ('', 'nan', 'N/A', 'NO_COMMENT') then null when try_cast(raw as double) is not null then cast(cast(trunc(try_cast(raw as double)) as bigint) as varchar) else raw end as id
-    from (select event_id, case event_id % 6 when 0 then user_id || '.0' when 1 then user_id::varchar when 2 then 'N/A' when 3 then 'user' || user_id when 4 then 'nan' else '' end as raw from events)""")
+RAW_IDS = "select event_id, case event_id % 8 when 0 then user_id || '.0' when 1 then user_id::varchar when 2 then 'N/A' when 3 then 'user' || user_id when 4 then 'nan' when 5 then 'NaN' when 6 then 'NO_COMMENT' else '' end as raw from events"
+
+
+def raw_ids(t: Tables):
+    """Ids as the logs spell them."""
+    u, k = F.col("user_id").cast("string"), F.col("event_id") % 8
+    raw = F.when(k == 0, F.concat(u, F.lit(".0"))).when(k == 1, u).when(k == 2, "N/A").when(k == 3, F.concat(F.lit("user"), u)).when(k == 4, "nan").when(k == 5, "NaN").when(k == 6, "NO_COMMENT").otherwise("")
+    return t.events.select("event_id", raw.alias("raw"))
+
+
+@query(f"select event_id, case when raw in ('', 'nan', 'NaN', 'N/A', 'NO_COMMENT') then null when try_cast(raw as double) is not null then cast(cast(trunc(try_cast(raw as double)) as bigint) as varchar) else raw end as id from ({RAW_IDS})")
 def clean_ids(t: Tables):
-    """CLN-1 to CLN-3 on ids as the logs spell them."""
-    u, k = F.col("user_id").cast("string"), F.col("event_id") % 6
-    raw = F.when(k == 0, F.concat(u, F.lit(".0"))).when(k == 1, u).when(k == 2, "N/A").when(k == 3, F.concat(F.lit("user"), u)).when(k == 4, "nan").otherwise("")
-    return t.events.select("event_id", X.clean_id(raw).alias("id"))
+    """CLN-1 to CLN-3."""
+    return raw_ids(t).select("event_id", X.real_id(F.col("raw")).alias("id"))
+
 
+@query(f"select event_id, case when lower(raw) in ('', 'nan') then null when regexp_full_match(raw, '[0-9]+(\\.0)?') then split_part(raw, '.', 1) else raw end as id from ({RAW_IDS})")
+def plain_ids(t: Tables):
+    """CLN-1 alone: other texts than numbers stay, "N/A" among them."""
+    return raw_ids(t).select("event_id", X.clean_id(F.col("raw")).alias("id"))
 
-@query("""select event_id, case event_id % 3 when 0 then timestamp '2024-03-01 12:00:00' - to_hours((event_id % 48)::int) when 1 then timestamp '2024-03-01 12:00:00' - to_minutes((event_id % 60)::int)
-    else case when make_timestamp(2024, month(ts), day(ts), hour(ts), minute(ts), 0) > timestamp '2024-03-01 12:00:00' then case when month(ts) = 2 and day(ts) = 29 then null else make_timestamp(2023, month(ts), day(ts), hour(ts), minute(ts), 0) end else make_timestamp(2024, month(ts), day(ts), hour(ts), minute(ts), 0) end end as at from events""")
+
+@query("select event_id, user_id from events where hour(ts) >= 12")
+def valid_dates(t: Tables):
+    """CLN-14: rows whose text holds a date."""
+    text = F.when(F.hour("ts") >= 12, F.date_format("ts", "'on 'dd/MM/yyyy")).otherwise(F.date_format("ts", "'in 'MMMM"))
+    return t.events.filter(X.day_in_text(text).isNotNull()).select("event_id", "user_id")
+
+
+NOON = "timestamp '2024-03-01 12:00:00'"
+
+
+@query(f"""with r as (select event_id, event_id % 8 as k, month(ts) as m, day(ts) as d, hour(ts) as h, minute(ts) as mi from events) select event_id, case k when 0 then {NOON} - to_hours((event_id % 48)::int) when 1 then {NOON} - to_minutes((event_id % 60)::int)
+    when 2 then {NOON} - to_hours((event_id % 48)::int) when 3 then {NOON} - to_hours(7) when 4 then null when 5 then null
+    else case when make_timestamp(2024, m, d, h, mi, 0) > {NOON} then make_timestamp(2023, m, d, h, mi, 0) else make_timestamp(2024, m, d, h, mi, 0) end end as at from r where not (m = 2 and d = 29)""")
 def parse_dates(t: Tables):
-    """TXT-21 on dates as the site spells them."""
-    k = F.col("event_id") % 3
+    """TXT-21 on dates as the site spells them: alone and inside other text, with single-digit minutes and several spaces, and none at all."""
+    k = F.col("event_id") % 8
     hours, minutes = (F.concat((F.col("event_id") % n).cast("string"), F.lit(s)) for n, s in ((48, "h trước"), (60, "p trước")))
-    clock = F.concat(F.date_format("ts", "HH:mm "), F.dayofmonth("ts").cast("string"), F.lit("/"), F.month("ts").cast("string"))
-    raw = F.when(k == 0, hours).when(k == 1, minutes).otherwise(clock)
-    return t.events.select("event_id", X.relative_date(raw, F.lit("2024-03-01 12:00:00").cast("timestamp_ntz").cast("timestamp")).cast("timestamp_ntz").alias("at"))
+    clock = F.concat(F.date_format("ts", "H:"), F.minute("ts").cast("string"), F.lit("  "), F.dayofmonth("ts").cast("string"), F.lit("/"), F.month("ts").cast("string"))
+    raw = F.when(k == 0, hours).when(k == 1, minutes).when(k == 2, F.concat(F.lit("Tin: "), hours, F.lit(" - site"))).when(k == 3, "3p trước, 7h trước").when(k == 4, "30/2").when(k == 5, "nan").when(k == 6, F.concat(F.lit("Lúc "), clock, F.lit(" GMT+7"))).otherwise(clock)
+    rows = t.events.filter(~((F.month("ts") == 2) & (F.dayofmonth("ts") == 29)))
+    return rows.select("event_id", X.relative_date(raw, F.lit("2024-03-01 12:00:00").cast("timestamp_ntz").cast("timestamp")).cast("timestamp_ntz").alias("at"))
 
 
 @query("select event_id, cast(ts as date) as day, date_trunc('month', ts)::date as month, floor(date_diff('day', ts::date, date '2025-01-01') / 30.0)::int as months from events")
@@ -175,12 +206,12 @@ def known_and_frequent(t: Tables):
     return t.documents.join(often, "source", "left_semi").join(t.labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", "source")
 
 
-@query("select doc_id, case lang when 'en' then 'English' when 'fr' then 'French' else lang end as lang, case source when 'src0' then 0 when 'src1' then 1 end::int as category_id, coalesce(nullif(left(text, 20), ''), 'Untitled') as title from documents")
+@query("select doc_id, case lang when 'en' then 'English' when 'fr' then 'French' else lang end as lang, case source when 'src0' then 0 when 'src1' then 1 end::int as category_id, coalesce(nullif(text, ''), 'Untitled') as title from documents")
 def renamed(t: Tables):
     """CLN-6, CLN-9, CLN-12: names by lookup, ids with null for unknown ones, filled titles."""
     names = F.create_map(*[F.lit(x) for x in ("en", "English", "fr", "French")])
     ids = F.create_map(F.lit("src0"), F.lit(0), F.lit("src1"), F.lit(1))
-    return t.documents.select("doc_id", F.coalesce(names[F.col("lang")], F.col("lang")).alias("lang"), ids[F.col("source")].alias("category_id"), F.coalesce(F.nullif(F.substring("text", 1, 20), F.lit("")), F.lit("Untitled")).alias("title"))
+    return t.documents.select("doc_id", F.coalesce(names[F.col("lang")], F.col("lang")).alias("lang"), ids[F.col("source")].alias("category_id"), F.coalesce(F.nullif("text", F.lit("")), F.lit("Untitled")).alias("title"))
 
 
 @query("select text, min(doc_id) as doc_id from documents group by text")
@@ -217,3 +248,43 @@ def date_chunks(t: Tables):
     span = purchases(t).groupBy("user_id").agg(F.min("ts").cast("date").alias("first"), F.max("ts").cast("date").alias("last"))
     parts = span.withColumn("k", F.explode(F.sequence(F.lit(0), F.floor(F.months_between("last", "first") / 12).cast("int"))))
     return parts.select("user_id", "k", F.add_months("first", F.col("k") * 12).alias("start"), F.least(F.add_months("first", (F.col("k") + 1) * 12), F.col("last")).alias("stop")).filter("start <= stop")
+
+
+# ids, samples and edges of further kinds
+
+
+@query("select item_id as raw_id, row_number() over (order by seen_at, item_id) - 1 as idx from (select item_id, min(ts) as seen_at from purchases group by 1)", ("purchases",))
+def id_map_first_seen(t: Tables):
+    """INT-6: in the order of first sight."""
+    return I.first_seen_ids(purchases(t), "item_id", "ts")
+
+
+@query("select user_id as raw_id, row_number() over (order by user_id) - 1 as idx from (select user_id from inter group by 1 having count(*) >= 40)", ("inter",))
+def id_map_frequent(t: Tables):
+    """INT-7: of users with enough rows (the reference asks for two, which all have here), by their ids."""
+    return I.dense_ids(I.with_count(interactions(t), "user_id", 40), "user_id")
+
+
+@query("select page_id, coalesce(try_cast(nullif(regexp_extract(url, '(\\d+)\\.html', 1), '') as bigint), 0) as proxy_time from pages")
+def proxy_times(t: Tables):
+    """INT-9."""
+    return t.pages.select("page_id", I.proxy_time(F.col("url")).alias("proxy_time"))
+
+
+@query(f"select user_id from (select distinct user_id from inter) order by {HASH.format("user_id || ':42'")}, user_id limit 500", ("inter",))
+def user_sample(t: Tables):
+    """SMP-4; the limit is the sample's."""
+    return I.user_sample(interactions(t))
+
+
+@query(f"select user_id, item_id, ((row_number() over (order by {HASH.format("user_id || ':' || item_id || ':1:42'")}, user_id, item_id) - 1) // 256)::bigint as batch from inter", ("inter",))
+def mini_batches(t: Tables):
+    """SMP-6: the second epoch's batches of 256 pairs."""
+    return I.mini_batches(interactions(t).select("user_id", "item_id"), 256, epoch=1).select("user_id", "item_id", F.col("batch").cast("bigint").alias("batch"))
+
+
+@query("with tr as (select distinct item_id from inter where user_id % 3 = 0), u as (select user_id from inter group by 1 having count(*) >= 40) select reply_user_id as src, parent_user_id as dst, count(*)::bigint as n from replies where reply_user_id <> parent_user_id and item_id in (select item_id from tr) and reply_user_id in (select user_id from u) and parent_user_id in (select user_id from u) group by 1, 2", ("inter", "replies"))
+def g2a_social_train(t: Tables):
+    """Replies under training items (those that every third user bought) between users that have an id (40 rows or more)."""
+    pairs = interactions(t)
+    return I.known_social(replies(t), I.with_count(pairs, "user_id", 40), pairs.filter("user_id % 3 = 0"))

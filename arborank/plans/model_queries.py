@@ -11,8 +11,10 @@ from ..operators import interactions as I
 from ..operators import models as M
 from ..operators import ranking as R
 from ..operators import scoring as S
-from ..operators.ordering import top_per
+from ..operators.ordering import by_block, top_per
 from ..sources.bindings import Tables, interactions, purchases, reading_history, replies
+from ..sources.storage import written
+from .interaction_queries import drawn
 from .registry import query
 
 TRAIN = "train as (select user_id, item_id, ts, reactions from (select *, row_number() over (order by ts, user_id, item_id) as rn, count(*) over () as n from inter) where rn <= floor(0.8 * n)), test as (select user_id, item_id from (select *, row_number() over (order by ts, user_id, item_id) as rn, count(*) over () as n from inter) where rn > floor(0.8 * n))"
@@ -21,7 +23,7 @@ NOW = "2001-01-01"
 
 
 def split(t: Tables):
-    rows = I.split_time(interactions(t))
+    rows = written(I.split_time(interactions(t)), "split")
     return rows.filter("split = 'train'").drop("split"), rows.filter("split = 'test'").select("user_id", "item_id")
 
 
@@ -81,16 +83,23 @@ def g5_window(t: Tables):
     return G.same_days(first_days(t), 3, categories(t))
 
 
+@query(f"with {FIRST_DAY} select a.item_id as src, b.item_id as dst from d a join d b on abs(date_diff('day', a.day, b.day)) <= 3 and a.item_id < b.item_id", ("purchases",))
+def g5_window_all(t: Tables):
+    """G5 with a window of three days, whatever the categories."""
+    return G.same_days(first_days(t), 3)
+
+
 @query("select count(*)::bigint as edges, round(min(w), 6) as least, round(max(w), 6) as most, round(avg(w), 6) as mean, count(*) filter (where w > 1.01)::bigint as weighted from (select 1 + ln(1 + greatest(reactions::double, 0)) as w from inter)", ("inter",))
 def g6_reaction_summary(t: Tables):
     w = F.col("w")
     return G.bipartite(interactions(t)).agg(F.count(F.lit(1)).alias("edges"), X.r6(F.min(w)).alias("least"), X.r6(F.max(w)).alias("most"), X.r6(F.avg(w)).alias("mean"), F.count_if(w > 1.01).alias("weighted"))
 
 
-@query(f"with {CATEGORY}, uc as (select distinct user_id, category from inter join cat using (item_id) where user_id % 20 = 0) select a.user_id as src, b.user_id as dst, count(*)::bigint as n from uc a join uc b on a.category = b.category and a.user_id < b.user_id group by 1, 2 having count(*) >= 6", ("inter",))
+@query(f"with {CATEGORY}, uc as (select distinct user_id, category from inter join cat using (item_id)) select a.user_id as src, b.user_id as dst, count(*)::bigint as n from uc a join uc b on a.category = b.category and a.user_id <> b.user_id where a.user_id % 20 = 0 group by 1, 2 having count(*) >= 6", ("inter",))
 def g7_cross_category(t: Tables):
-    """Among the query users, those whose id 20 divides."""
-    return G.cross_category(G.user_category(interactions(t).filter("user_id % 20 = 0"), categories(t)), 6)
+    """The query users, those whose id 20 divides, against all users."""
+    each = G.user_category(interactions(t), categories(t))
+    return G.asked_cross_category(each, each.filter("user_id % 20 = 0"), 6)
 
 
 @query()
@@ -338,13 +347,13 @@ def content_scores(t: Tables, digits: int | None = 6):
     p = p.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("dim", "value"))).alias("x")).select("user_id", F.transform("x", lambda r: r["value"]).alias("p"))
     rows = t.embeddings.select(F.col("vec_id").alias("item_id"), X.doubles("embedding").alias("e"))
     x = X.cosine(F.col("p"), F.col("e"))
-    return rows.crossJoin(F.broadcast(p)).select("user_id", "item_id", (F.round(x, digits) if digits else x).alias("score"))
+    return by_block(written(p, "profiles"), "user_id", lambda block: rows.crossJoin(F.broadcast(block)).select("user_id", "item_id", (F.round(x, digits) if digits else x).alias("score")))
 
 
 def popular_scores(t: Tables):
-    users = F.broadcast(reading_history(t, "embeddings").filter("user_id % 20 = 0").select("user_id").distinct())
+    users = reading_history(t, "embeddings").filter("user_id % 20 = 0").select("user_id").distinct()
     counts = reading_history(t, "embeddings").groupBy(F.col("item").alias("item_id")).agg(F.count(F.lit(1)).cast("double").alias("score"))
-    return counts.crossJoin(users).select("user_id", "item_id", "score")
+    return by_block(users, "user_id", lambda block: counts.crossJoin(F.broadcast(block)).select("user_id", "item_id", "score"))
 
 
 @query(f"{CONTENT}, mm as (select *, min(score) over (partition by user_id) as lo, max(score) over (partition by user_id) as hi from content) select user_id, item_id, round(case when hi > lo then (score - lo) / (hi - lo) else 1 end, 6) as score from mm", ("vecread",))
@@ -430,7 +439,7 @@ def rerank_chain(t: Tables):
 @query()
 def semantic_ids(t: Tables):
     """EMB-17: residual codes of all vectors. Trained, so without a twin."""
-    return S.quantize(t.embeddings, 3, 8)
+    return S.quantize(t.embeddings, 3, 32)
 
 
 @query()
@@ -459,7 +468,7 @@ def als_top10(t: Tables):
 
 @query()
 def bpr_top10(t: Tables):
-    """CF-11, CF-22 for the query users: two gradient steps from hashed factors."""
+    """CF-20, CF-22 for the query users: two gradient steps from hashed factors of eight numbers."""
     r = ones(interactions(t))
     most = r.agg(F.max("item_id")).first()[0]
     triples = r.select("user_id", F.col("item_id").alias("pos"), ((F.col("item_id") * 7) % F.lit(most) + 1).alias("neg"))
@@ -573,19 +582,17 @@ def eval_cold(t: Tables):
     return R.list_metrics(top.join(cold, "user_id", "left_semi"), test.join(cold, "user_id", "left_semi"), [10])
 
 
-NEG = "('0x' || substr(md5(u.user_id || ':' || i.item_id || ':42'), 1, 8))::bigint"
+EVERY = "(select user_id, item_id from train union all select user_id, item_id from test)"
 
 
-@query(f"with {RANKED}, un as (select distinct user_id from test where user_id % 20 = 0), al as (select * from train union all select user_id, item_id, null, null from test), ng as (select user_id, item_id from (select u.user_id, i.item_id, row_number() over (partition by u.user_id order by {NEG}, i.item_id) as k from un u cross join (select distinct item_id from al) i where not exists (select 1 from al x where x.user_id = u.user_id and x.item_id = i.item_id)) where k <= 100), cs as (select user_id, item_id from ng union all select user_id, item_id from test where user_id in (select user_id from un)), tp as (select user_id, item_id, rk from (select cs.user_id, cs.item_id, row_number() over (partition by cs.user_id order by coalesce(sc.score, 0) desc, cs.item_id) as rk from cs left join sc using (user_id, item_id)) where rk <= 10), {METRICS.format(k=10).replace('from top join', 'from tp join').replace('top.user_id', 'tp.user_id').replace('from test group', 'from test where user_id in (select user_id from un) group')} {_metrics(10)}", ("inter",))
+@query(f"with {RANKED}, un as (select distinct user_id from test), {drawn('un', EVERY)}, cs as (select user_id, item_id from ng union all select user_id, item_id from test), tp as (select user_id, item_id, rk from (select cs.user_id, cs.item_id, row_number() over (partition by cs.user_id order by coalesce(sc.score, 0) desc, cs.item_id) as rk from cs left join sc using (user_id, item_id)) where rk <= 10), {METRICS.format(k=10).replace('from top join', 'from tp join').replace('top.user_id', 'tp.user_id')} {_metrics(10)}", ("inter",))
 def eval_loo100(t: Tables):
-    """EVL-11, RNK-2: all test items among 100 sampled negatives, for the query users."""
+    """EVL-11, RNK-2: all test items of all users among 100 sampled negatives each."""
     train, test = split(t)
-    asked = test.filter("user_id % 20 = 0")
     every = train.select("user_id", "item_id").unionByName(test)
-    candidates = I.negatives(every, every, asked, 100).unionByName(asked)
+    candidates = I.negatives(every, every, test, 100).unionByName(test)
     scores = candidates.join(scored(train).withColumn("score", X.r6(F.col("score"))), ["user_id", "item_id"], "left").na.fill(0.0, ["score"])
-    top = top_per(scores, ["user_id"], [F.desc("score"), F.col("item_id")], 10)
-    return R.list_metrics(top, asked, [10])
+    return R.list_metrics(top_per(scores, ["user_id"], [F.desc("score"), F.col("item_id")], 10), test, [10])
 
 
 @query(f"with {RANKED}, x as (select fr.user_id, score, (t.item_id is not null)::int as pos from fr left join test t on t.user_id = fr.user_id and t.item_id = fr.item_id), r as (select *, rank() over (partition by user_id order by score) + (count(*) over (partition by user_id, score) - 1) / 2.0 as rk from x) select user_id, round((sum(rk * pos) - sum(pos) * (sum(pos) + 1) / 2.0) / (sum(pos) * (count(*) - sum(pos))), 6) as auc from r group by 1 having sum(pos) > 0 and count(*) > sum(pos)", ("inter",))

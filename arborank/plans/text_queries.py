@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions import expressions as X
 from ..operators import lexical as L
 from ..operators.ordering import top_per
-from ..sources.bindings import Tables, reading_history
+from ..sources.bindings import Tables, purchases, reading_history
+from ..sources.storage import written
 from .registry import query
 
 STOP = ["the", "of", "and", "de", "la", "le", "der", "und", "el", "en"]
@@ -22,7 +23,8 @@ def words(t: Tables):
 
 
 def posted(t: Tables):
-    return L.postings(t.documents, words(t))
+    """Written, as most queries read it several times."""
+    return written(L.postings(t.documents, words(t)), "postings")
 
 
 def weighed(t: Tables):
@@ -123,20 +125,21 @@ def oov_rate(t: Tables):
     return L.unknown_rate(post, post.join(t.labels.select("doc_id"), "doc_id", "left_semi"))
 
 
-@query(f"""with {WORDS}, titles as (select doc_id, list_distinct(ws[1:12]) as title, d.source from words join documents d using (doc_id)),
-    h as (select user_id, item as doc_id from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rk from (select user_id, event_id % (select count(*) from documents) as item, ts, event_id from events)) where rk <= 20),
-    j as (select user_id, x.doc_id, y.doc_id as because, round(len(list_intersect(x.title, y.title))::double / nullif(len(list_distinct(list_concat(x.title, y.title))), 0), 6) as score from (select * from titles where doc_id % 20 = 0) x, h join titles y on h.doc_id = y.doc_id)
-    select user_id, doc_id, because, score, case when score > 0.1 then 'title' else 'category' end as kind from (select *, row_number() over (partition by user_id, doc_id order by score desc, because) as rn from (select user_id, doc_id, because, coalesce(score, 0) as score from j)) where rn = 1""")
+TITLES = "titles as (select p_partkey as item_id, list_distinct(string_split(lower(p_name), ' ')) as title from part)"
+
+
+@query(f"""with {TITLES}, h as (select distinct user_id, item_id from (select *, row_number() over (partition by user_id order by ts desc, o_orderkey desc, l_linenumber desc, item_id, l_suppkey, l_extendedprice) as rk from purchases) where rk <= 20), best as (select item_id from purchases group by 1 order by count(*) desc, item_id limit 10),
+    j as (select user_id, x.item_id, y.item_id as because, round(len(list_intersect(x.title, y.title))::double / len(list_distinct(list_concat(x.title, y.title))), 6) as score from (select * from titles join best using (item_id)) x, h join titles y on h.item_id = y.item_id)
+    select user_id, item_id, because, score, case when score > 0.1 then 'title' else 'category' end as kind from (select *, row_number() over (partition by user_id, item_id order by score desc, because) as rn from j) where rn = 1""", ("purchases",))
 def jaccard_explain(t: Tables):
-    """TXT-20: for each user and query document, the most similar of the last 20 titles read."""
-    titles = t.documents.select("doc_id", F.array_distinct(F.slice(words(t), 1, 12)).alias("title"))
-    lately = top_per(reading_history(t), ["user_id"], [F.desc("ts"), F.desc("event_id")], 20).select("user_id", F.col("item").alias("because"))
-    own = lately.join(titles.select(F.col("doc_id").alias("because"), F.col("title").alias("theirs")), "because")
-    asked = F.broadcast(titles.filter("doc_id % 20 = 0"))  # a stated query set
-    union = F.size(F.array_union("title", "theirs"))
-    score = F.coalesce(F.round(F.size(F.array_intersect("title", "theirs")) / F.nullif(union, F.lit(0)), 6), F.lit(0.0))
-    best = own.crossJoin(asked).groupBy("user_id", "doc_id").agg(F.max_by(F.struct("because", score.alias("score")), F.struct(score, -F.col("because"))).alias("x"))
-    return best.select("user_id", "doc_id", "x.because", "x.score", F.when(F.col("x.score") > 0.1, "title").otherwise("category").alias("kind"))
+    """TXT-20: why each of the ten best sellers is shown to each user: the most similar title of the last 20 that the user bought."""
+    titles = t.part.select(F.col("p_partkey").alias("item_id"), F.array_distinct(F.split(F.lower("p_name"), " ")).alias("title"))
+    rows = purchases(t)
+    order = [F.desc("ts"), F.desc("o_orderkey"), F.desc("l_linenumber"), F.col("item_id"), F.col("l_suppkey"), F.col("l_extendedprice")]
+    lately = top_per(rows, ["user_id"], order, 20).select("user_id", F.col("item_id").alias("because")).distinct()
+    own = lately.join(titles.select(F.col("item_id").alias("because"), F.col("title").alias("theirs")), "because")
+    best = rows.groupBy("item_id").count().orderBy(F.desc("count"), "item_id").limit(10).select("item_id")
+    return L.explained(own, titles.join(F.broadcast(best), "item_id", "left_semi"))
 
 
 @query(f"with {WORDS} select doc_id, array_to_string(list_filter(ws, lambda w: length(w) > 3)[1:3], ',') as tags from words")
@@ -145,7 +148,69 @@ def keyword_tags(t: Tables):
     return t.documents.select("doc_id", F.concat_ws(",", F.slice(F.filter(words(t), lambda w: F.length(w) > 3), 1, 3)).alias("tags"))
 
 
-@query("select d.doc_id, concat_ws(' ', d.source, d.lang, left(d.text, 100)) as text from documents d")
+@query("select d.doc_id, concat_ws(' ', d.source, d.lang, d.text) as text from documents d")
 def text_assembly(t: Tables):
     """CLN-10."""
-    return t.documents.select("doc_id", F.concat_ws(" ", "source", "lang", F.substring("text", 1, 100)).alias("text"))
+    return t.documents.select("doc_id", F.concat_ws(" ", "source", "lang", "text").alias("text"))
+
+
+@query("""select page_id, case when page_id % 3 > 0 then trim(title) || ' ' || trim(lang) else trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^.*/', ''), '\\.html?$', ''), '[-_]+', ' ', 'g'), ' ') end as text
+    from (select page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, regexp_extract(html, '<html lang="([^"]*)"', 1) as lang from pages) where page_id % 3 = 0 or trim(title) <> '' and trim(lang) <> ''""")
+def text_or_address(t: Tables):
+    """CLN-10: title and language of a page, or where it has neither (every third one here) the words of its address."""
+    none = F.col("page_id") % 3 == 0
+    title, lang = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.regexp_extract("html", '<html lang="([^"]*)"', 1)
+    rows = t.pages.filter(none | ((F.trim(title) != "") & (F.trim(lang) != "")))
+    return rows.select("page_id", X.assembled(F.col("url"), F.when(~none, title), F.when(~none, lang)).alias("text"))
+
+
+FULL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '<[^>]+>', ' ', 'g'), 'https?://\\S+|www\\.\\S+|[a-zA-Z0-9.-]+\\.(com|vn|net|org|edu|gov)\\S*', ' ', 'g'), '[!\"#$%&''()*+,\\-./:;<=>?@\\[\\]\\\\^_`{|}~“”‘’…–—]', ' ', 'g'), '(^|[^\\p{L}\\p{N}_])[0-9]+([^\\p{L}\\p{N}_]|$)', '\\1 \\2', 'g'), '(^|[^\\p{L}\\p{N}_])[0-9]+([^\\p{L}\\p{N}_]|$)', '\\1 \\2', 'g')"
+
+
+@query(f"select doc_id, term, count(*)::bigint as tf from (select doc_id, unnest(list_filter(string_split_regex(lower({FULL}), '[ \\t\\n\\r\\f\\x0b]+'), lambda w: length(w) between 1 and 50 and w not in ({STOPS}))) as term from documents) group by 1, 2")
+def tokens_full(t: Tables):
+    """TXT-1: all steps, from composed Unicode and numbers to the length of words. There is no segmenter here."""
+    text = X.cleaned(X.composed(F.col("text")), numbers=True)
+    return L.postings(t.documents, X.tokens(text, STOP))
+
+
+@query("select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '<[^>]+>', ' ', 'g'), '[^\\p{L}\\p{N}_\\s]', ' ', 'g'), '\\s+', ' ', 'g'), ' ') as text from documents")
+def simple_clean(t: Tables):
+    """TXT-4."""
+    return t.documents.select("doc_id", X.simple_clean(F.col("text")).alias("text"))
+
+
+@query(f"with {TFIDF.replace(' having count(*) >= 2', ' having term in (select term from (select term, sum(tf) as s from post group by 1 having count(*) >= 2 order by s desc, term limit 200))')} select doc_id, term, round(w, 6) as w from weights")
+def tfidf_max_features(t: Tables):
+    """TXT-9 with the 200 most frequent terms; the limit is the feature."""
+    w = L.tf_idf(posted(t), t.documents.count(), min_df=2, max_features=200)
+    return w.select("doc_id", "term", X.r6(F.col("w")).alias("w"))
+
+
+READ = "r as (select distinct user_id, event_id % (select count(*) from documents) as doc_id from events), "
+
+
+@query(_bm25(OKAPI, PROFILE, 10).replace("where score > 0)", "where score > 0 and not exists (select 1 from r where r.user_id = s.query_id and r.doc_id = s.doc_id))").replace("with words", f"with {READ}words"))
+def bm25_excluding_read(t: Tables):
+    """TXT-13: the profile's best documents without those that the user has read."""
+    post = posted(t)
+    read = reading_history(t).select(F.col("user_id").alias("query_id"), F.col("item").alias("doc_id")).distinct()
+    return L.best_docs(L.bm25(post, L.profile_terms(read_lately(t), post), "okapi"), 10, read)
+
+
+BY_IDF = PROFILE.replace("c as (select user_id, term, sum(tf) as c from h join post using (doc_id) group by 1, 2)", "c as (select user_id, term, round(sum(tf) * ln((n - df + 0.5) / (df + 0.5) + 1), 6) as c from h join post using (doc_id) join df using (term) cross join tot group by user_id, term, n, df)").replace("least(c, 3) as qtf", "1 as qtf")
+DISTINCT = PROFILE.replace("order by c desc, term", "order by term").replace("least(c, 3) as qtf", "1 as qtf")
+
+
+@query(_bm25(OKAPI, BY_IDF, 10))
+def bm25_profile_tfidf(t: Tables):
+    """TXT-17 by TF-IDF."""
+    post = posted(t)
+    return L.best_docs(L.bm25(post, L.profile_terms(read_lately(t), post, how="tfidf"), "okapi"), 10)
+
+
+@query(_bm25(OKAPI, DISTINCT, 10))
+def bm25_profile_distinct(t: Tables):
+    """TXT-17 with each term once."""
+    post = posted(t)
+    return L.best_docs(L.bm25(post, L.profile_terms(read_lately(t), post, how="distinct"), "okapi"), 10)
