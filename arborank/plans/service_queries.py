@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
@@ -14,11 +13,11 @@ from ..operators import ranking as R
 from ..operators import scoring as S
 from ..operators.ordering import by_block, top_per
 from ..sources import files, sinks
-from ..sources.bindings import Tables, interactions, purchases, reading_history, replies
+from ..sources.bindings import Tables, interactions, reading_history, replies
 from ..sources.storage import shared_dir, written
-from .model_queries import BLEND, CATEGORY, CONTENT, FIRST_DAY, METRICS, NODES, RANKED, UNIT, VEC, _metrics, categories, content_scores, first_days, hashed_words, ones, popular_scores, ranked
+from .model_queries import CATEGORY, CONTENT, FIRST_DAY, METRICS, NODES, POP, RANKED, UNIT, VEC, _metrics, categories, content_scores, first_days, hashed_words, popular_scores, ranked
 from .registry import query
-from .text_queries import BY_ITEM, IDF, LENGTH, STOPS, WORDS, item_queries, posted, weighed, TFIDF
+from .text_queries import BY_ITEM, IDF, LENGTH, TFIDF, WORDS, item_queries, posted, weighed
 
 HASHED = "('0x' || substr(md5({}), 1, 8))::bigint / 4294967296.0 - 0.5"
 
@@ -181,10 +180,10 @@ def two_towers_zero_shot(t: Tables):
     return R.masked_top(content_scores(t), reading_history(t, "embeddings").select("user_id", F.col("item").alias("item_id")).distinct(), 10)
 
 
-@query(f"{BLEND.replace('), bl as', '), unused as')}, mm as (select *, min(score) over (partition by user_id) as lo, max(score) over (partition by user_id) as hi from popular), p as (select user_id, item_id, case when hi > lo then (score - lo) / (hi - lo) else 1 end as score from mm) select coalesce(p.user_id, c.user_id) as user_id, coalesce(p.item_id, c.item_id) as item_id, round(0.3 * coalesce(p.score, 0) + 0.7 * coalesce(c.score, 0), 6) as score from p full outer join content c on p.user_id = c.user_id and p.item_id = c.item_id", ("vecread",))
+@query(f"{CONTENT.replace('round(list_dot', '(list_dot').replace(', 6) as score', ') as score')}, {POP}, mm as (select *, min(score) over (partition by user_id) as lo, max(score) over (partition by user_id) as hi from popular), p as (select user_id, item_id, case when hi > lo then (score - lo) / (hi - lo) else 1 end as score from mm) select coalesce(p.user_id, c.user_id) as user_id, coalesce(p.item_id, c.item_id) as item_id, round(0.3 * coalesce(p.score, 0) + 0.7 * coalesce(c.score, 0), 6) as score from p full outer join content c on p.user_id = c.user_id and p.item_id = c.item_id", ("vecread",))
 def hybrid_dense(t: Tables):
     """RNK-8: 0.3 of the scaled popularity and 0.7 of the content score, over all items."""
-    return R.weighted(R.scaled(popular_scores(t)), content_scores(t), 0.3).withColumn("score", X.r6(F.col("score")))
+    return R.weighted(R.scaled(popular_scores(t)), content_scores(t, None), 0.3).withColumn("score", X.r6(F.col("score")))
 
 
 @query(f"with {TFIDF}, {DOCVEC}, sp as (select x.doc_id as user_id, y.doc_id as item_id, sum(x.w * y.w) as score from weights x join weights y using (term) where x.doc_id % 20 = 0 and x.doc_id <> y.doc_id group by 1, 2), de as (select a.doc_id as user_id, b.doc_id as item_id, {COSINE} as score from dv a join dv b on a.doc_id <> b.doc_id where a.doc_id % 20 = 0), m as (select coalesce(sp.user_id, de.user_id) as user_id, coalesce(sp.item_id, de.item_id) as item_id, round(0.2 * coalesce(de.score, 0) + 0.8 * coalesce(sp.score, 0), 6) as score from sp full outer join de on sp.user_id = de.user_id and sp.item_id = de.item_id) select user_id, item_id, score, rk from (select *, row_number() over (partition by user_id order by score desc, item_id) as rk from m) where rk <= 10")
