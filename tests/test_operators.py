@@ -18,9 +18,10 @@ from arborank.sources import bindings
 
 
 def test_clean_ids(spark):
-    raw = ["123.0", "123", "", "nan", None, "N/A", "N/A (Format Error)", "abc", "NO_COMMENT", " 7 ", "1e3"]
-    got = [r[0] for r in spark.createDataFrame([(x,) for x in raw], "s string").select(X.clean_id(F.col("s"))).collect()]
-    assert got == ["123", "123", None, None, None, None, None, "abc", None, "7", "1000"]
+    raw = ["123.0", "123", "", "nan", "NaN", "NAN", None, "N/A", "N/A (Format Error)", "abc", "NO_COMMENT", " 7 ", "1e3", "inf"]
+    rows = spark.createDataFrame([(x,) for x in raw], "s string").select(X.clean_id(F.col("s")), X.real_id(F.col("s"))).collect()
+    assert [r[0] for r in rows] == ["123", "123", None, None, None, None, None, "N/A", "N/A (Format Error)", "abc", "NO_COMMENT", "7", "1000", "inf"]
+    assert [r[1] for r in rows] == ["123", "123", None, None, None, None, None, None, None, "abc", None, "7", "1000", "inf"]
 
 
 def test_reactions(spark):
@@ -30,10 +31,14 @@ def test_reactions(spark):
 
 
 def test_dates(spark):
-    raw = ["2h trước", "30p trước", "23:59 31/12", "08:00 1/1", "10:00 29/2", "junk", None, "25:00 1/1"]
+    cases = {
+        "2h trước": "2025-01-01 10:00:00", "30p trước": "2025-01-01 11:30:00", "5h trước - site": "2025-01-01 07:00:00", "3p trước, 2h trước": "2025-01-01 10:00:00",
+        "23:59 31/12": "2024-12-31 23:59:00", "08:00 1/1": "2025-01-01 08:00:00", "9:5  1/1": "2025-01-01 09:05:00", "Lúc 9:05 1/1 (GMT+7)": "2025-01-01 09:05:00",
+        "10:00 29/2": None, "25:00 1/1": None, "junk": None, "": None, "nan": None, None: None,
+    }
     now = F.lit("2025-01-01 12:00:00").cast("timestamp")
-    rows = spark.createDataFrame([(x,) for x in raw], "s string").select(X.relative_date(F.col("s"), now).cast("string")).collect()
-    assert [r[0] for r in rows] == ["2025-01-01 10:00:00", "2025-01-01 11:30:00", "2024-12-31 23:59:00", "2025-01-01 08:00:00", "2024-02-29 10:00:00", None, None, None]
+    rows = spark.createDataFrame([(x,) for x in cases], "s string").select("s", X.relative_date(F.col("s"), now).cast("string").alias("at")).collect()
+    assert {r.s: r["at"] for r in rows} == cases
     rows = spark.createDataFrame([("on 05/11/2023, 10:00",), ("none",), ("31/02/2023",), (None,)], "s string").select(X.day_in_text(F.col("s"))).collect()
     assert [r[0] for r in rows] == [datetime.date(2023, 11, 5), None, None, None]
 
@@ -252,3 +257,47 @@ def test_ranking_over_all_neighbours(spark):
     got = {(x.user_id, x.rk): round(x.score, 5) for x in entry.queries()["rank_masked_top10_all"](spark, data).collect()}
     assert got.keys() == want.keys()
     assert all(abs(got[k] - want[k]) < 2e-5 for k in want)
+
+
+def test_running_sums(spark):
+    rows = [(k, (k * 7) % 5) for k in range(50)]
+    got = {r.k: r.total for r in O.running(spark.createDataFrame(rows, "k int, v int"), ["k"], F.col("v"), "total").collect()}
+    assert got == {k: sum(v for j, v in rows if j <= k) for k, _ in rows}
+    assert O.running(spark.createDataFrame([], "k int, v int"), ["k"], F.col("v"), "total").collect() == []
+
+
+def test_wide_keys_are_paired_in_parts(spark, monkeypatch):
+    rows = spark.createDataFrame([(1 if k < 40 else k, k, float(k % 3)) for k in range(60)], "user_id long, item_id long, r double")
+    pairs = lambda: sorted(tuple(r) for r in S.overlaps(rows, "user_id", "item_id").collect())
+    want = pairs()
+    monkeypatch.setattr(O, "WIDE_KEY", 7)
+    assert pairs() == want and len(want) == 40 * 39
+    assert max(r["__part"] for r in O.paired(rows, "user_id", "item_id")[0].collect()) > 0
+
+
+def test_query_sets_go_in_blocks(spark):
+    rows = spark.createDataFrame([(k, [float(k), 1.0, float(k % 4)]) for k in range(30)], "vec_id long, embedding array<double>")
+    whole = S.similar_vectors(rows, rows, 3)
+    near = lambda block: block.select("vec_id")
+    assert sorted(r[0] for r in O.by_block(rows, "vec_id", near, size=4).collect()) == list(range(30))
+    assert whole.count() == 90
+
+
+def test_negatives_of_users_with_few_free_items(spark):
+    pairs = spark.createDataFrame([(u, i) for u in range(4) for i in range(12) if u == 3 or i < 9 - u], "user_id long, item_id long")
+    got = [tuple(r) for r in I.negatives(pairs, pairs, pairs, 5).collect()]
+    own = {tuple(r) for r in pairs.collect()}
+    assert len(got) == len(set(got)) and not set(got) & own
+    assert {u: sum(x == u for x, _ in got) for u in range(4)} == {0: 3, 1: 4, 2: 5, 3: 0}
+
+
+def test_composed_and_simple_text(spark):
+    rows = spark.createDataFrame([("e\u0301t\u00e9 <b>A-1</b>  x_y!",), (None,), ("",)], "s string").select(X.composed(F.col("s")), X.simple_clean(X.composed(F.col("s")))).collect()
+    assert [tuple(r) for r in rows] == [("\u00e9t\u00e9 <b>A-1</b>  x_y!", "\u00e9t\u00e9 a 1 x_y"), (None, ""), ("", "")]
+
+
+def test_social_noise_keeps_the_signs(spark):
+    rows = spark.createDataFrame([("a", 0, 0.5), ("a", 1, -0.5), ("b", 0, 0.0), ("b", 1, 2.0)], "node string, dim int, value double")
+    got = {(r.node, r.dim): r.value for r in S.noisy(rows, 0).collect()}
+    assert got["a", 0] > 0.5 and got["a", 1] < -0.5 and got["b", 0] == 0 and got["b", 1] > 2
+    assert abs(math.hypot(got["a", 0] - 0.5, got["a", 1] + 0.5) - 0.1) < 1e-9

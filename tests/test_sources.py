@@ -157,3 +157,39 @@ def test_quantizer(spark):
     rows = spark.createDataFrame([(k, r.normal(size=4).tolist()) for k in range(60)], "vec_id long, embedding array<double>")
     got = S.quantize(rows, 2, 4).collect()
     assert all(len(x.codes) == 2 and all(0 <= c < 4 for c in x.codes) for x in got) and len(got) == 60
+
+
+def test_settings(spark, tmp_path):
+    (tmp_path / "c.toml").write_text('name = "x"\n[spark]\n"spark.sql.shuffle.partitions" = 4\n[crawl]\npages = [1, 2]\n')
+    assert files.settings(spark, str(tmp_path / "c.toml")) == {"name": "x", "spark": {"spark.sql.shuffle.partitions": 4}, "crawl": {"pages": [1, 2]}}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+
+
+def test_checkpoints_of_the_wrong_shape_are_left(spark, tmp_path):
+    factors = spark.createDataFrame([(1, [1.0, 2.0]), (2, [0.0, 1.0])], "id long, v array<double>")
+    sinks.save_checkpoint(factors, str(tmp_path), "a", 5, 2)
+    assert sinks.best_checkpoint(spark, str(tmp_path), 3, 2) is None
+    assert sinks.best_checkpoint(spark, str(tmp_path), 2, 2).count() == 2
+
+
+def test_texts_survive_csv(spark, tmp_path):
+    rows = [(1, ' "a",\n b \\" '), (2, "x\t,;"), (3, "é\n\n")]
+    sinks.write_csv(spark.createDataFrame(rows, "k long, s string"), str(tmp_path / "t"))
+    assert sorted(tuple(r) for r in files.csv_table(spark, str(tmp_path / "t"), "k long, s string").collect()) == rows
+
+
+def test_lsa_is_the_best_rank(spark):
+    r = np.random.default_rng(4)
+    dense = np.abs(r.normal(size=(15, 3)) @ r.normal(size=(3, 10)))
+    weights = spark.createDataFrame([(d, f"t{k}", float(dense[d, k])) for d in range(15) for k in range(10)], "doc_id long, term string, w double")
+    got = {x.vec_id: np.array(x.embedding) for x in M.lsa(weights, 10, rounds=8).collect()}
+    mine = np.array([[got[a] @ got[b] for b in range(15)] for a in range(15)])
+    assert np.abs(mine - dense @ dense.T).max() < 1e-6
+
+
+def test_training_ends_when_it_gets_no_better(spark):
+    triples = spark.createDataFrame([(u, u % 3, (u + 1) % 3) for u in range(9)], "user_id long, pos long, neg long")
+    start = lambda key, n: spark.range(n).select(F.col("id").alias(key), F.transform(F.sequence(F.lit(1), F.lit(2)), lambda d: X.hash_unit(F.lit(key), F.col("id"), d) - 0.5).alias("v"))
+    values = iter([1.0, 2.0, 1.5, 1.2, 9.0])
+    users, _, seen = M.trained(triples, start("user_id", 9), start("item_id", 3), lambda u, i: next(values), rounds=10, patience=2)
+    assert seen == [(0, 1.0), (1, 2.0), (2, 1.5), (3, 1.2)] and users.count() == 9
