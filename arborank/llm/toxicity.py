@@ -4,7 +4,8 @@ A sentence's score is a logistic function of its words' features (the word and i
 unless all of its sentences are clean: p(document) = 1 - product of (1 - p(sentence)). Training reads at most
 `max_per_class` labelled documents a class, those with the smallest hash of their id: their features are counted on Spark, the
 best are kept, and the likelihood of the document labels is climbed over the sentences that hold any. Classes are
-weighted back to their shares. Scoring reads every whole text and also names the sentences that score highest.
+weighted back to their shares. A sentence without any of the features counts nothing, so that length alone makes no document toxic.
+Scoring reads every whole text and also names the sentences that score highest.
 
 Defined cases: a null or empty text has no sentence and scores 0; without labels of both classes the model knows no feature; an id with
 several labels is toxic if any says so; repeated rows are scored each; labels without a document are unused.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import slices
 
 SENTENCE = re.compile(r"[.!?\n…]+")
-#: A sentence without any known feature scores at most e^-12, so that not even 10,000 of them make a document toxic.
+#: The largest log odds of a sentence before its features count.
 BIAS = -12.0
 EDGES = ".,;:!?\"'()[]{}<>|*#-_“”«»¡¿"
 
@@ -62,12 +63,13 @@ class WordScores(dict):
 
 
 def sampled(docs: DataFrame, labels: DataFrame, max_per_class: int) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, text, toxic) of the sample, and the number of labelled ids a class."""
+    """(doc_id, text, toxic) of the sample, a row an id, and the number of labelled ids a class."""
     labels = labels.filter("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r.toxic: r["count"] for r in labels.groupBy("toxic").count().collect()}
     part = [labels.filter(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for k in (0, 1)]
     chosen = part[0].unionByName(part[1])  # 2 * max_per_class rows at most
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id"), sizes
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(chosen), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic")), sizes  # one row an id
 
 
 def train(docs: DataFrame, labels: DataFrame, max_per_class: int = 4000, max_features: int = 4000, rounds: int = 600) -> Model:
@@ -104,29 +106,24 @@ def best_features(rows: DataFrame, taken: dict[int, int], most: int) -> dict[str
 
 
 def bags(rows: DataFrame, chosen: dict[str, float]) -> DataFrame:
-    """toxic, n (sentences), hits (of each sentence that has any chosen feature, their numbers)."""
+    """toxic, hits (of each sentence that has any chosen feature, their numbers)."""
     numbers = {f: k for k, f in enumerate(chosen)}
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            n, hits = [], []
-            for t in texts:
-                parts = sentences(t.decode("utf-8", "replace"))
-                n.append(len(parts))
-                hits.append([x for s in parts if (x := [numbers[f] for w in s.split() for f in features(w) if f in numbers])])
-            yield pa.RecordBatch.from_arrays([part.column(2).cast(pa.int32()), pa.array(n, pa.int32()), pa.array(hits, pa.list_(pa.list_(pa.int32())))], ["toxic", "n", "hits"])
+            hits = [[x for s in sentences(t.decode("utf-8", "replace")) if (x := [numbers[f] for w in s.split() for f in features(w) if f in numbers])] for t in texts]
+            yield pa.RecordBatch.from_arrays([part.column(2).cast(pa.int32()), pa.array(hits, pa.list_(pa.list_(pa.int32())))], ["toxic", "hits"])
 
-    return rows.select("doc_id", "text", "toxic").mapInArrow(each, "toxic int, n int, hits array<array<int>>")
+    return rows.select("doc_id", "text", "toxic").mapInArrow(each, "toxic int, hits array<array<int>>")
 
 
-def fit(bags: list[tuple[int, int, list[list[int]]]], chosen: dict[str, float], weight: dict[int, float], rounds: int, decay: float = 1e-4, step: float = 0.05) -> Model:
+def fit(bags: list[tuple[int, list[list[int]]]], chosen: dict[str, float], weight: dict[int, float], rounds: int, decay: float = 1e-4, step: float = 0.05) -> Model:
     """Climbs the weighted likelihood of the noisy-or by Adam. With softplus s(z) summed over the sentences to S, p = 1 - exp(-S)."""
     toxic = np.array([b[0] for b in bags], float)
-    plain = np.array([b[1] - len(b[2]) for b in bags], float)
     each = np.array([weight[int(y)] for y in toxic])
     each /= each.sum()
-    doc = np.array([d for d, b in enumerate(bags) for _ in b[2]], np.int64)
-    hits = [x for b in bags for x in b[2]]
+    doc = np.array([d for d, b in enumerate(bags) for _ in b[1]], np.int64)
+    hits = [x for b in bags for x in b[1]]
     sentence = np.repeat(np.arange(len(hits)), [len(x) for x in hits])
     feature = np.array([f for x in hits for f in x], np.int64)
     w, b = 0.5 * np.clip(np.array(list(chosen.values())), -4, 6), BIAS
@@ -134,11 +131,10 @@ def fit(bags: list[tuple[int, int, list[list[int]]]], chosen: dict[str, float],
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
     for t in range(1, rounds + 1):
         z = b + np.bincount(sentence, w[feature], len(hits)) if len(hits) else np.zeros(0)
-        total = np.bincount(doc, np.logaddexp(0, z), len(bags)) + plain * np.logaddexp(0, b)
+        total = np.bincount(doc, np.logaddexp(0, z), len(bags))
         pull = each * np.where(toxic > 0, -1 / np.expm1(np.clip(total, 1e-9, 500)), 1.0)
-        sigma, plain_sigma = 1 / (1 + np.exp(-np.clip(z, -50, 50))), 1 / (1 + np.exp(-b))
-        dz = pull[doc] * sigma
-        grad = np.concatenate([np.bincount(feature, dz[sentence], len(w)) + decay * (w - start), [dz.sum() + (pull * plain).sum() * plain_sigma + 1e-4 * (b - BIAS)]])
+        dz = pull[doc] / (1 + np.exp(-np.clip(z, -50, 50)))
+        grad = np.concatenate([np.bincount(feature, dz[sentence], len(w)) + decay * (w - start), [dz.sum() + 1e-4 * (b - BIAS)]])
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-10)
         w, b = w - move[:-1], float(min(b - move[-1], BIAS))
@@ -148,7 +144,6 @@ def fit(bags: list[tuple[int, int, list[list[int]]]], chosen: dict[str, float],
 def noisy_or(text: str, bias: float, words: WordScores) -> tuple[float, int, list[tuple[float, int]]]:
     """The document's score, its number of sentences, and (score, number) of those above 0.5."""
     parts, total, top = sentences(text), 0.0, []
-    plain = math.log1p(math.exp(bias))
     for k, s in enumerate(parts):
         x = sum(map(words.__getitem__, s.split()))
         if x:
@@ -156,8 +151,6 @@ def noisy_or(text: str, bias: float, words: WordScores) -> tuple[float, int, lis
             total += math.log1p(math.exp(z)) if z < 30 else z
             if z > 0:
                 top.append((1 / (1 + math.exp(-min(z, 50))), k))
-        else:
-            total += plain
     return -math.expm1(-total), len(parts), top
 
 
