@@ -17,8 +17,10 @@ OP5 = f"""
 with p as (select page_id, coalesce(url, '') as url from pages),
 h as (select page_id, {LOW.format("regexp_extract(url, '^.*?://([^/?#]*)', 1, 's')")} as host, regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's') as path from p),
 lab as (select doc_id as page_id, max(quality) as good from labels where doc_id is not null group by 1),
-o as (select host, count(good)::double as n, coalesce(sum(good), 0)::double as k, string_split(host, '.') as parts from h left join lab using (page_id) group by host),
-hosts as (select host, n, k, parts[-1] as suffix, array_to_string(parts[-2:], '.') as domain from o),
+o as (select host, count(good)::double as n, coalesce(sum(good), 0)::double as k, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') as bare from h left join lab using (page_id) where host <> '' group by host),
+ol as (select *, string_split(bare, '.') as parts, regexp_matches(bare, '^[0-9.]+$|^\\[') as numeric from o),
+ot as (select *, case when length(parts[-1]) = 2 and len(parts) > 1 and parts[-2] in ('co', 'com', 'org', 'net', 'edu', 'gov', 'ac', 'or', 'ne', 'go') then 2 else 1 end as labels from ol),
+hosts as (select host, n, k, case when numeric then bare else array_to_string(parts[-labels:], '.') end as suffix, case when numeric then bare else array_to_string(parts[-(labels + 1):], '.') end as domain from ot),
 domains as (select domain, suffix, sum(n) as n, sum(k) as k from hosts group by 1, 2),
 suffixes as (select suffix, sum(n) as n, sum(k) as k from domains group by 1),
 lv as (select 'h' as lv, n, k from hosts where n > 0 union all select 'd', n, k from domains where n > 0 union all select 's', n, k from suffixes where n > 0),
@@ -30,7 +32,7 @@ pri as (select case when sum(n) > 0 then (sum(k) + 1) / (sum(n) + 2) else 1.0 en
 g1 as (select suffix, (k + ss * mean) / (n + ss) as g from suffixes, pri),
 g2 as (select domain, suffix, (d.k + sd * g) / (d.n + sd) as g from domains d join g1 using (suffix), pri),
 g3 as (select host, (k + sh * g) / (n + sh) as p_good, n + sh + 1 as t from hosts join g2 using (domain, suffix), pri),
-j as (select page_id, host, path, p_good, greatest(0, p_good - 1.645 * sqrt(p_good * (1 - p_good) / t)) as good_from from h join g3 using (host)),
+j as (select page_id, host, path, p_good, greatest(0, p_good - 1.645 * sqrt(p_good * (1 - p_good) / t)) as good_from from h left join g3 using (host)),
 r as (select *, case
     when (host = 'example.com' or ends_with(host, '.example.com')) and starts_with(path, '/en/7') then 'example.com/en/7'
     when (host = 'example.net' or ends_with(host, '.example.net')) and starts_with(path, '/de/8') then 'example.net/de/8'

@@ -3,10 +3,13 @@
 Labelled pages give each host a number of outcomes and of good ones. The share of good pages is shrunk through
 beta-binomial priors: a suffix toward all pages, a registered domain toward its suffix, a host toward its domain. How strongly
 each level holds its members together is estimated from the spread among them. A host stays while the lower bound of
-its posterior reaches `min_good`.
+its posterior reaches `min_good`; the bound is the normal one by the beta posterior's mean and variance, as SQL has no beta quantile.
 
-Defined cases: a null url, or one without "://", has an empty host and path and is judged like a host with no outcomes; an id
-with several labels counts once, by the best; repeated rows are judged each. Other columns are ignored.
+User names and ports are no part of a domain, and a numeric address is its own domain and suffix. Under a country's two letters the labels of
+SECOND make a suffix of two.
+
+Defined cases: a null url, or one without "://", has an empty host and path, counts as no host's outcome and is allowed unless a rule says
+otherwise; an id with several labels counts once, by the best; repeated rows are judged each. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -14,10 +17,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, written
+from .common import LOWER, UPPER, spread_join, written
 
-#: Suffixes of two labels; any other suffix is a host's last label.
-LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "com.br", "co.jp", "co.nz", "co.in", "com.cn", "co.za")
+#: Labels that stand before a country's.
+SECOND = ("co", "com", "org", "net", "edu", "gov", "ac", "or", "ne", "go")
 
 
 def host_of(url: Column) -> Column:
@@ -28,15 +31,28 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def bare(host: Column) -> Column:
+    """Without user name and port."""
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
+
+
+def suffix_labels(host: Column) -> Column:
+    """How many labels the suffix of a bare host has; null for numeric addresses."""
+    last, two = F.substring_index(host, ".", -1), F.substring_index(host, ".", -2)
+    long = (F.length(last) == 2) & F.substring_index(two, ".", 1).isin(*SECOND) & (two != last)
+    return F.when(host.rlike(r"^[0-9.]+$|^\["), None).when(long, 2).otherwise(1)
+
+
 def suffix_of(host: Column) -> Column:
-    last = F.substring_index(host, ".", -1)
-    two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*LONG_SUFFIXES), two).otherwise(last)
+    """Of a bare host."""
+    n = suffix_labels(host)
+    return F.when(n.isNull(), host).when(n == 2, F.substring_index(host, ".", -2)).otherwise(F.substring_index(host, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
-    """The registered domain: the suffix and one label before it."""
-    return F.when(F.substring_index(host, ".", -2).isin(*LONG_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
+    """The registered domain of a bare host: the suffix and one label before it."""
+    n = suffix_labels(host)
+    return F.when(n.isNull(), host).when(n == 2, F.substring_index(host, ".", -3)).otherwise(F.substring_index(host, ".", -2))
 
 
 def ruled(rules: list[tuple[str, str]], host: Column, path: Column) -> tuple[Column, Column]:
@@ -68,8 +84,8 @@ def strength(groups: DataFrame) -> float:
 
 def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     """host, p_good and good_from (its lower posterior bound). outcomes: host, good (1, 0 or null for no label)."""
-    hosts = outcomes.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
-    hosts = written(hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), F.col("n").cast("double").alias("n"), F.col("k").cast("double").alias("k")), "host-outcomes")
+    hosts = outcomes.filter("host <> ''").groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
+    hosts = written(hosts.select("host", domain_of(bare(F.col("host"))).alias("domain"), suffix_of(bare(F.col("host"))).alias("suffix"), F.col("n").cast("double").alias("n"), F.col("k").cast("double").alias("k")), "host-outcomes")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
@@ -93,5 +109,5 @@ def filter_urls(pages: DataFrame, labels: DataFrame, rules: list[tuple[str, str]
     good = labels.filter("page_id is not null").groupBy("page_id").agg(F.max("good").alias("good"))
     known = reputation(rows.select("page_id", "host").join(good, "page_id", "left"))
     rule, verdict = ruled(rules, F.col("host"), F.col("path"))
-    judged = rows.join(known, "host", "left")
+    judged = spread_join(rows, known, ["host"], F.xxhash64("page_id", "path"), "left")
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("good_from") < min_good, "block").otherwise("allow")).alias("verdict"), "p_good", "good_from")
