@@ -1,7 +1,8 @@
 """WARC archives in which a repeated payload is stored once and revisited by the other records.
 
 Only headers (id, payload digest, size) are dealt out by digest to find repeated payloads. Records are laid out by SQL
-expressions and written by Spark's text sink, one gzip file a task, so that any file system Spark knows will do; files are bounded in records.
+expressions and written by Spark's text sink, one gzip file a task, so that any file system Spark knows will do; files are bounded in
+records such that they stay near FILE_BYTES, and below MOST_BYTES even if all of their pages are as large as the largest.
 Reading takes whole files as bytes, walks the records by their Content-Length, checks each payload against its digest, and
 joins revisits to their originals by digest.
 
@@ -20,13 +21,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NULL_ID, shared_dir, written
+from .common import NULL_ID, shared_dir, spread_join, written
 
 END = "\r\n"
 #: Fixed value: the profile of a revisit record with an identical payload, from the WARC 1.1 standard.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The date of all records, as the pages have none.
 DATE = "2000-01-01T00:00:00Z"
+FILE_BYTES, MOST_BYTES = 64 << 20, 1 << 30
 
 
 def record_id(page: Column, digest: Column) -> Column:
@@ -38,12 +40,17 @@ def with_revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     """page (id, nulls as the smallest), url, payload, digest, original (the id of the response that a revisit refers to)."""
     rows = pages.select(F.coalesce(F.col("page_id").cast("long"), F.lit(NULL_ID)).alias("page"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
-    headers = written(rows.select("page", "digest", F.octet_length("payload").alias("size")).filter(F.col("size") >= min_bytes).select("page", "digest"), "warc-headers")
+    headers = headers_of(rows, min_bytes)
     last = headers.groupBy("digest").agg(F.max("page").alias("original"), F.min("page").alias("least")).filter("least < original").select("digest", "original")
-    revisits = headers.join(last, "digest").filter("page < original").select("page", "digest", "original").distinct()
+    revisits = spread_join(headers, last, ["digest"], F.xxhash64("page")).filter("page < original").select("page", "digest", "original").distinct()
     return rows.join(revisits, ["page", "digest"], "left")
 
 
+def headers_of(rows: DataFrame, min_bytes: int) -> DataFrame:
+    """page, digest of the payloads that can be revisited."""
+    return written(rows.filter(F.octet_length("payload") >= min_bytes).select("page", "digest"), "warc-headers")
+
+
 def records(rows: DataFrame) -> DataFrame:
     """value: one record each, without the two line ends that close it."""
     revisit = F.col("original").isNotNull()
@@ -64,6 +71,13 @@ def records(rows: DataFrame) -> DataFrame:
     return rows.withColumn("block", block).select(F.concat(F.concat_ws(END, *lines), F.lit(END * 2), F.col("block")).alias("value"))
 
 
+def records_for(pages: DataFrame) -> int:
+    """How many records a file may have."""
+    size = F.octet_length(F.coalesce(F.col("html").cast("string"), F.lit("")))
+    mean, most = pages.agg(F.avg(size), F.max(size)).first()
+    return int(max(1, min(2000, FILE_BYTES // (mean or 1) or 1, MOST_BYTES // (most or 1))))
+
+
 def write_archives(rows: DataFrame, path: str, records_per_file: int = 2000) -> None:
     records(rows).write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
@@ -114,7 +128,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 def resolved(headers: DataFrame, min_bytes: int) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to; revisits take theirs from the response with their digest."""
     originals = headers.filter(f"record_type = 'response' and size >= {min_bytes}").groupBy("digest").agg(F.max("page").alias("original"), F.max("size").alias("full"))
-    revisits = headers.filter("record_type = 'revisit'").join(originals, "digest", "left")
+    revisits = spread_join(headers.filter("record_type = 'revisit'"), originals, ["digest"], F.xxhash64("page"), "left")
     shown = F.when(F.col("page") != NULL_ID, F.col("page"))
     first = headers.filter("record_type = 'response'").select(shown.alias("page_id"), F.col("size").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.lit(None).cast("long").alias("refers_to"))
     return first.unionByName(revisits.select(shown.alias("page_id"), F.col("full").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "record_type", F.col("original").alias("refers_to")))
@@ -123,5 +137,5 @@ def resolved(headers: DataFrame, min_bytes: int) -> DataFrame:
 def round_trip(pages: DataFrame, min_bytes: int = 1000, path: str | None = None) -> DataFrame:
     """Writes deduplicated archives of pages (page_id, url, html) to `path` and reads them back."""
     path = path or shared_dir(pages.sparkSession, "warc")
-    write_archives(with_revisits(pages, min_bytes), path)
+    write_archives(with_revisits(pages, min_bytes), path, records_for(pages))
     return resolved(written(read_archives(pages.sparkSession, path), "warc-read"), min_bytes)

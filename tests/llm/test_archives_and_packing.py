@@ -24,6 +24,23 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages_df(spark, [])).collect() == []
 
 
+def test_files_are_bounded_by_their_bytes(spark, tmp_path):
+    assert warc.records_for(pages_df(spark, [])) == 2000
+    assert warc.records_for(pages_df(spark, [(1, "x" * 100)])) == 2000
+    assert warc.records_for(pages_df(spark, [(1, "x" * 100_000)] * 3)) == (64 << 20) // 100_000
+    assert warc.records_for(pages_df(spark, [(1, "x" * 20_000_000), (2, "y")])) == 6
+
+
+def test_a_payload_behind_many_pages(spark, monkeypatch):
+    """Its rows are dealt over several tasks; the result is the same."""
+    from arborank.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 10)
+    pages = [(k, LONG if k % 3 else LONG + str(k % 50)) for k in range(120)] + [(None, LONG)]
+    rows = warc.round_trip(pages_df(spark, pages)).collect()
+    assert ordered(tuple(r) for r in rows) == ordered(brute.warc(pages))
+
+
 def test_warc_records_are_whole(spark, tmp_path):
     path = str(tmp_path / "archive")
     warc.write_archives(warc.with_revisits(pages_df(spark, PAGES), 1000), path)
