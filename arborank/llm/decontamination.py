@@ -138,33 +138,66 @@ class Index:
 
     def matches(self, words: list[bytes], seeds: list[tuple[int, int, int]], least: float) -> dict[int, tuple[float, int]]:
         """item -> (similarity, first word of its best window, the first of equals)."""
-        windows = defaultdict(set)
+        spans = defaultdict(list)
         for at, k, n in seeds:
             last = max(0, len(words) - n)
-            windows[n].update(range(min(last, max(0, at + k - n)), min(last, at) + 1))
+            spans[n].append((min(last, max(0, at + k - n)), min(last, at)))
         best: dict[int, tuple[float, int]] = {}
-        for n, starts in windows.items():
+        for n, own_spans in spans.items():
             own, size = self.lengths[n], min(n, len(words))
             k = min(SHINGLE, n)
             if size < k:
                 continue
-            starts = np.array(sorted(starts))
-            for run in np.split(starts, np.flatnonzero(np.diff(starts) > n) + 1):
-                a, b = int(run[0]), int(run[-1]) + size
+            for a, last in joined(own_spans):
+                b = last + size
                 here = [b" ".join(words[i : i + k]) for i in range(a, b - k + 1)]
                 sums = np.concatenate([np.zeros((1, 64), np.int32), np.cumsum([bits_of(s) for s in here], axis=0)])
-                at = run - a
-                prints = packed(sums[at + size - k + 1] - sums[at])
+                at, held = np.arange(last - a + 1), size - k + 1
+                prints = packed(sums[at + held] - sums[at])
                 may = np.zeros(len(prints), bool)
                 for block in range(BLOCKS):
                     may |= own.tables[block, ((prints >> np.uint64(16 * block)) & np.uint64(0xFFFF)).astype(np.int64)]
-                for j in np.flatnonzero(may).tolist():
-                    for i in np.flatnonzero(np.bitwise_count(own.prints ^ prints[j]) <= RADIUS).tolist():
-                        s = similarity(own.weights[i], Counter(here[at[j] : at[j] + size - k + 1]))
-                        if s >= least and s > best.get(own.items[i], (0, 0))[0]:
-                            best[own.items[i]] = s, int(run[j])
+                near = np.flatnonzero(may)
+                for i in range(len(own.items)):
+                    found = near[np.bitwise_count(prints[near] ^ own.prints[i]) <= RADIUS]
+                    if len(found):
+                        shared = self.overlaps(own.weights[i], here, held, int(found[0]), int(found[-1]))[found - found[0]]
+                        s = shared / (own.weights[i].total() + held - shared)
+                        j = int(np.argmax(s))
+                        item = own.items[i]
+                        if s[j] >= least and (item not in best or (-s[j], a + int(found[j])) < (-best[item][0], best[item][1])):
+                            best[item] = float(s[j]), a + int(found[j])
         return best
 
+    @staticmethod
+    def overlaps(weights: Counter, here: list[bytes], held: int, first: int, last: int) -> np.ndarray:
+        """Shared weight of an item and each of the windows of `held` shingles that start from `first` to `last`: each step takes one shingle in and one out."""
+        count, shared, out = Counter(), 0, np.zeros(last - first + 1, np.int64)
+        for j in range(first, last + held):
+            s = here[j]
+            if s in weights:
+                count[s] += 1
+                shared += count[s] <= weights[s]
+            if j >= first + held - 1:
+                at = j - held + 1
+                out[at - first] = shared
+                s = here[at]
+                if s in weights:
+                    shared -= count[s] <= weights[s]
+                    count[s] -= 1
+        return out
+
+
+def joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans (first, last) that meet or touch as one."""
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1] + 1:
+            out[-1] = out[-1][0], max(b, out[-1][1])
+        else:
+            out.append((a, b))
+    return out
+
 
 def parts_of(benchmark: DataFrame, most: int = PART_BYTES) -> Iterator[list[tuple[int | None, bytes]]]:
     """The items in parts of at most `most` bytes (one item at least)."""
