@@ -196,3 +196,33 @@ def contaminated(docs, items, least=0.8):
                 if s >= least and s > found.get((d, i), 0):
                     found[d, i] = s
     return found
+
+
+def judged(docs, rules, keep_from=0.5, rounds=100, prior=0.8, start=(0.95, 0.5), weight=20.0):
+    """{row: (p_good, kept)} of the weak supervision, document by document. rules: a list of functions of the measures that say 1, -1 or 0."""
+    import math
+
+    votes = []
+    for m, (_, t) in zip(measures(docs), docs, strict=True):
+        names = {"n_words": m[1], "word_chars": m[2], "n_symbols": m[3], "n_dup_lines": m[4], "n_repeat_words": m[5]}
+        names["n_lines"] = sum(bool(WORD.search(x)) for x in (t or "").split("\n"))
+        votes.append([r(names) for r in rules])
+    share, right = prior, [list(start) for _ in rules]
+
+    def post(v):
+        odds = math.log(share / (1 - share))
+        for x, (g, b) in zip(v, right, strict=True):
+            odds += {1: math.log(g / (1 - b)), -1: math.log((1 - g) / b), 0: 0.0}[x]
+        return 1 / (1 + math.exp(-odds))
+
+    for _ in range(rounds if votes else 0):
+        p = [post(v) for v in votes]
+        share = min(0.99, max(0.01, (prior * weight + sum(p)) / (weight + len(p))))
+        new = []
+        for j in range(len(rules)):
+            good = (start[0] * weight + sum(x for x, v in zip(p, votes, strict=True) if v[j] == 1)) / (weight + sum(x for x, v in zip(p, votes, strict=True) if v[j]))
+            bad = (start[1] * weight + sum(1 - x for x, v in zip(p, votes, strict=True) if v[j] == -1)) / (weight + sum(1 - x for x, v in zip(p, votes, strict=True) if v[j]))
+            good = min(0.99, max(0.5, good))
+            new.append([good, min(0.99, max(1.05 - good, bad))])
+        right = new
+    return [(post(v), post(v) >= keep_from) for v in votes]

@@ -55,6 +55,42 @@ def test_toxicity_score_column_agrees(spark):
     assert a == b
 
 
+def test_length_alone_makes_no_document_toxic(spark):
+    docs, labels = labelled(60)
+    model = toxicity.train(documents_df(spark, docs), spark.createDataFrame(labels, "doc_id long, toxic int"))
+    clean = "A plain sentence of no kind. " * 200_000
+    assert toxicity.noisy_or(clean, model.bias, toxicity.WordScores(model.weights))[0] == 0.0
+    one = toxicity.noisy_or(docs[0][1], model.bias, toxicity.WordScores(model.weights))[0]
+    assert abs(toxicity.noisy_or(docs[0][1] + ". " + clean, model.bias, toxicity.WordScores(model.weights))[0] - one) < 1e-9
+
+
+def test_toxicity_scores_against_plain_python(spark):
+    """Scores are the noisy-or of logistic sentence scores by the model's weights."""
+    import math
+
+    docs, labels = labelled(90)
+    df = documents_df(spark, [*docs, (None, None), (901, "zorgleing! zorgleing? \n.\n")])
+    model = toxicity.train(df, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    texts = dict([*docs, (None, ""), (901, "zorgleing! zorgleing? \n.\n")])
+    for r in toxicity.scored(df, model).collect():
+        clean = 1.0
+        for part in toxicity.SENTENCE.split(texts[r.doc_id]):
+            x = sum(model.weights.get(f, 0.0) for w in part.split() for f in toxicity.features(w))
+            if x:
+                clean *= 1 - 1 / (1 + math.exp(-min(x + model.bias, 30)))
+        assert abs(r.score - (1 - clean)) < 1e-9
+
+
+def test_held_out_accuracy_on_the_tables(spark):
+    """On documents whose labels the model never saw, scores tell the classes apart."""
+    read = lambda name: spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet")
+    rows = toxicity.rate(read("documents"), read("labels")).join(read("labels"), "doc_id").filter(toxicity.held_out()).select("score", "toxic").collect()
+    bad, fine = [r.score for r in rows if r.toxic], [r.score for r in rows if not r.toxic]
+    assert len(bad) > 5 and len(fine) > 50
+    assert sum((b > f) + 0.5 * (b == f) for b in bad for f in fine) >= 0.9 * len(bad) * len(fine)
+    assert sum(f >= 0.7 for f in fine) <= 0.03 * len(fine)
+
+
 def test_held_out_is_by_crc32(spark):
     import zlib
 
@@ -220,6 +256,19 @@ def test_urls(spark):
     assert url_filter.filter_urls(pages_df(spark, []), labels, queries.URL_RULES).collect() == []
 
 
+def test_labelled_pages_without_a_host_are_no_host(spark):
+    rows = [(k, None) for k in range(30)] + [(100 + k, f"http://good.com/{k}") for k in range(30)]
+    labels = spark.createDataFrame([(k, 0) for k in range(30)] + [(100 + k, 1) for k in range(30)], "page_id long, good int")
+    assert {r.verdict for r in url_filter.filter_urls(pages_df(spark, rows), labels, []).collect()} == {"allow"}
+
+
+def test_domains_and_suffixes(spark):
+    cases = {"a.b.example.co.uk": ("example.co.uk", "co.uk"), "example.com": ("example.com", "com"), "u:p@www.example.org:8080": ("example.org", "org"), "10.0.0.1:80": ("10.0.0.1", "10.0.0.1"), "co.uk": ("co.uk", "co.uk"), "localhost": ("localhost", "localhost"), "shop.example.com.au": ("example.com.au", "com.au"), "x.io": ("x.io", "io")}
+    host = url_filter.bare(F.col("h"))
+    rows = spark.createDataFrame([(h,) for h in cases], "h string").select("h", url_filter.domain_of(host).alias("d"), url_filter.suffix_of(host).alias("s")).collect()
+    assert {r.h: (r.d, r.s) for r in rows} == cases
+
+
 def test_bad_hosts_are_blocked_and_others_shrunk(spark):
     rows = [(k, f"http://{'bad' if k < 40 else 'good' if k < 80 else 'new'}.site{k % 2}.com/{k}") for k in range(90)]
     labels = spark.createDataFrame([(k, int(k >= 40)) for k in range(80)], "page_id long, good int")
@@ -236,6 +285,17 @@ def test_quality_measures(spark):
     assert quality.judge(documents_df(spark, [])).collect() == []
 
 
+def test_quality_verdict_against_plain_python(spark):
+    """Votes, accuracies and posteriors as worked out document by document."""
+    rows = [*documents(), *[(200 + k, "\n".join(prose(30, 31 * k + j) for j in range(1 + k % 6))) for k in range(30)], *[(300 + k, "buy # now $ | " * (10 + 5 * k)) for k in range(8)]]
+    vote = lambda good, bad: lambda m: 1 if eval(good, {}, dict(m)) else -1 if eval(bad, {}, dict(m)) else 0
+    python = lambda rule: rule.replace("word_chars between 3 * n_words and 12 * n_words", "3 * n_words <= word_chars <= 12 * n_words")
+    want = brute.judged(rows, [vote(python(g), python(b)) for g, b in quality.RULES.values()])
+    got = ordered((r.doc_id, r.n_words, round(r.p_good, 9), r.good) for r in quality.judge(documents_df(spark, rows)).collect())
+    n_words = [m[1] for m in brute.measures(rows)]
+    assert got == ordered((d, n, round(p, 9), k) for (d, _), n, (p, k) in zip(rows, n_words, want, strict=True))
+
+
 def test_em_finds_the_better_rules():
     r = random.Random(4)
     true = [(0.97, 0.6), (0.9, 0.9), (0.8, 0.5)]
