@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.expressions import cosine, dot, doubles, hash_unit, unit
@@ -53,18 +53,30 @@ def slope_one(ratings: DataFrame, users: DataFrame) -> DataFrame:
     return own.join(dev, "b").groupBy("user_id", F.col("a").alias("item_id")).agg((F.sum((F.col("r") + F.col("dev")) * F.col("c")) / F.sum("c")).alias("score"))
 
 
+def wide(rows: DataFrame, size: int) -> DataFrame:
+    """node, v from node, dim, value: one array of `size` numbers a node, 0 where a dimension is missing."""
+    return rows.groupBy("node").agg(F.array(*[F.sum(F.when(F.col("dim") == d, F.col("value")).otherwise(0.0)) for d in range(size)]).alias("v"))
+
+
+def summed(rows: DataFrame, size: int, weight: Column | None = None) -> DataFrame:
+    """node, v: the sums of the arrays of each node, weighted if asked, element by element in one aggregate."""
+    part = lambda d: F.get("v", F.lit(d)) if weight is None else weight * F.get("v", F.lit(d))
+    return rows.groupBy("node").agg(F.array(*[F.sum(part(d)) for d in range(size)]).alias("v"))
+
+
 def propagate(edges: DataFrame, vectors: DataFrame, layers: int, combine: str = "mean") -> DataFrame:
     """CF-10, CF-13: node, dim, value: `layers` rounds of edges times vectors, averaged (or summed) with the start.
 
-    edges: src, dst, w (normalised); vectors: node, dim, value. Each layer is written.
+    edges: src, dst, w (normalised); vectors: node, dim, value. A round moves one array an edge; each layer is written.
     """
-    every = now = vectors
+    size = (vectors.agg(F.max("dim")).first()[0] or 0) + 1
+    every = now = written(wide(vectors, size), "layer")
     for _ in range(layers):
-        step = edges.join(now.select(F.col("node").alias("src"), "dim", "value"), "src").groupBy(F.col("dst").alias("node"), "dim").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
-        now = written(step, "layer")
+        along = edges.join(now.select(F.col("node").alias("src"), "v"), "src").select(F.col("dst").alias("node"), "w", "v")
+        now = written(summed(along, size, F.col("w")), "layer")
         every = every.unionByName(now)
-    total = every.groupBy("node", "dim").agg(F.sum("value").alias("value"))
-    return total if combine == "sum" else total.withColumn("value", F.col("value") / (layers + 1))
+    rows = summed(every, size).select("node", F.posexplode("v").alias("dim", "value"))
+    return rows if combine == "sum" else rows.withColumn("value", F.col("value") / (layers + 1))
 
 
 def bpr_loss(triples: DataFrame, scores: DataFrame) -> DataFrame:
