@@ -212,3 +212,12 @@ def class_odds(post: DataFrame, classes: DataFrame, smoothing: float = 1.0) -> D
     top = F.max("s").over(Window.partitionBy("doc_id"))
     shifted = logs.withColumn("e", F.exp(F.col("s") - top))
     return shifted.select("doc_id", "class", (F.col("e") / F.sum("e").over(Window.partitionBy("doc_id"))).alias("p"))
+
+
+def projected(vectors: DataFrame, k: int, scale: float = 0.1, seed: int = 42) -> DataFrame:
+    """EMB-15: vec_id, dim, value: k hashed directions, at length 1, between -1 and 1, times `scale`."""
+    rows = vectors.select("vec_id", F.size("embedding").alias("n"), F.posexplode(doubles("embedding")).alias("dim", "x")).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(k - 1))))
+    y = rows.groupBy("vec_id", "k").agg(F.sum(F.col("x") * (hash_unit("dim", "k", F.lit(seed)) - 0.5) / F.sqrt("n")).alias("y"))
+    length = F.sqrt(F.sum(F.col("y") * F.col("y")).over(Window.partitionBy("vec_id")))
+    value = F.when(length > 0, F.col("y") / length).otherwise(0.0)
+    return y.select("vec_id", F.col("k").alias("dim"), (scale * F.greatest(F.lit(-1.0), F.least(F.lit(1.0), value))).alias("value"))

@@ -19,6 +19,13 @@ def sessions(events: DataFrame, gap: str = "30 minutes", delay: str | None = "1
     return by.agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("start"), F.max("ts").alias("stop")).drop("w")
 
 
+def session_items(events: DataFrame, gap: str = "30 minutes", delay: str | None = "1 hour") -> DataFrame:
+    """STR-1: user_id, start and items (newest first) of each session. events: user_id, item, ts, event_id."""
+    by = late(events, delay).groupBy("user_id", F.session_window("ts", gap).alias("w"))
+    held = by.agg(F.min("ts").alias("start"), F.sort_array(F.collect_list(F.struct("ts", "event_id", "item")), asc=False).alias("x"))
+    return held.select("user_id", "start", F.transform("x", lambda r: r["item"]).alias("items"))
+
+
 def trending(events: DataFrame, width: str = "1 hour", step: str = "15 minutes", delay: str | None = "1 hour") -> DataFrame:
     """STR-2: start, event_type, n, value of sliding windows."""
     by = late(events, delay).groupBy(F.window("ts", width, step).alias("w"), "event_type")
