@@ -70,12 +70,18 @@ def plain_url(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, r"[?#].*$", ""), "/+$", "")
 
 
+#: How the news site writes times.
+HOURS_AGO = r"(\d+)h trước"
+MINUTES_AGO = r"(\d+)p trước"
+CLOCK = r"(\d{1,2}):(\d{1,2})[ \t\n\r\f\x0B]+(\d{1,2})/(\d{1,2})"
+
+
 def relative_date(c: Column, now: Column) -> Column:
     """The first "Nh trước" or "Np trước" in a text, as the news site writes times ago, or the first "HH:MM d/m" in it, in the year of `now`, or
     the year before where that would be later than `now`; null for other texts and for days that the year doesn't have."""
-    hours = F.regexp_extract(c, r"(\d+)h trước", 1).try_cast("int")
-    minutes = F.regexp_extract(c, r"(\d+)p trước", 1).try_cast("int")
-    part = [F.regexp_extract(c, r"(\d{1,2}):(\d{1,2})[ \t\n\r\f\x0B]+(\d{1,2})/(\d{1,2})", k).try_cast("int") for k in (1, 2, 3, 4)]
+    hours = F.regexp_extract(c, HOURS_AGO, 1).try_cast("int")
+    minutes = F.regexp_extract(c, MINUTES_AGO, 1).try_cast("int")
+    part = [F.regexp_extract(c, CLOCK, k).try_cast("int") for k in (1, 2, 3, 4)]
 
     def at(year: Column) -> Column:
         return F.try_make_timestamp(year, part[3], part[2], part[0], part[1], F.lit(0))
