@@ -55,4 +55,14 @@ kept as (select doc_id, i, ws[i] as word from d, unnest(range(1, len(ws) + 1)) u
 k as (select kept.doc_id, count(gone.i) as n_removed, string_agg(word, ' ' order by kept.i) filter (where gone.i is null) as text from kept left join gone on gone.doc_id = kept.doc_id and gone.i = kept.i group by 1)
 select d.doc_id, len(ws)::bigint as n_words, coalesce(n_removed, 0)::bigint as n_removed, sha256(coalesce(k.text, '')) as kept_sha256 from d left join k using (doc_id)"""
 
-SQL = {"op1_line_dedup": OP1, "op5_url_filter": OP5, "op7_warc": OP7, "op8_substring": OP8}
+OP13 = r"""
+with d as (select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as digest from documents),
+u as (select *, case when text = '' then []::varchar[] else regexp_extract_all(text, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') end as units,
+    cast('0x' || substr(digest, 1, 8) as bigint) as h1, cast('0x' || substr(digest, 9, 8) as bigint) as h2, cast('0x' || substr(digest, 17, 8) as bigint) as h3, cast('0x' || substr(digest, 25, 8) as bigint) as h4 from d),
+r as (select *, len(units) as n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) as a, greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) as b,
+    case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50 then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from u),
+p as (select *, array_to_string(units[1:a], '') as prefix, array_to_string(units[a + 1:b], '') as middle, array_to_string(units[b + 1:], '') as suffix from r)
+select doc_id, n::bigint as n, form, case when form <> 'plain' then length(prefix) end::bigint as prefix_chars, case when form <> 'plain' then length(middle) end::bigint as middle_chars,
+    sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(text) as restored_sha256 from p"""
+
+SQL = {"op1_line_dedup": OP1, "op5_url_filter": OP5, "op7_warc": OP7, "op8_substring": OP8, "op13_infilling": OP13}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, packing, quality, secrets, simhash, substring, toxicity, url_filter, warc
+from . import decontamination, infilling, line_dedup, packing, quality, secrets, simhash, substring, toxicity, url_filter, warc
 from .common import table
 from .oracles import SQL
 
@@ -75,9 +75,15 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("good")).alias("kept"), "p_good")
 
 
+def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = infilling.fill_in_middle(table(spark, sf_dir, "documents"), percent=50, spm_percent=80)
+    digests = [F.sha2(x, 256).alias(n) for n, x in (("output_sha256", F.col("output")), ("restored_sha256", infilling.restored(F.col("output"), F.col("form"))))]
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_toxicity, op3_simhash, op4_secrets, op5_url_filter, op6_decontamination, op7_warc, op8_substring, op9_quality, op10_packing)
+    for f in (op1_line_dedup, op2_toxicity, op3_simhash, op4_secrets, op5_url_filter, op6_decontamination, op7_warc, op8_substring, op9_quality, op10_packing, op13_infilling)
 }
 
 __all__ = ["QUERIES", "SQL"]
