@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, infilling, kernel_quality, line_dedup, packing, quality, secrets, simhash, substring, toxicity, url_filter, warc
+from . import collocations, decontamination, infilling, kernel_quality, line_dedup, packing, quality, secrets, simhash, substring, toxicity, url_filter, warc
 from .common import table
 from .oracles import SQL
 
@@ -75,6 +75,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), (~failed & F.col("good")).alias("kept"), "p_good")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"), most_words=3, least=10, top=2000, inside=50)
+
+
 def op12_kernel_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = kernel_quality.rate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), features=384)
     return found.select("doc_id", kernel_quality.held_out().alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"))
@@ -88,7 +92,7 @@ def op13_infilling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_line_dedup, op2_toxicity, op3_simhash, op4_secrets, op5_url_filter, op6_decontamination, op7_warc, op8_substring, op9_quality, op10_packing, op12_kernel_quality, op13_infilling)
+    for f in (op1_line_dedup, op2_toxicity, op3_simhash, op4_secrets, op5_url_filter, op6_decontamination, op7_warc, op8_substring, op9_quality, op10_packing, op11_collocations, op12_kernel_quality, op13_infilling)
 }
 
 __all__ = ["QUERIES", "SQL"]
