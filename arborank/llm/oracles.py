@@ -73,8 +73,8 @@ f2 as (select lang, g, count(*) as f from (select lang, unnest(list_transform(ra
 f3 as (select lang, g, count(*) as f from (select lang, unnest(list_transform(range(1, len(ws) - 1), lambda i: ws[i:i + 2])) as g from p) group by 1, 2 having count(*) >= 10),
 s as (select lang, sum(f)::bigint as n from f1 group by 1),
 c2 as (select f2.lang, g, f2.f as a, x.f as l, y.f as r, 1000000 * f2.f::hugeint * f2.f // (x.f::hugeint * y.f) as score from f2 join f1 x on x.lang = f2.lang and x.w = g[1] join f1 y on y.lang = f2.lang and y.w = g[2] where f2.f >= 10),
-k3 as (select f3.lang, g, f3.f as a, x.f as l1, q.f as r1, o.f as l2, y.f as r2, 1000000 * f3.f::hugeint * f3.f // (x.f::hugeint * q.f) as s1, 1000000 * f3.f::hugeint * f3.f // (o.f::hugeint * y.f) as s2
-    from f3 join f1 x on x.lang = f3.lang and x.w = g[1] join f2 q on q.lang = f3.lang and q.g = f3.g[2:3] join f2 o on o.lang = f3.lang and o.g = f3.g[1:2] join f1 y on y.lang = f3.lang and y.w = g[3]),
+k3 as (select f3.lang, f3.g as g, f3.f as a, x.f as l1, q.f as r1, o.f as l2, y.f as r2, 1000000 * f3.f::hugeint * f3.f // (x.f::hugeint * q.f) as s1, 1000000 * f3.f::hugeint * f3.f // (o.f::hugeint * y.f) as s2
+    from f3 join f1 x on x.lang = f3.lang and x.w = f3.g[1] join f2 q on q.lang = f3.lang and q.g = f3.g[2:3] join f2 o on o.lang = f3.lang and o.g = f3.g[1:2] join f1 y on y.lang = f3.lang and y.w = f3.g[3]),
 c3 as (select lang, g, a, case when s1 <= s2 then l1 else l2 end as l, case when s1 <= s2 then r1 else r2 end as r, least(s1, s2) as score from k3),
 longer as (select lang, g, max(f) as f from (select lang, g[1:2] as g, f from f3 union all select lang, g[2:3], f from f3) group by 1, 2),
 kept as (select c2.* from c2 left join longer using (lang, g) where longer.f is null or 100 * longer.f < 50 * c2.a union all select * from c3),
