@@ -107,8 +107,12 @@ class Model:
         return np.full(len(x), self.share) if self.weights is None else self.calibrated(self.features(x) @ self.weights)
 
 
-def added(parts: DataFrame, rounds: tuple[int, ...] = (16, 1)) -> np.ndarray:
-    """The sum of arrays held as bytes, one row a task, added in rounds of ever fewer tasks. One array comes to the driver."""
+#: Arrays that one task adds up in a round.
+FAN_IN = 16
+
+
+def added(parts: DataFrame, tasks: int) -> np.ndarray:
+    """The sum of arrays held as bytes, one row a task at most, added in rounds of FAN_IN times fewer tasks. One array comes to the driver."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -119,14 +123,15 @@ def added(parts: DataFrame, rounds: tuple[int, ...] = (16, 1)) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["sums"])
 
-    for n in rounds:
-        parts = parts.repartition(n).mapInArrow(add, "sums binary")
+    while tasks > 1:
+        tasks = -(-tasks // FAN_IN)
+        parts = parts.repartition(tasks).mapInArrow(add, "sums binary")
     rows = parts.collect()
     return np.frombuffer(rows[0].sums, np.float64) if rows else np.zeros(0)
 
 
 def task_sums(rows: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray]) -> np.ndarray:
-    """The sum of `of` over all batches: summed within each task first."""
+    """The sum of `of` over all batches: summed within each task first. rows: a scan of a table."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -137,7 +142,7 @@ def task_sums(rows: DataFrame, of: Callable[[pa.RecordBatch], np.ndarray]) -> np
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.float64).tobytes()], pa.binary())], ["sums"])
 
-    return added(rows.mapInArrow(each, "sums binary"))
+    return added(rows.mapInArrow(each, "sums binary"), rows.rdd.getNumPartitions())
 
 
 def ridge(sums: np.ndarray, decay: float) -> np.ndarray:
