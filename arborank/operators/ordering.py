@@ -60,6 +60,13 @@ def paired(rows: DataFrame, by: str, of: str) -> tuple[DataFrame, DataFrame, lis
     return first, rows.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts"), [by, "__part"]
 
 
+def top_salted(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rk", salt: str = "id", parts: int = 32) -> DataFrame:
+    """top_per() in two steps: within parts of each key by the hash of `salt` first, so that a key with very many rows fills several tasks."""
+    part = F.pmod(F.xxhash64(salt), F.lit(parts)).cast("int")
+    best = top_per(df.withColumn("__part", part), [*keys, "__part"], order, k, name).drop("__part", name)
+    return top_per(best, keys, order, k, name)
+
+
 def top_per(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rk") -> DataFrame:
     """The first k rows of each key, with their rank."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)).cast("bigint")).filter(F.col(name) <= k)

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.expressions import cosine, dot, doubles, hash_unit, unit
 from ..sources.storage import written
-from .ordering import by_block, paired, top_per
+from .neighbours import exact
+from .ordering import paired, top_per
 
 
 def overlaps(ratings: DataFrame, by: str, of: str) -> DataFrame:
@@ -96,15 +97,19 @@ def naive_bayes(post: DataFrame, classes: DataFrame, smoothing: float = 1.0) ->
 
 
 def similar_vectors(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """EMB-8: a, b, sim, rk: the k nearest others of each query row by cosine. A stated query set against all rows."""
-    rows = vectors.select(F.col("vec_id").alias("b"), unit(doubles("embedding")).alias("vb"))
+    """EMB-8: a, b, sim, rk: the k nearest others of each query row by cosine. A stated query set against all rows; neighbours.all_nearest() takes all rows."""
+    return exact(vectors, queries, k)
 
-    def nearest(block: DataFrame) -> DataFrame:
-        q = block.select(F.col("vec_id").alias("a"), unit(doubles("embedding")).alias("va"))
-        sims = rows.crossJoin(F.broadcast(q)).filter("a <> b").select("a", "b", F.round(cosine(F.col("va"), F.col("vb")), 6).alias("sim"))
-        return top_per(sims, ["a"], [F.desc("sim"), F.col("b")], k)
 
-    return by_block(queries, "vec_id", nearest)
+def pair_cosines(pairs: DataFrame, clicked: DataFrame, vectors: DataFrame) -> DataFrame:
+    """RNK-6: user_id, item_id, sim of given pairs: by cosine of the item with what the user clicked (user_id, clicked). No other pair is scored.
+
+    The clicked item itself has none.
+    """
+    v = vectors.select("vec_id", doubles("embedding").alias("e"))
+    own = clicked.join(v.select(F.col("vec_id").alias("clicked"), F.col("e").alias("c")), "clicked")
+    rows = pairs.join(own, "user_id").filter("item_id <> clicked").join(v.select(F.col("vec_id").alias("item_id"), "e"), "item_id")
+    return rows.select("user_id", "item_id", F.round(cosine(F.col("c"), F.col("e")), 6).alias("sim"))
 
 
 def profile(history: DataFrame, vectors: DataFrame, how: str = "mean", last: int | None = None) -> DataFrame:
