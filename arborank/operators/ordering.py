@@ -60,6 +60,31 @@ def paired(rows: DataFrame, by: str, of: str) -> tuple[DataFrame, DataFrame, lis
     return first, rows.withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts"), [by, "__part"]
 
 
+#: A join key with more than this share of the rows, and this many rows, is hot; there are at most 1 / share of them.
+HOT_SHARE, HOT_ROWS, HOT_PARTS = 0.001, 20_000, 32
+
+
+def spread_join(rows: DataFrame, lookup: DataFrame, key: list[str], by: Column, how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with lookup, which has one row a key at most and shares no other column.
+
+    The rows of a hot key are dealt over HOT_PARTS parts by the hash `by`, and its lookup row goes to each, so none must fit one task. rows are read twice
+    and should be a table, or cheap.
+    """
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    total = rows.count()
+    if total <= HOT_ROWS:
+        return rows.join(lookup, key, how)
+    hot = written(sizes.filter(F.col("__n") > max(HOT_ROWS, HOT_SHARE * total)).select(*key, F.lit(True).alias("__hot")), "hot")
+    if hot.isEmpty():
+        return rows.join(lookup, key, how)
+    hot = F.broadcast(hot)  # 1 / HOT_SHARE rows at most
+    part = F.when(F.col("__hot"), F.pmod(by, F.lit(HOT_PARTS))).otherwise(F.lit(0)).cast("int")
+    parts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(HOT_PARTS - 1))).otherwise(F.array(F.lit(0)))
+    left = rows.join(hot, key, "left").withColumn("__part", part).drop("__hot")
+    right = lookup.join(hot, key, "left").withColumn("__part", F.explode(parts)).drop("__hot")
+    return left.join(right, [*key, "__part"], how).drop("__part")
+
+
 def top_salted(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rk", salt: str = "id", parts: int = 32) -> DataFrame:
     """top_per() in two steps: within parts of each key by the hash of `salt` first, so that a key with very many rows fills several tasks."""
     part = F.pmod(F.xxhash64(salt), F.lit(parts)).cast("int")
