@@ -4,10 +4,11 @@ A task gathers the texts of a language up to some `shard_words` words, numbers t
 its reverse (`Shard`). Suffixes are sorted as deep as the longest phrase, which is all that intervals of that depth need. The shards are written
 once, bucketed by their number.
 
-Counting goes a level at a time. Shards send the phrases of d words that they hold and how often; these are summed over all shards, and those below
-`least` end there. Each shard is then told which of its own phrases go on, and extends their intervals by a word: bigrams to the left by the forward
-transform, trigrams to the right by the reverse one, and so in turn, both intervals kept in step. A phrase is sent only if its first and its last d - 1 words are
-frequent. So a shard's row count is bounded by its own words, and no count or vocabulary is ever sent to all tasks.
+The words' counts are summed over all shards first. Each shard is then told the numbers of its own frequent words, since rarer ones are in no frequent phrase, and
+extends their intervals a word at a time: bigrams to the left by the forward transform, trigrams to the right by the reverse one, and so in turn, both
+intervals kept in step. It sends each phrase once, with its count; those are summed over all shards. What a shard holds and sends is bounded by its
+own words, and no count or vocabulary is ever sent to all tasks. Shorter phrases that turn out rare don't hold back longer ones: to tell each shard which of its
+phrases are frequent moves more rows, the more so the larger the corpus, than it saves.
 
 Defined cases: null and empty texts have no words; a null language is `und`; repeated rows and repeated ids count each time; a language without frequent
 phrases has no row; counts up to 10^15 are exact.
@@ -27,6 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.ordering import numbered
 from .common import LOWER, UPPER, shared_dir, slices, spread_join, written
 
 #: Bytes that end a piece, and the byte that stands for them: no UTF-8 text has it.
@@ -68,22 +70,12 @@ def unpacked(raw: bytes, n: int) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Level:
-    """Phrases of one length in a shard: their intervals in both transforms, and as places in the level below their first and last words but one.
-
-    `first` and `last` are the phrase's first and last word, `ids` what the phrase is called outside.
-    """
+    """Phrases of one length in a shard: their intervals in both transforms, and their words, a row a phrase."""
 
     low: np.ndarray
     back: np.ndarray
     size: np.ndarray
-    head: np.ndarray
-    tail: np.ndarray
-    first: np.ndarray
-    last: np.ndarray
-    ids: np.ndarray
-
-    def taken(self, keep: np.ndarray, ids: np.ndarray) -> Level:
-        return Level(*(x[keep] for x in (self.low, self.back, self.size, self.head, self.tail, self.first, self.last)), ids)
+    words: np.ndarray
 
 
 class Shard:
@@ -109,13 +101,13 @@ class Shard:
         out[np.argsort(bwt, kind="stable")] = np.arange(len(bwt))
         return out
 
-    def single(self, places: np.ndarray, ids: np.ndarray) -> Level:
-        """The level of single words: those at `places` of the vocabulary, which have these ids."""
-        zero = np.zeros(len(places), np.int64)
-        return Level(self.starts[places], self.starts[places], self.counts[places].astype(np.int64), zero, zero, places + 1, places + 1, ids)
+    def single(self, words: np.ndarray) -> Level:
+        """The level of single words."""
+        starts = self.starts[words - 1]
+        return Level(starts, starts, self.counts[words - 1].astype(np.int64), words[:, None])
 
-    def extended(self, level: Level, side: str) -> Level:
-        """The phrases with one word more on that side whose other d - 1 words are in the level too. Their ids are still open."""
+    def extended(self, level: Level, side: str, wanted: np.ndarray) -> Level:
+        """The phrases with one wanted word more on that side. wanted: a mask of the words' numbers."""
         bwt, steps = self.sides[side]
         own, other = (level.low, level.back) if side == "left" else (level.back, level.low)
         offsets = np.cumsum(level.size) - level.size
@@ -128,17 +120,10 @@ class Shard:
         at = order[cuts]
         parent, symbol = parent[at], bwt[rows[at]]
         low, back = steps[rows[at]], other[parent] + cuts - offsets[parent]  # smaller symbols of the interval come before
-        # the phrase without the parent's far word: beside[parent] of the level below, with the new word on the same side
-        beside, ends, beyond = (level.head, level.first, level.tail) if side == "left" else (level.tail, level.last, level.head)
-        known = beyond * (self.words + 1) + ends
-        by = np.argsort(known)
-        want = beside[parent] * (self.words + 1) + symbol
-        found = by[np.minimum(np.searchsorted(known[by], want), max(0, len(by) - 1))] if len(by) else np.zeros(len(want), np.int64)
-        keep = (symbol > 0) & (known[found] == want) if len(by) else np.zeros(len(want), bool)
-        low, back, size, parent, symbol, found = (x[keep] for x in (low, back, size, parent, symbol, found))
-        if side == "left":
-            return Level(low, back, size, found, parent, symbol, level.last[parent], np.zeros(0, np.int64))
-        return Level(back, low, size, parent, found, level.first[parent], symbol, np.zeros(0, np.int64))
+        keep = wanted[symbol]
+        low, back, size, parent, symbol = (x[keep] for x in (low, back, size, parent, symbol))
+        new, words = symbol[:, None], level.words[parent]
+        return Level(low, back, size, np.hstack([new, words])) if side == "left" else Level(back, low, size, np.hstack([words, new]))
 
 
 def side_of(depth: int) -> str:
@@ -146,17 +131,6 @@ def side_of(depth: int) -> str:
     return "right" if depth % 2 else "left"
 
 
-def named(below: Level, level: Level, told: pa.StructArray) -> Level:
-    """The phrases of the level that `told` (head, tail, id) names, by the ids of their parts."""
-    head, tail, ids = (told.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-    by = np.argsort(below.ids)
-    place = lambda x: by[np.searchsorted(below.ids[by], x)]
-    want, own = place(head) * (len(by) + 1) + place(tail), level.head * (len(by) + 1) + level.tail
-    order = np.argsort(own)
-    at = order[np.searchsorted(own[order], want)]
-    return level.taken(at, ids)
-
-
 def shards(docs: DataFrame, depth: int, shard_words: int) -> DataFrame:
     """shard, lang, words, counts, length, forward, backward. A task holds one language's words of a shard, or less of several."""
 
@@ -201,49 +175,41 @@ def shards(docs: DataFrame, depth: int, shard_words: int) -> DataFrame:
     return rows.mapInArrow(each, "shard long, lang string, words array<string>, counts array<long>, length long, forward binary, backward binary")
 
 
-def sent(indexes: DataFrame, told: list[DataFrame], depth: int) -> DataFrame:
-    """shard, head, tail, n: the phrases of `depth` words in each shard whose parts are frequent.
+def sent(indexes: DataFrame, told: DataFrame, most_words: int) -> DataFrame:
+    """w1, w2 and so on (0 after the last word) and n: each shard's phrases of 2 to most_words frequent words.
 
-    told: for each shorter length, shard and `told<d>`, the shard's own frequent phrases.
+    told: shard, told: the shard's own frequent words, as (place, id) with ids from 1.
     """
-    for one in told:
-        indexes = indexes.join(one, "shard")
+    names = [*(f"w{k + 1}" for k in range(most_words)), "n"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                column = lambda name: batch.column(batch.schema.get_field_index(name))[k]  # noqa: E731, B023
-                n = column("length").as_py()
-                shard = Shard(unpacked(column("forward").as_py(), n), unpacked(column("backward").as_py(), n), column("counts").values.to_numpy())
-                level = shard.single(*(column("told1").values.field(j).to_numpy(zero_copy_only=False).astype(np.int64) for j in (0, 1)))
-                for d in range(2, depth):
-                    level = named(level, shard.extended(level, side_of(d)), column(f"told{d}").values)
-                made = shard.extended(level, side_of(depth))
-                for a in range(0, len(made.size), 1 << 18):
-                    b = slice(a, a + (1 << 18))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(made.size[b]), column("shard").as_py())), pa.array(level.ids[made.head[b]]), pa.array(level.ids[made.tail[b]]), pa.array(made.size[b])], ["shard", "head", "tail", "n"])
-
-    return indexes.select("shard", "counts", "length", "forward", "backward", *[f"told{d}" for d in range(1, depth)]).mapInArrow(each, "shard long, head long, tail long, n long")
-
-
-def tell(rows: DataFrame, depth: int, *columns: str) -> DataFrame:
-    """What each shard is told: its own rows as one array, no longer than the shard."""
-    return rows.groupBy("shard").agg(F.collect_list(F.struct(*columns)).alias(f"told{depth}"))
-
-
-def called(rows: DataFrame, what: str) -> DataFrame:
-    """rows as a written table with an id each."""
-    return written(rows.withColumn("id", F.monotonically_increasing_id()), what)
-
-
-def described(rows: DataFrame, below: DataFrame) -> DataFrame:
-    """id, lang, phrase, last, f and the counts of all beginnings and ends, of rows (id, head, tail, f)."""
-    head = below.select(F.col("id").alias("head"), "lang", F.col("phrase").alias("before"), F.col("starts").alias("starts0"))
-    tail = below.select(F.col("id").alias("tail"), "last", F.col("ends").alias("ends0"))
-    by = F.xxhash64("id")
-    rows = spread_join(written(spread_join(rows, head, ["head"], by), "phrases"), tail, ["tail"], by)
-    own = F.array("f")
-    return written(rows.select("id", "head", "tail", "lang", F.concat_ws(" ", "before", "last").alias("phrase"), "last", "f", F.concat("starts0", own).alias("starts"), F.concat("ends0", own).alias("ends")), "phrases")
+                n = batch.column(1)[k].as_py()
+                shard = Shard(unpacked(batch.column(2)[k].as_py(), n), unpacked(batch.column(3)[k].as_py(), n), batch.column(0)[k].values.to_numpy())
+                places, ids = (batch.column(4)[k].values.field(j).to_numpy(zero_copy_only=False).astype(np.int64) for j in (0, 1))
+                called = np.zeros(shard.words + 1, np.int64)
+                called[places + 1] = ids
+                level = shard.single(np.sort(places) + 1)
+                for depth in range(2, most_words + 1):
+                    level = shard.extended(level, side_of(depth), called > 0)
+                    for a in range(0, len(level.size), 1 << 18):
+                        words, size = called[level.words[a : a + (1 << 18)]], level.size[a : a + (1 << 18)]
+                        none = np.zeros(len(size), np.int64)
+                        yield pa.RecordBatch.from_arrays([pa.array(words[:, d] if d < depth else none) for d in range(most_words)] + [pa.array(size)], names)
+
+    rows = indexes.join(told, "shard").select("counts", "length", "forward", "backward", "told")
+    return rows.mapInArrow(each, ", ".join(f"{x} long" for x in names))
+
+
+def described(rows: DataFrame, below: DataFrame, words: int) -> DataFrame:
+    """lang, phrase, last, the words, f and the counts of all beginnings and ends, of rows (w1 to w<words>, f) and those of one word less."""
+    own = [f"w{k}" for k in range(1, words + 1)]
+    head = below.select(*own[:-1], "lang", F.col("phrase").alias("before"), F.col("starts").alias("starts0"))
+    tail = below.select(*[F.col(x).alias(y) for x, y in zip(own[:-1], own[1:], strict=True)], "last", F.col("ends").alias("ends0"))
+    found = spread_join(written(spread_join(rows.select(*own, "f"), head, own[:-1], F.xxhash64(own[-1])), "phrases"), tail, own[1:], F.xxhash64("w1"))
+    f = F.array("f")
+    return written(found.select(*own, "lang", F.concat_ws(" ", "before", "last").alias("phrase"), "last", "f", F.concat("starts0", f).alias("starts"), F.concat("ends0", f).alias("ends")), "phrases")
 
 
 def weakest_cut(words: int) -> Column:
@@ -264,31 +230,26 @@ def phrases(docs: DataFrame, most_words: int = 3, least: int = 10, shard_words:
     try:
         indexes = spark.table(name)
         own = indexes.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("place", "x")).select("shard", "lang", "place", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-        words = called(own.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
-        frequent = words.filter(F.col("f") >= least)
-        level = frequent.select("id", "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("starts"), F.array("f").alias("ends"))
-        told = [written(tell(own.join(frequent.select("lang", "word", "id"), ["lang", "word"]), 1, "place", "id"), "told")]
-        levels: list[DataFrame] = []
-        for depth in range(2, most_words + 1):
-            found = sent(indexes, told, depth)
-            if depth < most_words:
-                total = F.sum("n").over(Window.partitionBy("head", "tail"))
-                kept = written(found.withColumn("f", total).filter(F.col("f") >= least), "kept")
-                sums = called(kept.groupBy("head", "tail").agg(F.first("f").alias("f")), "sums")
-                told.append(written(tell(kept.join(sums.select("head", "tail", "id"), ["head", "tail"]), depth, "head", "tail", "id"), "told"))
-            else:
-                sums = called(found.groupBy("head", "tail").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), "sums")
-            level = described(sums, level)
-            levels.append(level)
+        words = written(own.groupBy("lang", "word").agg(F.sum("n").alias("f")), "words")
+        # the smallest numbers for the most frequent words, so that most rows that move are short
+        frequent = written(numbered(words.filter(F.col("f") >= least).withColumn("rare", -F.col("f")), ["rare", "lang", "word"], "id"), "frequent")
+        told = own.join(frequent.select("lang", "word", "id"), ["lang", "word"]).groupBy("shard").agg(F.collect_list(F.struct("place", "id")).alias("told"))  # no longer than the shard
+        keys = [f"w{k}" for k in range(1, most_words + 1)]
+        sums = sent(indexes, told, most_words).repartition(*keys).groupBy(*keys).agg(F.sum("n").alias("f"))
+        found = written(sums.filter(F.col("f") >= least), "found")
     finally:
         spark.sql(f"drop table if exists {name}")
+    levels = [frequent.select(F.col("id").alias("w1"), "lang", F.col("word").alias("phrase"), F.col("word").alias("last"), "f", F.array("f").alias("starts"), F.array("f").alias("ends"))]
+    for k in range(2, most_words + 1):
+        rows = found.filter(F.col(f"w{k}") > 0)
+        levels.append(described(rows if k == most_words else rows.filter(F.col(f"w{k + 1}") == 0), levels[-1], k))
     out = None
-    for k, level in enumerate(levels):
-        longer = [levels[k + 1].groupBy(F.col(end).alias("id")).agg(F.max("f").alias(side)) for end, side in (("tail", "left"), ("head", "right"))] if k + 1 < len(levels) else []
-        rows = level.select("id", "lang", "phrase", F.lit(k + 2).alias("words"), F.col("f").alias("a"), weakest_cut(k + 2).alias("cut"))
-        for one in longer:
-            rows = rows.join(one, "id", "left")
-        sides = [F.coalesce(F.col(c), F.lit(0)).alias(c) if longer else F.lit(0).cast("long").alias(c) for c in ("left", "right")]
+    for k in range(2, most_words + 1):
+        rows = levels[k - 1].select(*keys[:k], "lang", "phrase", F.lit(k).alias("words"), F.col("f").alias("a"), weakest_cut(k).alias("cut"))
+        for side, ends in (("left", keys[1 : k + 1]), ("right", keys[:k])) if k < most_words else ():
+            longer = levels[k].groupBy(*[F.col(x).alias(y) for x, y in zip(ends, keys[:k], strict=True)]).agg(F.max("f").alias(side))
+            rows = rows.join(longer, keys[:k], "left")
+        sides = [F.coalesce(F.col(c), F.lit(0)).alias(c) if k < most_words else F.lit(0).cast("long").alias(c) for c in ("left", "right")]
         rows = rows.select("lang", "phrase", "words", "a", *[F.col(f"cut.{c}").alias(c) for c in ("l", "r", "score")], *sides)
         out = rows if out is None else out.unionByName(rows)
     return out, words.groupBy("lang").agg(F.sum("f").alias("n"))
