@@ -40,6 +40,30 @@ def numbered(df: DataFrame, order: list[str], name: str = "rn") -> DataFrame:
     return running(df, order, F.lit(1).cast("bigint"), name)
 
 
+def quantiles(df: DataFrame, value: str, shares: list[float], by: list[str] | None = None) -> DataFrame:
+    """by and q0, q1 and so on: the exact quantiles of a number, between neighbours by their distance; nulls don't count.
+
+    Equal values are counted first. The distinct values are sorted by ranges and their counts summed up (running()), so each quantile is the value whose ranks
+    hold the wanted place; no task sees all values, nor all of a group.
+    """
+    by = by or []
+    group = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(by)], F.lit(0).alias("all"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(group.alias("__by"), F.col(value).alias("__v")).agg(F.count(F.lit(1)).alias("__count"))
+    rows = written(running(counts, ["__by", "__v"], F.col("__count"), "__upto"), "ranked")
+    groups = rows.groupBy("__by").agg(F.min(F.col("__upto") - F.col("__count")).alias("__base"), F.sum("__count").alias("__total"))
+    rows = spread_join(rows, groups, ["__by"], F.xxhash64("__v"))
+    first, after = F.col("__upto") - F.col("__count") - F.col("__base"), F.col("__upto") - F.col("__base")
+    found = []
+    for k, share in enumerate(shares):
+        place = F.lit(float(share)) * (F.col("__total") - 1)
+        at = lambda p: F.max(F.when((first <= p) & (p < after), F.col("__v").cast("double")))
+        found += [at(F.floor(place)).alias(f"low{k}"), at(F.ceil(place)).alias(f"high{k}"), F.max(place).alias(f"place{k}")]
+    ends = rows.groupBy("__by").agg(*found)
+    part = lambda k: F.col(f"place{k}") - F.floor(f"place{k}")
+    values = [(F.col(f"low{k}") * (1 - part(k)) + F.col(f"high{k}") * part(k)).alias(f"q{k}") for k in range(len(shares))]
+    return ends.select(*[F.col(f"__by.c{k}").alias(c) for k, c in enumerate(by)], *values)
+
+
 def by_block(queries: DataFrame, key: str, scored: Callable[[DataFrame], DataFrame], size: int = BLOCK) -> DataFrame:
     """What `scored` makes of the query rows, in blocks of about `size` rows by hash, so that what it broadcasts is bounded."""
     n = max(1, -(-queries.count() // size))

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import expressions as X
-from ..operators.ordering import numbered, running, top_per
+from ..operators.ordering import numbered, quantiles, running, top_per
 from ..sources.bindings import Tables, interactions, purchases, replies
 from .registry import query
 
@@ -20,7 +20,8 @@ def eda_density(t: Tables):
 @query("with d as (select user_id, count(*) as d from inter group by 1) select min(d)::bigint as least, max(d)::bigint as most, round(median(d), 6) as middle, round(avg(d), 6) as mean, round(stddev_samp(d), 6) as sd, round(avg((d < 30)::int), 6) as few from d", ("inter",))
 def eda_activity(t: Tables):
     d = interactions(t).groupBy("user_id").agg(F.count(F.lit(1)).alias("d"))
-    return d.agg(F.min("d").alias("least"), F.max("d").alias("most"), X.r6(F.median("d")).alias("middle"), X.r6(F.avg("d")).alias("mean"), X.r6(F.stddev_samp("d")).alias("sd"), X.r6(F.avg((F.col("d") < 30).cast("int"))).alias("few"))
+    middle = quantiles(d, "d", [0.5]).first()
+    return d.agg(F.min("d").alias("least"), F.max("d").alias("most"), X.r6(F.lit(middle and middle[0])).alias("middle"), X.r6(F.avg("d")).alias("mean"), X.r6(F.stddev_samp("d")).alias("sd"), X.r6(F.avg((F.col("d") < 30).cast("int"))).alias("few"))
 
 
 @query("with d as (select p_partkey as item_id, coalesce(n, 0) as degree from part left join (select item_id, count(*) as n from inter group by 1) on item_id = p_partkey) select degree::bigint as degree, count(*)::bigint as items from d group by 1", ("inter",))
@@ -41,8 +42,11 @@ def eda_pareto(t: Tables):
 
 @query("select source, count(*)::bigint as n, round(avg(length(text)), 6) as mean, round(median(length(text)), 6) as middle, max(length(text))::bigint as most, round(stddev_samp(length(text)), 6) as sd from documents group by 1")
 def eda_lengths(t: Tables):
-    n = F.length("text")
-    return t.documents.groupBy("source").agg(F.count(F.lit(1)).alias("n"), X.r6(F.avg(n)).alias("mean"), X.r6(F.median(n)).alias("middle"), F.max(n).cast("bigint").alias("most"), X.r6(F.stddev_samp(n)).alias("sd"))
+    rows = t.documents.select("source", F.length("text").alias("chars"))
+    n = F.col("chars")
+    sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), X.r6(F.avg(n)).alias("mean"), F.max(n).cast("bigint").alias("most"), X.r6(F.stddev_samp(n)).alias("sd"))
+    middles = quantiles(rows, "chars", [0.5], ["source"]).select(F.col("source").alias("s"), X.r6(F.col("q0")).alias("middle"))
+    return sizes.join(middles, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
 
 
 @query("with a as (select item_id, min(l_suppkey) as author from purchases group by 1) select author, count(*)::bigint as n from a group by 1 order by n desc, author limit 20", ("purchases",))
@@ -68,7 +72,8 @@ def eda_others(t: Tables):
 
 @query("with p as (select quantile_cont(l_extendedprice, 0.99) as p from lineitem) select round(any_value(p), 6) as p99, count(*)::bigint as n, round(avg(l_extendedprice), 6) as mean from lineitem, p where l_extendedprice <= p")
 def eda_p99(t: Tables):
-    p = t.lineitem.agg(F.percentile("l_extendedprice", 0.99)).first()[0]
+    p = quantiles(t.lineitem, "l_extendedprice", [0.99]).first()
+    p = p and p[0]
     return t.lineitem.filter(F.col("l_extendedprice") <= F.lit(p)).agg(X.r6(F.lit(p)).alias("p99"), F.count(F.lit(1)).alias("n"), X.r6(F.avg("l_extendedprice")).alias("mean"))
 
 

@@ -11,7 +11,7 @@ from ..operators import lexical as L
 from ..operators import models as M
 from ..operators import ranking as R
 from ..operators import scoring as S
-from ..operators.ordering import by_block, top_per
+from ..operators.ordering import by_block, quantiles, top_per
 from ..sources import files, sinks
 from ..sources.bindings import Tables, interactions, reading_history, replies
 from ..sources.storage import shared_dir, written
@@ -297,7 +297,8 @@ def comments_per_article(t: Tables):
     """AGG-3: the statistics and a histogram."""
     n = F.col("n")
     rows = t.conversations.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
-    return rows.agg(X.r6(F.avg(n)).alias("mean"), X.r6(F.median(n)).alias("middle"), F.max(n).alias("most"), X.r6(F.stddev_samp(n)).alias("sd"), F.count_if(n < 3).alias("few"), F.count_if(n.between(3, 9)).alias("some"), F.count_if(n > 9).alias("many"))
+    middle = quantiles(rows, "n", [0.5]).first()
+    return rows.agg(X.r6(F.avg(n)).alias("mean"), X.r6(F.lit(middle and middle[0])).alias("middle"), F.max(n).alias("most"), X.r6(F.stddev_samp(n)).alias("sd"), F.count_if(n < 3).alias("few"), F.count_if(n.between(3, 9)).alias("some"), F.count_if(n > 9).alias("many"))
 
 
 @query("select user_id, count(*) filter (where side = 'parent')::bigint as parent, count(*) filter (where side = 'reply')::bigint as reply, count(*)::bigint as total from (select parent_user_id as user_id, 'parent' as side from replies union all select reply_user_id, 'reply' from replies) where user_id is not null group by 1", ("replies",))
