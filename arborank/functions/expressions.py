@@ -1,4 +1,4 @@
-"""Expressions on vectors, hashes, ids, text and dates; all of them stay inside the JVM."""
+"""Expressions on vectors, hashes, ids, text and dates; all but composed() stay inside the JVM."""
 
 from __future__ import annotations
 
@@ -73,7 +73,7 @@ def plain_url(c: Column) -> Column:
 #: How the news site writes times.
 HOURS_AGO = r"(\d+)h trước"
 MINUTES_AGO = r"(\d+)p trước"
-CLOCK = r"(\d{1,2}):(\d{1,2})[ \t\n\r\f\x0B]+(\d{1,2})/(\d{1,2})"
+CLOCK = r"(\d{1,2}):(\d{1,2})\s+(\d{1,2})/(\d{1,2})"
 
 
 def relative_date(c: Column, now: Column) -> Column:
@@ -81,7 +81,7 @@ def relative_date(c: Column, now: Column) -> Column:
     the year before where that would be later than `now`; null for other texts and for days that the year doesn't have."""
     hours = F.regexp_extract(c, HOURS_AGO, 1).try_cast("int")
     minutes = F.regexp_extract(c, MINUTES_AGO, 1).try_cast("int")
-    part = [F.regexp_extract(c, CLOCK, k).try_cast("int") for k in (1, 2, 3, 4)]
+    part = [F.regexp_extract(c, UNICODE + CLOCK, k).try_cast("int") for k in (1, 2, 3, 4)]
 
     def at(year: Column) -> Column:
         return F.try_make_timestamp(year, part[3], part[2], part[0], part[1], F.lit(0))
@@ -100,8 +100,10 @@ def day_in_text(c: Column) -> Column:
 #: What text cleaning takes out, in this order.
 TAGS = r"<[^>]+>"
 URLS = r"https?://\S+|www\.\S+|[a-zA-Z0-9.-]+\.(com|vn|net|org|edu|gov)\S*"
-PUNCTUATION = r"""[!"#$%&'()*+,\-./:;<=>?@\[\]\\^_`{|}~“”‘’…–—]"""
-NUMBERS = r"(?<![\p{L}\p{N}_])[0-9]+\.?[0-9]*(?![\p{L}\p{N}_])"
+PUNCTUATION = r"""[!"#$%&\'()*+,-./:;<=>?@\[\]\\^_`{|}~""''…–—]"""
+NUMBERS = r"\b\d+\.?\d*\b"
+#: What makes \b, \d and \s mean Unicode's letters, digits and blanks.
+UNICODE = "(?U)"
 
 
 @F.arrow_udf(StringType())
@@ -127,7 +129,7 @@ def assembled(url: Column, *parts: Column) -> Column:
 def cleaned(text: Column, tags: bool = True, urls: bool = True, punctuation: bool = True, numbers: bool = False, lower: bool = True) -> Column:
     for on, pattern in ((tags, TAGS), (urls, URLS), (punctuation, PUNCTUATION), (numbers, NUMBERS)):
         if on:
-            text = F.regexp_replace(text, pattern, " ")
+            text = F.regexp_replace(text, UNICODE + pattern, " ")
     return F.lower(text) if lower else text
 
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import top_per
+from .ordering import running, top_per
 
 
 def masked_top(scores: DataFrame, seen: DataFrame, k: int) -> DataFrame:
@@ -62,13 +62,14 @@ def freshness(scores: DataFrame, dates: DataFrame, now: str, decay: float = 0.1,
 def mmr(candidates: DataFrame, vectors: DataFrame, k: int, balance: float = 0.5, most: int = 100) -> DataFrame:
     """RNK-14: user_id, item_id, rk: greedy choice by balance * score - (1 - balance) * similarity to what is chosen.
 
-    One group a user of at most `most` candidates, which is the operator's own limit.
+    One group a user of at most `most` candidates, which is the operator's own limit. An item without a vector is similar to nothing.
     """
-    best = top_per(candidates, ["user_id"], [F.desc("score"), F.col("item_id")], most, "__c").join(vectors.select(F.col("vec_id").alias("item_id"), "embedding"), "item_id")
+    best = top_per(candidates, ["user_id"], [F.desc("score"), F.col("item_id")], most, "__c").join(vectors.select(F.col("vec_id").alias("item_id"), "embedding"), "item_id", "left")
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "item_id"], ascending=[False, True])
-        v = np.array([np.asarray(x, float) for x in pdf["embedding"]])
+        width = max((len(x) for x in pdf["embedding"] if x is not None), default=1)
+        v = np.array([np.zeros(width) if x is None else np.asarray(x, float) for x in pdf["embedding"]])
         v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
         near, score, left, chosen = v @ v.T, pdf["score"].to_numpy(), np.ones(len(pdf), bool), []
         worst = np.full(len(pdf), -np.inf)
@@ -87,10 +88,12 @@ def mmr(candidates: DataFrame, vectors: DataFrame, k: int, balance: float = 0.5,
 def calibrated(candidates: DataFrame, categories: DataFrame, history: DataFrame, k: int, alpha: float = 0.5, most: int = 100) -> DataFrame:
     """RNK-13: user_id, item_id, rk: greedy choice by (1 - alpha) * score - alpha * KL(chosen categories || the user's own).
 
-    categories: item_id, category. history: user_id, category, p (its shares). At most `most` candidates a user.
+    categories: item_id, category. history: user_id, category, p (its shares). At most `most` candidates a user. Items without a category share one of
+    their own, and a user without a history has a target of nothing: such a list goes by score and by how many categories it has.
     """
-    best = top_per(candidates, ["user_id"], [F.desc("score"), F.col("item_id")], most, "__c").join(categories, "item_id")
-    target = history.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("category", "p"))).alias("target"))
+    name = F.coalesce(F.col("category").cast("string"), F.lit(""))
+    best = top_per(candidates, ["user_id"], [F.desc("score"), F.col("item_id")], most, "__c").join(categories.select("item_id", name.alias("category")), "item_id", "left").na.fill("", ["category"])
+    target = history.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct(name, "p"))).alias("target"))
     tiny = 1e-9
 
     def greedy(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -112,10 +115,18 @@ def calibrated(candidates: DataFrame, categories: DataFrame, history: DataFrame,
         ids = pdf["item_id"].to_numpy()[chosen]
         return pd.DataFrame({"user_id": pdf["user_id"].iloc[0], "item_id": ids, "rk": range(1, len(ids) + 1)})
 
-    rows = best.join(target, "user_id").select("user_id", "item_id", "score", "category", "target")
+    rows = best.join(target, "user_id", "left").select("user_id", "item_id", "score", "category", "target")
     return rows.groupBy("user_id").applyInPandas(greedy, "user_id long, item_id long, rk long")
 
 
+def reranked(scores: DataFrame, vectors: DataFrame, categories: DataFrame, history: DataFrame, k: int, chosen: int = 20) -> DataFrame:
+    """RNK-15 after freshness(): user_id, item_id, rk: diversity among the `chosen` items of calibration; a user without a history has no calibration."""
+    known = history.select("user_id").distinct()
+    kept = calibrated(scores.join(known, "user_id", "left_semi"), categories, history, chosen).select("user_id", "item_id")
+    rows = scores.join(kept, ["user_id", "item_id"]).unionByName(scores.join(known, "user_id", "left_anti"))
+    return mmr(rows, vectors, k)
+
+
 def list_metrics(ranked: DataFrame, test: DataFrame, ks: list[int]) -> DataFrame:
     """EVL-1 to EVL-7: metric, k, value: means over the users with test items. ranked: user_id, item_id, rk; test: user_id, item_id."""
     size = test.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
@@ -152,6 +163,19 @@ def auc(scores: DataFrame, positives: DataFrame) -> DataFrame:
     return u.select("user_id", F.round((F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p"))), 6).alias("auc"))
 
 
+def auc_all(scores: DataFrame, positives: DataFrame) -> DataFrame:
+    """EVL-8 over all pairs: auc, positives, negatives, by the counts of each score; equal scores share their ranks.
+
+    Scores are counted first and their running sums made by ranges, so no task sees all pairs. Null without both kinds.
+    """
+    rows = scores.join(positives.select("user_id", "item_id").withColumn("pos", F.lit(1)), ["user_id", "item_id"], "left").na.fill(0, ["pos"])
+    counts = rows.groupBy("score").agg(F.sum("pos").cast("bigint").alias("p"), F.count(F.lit(1)).alias("n"))
+    below = running(counts, ["score"], F.col("n") - F.col("p"), "upto")  # negatives up to this score
+    won = F.col("p") * (F.col("upto") - (F.col("n") - F.col("p")) / 2.0)
+    sums = below.agg(F.sum(won).alias("won"), F.sum("p").alias("positives"), F.sum(F.col("n") - F.col("p")).alias("negatives"))
+    return sums.select(F.round(F.col("won") / F.nullif(F.col("positives") * F.col("negatives"), F.lit(0)), 6).alias("auc"), "positives", "negatives")
+
+
 def list_entropy(ranked: DataFrame, categories: DataFrame) -> DataFrame:
     """EVL-9: user_id, entropy of the list's categories in bits."""
     c = ranked.join(categories, "item_id").groupBy("user_id", "category").agg(F.count(F.lit(1)).alias("c"))

@@ -173,15 +173,14 @@ NOON = "timestamp '2024-03-01 12:00:00'"
 
 @query(f"""with r as (select event_id, event_id % 8 as k, month(ts) as m, day(ts) as d, hour(ts) as h, minute(ts) as mi from events) select event_id, case k when 0 then {NOON} - to_hours((event_id % 48)::int) when 1 then {NOON} - to_minutes((event_id % 60)::int)
     when 2 then {NOON} - to_hours((event_id % 48)::int) when 3 then {NOON} - to_hours(7) when 4 then null when 5 then null
-    else case when make_timestamp(2024, m, d, h, mi, 0) > {NOON} then make_timestamp(2023, m, d, h, mi, 0) else make_timestamp(2024, m, d, h, mi, 0) end end as at from r where not (m = 2 and d = 29)""")
+    else case when make_timestamp(2024, m, d, h, mi, 0) > {NOON} then make_timestamp(2023, m, d, h, mi, 0) else make_timestamp(2024, m, d, h, mi, 0) end end as at from r""")
 def parse_dates(t: Tables):
     """TXT-21 on dates as the site spells them: alone and inside other text, with single-digit minutes and several spaces, and none at all."""
     k = F.col("event_id") % 8
     hours, minutes = (F.concat((F.col("event_id") % n).cast("string"), F.lit(s)) for n, s in ((48, "h trước"), (60, "p trước")))
     clock = F.concat(F.date_format("ts", "H:"), F.minute("ts").cast("string"), F.lit("  "), F.dayofmonth("ts").cast("string"), F.lit("/"), F.month("ts").cast("string"))
     raw = F.when(k == 0, hours).when(k == 1, minutes).when(k == 2, F.concat(F.lit("Tin: "), hours, F.lit(" - site"))).when(k == 3, "3p trước, 7h trước").when(k == 4, "30/2").when(k == 5, "nan").when(k == 6, F.concat(F.lit("Lúc "), clock, F.lit(" GMT+7"))).otherwise(clock)
-    rows = t.events.filter(~((F.month("ts") == 2) & (F.dayofmonth("ts") == 29)))
-    return rows.select("event_id", X.relative_date(raw, F.lit("2024-03-01 12:00:00").cast("timestamp_ntz").cast("timestamp")).cast("timestamp_ntz").alias("at"))
+    return t.events.select("event_id", X.relative_date(raw, F.lit("2024-03-01 12:00:00").cast("timestamp_ntz").cast("timestamp")).cast("timestamp_ntz").alias("at"))
 
 
 @query("select event_id, cast(ts as date) as day, date_trunc('month', ts)::date as month, floor(date_diff('day', ts::date, date '2025-01-01') / 30.0)::int as months from events")

@@ -12,7 +12,7 @@ from ..operators import models as M
 from ..operators import neighbours as N
 from ..operators import ranking as R
 from ..operators import scoring as S
-from ..operators.ordering import by_block, top_per
+from ..operators.ordering import by_block, quantiles, top_per
 from ..sources.bindings import Tables, interactions, purchases, reading_history, replies
 from ..sources.storage import written
 from .interaction_queries import drawn
@@ -442,8 +442,8 @@ def rerank_chain(t: Tables):
     cats = t.embeddings.select(F.col("vec_id").alias("item_id"), F.col("label").alias("category"))
     counts = reading_history(t, "embeddings").filter("user_id % 20 = 0").join(cats, F.col("item") == F.col("item_id")).groupBy("user_id", "category").count()
     share = counts.withColumn("p", F.col("count") / F.sum("count").over(Window.partitionBy("user_id"))).select("user_id", "category", "p")
-    chosen = R.calibrated(fresh, cats, share, 20).select("user_id", "item_id")
-    return R.mmr(fresh.join(chosen, ["user_id", "item_id"]), t.embeddings, 10)
+
+    return R.reranked(fresh, t.embeddings, cats, share, 10, 20)
 
 
 @query()
@@ -564,7 +564,9 @@ def hard_examples_pruned(t: Tables):
     train, _ = split(t)
     rows = train.join(scored(train).withColumn("score", X.r6(F.col("score"))), ["user_id", "item_id"], "left")
     rows = rows.select("user_id", "item_id", X.r6(F.log1p(F.exp(-F.coalesce("score", F.lit(0.0))))).alias("loss"))
-    return rows.filter(F.col("loss") <= F.lit(rows.agg(F.percentile("loss", 0.9)).first()[0]))
+    rows = written(rows, "losses")
+    most = quantiles(rows, "loss", [0.9]).first()
+    return rows.filter(F.col("loss") <= F.lit(most and most[0]))
 
 
 # evaluation

@@ -44,11 +44,12 @@ def csv_by_folder(t: Tables):
 
 @query("select reply_user_id::varchar as src, parent_user_id::varchar as dst, count(*)::double as w, 'social' as relation from replies where reply_user_id <> parent_user_id group by 1, 2", ("replies",))
 def graph_round_trip(t: Tables):
-    """SNK-3, SRC-4, G14: two relations written, one of them read."""
+    """SNK-3, SRC-4, G14: two relations written, one of them read, from the first folder of a list of places that has a graph."""
     path = shared_dir(t.spark, "graph")
     social = I.social_edges(replies(t)).withColumnRenamed("n", "w")
     sinks.write_graph({"reads": G.bipartite(interactions(t)), "social": social}, path)
-    return sinks.read_graph(t.spark, path, "social")
+    found = files.first_found(t.spark, [f"{path}-newer", path, f"{path}-older"])
+    return sinks.read_graph(t.spark, found, "social")
 
 
 @query("select d.doc_id as idx, k::int as dim, round(case when k < 64 and e.vec_id is not null then (embedding::double[])[k::int + 1] else 0 end, 6) as value from documents d left join embeddings e on e.vec_id = d.doc_id, range(0, 66) r(k)")
@@ -59,15 +60,15 @@ def vectors_aligned(t: Tables):
     return rows.select("idx", F.posexplode("embedding").alias("dim", "value")).withColumn("value", X.r6(F.col("value")))
 
 
-@query("select 'w' || vec_id as word, k::int as dim, round(cast(cast(embedding[k::int + 1] as varchar) as double), 6) as value from embeddings, range(0, 64) r(k)")
+@query("select 'w' || vec_id as word, k::int as dim, round(embedding[k::int + 1]::double, 6) as value from embeddings, range(0, 64) r(k)")
 def word_vectors_text(t: Tables):
-    """SRC-6: vectors as lines of text, with a header and a broken line."""
+    """SRC-6: vectors as lines of text, with a header and a broken line. As floats, numbers read back are those that were written, whatever the digits."""
     path = shared_dir(t.spark, "vec")
     lines = t.embeddings.select(F.concat(F.lit("w"), F.col("vec_id").cast("string"), F.lit(" "), F.concat_ws(" ", F.transform("embedding", lambda x: x.cast("string")))).alias("value"))
     extra = t.spark.createDataFrame([("500 64",), ("broken 1 x",)], "value string")
     lines.unionByName(extra).write.text(path)
     rows = files.word_vectors(t.spark, path, 64)
-    return rows.select("word", F.posexplode("embedding").alias("dim", "value")).withColumn("value", X.r6(F.col("value")))
+    return rows.select("word", F.posexplode("embedding").alias("dim", "value")).withColumn("value", X.r6(F.col("value").cast("float").cast("double")))
 
 
 @query(f"with {WORDS} select doc_id, term, tf from post")
@@ -87,7 +88,11 @@ def id_map_round_trip(t: Tables):
     return files.id_map(t.spark, path)
 
 
-@query(f"with {TFIDF} select doc_id, term, round(tf * idf, 6) as w from post join idf using (term)")
+@query(
+    f"""with {WORDS.replace(" post as (", " post as materialized (")}, n as (select count(*) as n from documents),
+    idf as materialized (select term, ln((1.0 + any_value(n)) / (1.0 + count(*))) + 1.0 as idf from post, n group by term having count(*) >= 2)
+    select doc_id, term, round(tf * idf, 6) as w from post join idf using (term)"""
+)
 def index_round_trip(t: Tables):
     """SNK-5: the state of a text recommender, postings and weights, saved and loaded."""
     path, post = shared_dir(t.spark, "index"), posted(t)

@@ -12,7 +12,14 @@ from ..sources.storage import written
 from .registry import query
 
 STOP = ["the", "of", "and", "de", "la", "le", "der", "und", "el", "en"]
-CLEAN = "lower(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'), 'https?://\\S+|www\\.\\S+|[a-zA-Z0-9.-]+\\.(com|vn|net|org|edu|gov)\\S*', ' ', 'g'), '[!\"#$%&''()*+,\\-./:;<=>?@\\[\\]\\\\^_`{|}~“”‘’…–—]', ' ', 'g'))"
+def _without(text: str, pattern: str) -> str:
+    return f"regexp_replace({text}, '{pattern.replace(chr(39), chr(39) * 2)}', ' ', 'g')"
+
+
+CLEAN = "text"
+for _pattern in (X.TAGS, X.URLS, X.PUNCTUATION):
+    CLEAN = _without(CLEAN, _pattern)
+CLEAN = f"lower({CLEAN})"
 STOPS = ", ".join(f"'{w}'" for w in STOP)
 WORDS = f"words as (select doc_id, list_filter(string_split_regex({CLEAN}, '[ \\t\\n\\r\\f\\x0b]+'), lambda w: length(w) between 1 and 50 and w not in ({STOPS})) as ws from documents), post as (select doc_id, term, count(*)::bigint as tf from (select doc_id, unnest(ws) as term from words) group by 1, 2)"
 TFIDF = f"{WORDS}, n as (select count(*) as n from documents), idf as (select term, ln((1.0 + n) / (1.0 + count(*))) + 1.0 as idf from post, n group by term, n having count(*) >= 2), raw as (select doc_id, term, tf * idf as w from post join idf using (term)), len as (select doc_id, sqrt(sum(w * w)) as len from raw group by 1), weights as (select doc_id, term, w / len as w from raw join len using (doc_id))"
@@ -154,17 +161,18 @@ def text_assembly(t: Tables):
     return t.documents.select("doc_id", F.concat_ws(" ", "source", "lang", "text").alias("text"))
 
 
-@query("""select page_id, case when page_id % 3 > 0 then trim(title) || ' ' || trim(lang) else trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^.*/', ''), '\\.html?$', ''), '[-_]+', ' ', 'g'), ' ') end as text
-    from (select page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, regexp_extract(html, '<html lang="([^"]*)"', 1) as lang from pages) where page_id % 3 = 0 or trim(title) <> '' and trim(lang) <> ''""")
+@query("""select page_id, case when page_id % 3 > 0 and (trim(title) <> '' or trim(lang) <> '') then concat_ws(' ', nullif(trim(title), ''), nullif(trim(lang), '')) else trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(url, '[?#].*$', ''), '^.*/', ''), '\\.html?$', ''), '[-_]+', ' ', 'g'), ' ') end as text
+    from (select page_id, url, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, regexp_extract(html, '<html lang="([^"]*)"', 1) as lang from pages)""")
 def text_or_address(t: Tables):
     """CLN-10: title and language of a page, or where it has neither (every third one here) the words of its address."""
     none = F.col("page_id") % 3 == 0
     title, lang = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.regexp_extract("html", '<html lang="([^"]*)"', 1)
-    rows = t.pages.filter(none | ((F.trim(title) != "") & (F.trim(lang) != "")))
-    return rows.select("page_id", X.assembled(F.col("url"), F.when(~none, title), F.when(~none, lang)).alias("text"))
+    return t.pages.select("page_id", X.assembled(F.col("url"), F.when(~none, title), F.when(~none, lang)).alias("text"))
 
 
-FULL = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text), '<[^>]+>', ' ', 'g'), 'https?://\\S+|www\\.\\S+|[a-zA-Z0-9.-]+\\.(com|vn|net|org|edu|gov)\\S*', ' ', 'g'), '[!\"#$%&''()*+,\\-./:;<=>?@\\[\\]\\\\^_`{|}~“”‘’…–—]', ' ', 'g'), '(^|[^\\p{L}\\p{N}_])[0-9]+([^\\p{L}\\p{N}_]|$)', '\\1 \\2', 'g'), '(^|[^\\p{L}\\p{N}_])[0-9]+([^\\p{L}\\p{N}_]|$)', '\\1 \\2', 'g')"
+FULL = "nfc_normalize(text)"
+for _pattern in (X.TAGS, X.URLS, X.PUNCTUATION, X.NUMBERS):
+    FULL = _without(FULL, _pattern)
 
 
 @query(f"select doc_id, term, count(*)::bigint as tf from (select doc_id, unnest(list_filter(string_split_regex(lower({FULL}), '[ \\t\\n\\r\\f\\x0b]+'), lambda w: length(w) between 1 and 50 and w not in ({STOPS}))) as term from documents) group by 1, 2")
