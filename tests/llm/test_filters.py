@@ -380,3 +380,37 @@ def test_no_similar_window_is_outside_the_radius():
             p = decontamination.packed(np.array([sum(decontamination.bits_of(s) * c for s, c in w.items()) for w in (x, y)]))
             worst = max(worst, int(p[0] ^ p[1]).bit_count())
     assert worst <= decontamination.RADIUS
+
+
+def test_the_radius_by_the_number_of_shingles():
+    """The chance that a bit differs, against drawn signs; and that the radius is exceeded, below one in 10^8."""
+    r = np.random.default_rng(3)
+    for n in (9, 18, 45):
+        kept = -(-16 * n // 18)
+        a = r.choice([-1, 1], (200_000, kept)).sum(1)
+        x, y = (a + r.choice([-1, 1], (200_000, n - kept)).sum(1) > 0 for _ in range(2))
+        assert abs((x != y).mean() - decontamination.flip_chance(n)) < 0.005
+    assert all(decontamination.missed(n) < 1e-8 for n in range(1, 150))
+
+
+def test_buckets_name_all_within_the_radius_and_only_wanted_items(monkeypatch):
+    monkeypatch.setattr(decontamination, "GROUPS", 1)
+    r = np.random.default_rng(4)
+    prints = r.integers(0, 2**63, 150).astype(np.uint64)
+    own = decontamination.Lengths(list(range(150)), prints, [])
+    windows = np.array([p ^ np.uint64(sum(1 << int(b) for b in r.choice(64, k, replace=False))) for p in prints[::3] for k in (0, 20, 28, 29)])
+    wanted = set(range(0, 150, 2))
+    found = {(i, int(w)) for i, at in own.named(windows, wanted) for w in at}
+    assert found == {(i, w) for i in wanted for w in range(len(windows)) if int(windows[w] ^ prints[i]).bit_count() <= decontamination.RADIUS}
+    assert len(own.held) == 1
+
+
+def test_work_follows_the_items_that_share_words():
+    """Items of the same length that share no shingle with a document are not looked at."""
+    r = random.Random(5)
+    items = [(k, " ".join(f"w{r.randrange(5000)}" for _ in range(20)).encode()) for k in range(300)]
+    index = decontamination.Index(items)
+    text = b" ".join([b"other words here", items[7][1], b"and more"])
+    words, seeds = index.seeded([text])
+    assert {i for *_, own in seeds[0] for i in own} == {7}
+    assert index.matches(words[0], seeds[0], 0.8) == {7: (1.0, 3)}
