@@ -83,6 +83,16 @@ def split_per_user(pairs: DataFrame, seed: int = 42, share: float = 0.2) -> Data
     return pairs.withColumn("split", F.when(test, "test").otherwise("train"))
 
 
+def split_fifths(pairs: DataFrame, least: int = 2, seed: int = 42) -> DataFrame:
+    """SPL-5: of each user with `least` rows or more, the first four fifths by hash order (rounded down) are for training; where that leaves none for testing, the last one is."""
+    w = Window.partitionBy("user_id")
+    rank = F.row_number().over(w.orderBy(hash_unit("user_id", "item_id", F.lit(seed)), "item_id"))
+    rows = pairs.withColumn("__rank", rank).withColumn("__n", F.count(F.lit(1)).over(w)).filter(F.col("__n") >= least)
+    train = F.floor(F.col("__n") * 0.8)
+    test = (F.col("__rank") > train) | ((train == F.col("__n")) & (F.col("__n") > 1) & (F.col("__rank") == F.col("__n")))
+    return rows.withColumn("split", F.when(test, "test").otherwise("train")).drop("__rank", "__n")
+
+
 def split_last_out(pairs: DataFrame) -> DataFrame:
     """SPL-4: the last row of each user with two rows or more is for testing."""
     w = Window.partitionBy("user_id")

@@ -70,11 +70,13 @@ def best_docs(scores: DataFrame, k: int, exclude: DataFrame | None = None) -> Da
 def profile_terms(history: DataFrame, post: DataFrame, cap: int = 100, repeats: int = 3, how: str = "tf") -> DataFrame:
     """TXT-17: the terms of what a user has read: query_id, term, qtf. history: user_id, doc_id.
 
-    how: "tf", the most frequent, each at most `repeats` times; "tfidf", those of largest count times idf, once each;
-    "distinct", each once, by the alphabet. `cap` terms a user.
+    how: "tf", the most frequent, each at most `repeats` times; "concat", the most frequent, as often as they occur; "tfidf", those of largest count times
+    idf, once each; "distinct", each once, by the alphabet. `cap` terms a user.
     """
     counts = history.join(post, "doc_id").groupBy("user_id", "term").agg(F.sum("tf").alias("c"))
     order, qtf = [F.desc("c"), F.col("term")], F.least("c", F.lit(repeats))
+    if how == "concat":
+        qtf = F.col("c")
     if how == "distinct":
         order, qtf = [F.col("term")], F.lit(1)
     if how == "tfidf":

@@ -85,6 +85,13 @@ def split_per_user(t: Tables):
     return I.split_per_user(interactions(t)).select("user_id", "item_id", "split")
 
 
+@query(f"""with r as (select user_id, item_id, row_number() over (partition by user_id order by {HASH.format("user_id || ':' || item_id || ':42' ")}, item_id) as rn, count(*) over (partition by user_id) as n from inter)
+    select user_id, item_id, case when rn > floor(n * 0.8) then 'test' else 'train' end as split from r where n >= 2""", ("inter",))
+def split_fifths(t: Tables):
+    """SPL-5."""
+    return I.split_fifths(interactions(t)).select("user_id", "item_id", "split")
+
+
 @query("select user_id, item_id, case when n >= 2 and rn = 1 then 'test' else 'train' end as split from (select *, row_number() over (partition by user_id order by ts desc, item_id desc) as rn, count(*) over (partition by user_id) as n from inter)", ("inter",))
 def split_last_out(t: Tables):
     return I.split_last_out(interactions(t)).select("user_id", "item_id", "split")

@@ -614,6 +614,19 @@ def auc_user(t: Tables):
     return R.auc(free, test)
 
 
+@query(
+    f"""with {RANKED}, x as (select score, (t.item_id is not null)::int as pos from fr left join test t on t.user_id = fr.user_id and t.item_id = fr.item_id),
+    r as (select pos, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 as rk from x)
+    select round((sum(rk * pos) - sum(pos) * (sum(pos) + 1) / 2.0) / nullif(sum(pos) * (count(*) - sum(pos)), 0), 6) as auc, sum(pos)::bigint as positives, (count(*) - sum(pos))::bigint as negatives from r""",
+    ("inter",),
+)
+def auc_global(t: Tables):
+    """EVL-8 over all pairs at once."""
+    train, test = split(t)
+    free = scored(train).withColumn("score", X.r6(F.col("score"))).join(train.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
+    return R.auc_all(free, test)
+
+
 @query(f"with {RANKED}, {CATEGORY}, c as (select user_id, category, count(*) as c from top join cat using (item_id) group by 1, 2), p as (select user_id, c / sum(c) over (partition by user_id) as p from c) select user_id, round(-sum(p * log2(p + 1e-9)), 6) as entropy from p group by 1", ("inter",))
 def entropy_list(t: Tables):
     return R.list_entropy(ranked(t)[0], categories(t))

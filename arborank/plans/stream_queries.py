@@ -46,6 +46,38 @@ def stream_dedup(t: Tables):
     return finished(streams.first_of_each(rows.unionByName(rows), ["event_id"]).select("event_id"), "append", "dedup").select("event_id")
 
 
+#: What a stream in append mode has given back at its end: windows that ended an hour before the last event.
+CLOSED = "(select date_trunc('milliseconds', max(ts)) - interval 1 hour from events)"
+
+
+@query(
+    f"""with g as (select user_id, ts, event_id, case when ts - lag(ts) over (partition by user_id order by ts, event_id) <= interval 30 minute then 0 else 1 end as fresh from events),
+    s as (select user_id, count(*)::bigint as n, min(ts) as start, max(ts) as stop from (select *, sum(fresh) over (partition by user_id order by ts, event_id) as s from g) group by user_id, s)
+    select * from s where stop + interval 30 minute <= {CLOSED}"""
+)
+def stream_sessions_closed(t: Tables):
+    """STR-1 as a stream: each session once it has ended."""
+    found = finished(streams.sessions(event_stream(t)), "append", "sessions")
+    return found.select("user_id", "n", F.col("start").cast("timestamp_ntz").alias("start"), F.col("stop").cast("timestamp_ntz").alias("stop"))
+
+
+@query(
+    f"""select start, event_type, n, value from (select time_bucket(interval 15 minute, ts) - to_minutes(k::int * 15) as start, event_type, count(*)::bigint as n, round(sum(value), 4) as value from events, range(0, 4) r(k) group by 1, 2)
+    where start + interval 1 hour <= {CLOSED}"""
+)
+def stream_trending_closed(t: Tables):
+    """STR-2 as a stream: each hour's window every 15 minutes, once it has ended."""
+    found = finished(streams.trending(event_stream(t)), "append", "trending")
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
+
+
+@query(f"select start, event_type, n from (select date_trunc('hour', ts) as start, event_type, count(*)::bigint as n from events group by 1, 2) where start + interval 1 hour <= {CLOSED}")
+def stream_hourly_closed(t: Tables):
+    """STR-3 as a stream."""
+    found = finished(streams.hourly(event_stream(t)), "append", "hourly")
+    return found.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
 SESSIONS = "g as (select user_id, item, ts, event_id, case when lag(ts) over (partition by user_id order by ts) is null or ts - lag(ts) over (partition by user_id order by ts) > interval 30 minute then 1 else 0 end as fresh from vecread), s as (select *, sum(fresh) over (partition by user_id order by ts, event_id) as k from g), a as (select *, row_number() over (partition by user_id, k order by ts desc, event_id desc) - 1 as age, min(ts) over (partition by user_id, k) as start from s)"
 
 
