@@ -28,14 +28,25 @@ def doc_key(column: str = "doc_id"):
     return F.coalesce(F.col(column).cast("long"), F.lit(NULL_ID))
 
 
+def free_names(df: DataFrame, *wanted: str) -> list[str]:
+    """The wanted names, longer where df has them in any letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: A key with more than this share of the rows, and this many rows, is dealt over several tasks; there are at most 1 / share of them.
 HOT_SHARE, HOT_ROWS, HOT_PARTS = 0.001, 5000, 64
 
 
-def hot_keys(rows: DataFrame, key: list[str]) -> DataFrame:
-    """The hot keys of rows, a written table of at most 1 / HOT_SHARE rows, with __hot = true."""
-    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
-    total = rows.agg(F.count(F.lit(1))).first()[0]
+def hot_keys(rows: DataFrame, key: list[str], sizes: DataFrame | None = None) -> DataFrame:
+    """The hot keys of rows, a written table of at most 1 / HOT_SHARE rows, with __hot = true. sizes: key and __n, if they are known."""
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")) if sizes is None else sizes
+    total = sizes.agg(F.sum("__n")).first()[0] or 0
     return written(sizes.filter(F.col("__n") > max(HOT_ROWS, HOT_SHARE * total)).select(*key, F.lit(True).alias("__hot")), "hot-keys")
 
 
@@ -47,12 +58,12 @@ def dealt(rows: DataFrame, lookup: DataFrame, key: list[str], by: Column, hot: D
     return rows.join(hot, key, "left").withColumn("__part", part).drop("__hot"), lookup.join(hot, key, "left").withColumn("__part", F.explode(parts)).drop("__hot")
 
 
-def spread_join(rows: DataFrame, lookup: DataFrame, key: list[str], by: Column, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, lookup: DataFrame, key: list[str], by: Column, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
     """rows joined (inner or left) with lookup, which has one row a key at most and no column of rows but the key.
 
-    No key's rows need meet in one task; see dealt(). rows are read twice and should be a table, or cheap.
+    No key's rows need meet in one task; see dealt(). rows are read twice and should be a table, or cheap, unless the sizes (key, __n) are given.
     """
-    hot = hot_keys(rows, key)
+    hot = hot_keys(rows, key, sizes)
     if hot.isEmpty():
         return rows.join(lookup, key, how)
     left, right = dealt(rows, lookup, key, by, hot)
@@ -114,4 +125,4 @@ def ids_of(batch: pa.RecordBatch, column: int = 0) -> np.ndarray:
     return pc.fill_null(batch.column(column), NULL_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-__all__ = ["NULL_ID", "SPACE", "doc_key", "ids_of", "parts_of", "probed", "shared_dir", "slices", "spread_join", "table", "written"]
+__all__ = ["NULL_ID", "SPACE", "doc_key", "free_names", "ids_of", "parts_of", "probed", "shared_dir", "slices", "spread_join", "table", "written"]

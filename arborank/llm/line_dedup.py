@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, ids_of, probed, slices, spread_join, written
+from .common import doc_key, free_names, ids_of, probed, slices, spread_join, written
 
 BLANKS = b" \t\n\x0b\x0c\r"
 SLOTS = 4
@@ -170,15 +170,16 @@ class LineIndex:
 
     def applied(self, docs: DataFrame, postings: DataFrame | None = None) -> DataFrame:
         """docs, with all their columns, with the text that decide() keeps."""
-        drops = self.drops(docs, postings).select(F.col("doc").alias("__doc"), F.col("drop").alias("__drop"))
-        rows = docs.withColumn("__doc", doc_key()).join(drops, "__doc", "left")
+        doc, drop = free_names(docs, "__doc", "__drop")
+        drops = self.drops(docs, postings).select(F.col("doc").alias(doc), F.col("drop").alias(drop))
+        rows = docs.withColumn(doc, doc_key()).join(drops, doc, "left")
         min_chars = self.min_chars
 
         @F.arrow_udf("string")
         def kept(text: pa.Array, drop: pa.Array) -> pa.Array:
             return pa.array([t if not d else without(t.encode(), set(d), min_chars)[0].decode("utf-8", "replace") for t, d in zip(text.to_pylist(), drop.to_pylist(), strict=True)], pa.string())
 
-        return rows.select(*[kept(F.col("text").cast("string"), F.col("__drop")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
+        return rows.select(*[kept(F.col("text").cast("string"), F.col(drop)).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
     def known(self, postings: DataFrame) -> DataFrame:
         """doc, key: the postings whose key the filter of its shard may hold."""

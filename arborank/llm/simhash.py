@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import doc_key, slices, spread_join, written
+from .common import doc_key, free_names, slices, spread_join, written
 
 #: A block value with more fingerprints than this is dealt out by its remaining bits.
 HOT_GROUP = 1024
@@ -321,21 +321,27 @@ def sampled_groups(prints: DataFrame, words: int, tables: int, bits: int = 16) -
     return now.join(hot, "group", "left_anti").select("node", "group", *names).unionByName(cut.select("node", "group", *names))
 
 
+def minima(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, m), the least v of each u, and (u, __n), its number of edges."""
+    rows = written(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("__n")), "cc-least")
+    return rows.select("u", "m"), rows.select("u", "__n")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """node, root (the smallest node it reaches), for the nodes on edges; alternating large-star and small-star.
 
-    Each round is written, so its lineage is cut; sums and minima are taken before rows are dealt by node.
+    Each round is written, so its lineage is cut; minima are taken before rows are dealt by node, and the edges of a hub are dealt over several tasks.
     """
     edges = written(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "cc-edges")
     if edges.isEmpty():
         return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     for _ in range(most_rounds):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least, sizes = minima(both)
+        large = spread_join(both, least.select("u", F.least("u", "m").alias("m")), ["u"], F.xxhash64("v"), sizes=sizes).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         large = written(large, "cc-large")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        least, sizes = minima(large)
+        small = spread_join(large, least, ["u"], F.xxhash64("v"), sizes=sizes).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         small = written(small, "cc-small")
         # done when every node has one edge and no root has any
         many = small.groupBy("u").count().filter("count > 1").limit(1)
@@ -362,8 +368,10 @@ def grouped(prints: DataFrame, edges: DataFrame) -> DataFrame:
     """prints (doc_id, node, further columns) with component_id."""
     each = written(prints.groupBy("node").agg(F.min("doc_id").alias("doc_id")), "simhash-distinct")
     labelled = labelled_nodes(each, edges)
-    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    found = written(labelled.join(least, "root").select("node", "component_id"), "simhash-components")
+    labelled = written(labelled, "simhash-labelled")
+    least = labelled.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("__n"))
+    found = spread_join(labelled, least.drop("__n"), ["root"], F.xxhash64("node"), sizes=least.select("root", "__n"))  # a component may be very large
+    found = written(found.select("node", "component_id"), "simhash-components")
     return spread_join(prints, found, ["node"], F.xxhash64("doc_id"))
 
 
@@ -447,15 +455,16 @@ def one_of_each(docs: DataFrame, n: int = 5, least: float = 0.8, radius: int = 4
     edges = alike_edges(groups, radius, words, lambda some: similar_edges(some, nodes, rows, n, least))
     first = F.min_by(F.struct("doc", "node"), F.struct(F.col("doc_id").isNull(), "doc", "node"))
     chosen = labelled_nodes(nodes.select("node", "doc_id"), edges).withColumn("doc", doc_key()).groupBy("root").agg(first.alias("x"))
-    chosen = written(chosen.select(F.col("x.doc").alias("__doc"), F.col("x.node").alias("__own")), "simhash-chosen")
-    keyed, columns = docs.withColumn("__doc", doc_key()), [F.col(f"`{c}`") for c in docs.columns]
+    doc, own, node = free_names(docs, "__doc", "__own", "__node")
+    chosen = written(chosen.select(F.col("x.doc").alias(doc), F.col("x.node").alias(own)), "simhash-chosen")
+    keyed, columns = docs.withColumn(doc, doc_key()), [F.col(f"`{c}`") for c in docs.columns]
     if prints.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        return keyed.join(chosen, "__doc", "left_semi").select(*columns)
+        return keyed.join(chosen, doc, "left_semi").select(*columns)
 
     # some id is repeated: of its rows the text tells which one is meant
     @F.arrow_udf("long")
     def node_of(text: pa.Array) -> pa.Array:
         return pa.array([text_node((t or "").encode()) for t in text.to_pylist()], pa.int64())
 
-    kept = keyed.withColumn("__node", node_of(F.col("text").cast("string"))).join(chosen, "__doc").filter("__node = __own")
-    return kept.dropDuplicates(["__doc", "__own"]).select(*columns)
+    kept = keyed.withColumn(node, node_of(F.col("text").cast("string"))).join(chosen, doc).filter(F.col(node) == F.col(own))
+    return kept.dropDuplicates([doc, own]).select(*columns)

@@ -242,3 +242,29 @@ def test_estimates_are_never_too_low():
     for s, t, m in zip(start, text, least, strict=True):
         w = tuple(words[t].split()[s - first[t] : s - first[t] + 50])
         assert seen.setdefault(w, m) == m
+
+
+def test_columns_with_names_of_the_operators_keep_their_values(spark):
+    rows = [(1, f"{LINE}\nown one", 7, "a"), (2, f"{LINE}\nown two", 8, "b"), (3, f"{LINE}\nown three", 9, None), (4, prose(80, 1), 5, "c"), (5, prose(80, 1), 6, "d")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __doc long, __Drop string")
+    index = line_dedup.LineIndex.build(df, min_docs=3, min_chars=20)
+    found = index.applied(df, index.postings)
+    assert found.columns == df.columns and sorted((r.doc_id, r["__doc"], r["__Drop"]) for r in found.collect()) == [(d, x, y) for d, _, x, y in rows]
+    more = df.withColumnRenamed("__Drop", "__own").withColumn("__node", df["__doc"])
+    kept = simhash.one_of_each(more)
+    assert kept.columns == more.columns and sorted((r.doc_id, r["__doc"], r["__own"], r["__node"]) for r in kept.collect()) == [(1, 7, "a", 7), (2, 8, "b", 8), (3, 9, None, 9), (4, 5, "c", 5)]
+    again = more.unionByName(more.filter("doc_id = 2"))
+    assert sorted(r["__doc"] for r in simhash.one_of_each(again).collect()) == [5, 7, 8, 9]
+
+
+def test_components_of_a_star_are_dealt(spark, monkeypatch):
+    """A hub's edges and a giant component go to several tasks; the roots are the same."""
+    from arborank.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 100)
+    edges = spark.range(1, 3000).selectExpr("id as src", "case when id % 3 = 0 then 5000 else 4000 end as dst").union(spark.createDataFrame([(7, 9), (9, 5000), (6001, 6002)], "src long, dst long"))
+    roots = {r.node: r.root for r in simhash.components(edges).collect()}
+    assert len(roots) == 3001 and {r for n, r in roots.items() if n < 6000} == {1} and roots[6002] == 6001  # roots themselves have no row
+    prints = spark.createDataFrame([(n, n) for n in [*range(1, 3000), 4000, 5000, 6001, 6002, 8000]], "doc_id long, node long")
+    found = {r.doc_id: r.component_id for r in simhash.grouped(prints, edges).collect()}
+    assert found == {**{n: 1 for n in [*range(1, 3000), 4000, 5000]}, 6001: 6001, 6002: 6001, 8000: 8000}
