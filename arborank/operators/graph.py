@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import written
-from .ordering import paired
+from .ordering import met, paired, spread_join
 
 
 def reaction_weight(reactions, decay=None):
@@ -48,7 +48,7 @@ def same_days(published: DataFrame, day_window: int = 0, categories: DataFrame |
     a = rows.select(F.col("item_id").alias("src"), *keys)
     days = F.explode(F.sequence(F.date_sub("day", day_window), F.date_add("day", day_window)))
     b = rows.withColumn("day", days).select(F.col("item_id").alias("dst"), *keys)
-    return a.join(b, keys).filter("src < dst").select("src", "dst")
+    return met(a, b, keys, "src").filter("src < dst").select("src", "dst")
 
 
 def cross_category(user_categories: DataFrame, least: int) -> DataFrame:
@@ -62,7 +62,7 @@ def asked_cross_category(user_categories: DataFrame, asked: DataFrame, least: in
     """G7 for the users asked for (user_id), each against all users: src (asked), dst, n."""
     each = user_categories.select("user_id", "category").distinct()
     own = each.join(asked.select("user_id").distinct(), "user_id", "left_semi").select("category", F.col("user_id").alias("src"))
-    pairs = own.join(each.select("category", F.col("user_id").alias("dst")), "category").filter("src <> dst")
+    pairs = met(own, each.select("category", F.col("user_id").alias("dst")), ["category"], "src").filter("src <> dst")
     return pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
 
 
@@ -76,7 +76,7 @@ def cross_category_classes(user_categories: DataFrame, least: int) -> DataFrame:
     classes = written(sets.groupBy("categories").agg(F.min("user_id").alias("class"), F.count(F.lit(1)).alias("members")), "classes")
     each = classes.select("class", F.explode("categories").alias("category"))
     a, b = each.select(F.col("class").alias("src"), "category"), each.select(F.col("class").alias("class"), "category")
-    near = a.join(b, "category").groupBy("src", "class").count().filter(F.col("count") >= least).join(classes.select("class", "members"), "class")
+    near = met(a, b, ["category"], "src").groupBy("src", "class").count().filter(F.col("count") >= least).join(classes.select("class", "members"), "class")
     own = F.sum(F.when(F.col("src") == F.col("class"), 1).otherwise(0))
     near = near.groupBy("src").agg(F.sort_array(F.collect_list("class")).alias("linked"), (F.sum("members") - own).alias("links"))
     named = classes.join(near, F.col("class") == F.col("src"), "left").select("categories", "class", "linked", "links")
@@ -143,15 +143,21 @@ def leaked(graph: DataFrame, train: DataFrame) -> DataFrame:
     return graph.join(train.select(F.col("user_id").alias("src"), F.col("item_id").alias("dst")), ["src", "dst"], "left_anti")
 
 
+def minima(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, m), the least b of each a, and (a, __n), its number of edges."""
+    rows = written(edges.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("__n")), "minima")
+    return rows.select("a", "m"), rows.select("a", "__n")
+
+
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """AGG-18: node and label (the least node it reaches), by large-star and small-star rounds over written tables."""
+    """AGG-18: node and label (the least node it reaches), by large-star and small-star rounds over written tables. A hub's edges are dealt over several tasks."""
     now = written(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct(), "components")
     for _ in range(most_rounds):
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        up = written(both.join(least, "a").filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "components")
-        least = up.groupBy("a").agg(F.min("b").alias("m"))
-        down = up.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        least, sizes = minima(both)
+        up = written(spread_join(both, least.select("a", F.least("a", "m").alias("m")), ["a"], F.xxhash64("b"), sizes=sizes).filter("b > a and b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), "components")
+        least, sizes = minima(up)
+        down = spread_join(up, least, ["a"], F.xxhash64("b"), sizes=sizes).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         now = written(down.filter("a <> b").distinct(), "components")
         if now.groupBy("a").count().filter("count > 1").isEmpty() and now.select("b").join(now.select(F.col("a").alias("b")), "b", "left_semi").isEmpty():
             nodes = edges.select(F.col("src").alias("node")).unionByName(edges.select(F.col("dst").alias("node"))).distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import top_per
+from .ordering import met, spread_join, top_per
 
 
 def postings(docs: DataFrame, words) -> DataFrame:
@@ -35,7 +35,7 @@ def similar_docs(weights: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """EMB-8 on text: for each query document its k nearest others by cosine (a, b, sim, rk), joined on shared terms."""
     a = weights.join(queries.select("doc_id"), "doc_id", "left_semi").select(F.col("doc_id").alias("a"), "term", F.col("w").alias("wa"))
     b = weights.select(F.col("doc_id").alias("b"), "term", F.col("w").alias("wb"))
-    sims = a.join(b, "term").filter("a <> b").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("sim"))
+    sims = met(a, b, ["term"], "a").filter("a <> b").groupBy("a", "b").agg(F.round(F.sum(F.col("wa") * F.col("wb")), 6).alias("sim"))
     return top_per(sims, ["a"], [F.desc("sim"), F.col("b")], k)
 
 
@@ -47,8 +47,10 @@ def bm25(post: DataFrame, queries: DataFrame, kind: str = "okapi", k1: float = 1
     size = post.groupBy("doc_id").agg(F.sum("tf").alias("dl"))
     total = size.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
     df = post.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    wanted = post.join(queries.select("term").distinct(), "term", "left_semi")
-    rows = wanted.join(df, "term").join(size, "doc_id").crossJoin(F.broadcast(total))  # total is one row
+    # the idf of the queries' terms only, and a frequent term's postings over several tasks
+    asked = df.join(queries.select("term").distinct(), "term", "left_semi")
+    wanted = spread_join(post.select("doc_id", "term", "tf"), asked, ["term"], F.xxhash64("doc_id"), sizes=asked.select("term", F.col("df").alias("__n")))
+    rows = wanted.join(size, "doc_id").crossJoin(F.broadcast(total))  # total is one row
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)
     length = 1 - b + b * F.col("dl") / F.col("avgdl")
     if kind == "l":
@@ -57,7 +59,7 @@ def bm25(post: DataFrame, queries: DataFrame, kind: str = "okapi", k1: float = 1
     else:
         weight = idf * (F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * length) + (delta if kind == "plus" else 0.0))
     rows = rows.select("doc_id", "term", weight.alias("weight"))
-    return rows.join(queries, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qtf")).alias("score"))
+    return met(rows, queries.select("query_id", "term", "qtf"), ["term"], "doc_id").groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * F.col("qtf")).alias("score"))
 
 
 def best_docs(scores: DataFrame, k: int, exclude: DataFrame | None = None) -> DataFrame:

@@ -88,14 +88,14 @@ def paired(rows: DataFrame, by: str, of: str) -> tuple[DataFrame, DataFrame, lis
 HOT_SHARE, HOT_ROWS, HOT_PARTS = 0.001, 20_000, 32
 
 
-def spread_join(rows: DataFrame, lookup: DataFrame, key: list[str], by: Column, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, lookup: DataFrame, key: list[str], by: Column, how: str = "inner", sizes: DataFrame | None = None) -> DataFrame:
     """rows joined (inner or left) with lookup, which has one row a key at most and shares no other column.
 
     The rows of a hot key are dealt over HOT_PARTS parts by the hash `by`, and its lookup row goes to each, so none must fit one task. rows are read twice
-    and should be a table, or cheap.
+    and should be a table, or cheap, unless the sizes (key, __n) are given.
     """
-    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
-    total = rows.count()
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")) if sizes is None else sizes
+    total = sizes.agg(F.sum("__n")).first()[0] or 0
     if total <= HOT_ROWS:
         return rows.join(lookup, key, how)
     hot = written(sizes.filter(F.col("__n") > max(HOT_ROWS, HOT_SHARE * total)).select(*key, F.lit(True).alias("__hot")), "hot")
@@ -109,6 +109,21 @@ def spread_join(rows: DataFrame, lookup: DataFrame, key: list[str], by: Column,
     return left.join(right, [*key, "__part"], how).drop("__part")
 
 
+def met(one: DataFrame, other: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """one joined with other on the keys, where both may have many rows of a key; they share no other column.
+
+    A key with over WIDE_KEY rows of `one` has those cut in parts by the hash of `by`, and the rows of `other` repeated for each part, so that its pairs are
+    made in several tasks. Where no key is that wide, it is a plain join.
+    """
+    wide = written(one.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / WIDE_KEY).cast("int").alias("__parts")).filter("__parts > 1"), "wide")
+    if wide.isEmpty():
+        return one.join(other, keys)
+    parts = F.coalesce("__parts", F.lit(1))
+    left = one.join(wide, keys, "left").withColumn("__part", F.pmod(F.xxhash64(by), parts).cast("int")).drop("__parts")
+    right = other.join(wide, keys, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__parts")
+    return left.join(right, [*keys, "__part"]).drop("__part")
+
+
 def top_salted(df: DataFrame, keys: list[str], order: list, k: int, name: str = "rk", salt: str = "id", parts: int = 32) -> DataFrame:
     """top_per() in two steps: within parts of each key by the hash of `salt` first, so that a key with very many rows fills several tasks."""
     part = F.pmod(F.xxhash64(salt), F.lit(parts)).cast("int")

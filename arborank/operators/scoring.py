@@ -158,6 +158,14 @@ def semantic_sum(codes: DataFrame, books: DataFrame) -> DataFrame:
     return rows.groupBy("vec_id", "dim").agg(F.sum("x").alias("value"))
 
 
+def noisy_arrays(vectors: DataFrame, layer: int, size: float = 0.1, seed: int = 42) -> DataFrame:
+    """noisy() on node, v, one array a node."""
+    noise = F.transform("v", lambda x, d: hash_unit(F.col("node"), d, F.lit(layer), F.lit(seed)))
+    rows = vectors.select("node", "v", noise.alias("__noise"))
+    length = F.sqrt(dot(F.col("__noise"), F.col("__noise")))
+    return rows.select("node", F.zip_with("v", "__noise", lambda x, h: x + F.signum(x) * F.when(length > 0, h / length).otherwise(0.0) * size).alias("v"))
+
+
 def noisy(vectors: DataFrame, layer: int, size: float = 0.1, seed: int = 42) -> DataFrame:
     """CF-11: node, dim, value moved by a hashed noise of length `size` that has the signs of the vector."""
     noise = hash_unit("node", "dim", F.lit(layer), F.lit(seed))
@@ -168,24 +176,27 @@ def noisy(vectors: DataFrame, layer: int, size: float = 0.1, seed: int = 42) ->
 
 
 def propagate_noisy(edges: DataFrame, vectors: DataFrame, layers: int, size: float = 0.1, seed: int = 42) -> DataFrame:
-    """CF-11, CF-12: the mean of `layers` rounds of edges times vectors, each with noise; the start doesn't count."""
-    every, now = None, vectors
+    """CF-11, CF-12: the mean of `layers` rounds of edges times vectors, each with noise; the start doesn't count. A round moves one array an edge."""
+    width = (vectors.agg(F.max("dim")).first()[0] or 0) + 1
+    every, now = None, written(wide(vectors, width), "layer")
     for layer in range(layers):
-        step = edges.join(now.select(F.col("node").alias("src"), "dim", "value"), "src").groupBy(F.col("dst").alias("node"), "dim").agg(F.sum(F.col("w") * F.col("value")).alias("value"))
-        now = written(noisy(step, layer, size, seed), "layer")
+        along = edges.join(now.select(F.col("node").alias("src"), "v"), "src").select(F.col("dst").alias("node"), "w", "v")
+        now = written(noisy_arrays(summed(along, width, F.col("w")), layer, size, seed), "layer")
         every = now if every is None else every.unionByName(now)
-    return every.groupBy("node", "dim").agg((F.sum("value") / layers).alias("value"))
+    return summed(every, width).select("node", F.posexplode("v").alias("dim", "value")).withColumn("value", F.col("value") / layers)
 
 
-def info_nce(one: DataFrame, other: DataFrame, temperature: float = 0.2) -> DataFrame:
-    """CF-20: the contrastive loss of two views (id, v) of one batch: each row against all rows of the batch.
+def info_nce(one: DataFrame, other: DataFrame, temperature: float = 0.2, batch: Column | None = None) -> DataFrame:
+    """CF-20: the contrastive loss of two views (id, v): each row against all rows of its batch.
 
-    A batch is bounded by its caller; it is sent to the tasks.
+    `batch` names the batch of a row, if there are several: rows meet those of their own batch alone, by an equal join, so the work grows with the rows
+    times the size of a batch. The mean is over all rows.
     """
-    a = one.select("id", unit(doubles("v")).alias("a"))
-    b = other.select(F.col("id").alias("__id"), unit(doubles("v")).alias("b"))
+    key = F.lit(0) if batch is None else batch
+    a = one.select("id", key.alias("batch"), unit(doubles("v")).alias("a"))
+    b = other.withColumn("batch", key).select("batch", F.col("id").alias("__id"), unit(doubles("v")).alias("b"))
     s = cosine(F.col("a"), F.col("b")) / temperature
-    rows = a.crossJoin(F.broadcast(b)).select("id", "__id", s.alias("s")).groupBy("id")
+    rows = a.join(b, "batch").select("batch", "id", "__id", s.alias("s")).groupBy("batch", "id")
     loss = rows.agg((F.log(F.sum(F.exp("s"))) - F.max(F.when(F.col("id") == F.col("__id"), F.col("s")))).alias("loss"))
     return loss.agg(F.round(F.avg("loss"), 6).alias("info_nce"), F.count(F.lit(1)).alias("n"))
 

@@ -115,12 +115,21 @@ def xsimgcl_2layer(t: Tables):
     return S.propagate_noisy(edges, start_vectors(edges), 2).withColumn("value", X.r6(F.col("value")))
 
 
-@query(f"with f as (select user_id, dim, {HASHED.format("'user_id:' || user_id || ':' || dim")} as x, {HASHED.format("'user_id:' || user_id || ':' || (dim + 1)")} as y from (select distinct user_id from inter where user_id % 20 = 0), range(0, 8) r(dim)), v as (select user_id, list(x order by dim) as a, list(y order by dim) as b from f group by 1), s as (select p.user_id, q.user_id as other, list_dot_product(p.a, q.b) / (sqrt(list_dot_product(p.a, p.a)) * sqrt(list_dot_product(q.b, q.b))) / 0.2 as s from v p cross join v q), l as (select user_id, ln(sum(exp(s))) - max(case when user_id = other then s end) as loss from s group by 1) select round(avg(loss), 6) as info_nce, count(*)::bigint as n from l", ("inter",))
+@query(
+    f"""with u as (select user_id, floor(('0x' || substr(md5('batch:' || user_id), 1, 8))::bigint / 4294967296.0 * ceil(count(*) over () / 256.0))::bigint as batch from (select distinct user_id from inter)),
+    f as (select user_id, dim, {HASHED.format("'user_id:' || user_id || ':' || dim")} as x, {HASHED.format("'user_id:' || user_id || ':' || (dim + 1)")} as y from u, range(0, 8) r(dim)),
+    v as (select user_id, list(x order by dim) as a, list(y order by dim) as b from f group by 1),
+    s as (select p.user_id, q.user_id as other, list_dot_product(p.a, q.b) / (sqrt(list_dot_product(p.a, p.a)) * sqrt(list_dot_product(q.b, q.b))) / 0.2 as s from v p join u pu using (user_id) join u qu on qu.batch = pu.batch join v q on q.user_id = qu.user_id),
+    l as (select user_id, ln(sum(exp(s))) - max(case when user_id = other then s end) as loss from s group by 1)
+    select round(avg(loss), 6) as info_nce, count(*)::bigint as n from l""",
+    ("inter",),
+)
 def info_nce(t: Tables):
-    """CF-20: the loss of one batch, the query users, between two hashed views."""
-    users = interactions(t).filter("user_id % 20 = 0").select("user_id").distinct()
+    """CF-20: the loss between two hashed views of all users, in batches of some 256 by hash."""
+    users = written(interactions(t).select("user_id").distinct(), "users")
+    batches = -(-users.count() // 256)
     view = lambda at: users.select(F.col("user_id").alias("id"), F.transform(F.sequence(F.lit(0), F.lit(7)), lambda d: X.hash_unit(F.lit("user_id"), F.col("user_id"), d + at) - 0.5).alias("v"))
-    return S.info_nce(view(0), view(1))
+    return S.info_nce(view(0), view(1), batch=F.floor(X.hash_unit(F.lit("batch"), "id") * batches))
 
 
 @query(f"with e as (select user_id, item_id, 1 as label from inter union all select user_id, ((item_id * 7) % (select max(item_id) from inter)) + 1, 0 from inter), u as (select user_id, list({HASHED.format("'user_id:' || user_id || ':' || dim")} order by dim) as a from (select distinct user_id from inter), range(0, 8) r(dim) group by 1), i as (select item_id, list({HASHED.format("'item_id:' || item_id || ':' || dim")} order by dim) as b from (select distinct item_id from inter), range(0, 8) r(dim) group by 1), s as (select list_dot_product(a, b) as s, label from e join u using (user_id) join i using (item_id)) select round(avg(ln(1 + exp(-abs(s))) + greatest(s, 0) - s * label), 6) as bce_loss, count(*)::bigint as n from s", ("inter",))
