@@ -20,7 +20,7 @@ import math
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from itertools import repeat
 
 import numpy as np
@@ -35,8 +35,8 @@ SHINGLE = 5
 #: Over four blocks: a pair within it has a block that differs by at most RADIUS // 4 bits.
 RADIUS = 28
 BLOCKS = 4
-#: Groups of 64 items of a length whose buckets a worker keeps.
-GROUPS = 32
+#: Groups of 8 items of a length whose buckets a worker keeps; a quarter of a megabyte each.
+GROUPS = 128
 #: Text of the items that one scan of the documents takes along.
 PART_BYTES = 16 << 20
 
@@ -90,34 +90,33 @@ class Lengths:
     items: list[int]
     prints: np.ndarray
     weights: list[Counter]
-    held: dict[int, np.ndarray] = field(default_factory=dict)
+    #: The buckets of the groups used last, of all lengths of an index, by length and group.
+    held: dict[tuple[int, int], np.ndarray]
 
     def buckets(self, group: int) -> np.ndarray:
-        """(BLOCKS, 2^16) sets of items, as bits, of one group of 64: those whose block is near this value.
-
-        The last GROUPS groups are kept; two megabytes each.
-        """
-        if group not in self.held:
+        """(BLOCKS, 2^16) sets of items, as bits, of one group of 8: those whose block is near this value."""
+        name = id(self), group
+        if name not in self.held:
             if len(self.held) >= GROUPS:
                 self.held.pop(next(iter(self.held)))
-            near, found = near_values(), np.zeros((BLOCKS, 1 << 16), np.uint64)
-            for k, own in enumerate(self.prints[64 * group : 64 * group + 64]):
+            near, found = near_values(), np.zeros((BLOCKS, 1 << 16), np.uint8)
+            for k, own in enumerate(self.prints[8 * group : 8 * group + 8]):
                 for b in range(BLOCKS):
-                    found[b, near ^ np.uint32((int(own) >> 16 * b) & 0xFFFF)] |= np.uint64(1 << k)
-            self.held[group] = found
-        return self.held[group]
+                    found[b, near ^ np.uint32((int(own) >> 16 * b) & 0xFFFF)] |= np.uint8(1 << k)
+            self.held[name] = found
+        return self.held[name]
 
     def named(self, prints: np.ndarray, wanted: set[int]) -> Iterator[tuple[int, np.ndarray]]:
         """The wanted items (their places here) that the buckets of some of the windows name, and those windows, if within the radius."""
         by_group = defaultdict(list)
         for i in sorted(wanted):
-            by_group[i // 64].append(i)
+            by_group[i // 8].append(i)
         for group, own in by_group.items():
-            table, sets = self.buckets(group), np.zeros(len(prints), np.uint64)
+            table, sets = self.buckets(group), np.zeros(len(prints), np.uint8)
             for b in range(BLOCKS):
                 sets |= table[b, ((prints >> np.uint64(16 * b)) & np.uint64(0xFFFF)).astype(np.int64)]
             for i in own:
-                at = np.flatnonzero(sets & np.uint64(1 << i % 64))
+                at = np.flatnonzero(sets & np.uint8(1 << i % 8))
                 at = at[np.bitwise_count(prints[at] ^ self.prints[i]) <= RADIUS]
                 if len(at):
                     yield i, at
@@ -133,11 +132,12 @@ class Index:
             if w:
                 by_length[len(w)].append(k)
         self.sizes, self.lengths, self.runs = [len(w) for w in words], {}, {}
+        held: dict[tuple[int, int], np.ndarray] = {}
         runs: dict[int, dict[int, dict[int, set[int]]]] = defaultdict(lambda: defaultdict(lambda: defaultdict(set)))
         for n, own in by_length.items():
             weights = [Counter(shingles(words[k])) for k in own]
             prints = packed(np.array([sum(bits_of(s) * c for s, c in w.items()) for w in weights]))
-            self.lengths[n] = Lengths(own, prints, weights)
+            self.lengths[n] = Lengths(own, prints, weights, held)
             for i, w in enumerate(weights):
                 for s in w:
                     runs[min(SHINGLE, n)][self.run_hash([self.known[x] for x in s.split()])][n].add(i)

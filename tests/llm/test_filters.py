@@ -397,7 +397,7 @@ def test_buckets_name_all_within_the_radius_and_only_wanted_items(monkeypatch):
     monkeypatch.setattr(decontamination, "GROUPS", 1)
     r = np.random.default_rng(4)
     prints = r.integers(0, 2**63, 150).astype(np.uint64)
-    own = decontamination.Lengths(list(range(150)), prints, [])
+    own = decontamination.Lengths(list(range(150)), prints, [], {})
     windows = np.array([p ^ np.uint64(sum(1 << int(b) for b in r.choice(64, k, replace=False))) for p in prints[::3] for k in (0, 20, 28, 29)])
     wanted = set(range(0, 150, 2))
     found = {(i, int(w)) for i, at in own.named(windows, wanted) for w in at}
