@@ -86,7 +86,7 @@ def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
     """host, p_good and good_from (its lower posterior bound). outcomes: host, good (1, 0 or null for no label)."""
     hosts = outcomes.filter("host <> ''").groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("k"))
     hosts = written(hosts.select("host", domain_of(bare(F.col("host"))).alias("domain"), suffix_of(bare(F.col("host"))).alias("suffix"), F.col("n").cast("double").alias("n"), F.col("k").cast("double").alias("k")), "host-outcomes")
-    domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
+    domains = written(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")), "domains")
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     mean = (total.k + 1) / (total.n + 2) if total.n else 1.0  # without any outcome there is nothing to hold against a host
@@ -96,8 +96,9 @@ def reputation(outcomes: DataFrame, z: float = 1.645) -> DataFrame:
         return (F.col("k") + weight * prior) / (F.col("n") + weight)
 
     suffixes = suffixes.select("suffix", shrunk(F.lit(mean), by_suffix).alias("suffix_good"))
-    domains = domains.join(suffixes, "suffix").select("domain", "suffix", shrunk(F.col("suffix_good"), by_domain).alias("domain_good"))
-    hosts = hosts.join(domains, ["domain", "suffix"]).select("host", "n", shrunk(F.col("domain_good"), by_host).alias("p_good"))
+    # half of all domains may share a suffix, and as many hosts a domain
+    domains = spread_join(domains, suffixes, ["suffix"], F.xxhash64("domain")).select("domain", "suffix", shrunk(F.col("suffix_good"), by_domain).alias("domain_good"))
+    hosts = spread_join(hosts, domains, ["domain", "suffix"], F.xxhash64("host")).select("host", "n", shrunk(F.col("domain_good"), by_host).alias("p_good"))
     spread = F.sqrt(F.col("p_good") * (1 - F.col("p_good")) / (F.col("n") + by_host + 1))
     return hosts.select("host", "p_good", F.greatest(F.lit(0.0), F.col("p_good") - z * spread).alias("good_from"))
 
