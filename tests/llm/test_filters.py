@@ -414,3 +414,35 @@ def test_work_follows_the_items_that_share_words():
     words, seeds = index.seeded([text])
     assert {i for *_, own in seeds[0] for i in own} == {7}
     assert index.matches(words[0], seeds[0], 0.8) == {7: (1.0, 3)}
+
+
+def test_toxicity_fit_against_the_likelihood():
+    """What fit() gives is an optimum of the plain likelihood with its two priors, within the bound of the bias: no step of any weight makes it better."""
+    import math
+
+    r = random.Random(6)
+    chosen = {f"f{k}": r.uniform(0.5, 4) for k in range(6)}
+    bags = []
+    for _ in range(120):
+        toxic = r.random() < 0.4
+        bags.append((int(toxic), [[r.randrange(3 if toxic and r.random() < 0.6 else 6) for _ in range(r.randrange(1, 4))] for _ in range(r.randrange(1 if toxic else 0, 5))]))
+    share = {0: 2.0, 1: 0.5}
+    decay = 1e-3
+    model = toxicity.fit(bags, chosen, share, rounds=4000, decay=decay)
+    start = [0.5 * min(max(x, -4), 6) for x in chosen.values()]
+    total = sum(share[y] for y, _ in bags)
+
+    def loss(w, b):
+        out = sum(decay / 2 * (x - s) ** 2 for x, s in zip(w, start, strict=True)) + 1e-4 / 2 * (b - toxicity.BIAS) ** 2
+        for y, sentences in bags:
+            clean = sum(math.log1p(math.exp(b + sum(w[f] for f in s))) for s in sentences)
+            out += share[y] / total * (clean if not y else -math.log(-math.expm1(-max(clean, 1e-9))))
+        return out
+
+    w = [model.weights[f] for f in chosen]
+    best = loss(w, model.bias)
+    assert best < loss(start, toxicity.BIAS) - 1e-3 and model.bias <= toxicity.BIAS
+    for k in range(len(w)):
+        for move in (0.1, -0.1):
+            assert loss([x + move * (j == k) for j, x in enumerate(w)], model.bias) >= best - 2e-5
+    assert loss(w, model.bias - 0.1) >= best - 2e-5
