@@ -127,6 +127,32 @@ def reranked(scores: DataFrame, vectors: DataFrame, categories: DataFrame, histo
     return mmr(rows, vectors, k)
 
 
+def mapped_users(profiles: DataFrame, history: DataFrame, shown: DataFrame, vectors: DataFrame) -> DataFrame:
+    """EMB-20: user_id, kind ("User", "History" or "Recommendation"), item_id, x, y: each user's points on their own two principal axes.
+
+    profiles: user_id, v; history, shown: user_id, item_id, which the caller bounds (one group a user). An axis points to where its largest part is; a user with
+    fewer than two points has no map, one with two lies on one axis. Items without a vector are left out.
+    """
+    v = vectors.filter(F.col("embedding").isNotNull()).select(F.col("vec_id").alias("item_id"), F.col("embedding").cast("array<double>").alias("v"))
+    kinds = [rows.select("user_id", F.lit(kind).alias("kind"), "item_id").join(v, "item_id") for kind, rows in (("History", history), ("Recommendation", shown))]
+    points = profiles.select("user_id", F.lit("User").alias("kind"), F.lit(None).cast("long").alias("item_id"), F.col("v").cast("array<double>").alias("v"))
+    for rows in kinds:
+        points = points.unionByName(rows.select("user_id", "kind", F.col("item_id").cast("long").alias("item_id"), "v"))
+
+    def placed(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < 2:
+            return pd.DataFrame({"user_id": [], "kind": [], "item_id": [], "x": [], "y": []})
+        pdf = pdf.sort_values(["kind", "item_id"], na_position="first")
+        m = np.array([np.asarray(x, float) for x in pdf["v"]])
+        _, _, axes = np.linalg.svd(m - m.mean(0), full_matrices=False)
+        axes = axes[: 2 if len(m) > 2 else 1]
+        axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
+        at = (m - m.mean(0)) @ axes.T
+        return pd.DataFrame({"user_id": pdf["user_id"], "kind": pdf["kind"], "item_id": pdf["item_id"].astype("Int64"), "x": at[:, 0], "y": at[:, 1] if at.shape[1] > 1 else 0.0})
+
+    return points.groupBy("user_id").applyInPandas(placed, "user_id long, kind string, item_id long, x double, y double")
+
+
 def list_metrics(ranked: DataFrame, test: DataFrame, ks: list[int]) -> DataFrame:
     """EVL-1 to EVL-7: metric, k, value: means over the users with test items. ranked: user_id, item_id, rk; test: user_id, item_id."""
     size = test.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))

@@ -50,7 +50,7 @@ def user_history_lists(t: Tables):
     return rows.select("user_id", "n", F.concat_ws(",", F.transform("x", lambda r: r["item"].cast("string"))).alias("items"))
 
 
-@query("select user_id, item_id, count(*)::bigint as n, sum(reactions)::double as reactions from (select parent_user_id as user_id, item_id, parent_reactions as reactions from replies union all select reply_user_id, item_id, reply_reactions from replies) where user_id is not null group by 1, 2", ("replies",))
+@query("""select user_id, item_id, count(*)::bigint as n, sum(reactions)::double as reactions from (select parent_user_id as user_id, item_id, parent_reactions as reactions from replies union all select reply_user_id, item_id, reply_reactions from replies) where user_id is not null group by 1, 2""", ("replies",))
 def role_union(t: Tables):
     return I.role_union(replies(t)).groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n"), F.sum("reactions").cast("double").alias("reactions"))
 
@@ -65,12 +65,12 @@ def social_edges(t: Tables):
     return I.social_edges(replies(t))
 
 
-@query("with e as (select reply_user_id as src, parent_user_id as dst from replies where reply_user_id is not null and reply_user_id <> parent_user_id) select src, dst from e union select dst, src from e", ("replies",))
+@query("""with e as (select reply_user_id as src, parent_user_id as dst from replies where reply_user_id is not null and reply_user_id <> parent_user_id) select src, dst from e union select dst, src from e""", ("replies",))
 def social_symmetric(t: Tables):
     return I.symmetric(I.social_edges(replies(t)))
 
 
-@query("select user_id, item_id, case when rn <= floor(0.8 * n) then 'train' else 'test' end as split from (select *, row_number() over (order by ts, user_id, item_id) as rn, count(*) over () as n from inter)", ("inter",))
+@query("""select user_id, item_id, case when rn <= floor(0.8 * n) then 'train' else 'test' end as split from (select *, row_number() over (order by ts, user_id, item_id) as rn, count(*) over () as n from inter)""", ("inter",))
 def split_time(t: Tables):
     return I.split_time(interactions(t)).select("user_id", "item_id", "split")
 
@@ -80,7 +80,7 @@ def split_hash(t: Tables):
     return I.split_hash(interactions(t)).select("user_id", "item_id", "split")
 
 
-@query(f"select user_id, item_id, case when n >= 2 and rn <= greatest(1, floor(n * 0.2)) then 'test' else 'train' end as split from (select *, row_number() over (partition by user_id order by {HASH.format('''user_id || ':' || item_id || ':42' ''')}, item_id) as rn, count(*) over (partition by user_id) as n from inter)", ("inter",))
+@query(f"""select user_id, item_id, case when n >= 2 and rn <= greatest(1, floor(n * 0.2)) then 'test' else 'train' end as split from (select *, row_number() over (partition by user_id order by {HASH.format('''user_id || ':' || item_id || ':42' ''')}, item_id) as rn, count(*) over (partition by user_id) as n from inter)""", ("inter",))
 def split_per_user(t: Tables):
     return I.split_per_user(interactions(t)).select("user_id", "item_id", "split")
 
@@ -92,12 +92,12 @@ def split_fifths(t: Tables):
     return I.split_fifths(interactions(t)).select("user_id", "item_id", "split")
 
 
-@query("select user_id, item_id, case when n >= 2 and rn = 1 then 'test' else 'train' end as split from (select *, row_number() over (partition by user_id order by ts desc, item_id desc) as rn, count(*) over (partition by user_id) as n from inter)", ("inter",))
+@query("""select user_id, item_id, case when n >= 2 and rn = 1 then 'test' else 'train' end as split from (select *, row_number() over (partition by user_id order by ts desc, item_id desc) as rn, count(*) over (partition by user_id) as n from inter)""", ("inter",))
 def split_last_out(t: Tables):
     return I.split_last_out(interactions(t)).select("user_id", "item_id", "split")
 
 
-@query(f"select user_id, item_id, case when h < 0.1 then 'val' when h < 0.2 then 'test' else 'train' end as split from (select *, {HASH.format('''user_id || ':' || item_id || ':7' ''')} as h from inter)", ("inter",))
+@query(f"""select user_id, item_id, case when h < 0.1 then 'val' when h < 0.2 then 'test' else 'train' end as split from (select *, {HASH.format('''user_id || ':' || item_id || ':7' ''')} as h from inter)""", ("inter",))
 def split_link(t: Tables):
     """SPL-6: tenths by hash."""
     h = X.hash_unit("user_id", "item_id", F.lit(7))
@@ -156,7 +156,7 @@ def raw_ids(t: Tables):
     return t.events.select("event_id", raw.alias("raw"))
 
 
-@query(f"select event_id, case when raw in ('', 'nan', 'NaN', 'N/A', 'NO_COMMENT') then null when try_cast(raw as double) is not null then cast(cast(trunc(try_cast(raw as double)) as bigint) as varchar) else raw end as id from ({RAW_IDS})")
+@query(f"""select event_id, case when raw in ('', 'nan', 'NaN', 'N/A', 'NO_COMMENT') then null when try_cast(raw as double) is not null then cast(cast(trunc(try_cast(raw as double)) as bigint) as varchar) else raw end as id from ({RAW_IDS})""")
 def clean_ids(t: Tables):
     """CLN-1 to CLN-3."""
     return raw_ids(t).select("event_id", X.real_id(F.col("raw")).alias("id"))
@@ -198,7 +198,7 @@ def join_months(t: Tables):
     return t.events.select("event_id", day.alias("day"), F.trunc(day, "month").alias("month"), F.floor(F.datediff(F.lit("2025-01-01").cast("date"), day) / 30.0).cast("int").alias("months"))
 
 
-@query("select json_extract_string(props, '$.k') as k, count(*)::bigint as n, sum(greatest(coalesce(try_cast(json_extract_string(props, '$.k') as double), 0), 0))::double as total from events group by 1")
+@query("""select json_extract_string(props, '$.k') as k, count(*)::bigint as n, sum(greatest(coalesce(try_cast(json_extract_string(props, '$.k') as double), 0), 0))::double as total from events group by 1""")
 def props_count(t: Tables):
     """TXT-24, CLN-8: values out of JSON text."""
     k = F.get_json_object("props", "$.k")
@@ -212,7 +212,7 @@ def known_and_frequent(t: Tables):
     return t.documents.join(often, "source", "left_semi").join(t.labels.select("doc_id"), "doc_id", "left_semi").select("doc_id", "text", "source")
 
 
-@query("select doc_id, case lang when 'en' then 'English' when 'fr' then 'French' else lang end as lang, case source when 'src0' then 0 when 'src1' then 1 end::int as category_id, coalesce(nullif(text, ''), 'Untitled') as title from documents")
+@query("""select doc_id, case lang when 'en' then 'English' when 'fr' then 'French' else lang end as lang, case source when 'src0' then 0 when 'src1' then 1 end::int as category_id, coalesce(nullif(text, ''), 'Untitled') as title from documents""")
 def renamed(t: Tables):
     """CLN-6, CLN-9, CLN-12: names by lookup, ids with null for unknown ones, filled titles."""
     names = F.create_map(*[F.lit(x) for x in ("en", "English", "fr", "French")])
@@ -226,14 +226,14 @@ def dedup_first(t: Tables):
     return t.documents.groupBy("text").agg(F.min("doc_id").alias("doc_id"))
 
 
-@query("select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, len(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1))::bigint as n_links, coalesce(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)[1], '') as first_link, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) as lang from pages")
+@query("""select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, len(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1))::bigint as n_links, coalesce(regexp_extract_all(html, '<a [^>]*href=\"([^\"]*)\"', 1)[1], '') as first_link, regexp_extract(html, '<html lang=\"([^\"]*)\"', 1) as lang from pages""")
 def html_title_links(t: Tables):
     """SRC-10, SRC-11."""
     links = F.regexp_extract_all("html", F.lit('<a [^>]*href="([^"]*)"'), F.lit(1))
     return t.pages.select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(links).cast("bigint").alias("n_links"), F.coalesce(F.get(links, F.lit(0)), F.lit("")).alias("first_link"), F.regexp_extract("html", '<html lang="([^"]*)"', 1).alias("lang"))
 
 
-@query("select conv_id, turn, role, coalesce(lag(text) over (partition by conv_id order by turn), 'NO_COMMENT') as parent, text from (select conv_id, turn, role, min(text) as text from conversations group by 1, 2, 3)")
+@query("""select conv_id, turn, role, coalesce(lag(text) over (partition by conv_id order by turn), 'NO_COMMENT') as parent, text from (select conv_id, turn, role, min(text) as text from conversations group by 1, 2, 3)""")
 def threaded_comments(t: Tables):
     """SRC-12: each turn beside the one it answers."""
     from pyspark.sql import Window
@@ -289,7 +289,8 @@ def mini_batches(t: Tables):
     return I.mini_batches(interactions(t).select("user_id", "item_id"), 256, epoch=1).select("user_id", "item_id", F.col("batch").cast("bigint").alias("batch"))
 
 
-@query("with tr as (select distinct item_id from inter where user_id % 3 = 0), u as (select user_id from inter group by 1 having count(*) >= 40) select reply_user_id as src, parent_user_id as dst, count(*)::bigint as n from replies where reply_user_id <> parent_user_id and item_id in (select item_id from tr) and reply_user_id in (select user_id from u) and parent_user_id in (select user_id from u) group by 1, 2", ("inter", "replies"))
+@query("""with tr as (select distinct item_id from inter where user_id % 3 = 0),
+    u as (select user_id from inter group by 1 having count(*) >= 40) select reply_user_id as src, parent_user_id as dst, count(*)::bigint as n from replies where reply_user_id <> parent_user_id and item_id in (select item_id from tr) and reply_user_id in (select user_id from u) and parent_user_id in (select user_id from u) group by 1, 2""", ("inter", "replies"))
 def g2a_social_train(t: Tables):
     """Replies under training items (those that every third user bought) between users that have an id (40 rows or more)."""
     pairs = interactions(t)

@@ -79,7 +79,9 @@ def g5_same_day(t: Tables):
     return G.same_days(first_days(t))
 
 
-@query(f"with {FIRST_DAY}, {CATEGORY}, e as (select * from d join cat using (item_id)) select a.item_id as src, b.item_id as dst from e a join e b on abs(date_diff('day', a.day, b.day)) <= 3 and a.category = b.category and a.item_id < b.item_id", ("purchases",))
+@query(f"""with {FIRST_DAY},
+    {CATEGORY},
+    e as (select * from d join cat using (item_id)) select a.item_id as src, b.item_id as dst from e a join e b on abs(date_diff('day', a.day, b.day)) <= 3 and a.category = b.category and a.item_id < b.item_id""", ("purchases",))
 def g5_window(t: Tables):
     return G.same_days(first_days(t), 3, categories(t))
 
@@ -90,13 +92,14 @@ def g5_window_all(t: Tables):
     return G.same_days(first_days(t), 3)
 
 
-@query("select count(*)::bigint as edges, round(min(w), 6) as least, round(max(w), 6) as most, round(avg(w), 6) as mean, count(*) filter (where w > 1.01)::bigint as weighted from (select 1 + ln(1 + greatest(reactions::double, 0)) as w from inter)", ("inter",))
+@query("""select count(*)::bigint as edges, round(min(w), 6) as least, round(max(w), 6) as most, round(avg(w), 6) as mean, count(*) filter (where w > 1.01)::bigint as weighted from (select 1 + ln(1 + greatest(reactions::double, 0)) as w from inter)""", ("inter",))
 def g6_reaction_summary(t: Tables):
     w = F.col("w")
     return G.bipartite(interactions(t)).agg(F.count(F.lit(1)).alias("edges"), X.r6(F.min(w)).alias("least"), X.r6(F.max(w)).alias("most"), X.r6(F.avg(w)).alias("mean"), F.count_if(w > 1.01).alias("weighted"))
 
 
-@query(f"with {CATEGORY}, uc as (select distinct user_id, category from inter join cat using (item_id)) select a.user_id as src, b.user_id as dst, count(*)::bigint as n from uc a join uc b on a.category = b.category and a.user_id <> b.user_id where a.user_id % 20 = 0 group by 1, 2 having count(*) >= 6", ("inter",))
+@query(f"""with {CATEGORY},
+    uc as (select distinct user_id, category from inter join cat using (item_id)) select a.user_id as src, b.user_id as dst, count(*)::bigint as n from uc a join uc b on a.category = b.category and a.user_id <> b.user_id where a.user_id % 20 = 0 group by 1, 2 having count(*) >= 6""", ("inter",))
 def g7_cross_category(t: Tables):
     """The query users, those whose id 20 divides, against all users."""
     each = G.user_category(interactions(t), categories(t))
@@ -109,7 +112,8 @@ def g7_cross_category_all(t: Tables):
     return G.cross_category_classes(G.user_category(interactions(t), categories(t)), 6)
 
 
-@query(f"with j as (select user_id, min(ts)::date as d, count(*) as n from purchases group by 1), a as (select user_id, greatest(date_diff('day', d, date '{NOW}') / 30.0, 0) as age, n from j) select user_id, round(age / 120, 6) as f_age, (age > 60)::int as f_old, (age < 6)::int as f_new, round(ln(1 + age) / 5, 6) as f_log_age, round(ln(1 + n) / 5, 6) as f_log_n from a", ("purchases",))
+@query(f"""with j as (select user_id, min(ts)::date as d, count(*) as n from purchases group by 1),
+    a as (select user_id, greatest(date_diff('day', d, date '{NOW}') / 30.0, 0) as age, n from j) select user_id, round(age / 120, 6) as f_age, (age > 60)::int as f_old, (age < 6)::int as f_new, round(ln(1 + age) / 5, 6) as f_log_age, round(ln(1 + n) / 5, 6) as f_log_n from a""", ("purchases",))
 def g8_tenure(t: Tables):
     rows = purchases(t)
     f = G.tenure(rows, rows.groupBy("user_id").agg(F.min("ts").cast("date").alias("join_date")), NOW)
@@ -125,12 +129,16 @@ def adj_norm(t: Tables):
     return G.normalised(edges).withColumn("w", X.r6(F.col("w")))
 
 
-@query("with r as (select user_id, sum(reactions)::double as d from inter group by 1), c as (select item_id, sum(reactions)::double as d from inter group by 1) select user_id as src, item_id as dst, round(reactions / sqrt(r.d * c.d), 6) as w from inter join r using (user_id) join c using (item_id)", ("inter",))
+@query("""with r as (select user_id, sum(reactions)::double as d from inter group by 1),
+    c as (select item_id, sum(reactions)::double as d from inter group by 1) select user_id as src, item_id as dst, round(reactions / sqrt(r.d * c.d), 6) as w from inter join r using (user_id) join c using (item_id)""", ("inter",))
 def adj_rectangular(t: Tables):
     return G.rectangular(ratings(t).select(F.col("user_id").alias("src"), F.col("item_id").alias("dst"), F.col("r").alias("w"))).withColumn("w", X.r6(F.col("w")))
 
 
-@query(f"with {NODES}, n as (select distinct src from e), l as (select * from e union all select src, src, 1.0 from n), d as (select src, sum(w) as d from l group by 1) select l.src, l.dst, round(w / sqrt(a.d * b.d), 6) as w from l join d a on l.src = a.src join d b on l.dst = b.src", ("inter",))
+@query(f"""with {NODES},
+    n as (select distinct src from e),
+    l as (select * from e union all select src, src, 1.0 from n),
+    d as (select src, sum(w) as d from l group by 1) select l.src, l.dst, round(w / sqrt(a.d * b.d), 6) as w from l join d a on l.src = a.src join d b on l.dst = b.src""", ("inter",))
 def adj_self_loops(t: Tables):
     """G13."""
     edges = G.as_nodes(interactions(t).select(F.col("user_id").alias("src"), F.col("item_id").alias("dst"), F.lit(1.0).alias("w")))
@@ -199,7 +207,9 @@ def rank_masked_top10(t: Tables):
     return ranked(t)[0]
 
 
-@query(f"with {TRAIN}, {_sims('1', COS, 'user_id', 'item_id', source='train')}, sc as (select a as user_id, item_id, round(sum(sim), 6) as score from si join train on b = user_id group by 1, 2), fr as (select * from sc where not exists (select 1 from train x where x.user_id = sc.user_id and x.item_id = sc.item_id)) select user_id, item_id, score, rk from (select *, row_number() over (partition by user_id order by score desc, item_id) as rk from fr) where rk <= 10", ("inter",))
+@query(f"""with {TRAIN}, {_sims('1', COS, 'user_id', 'item_id', source='train')},
+    sc as (select a as user_id, item_id, round(sum(sim), 6) as score from si join train on b = user_id group by 1, 2),
+    fr as (select * from sc where not exists (select 1 from train x where x.user_id = sc.user_id and x.item_id = sc.item_id)) select user_id, item_id, score, rk from (select *, row_number() over (partition by user_id order by score desc, item_id) as rk from fr) where rk <= 10""", ("inter",))
 def rank_user_knn(t: Tables):
     """CF-5 with 20 neighbours."""
     train, _ = split(t)
@@ -216,14 +226,19 @@ def rank_masked_top10_all(t: Tables):
     return R.masked_top(S.item_scores(ones(train), S.similarity(ones(train), "cosine")), train, 10)
 
 
-@query(f"with {TRAIN}, {_sims('1', COS, 'user_id', 'item_id', k=WHOLE, source='train')}, sc as (select a as user_id, item_id, round(sum(sim), 6) as score from si join train on b = user_id group by 1, 2), fr as (select * from sc where not exists (select 1 from train x where x.user_id = sc.user_id and x.item_id = sc.item_id)) select user_id, item_id, score, rk from (select *, row_number() over (partition by user_id order by score desc, item_id) as rk from fr) where rk <= 10", ("inter",))
+@query(f"""with {TRAIN}, {_sims('1', COS, 'user_id', 'item_id', k=WHOLE, source='train')},
+    sc as (select a as user_id, item_id, round(sum(sim), 6) as score from si join train on b = user_id group by 1, 2),
+    fr as (select * from sc where not exists (select 1 from train x where x.user_id = sc.user_id and x.item_id = sc.item_id)) select user_id, item_id, score, rk from (select *, row_number() over (partition by user_id order by score desc, item_id) as rk from fr) where rk <= 10""", ("inter",))
 def rank_user_knn_all(t: Tables):
     """CF-5 over all neighbours."""
     train, _ = split(t)
     return R.masked_top(S.user_scores(ones(train), S.similarity(ones(train), "cosine", of="user_id", by="item_id")), train, 10)
 
 
-@query("with rt as (select user_id, item_id, reactions::double as r from inter), dv as (select x.item_id as a, y.item_id as b, count(*) as c, avg(x.r - y.r) as dev from rt x join rt y on x.user_id = y.user_id and x.item_id <> y.item_id group by 1, 2), sc as (select user_id, a as item_id, round(sum((r + dev) * c) / sum(c), 6) as score from rt join dv on b = item_id where user_id % 20 = 0 group by 1, 2), fr as (select * from sc where not exists (select 1 from rt x where x.user_id = sc.user_id and x.item_id = sc.item_id)) select user_id, item_id, score, rk from (select *, row_number() over (partition by user_id order by score desc, item_id) as rk from fr) where rk <= 10", ("inter",))
+@query("""with rt as (select user_id, item_id, reactions::double as r from inter),
+    dv as (select x.item_id as a, y.item_id as b, count(*) as c, avg(x.r - y.r) as dev from rt x join rt y on x.user_id = y.user_id and x.item_id <> y.item_id group by 1, 2),
+    sc as (select user_id, a as item_id, round(sum((r + dev) * c) / sum(c), 6) as score from rt join dv on b = item_id where user_id % 20 = 0 group by 1, 2),
+    fr as (select * from sc where not exists (select 1 from rt x where x.user_id = sc.user_id and x.item_id = sc.item_id)) select user_id, item_id, score, rk from (select *, row_number() over (partition by user_id order by score desc, item_id) as rk from fr) where rk <= 10""", ("inter",))
 def slope_one(t: Tables):
     """CF-7 for the query users."""
     r = ratings(t)
@@ -265,14 +280,19 @@ def _words():
     return WORDS
 
 
-@query(f"with {_words()}, c as (select doc_id, quality as class from labels), n as (select class, term, sum(tf) as n from post join c using (doc_id) group by 1, 2), v as (select count(distinct term) as v from n), tt as (select class, sum(n) as total from n group by 1) select class, term, round(ln((n + 1.0) / (total + 1.0 * v)), 6) as logp from n join tt using (class) cross join v")
+@query(f"""with {_words()},
+    c as (select doc_id, quality as class from labels),
+    n as (select class, term, sum(tf) as n from post join c using (doc_id) group by 1, 2),
+    v as (select count(distinct term) as v from n),
+    tt as (select class, sum(n) as total from n group by 1) select class, term, round(ln((n + 1.0) / (total + 1.0 * v)), 6) as logp from n join tt using (class) cross join v""")
 def nb_category_counts(t: Tables):
     from .text_queries import posted
 
     return S.naive_bayes(posted(t), t.labels.select("doc_id", F.col("quality").alias("class")))
 
 
-@query(f"with {RANKED}, tr as (select user_id, item_id as pos, ((item_id * 7) % (select max(item_id) from train)) + 1 as neg from train) select round(avg(ln(1 + exp(coalesce(n.score, 0) - coalesce(p.score, 0)))), 6) as bpr_loss, count(*)::bigint as n from tr left join sc p on p.user_id = tr.user_id and p.item_id = tr.pos left join sc n on n.user_id = tr.user_id and n.item_id = tr.neg", ("inter",))
+@query(f"""with {RANKED},
+    tr as (select user_id, item_id as pos, ((item_id * 7) % (select max(item_id) from train)) + 1 as neg from train) select round(avg(ln(1 + exp(coalesce(n.score, 0) - coalesce(p.score, 0)))), 6) as bpr_loss, count(*)::bigint as n from tr left join sc p on p.user_id = tr.user_id and p.item_id = tr.pos left join sc n on n.user_id = tr.user_id and n.item_id = tr.neg""", ("inter",))
 def bpr_loss(t: Tables):
     """CF-20: the loss of the item neighbours' scores on a stated negative for each pair."""
     train, _ = split(t)
@@ -292,7 +312,8 @@ def emb_norm(t: Tables):
     return t.embeddings.select("vec_id", X.r6(X.norm(X.doubles("embedding"))).alias("norm"), "label")
 
 
-@query(f"with {VEC}, s as (select q.vec_id as a, b.vec_id as b, round(list_dot_product(q.e, b.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(b.e, b.e))), 6) as sim from v q join v b on q.vec_id <> b.vec_id where q.vec_id % 20 = 0) select a, b, sim, rk from (select *, row_number() over (partition by a order by sim desc, b) as rk from s) where rk <= 10")
+@query(f"""with {VEC},
+    s as (select q.vec_id as a, b.vec_id as b, round(list_dot_product(q.e, b.e) / (sqrt(list_dot_product(q.e, q.e)) * sqrt(list_dot_product(b.e, b.e))), 6) as sim from v q join v b on q.vec_id <> b.vec_id where q.vec_id % 20 = 0) select a, b, sim, rk from (select *, row_number() over (partition by a order by sim desc, b) as rk from s) where rk <= 10""")
 def emb_similar_top10(t: Tables):
     """The query rows are those whose id 20 divides."""
     return S.similar_vectors(t.embeddings, t.embeddings.filter("vec_id % 20 = 0"), 10)
@@ -367,7 +388,8 @@ def popular_scores(t: Tables):
     return by_block(users, "user_id", lambda block: counts.crossJoin(F.broadcast(block)).select("user_id", "item_id", "score"))
 
 
-@query(f"{CONTENT}, mm as (select *, min(score) over (partition by user_id) as lo, max(score) over (partition by user_id) as hi from content) select user_id, item_id, round(case when hi > lo then (score - lo) / (hi - lo) else 1 end, 6) as score from mm", ("vecread",))
+@query(f"""{CONTENT},
+    mm as (select *, min(score) over (partition by user_id) as lo, max(score) over (partition by user_id) as hi from content) select user_id, item_id, round(case when hi > lo then (score - lo) / (hi - lo) else 1 end, 6) as score from mm""", ("vecread",))
 def score_minmax(t: Tables):
     return R.scaled(content_scores(t)).withColumn("score", X.r6(F.col("score")))
 
@@ -389,7 +411,8 @@ def hybrid_blend(t: Tables):
     return blend(t)
 
 
-@query(f"{BLEND}, f as (select * from bl where not exists (select 1 from vecread r where r.user_id = bl.user_id and r.item = bl.item_id) and item_id in (select vec_id from embeddings where label in (1, 3, 5))) select user_id, item_id, score, source, rk, label from (select *, row_number() over (partition by user_id order by score desc, item_id) as rk from f) join embeddings on vec_id = item_id where rk <= 10", ("vecread",))
+@query(f"""{BLEND},
+    f as (select * from bl where not exists (select 1 from vecread r where r.user_id = bl.user_id and r.item = bl.item_id) and item_id in (select vec_id from embeddings where label in (1, 3, 5))) select user_id, item_id, score, source, rk, label from (select *, row_number() over (partition by user_id order by score desc, item_id) as rk from f) join embeddings on vec_id = item_id where rk <= 10""", ("vecread",))
 def recommend_filtered(t: Tables):
     """RNK-5, CLN-13: without what was read, in the wanted categories, first 10, with their metadata."""
     read = reading_history(t, "embeddings").select("user_id", F.col("item").alias("item_id")).distinct()
@@ -398,7 +421,8 @@ def recommend_filtered(t: Tables):
     return top_per(rows, ["user_id"], [F.desc("score"), F.col("item_id")], 10).select("user_id", "item_id", "score", "source", "rk", "label")
 
 
-@query(f"{CONTENT}, lk as (select distinct user_id, label from h join v on item = vec_id) select user_id, item_id, round(score + case when exists (select 1 from lk where lk.user_id = content.user_id and lk.label = v.label) then 0.2 else 0 end, 6) as score from content join v on vec_id = item_id", ("vecread",))
+@query(f"""{CONTENT},
+    lk as (select distinct user_id, label from h join v on item = vec_id) select user_id, item_id, round(score + case when exists (select 1 from lk where lk.user_id = content.user_id and lk.label = v.label) then 0.2 else 0 end, 6) as score from content join v on vec_id = item_id""", ("vecread",))
 def category_boost(t: Tables):
     cats = t.embeddings.select(F.col("vec_id").alias("item_id"), F.col("label").alias("category"))
     lately = top_per(reading_history(t, "embeddings").filter("user_id % 20 = 0"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 10)
@@ -406,7 +430,9 @@ def category_boost(t: Tables):
     return R.category_boost(content_scores(t), cats, liked).withColumn("score", X.r6(F.col("score")))
 
 
-@query(f"{CONTENT}, lst as (select user_id, item from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rk from vecread where user_id % 20 = 0) where rk = 1), nb as (select user_id, y.vec_id as item_id, least(greatest(round(list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))), 6), 0), 1) * 0.6 as ad from lst join v x on item = x.vec_id cross join v y where y.vec_id <> x.vec_id) select c.user_id, c.item_id, round(score + coalesce(ad, 0), 6) as score, case when coalesce(ad, 0) > 0.3 then 'Session' else 'Content' end as source from content c left join nb using (user_id, item_id)", ("vecread",))
+@query(f"""{CONTENT},
+    lst as (select user_id, item from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rk from vecread where user_id % 20 = 0) where rk = 1),
+    nb as (select user_id, y.vec_id as item_id, least(greatest(round(list_dot_product(x.e, y.e) / (sqrt(list_dot_product(x.e, x.e)) * sqrt(list_dot_product(y.e, y.e))), 6), 0), 1) * 0.6 as ad from lst join v x on item = x.vec_id cross join v y where y.vec_id <> x.vec_id) select c.user_id, c.item_id, round(score + coalesce(ad, 0), 6) as score, case when coalesce(ad, 0) > 0.3 then 'Session' else 'Content' end as source from content c left join nb using (user_id, item_id)""", ("vecread",))
 def session_boost(t: Tables):
     last = top_per(reading_history(t, "embeddings").filter("user_id % 20 = 0"), ["user_id"], [F.desc("ts"), F.desc("event_id")], 1).select("user_id", F.col("item").alias("a"))
     scores = written(content_scores(t), "scores")
@@ -414,7 +440,10 @@ def session_boost(t: Tables):
     return R.session_boost(scores.withColumn("source", F.lit("Content")), near).withColumn("score", X.r6(F.col("score")))
 
 
-@query(f"{CONTENT.replace('round(list_dot', '(list_dot').replace(', 6) as score', ') as score')}, dt as (select item as item_id, max(ts)::date as day from vecread group by 1), f as (select user_id, item_id, score, case when day is null then 0.5 else exp(-0.1 * greatest(date_diff('day', day, date '2024-02-01'), 0)) end as f from content left join dt using (item_id)), g as (select *, max(f) over (partition by user_id) as mf, max(score) over (partition by user_id) as ms from f) select user_id, item_id, round(0.7 * score + 0.3 * case when mf > 0 then f / mf else f end * ms, 6) as score from g", ("vecread",))
+@query(f"""{CONTENT.replace('round(list_dot', '(list_dot').replace(', 6) as score', ') as score')},
+    dt as (select item as item_id, max(ts)::date as day from vecread group by 1),
+    f as (select user_id, item_id, score, case when day is null then 0.5 else exp(-0.1 * greatest(date_diff('day', day, date '2024-02-01'), 0)) end as f from content left join dt using (item_id)),
+    g as (select *, max(f) over (partition by user_id) as mf, max(score) over (partition by user_id) as ms from f) select user_id, item_id, round(0.7 * score + 0.3 * case when mf > 0 then f / mf else f end * ms, 6) as score from g""", ("vecread",))
 def freshness(t: Tables):
     dates = reading_history(t, "embeddings").groupBy(F.col("item").alias("item_id")).agg(F.max("ts").cast("date").alias("day"))
     return R.freshness(content_scores(t, None), dates, "2024-02-01").withColumn("score", X.r6(F.col("score")))
@@ -529,7 +558,7 @@ def random_projection(t: Tables):
     return y.select("vec_id", "k", X.r6(F.when(length > 0, F.col("y") / length).otherwise(0.0)).alias("y"))
 
 
-@query("select label, count(*)::bigint as n, count(*) filter (where list_dot_product(e, e) = 0)::bigint as zero, count(*) filter (where len(list_filter(e, lambda x: isnan(x))) > 0)::bigint as nan, count(*) filter (where vec_id not in (select item from vecread))::bigint as isolated from (select vec_id, label, embedding::double[] as e from embeddings) group by 1", ("vecread",))
+@query("""select label, count(*)::bigint as n, count(*) filter (where list_dot_product(e, e) = 0)::bigint as zero, count(*) filter (where len(list_filter(e, lambda x: isnan(x))) > 0)::bigint as nan, count(*) filter (where vec_id not in (select item from vecread))::bigint as isolated from (select vec_id, label, embedding::double[] as e from embeddings) group by 1""", ("vecread",))
 def feature_audit(t: Tables):
     """AGG-18: zero or NaN features and vectors that nobody reads."""
     e = X.doubles("embedding")
@@ -547,7 +576,7 @@ def score_histogram(t: Tables):
 GUEST = "('0x' || substr(md5(p_partkey || ':42'), 1, 8))::bigint"
 
 
-@query(f"with r as (select p_partkey as item_id, p_type as category, row_number() over (order by {GUEST}, p_partkey) as g, row_number() over (partition by p_type order by {GUEST}, p_partkey) as c from part) select item_id, category from r where g <= 3 or (c <= 3 and category in (select p_type from part where p_partkey <= 2))")
+@query(f"""with r as (select p_partkey as item_id, p_type as category, row_number() over (order by {GUEST}, p_partkey) as g, row_number() over (partition by p_type order by {GUEST}, p_partkey) as c from part) select item_id, category from r where g <= 3 or (c <= 3 and category in (select p_type from part where p_partkey <= 2))""")
 def guest_profile(t: Tables):
     """SMP-5: three items at random and three of each chosen category, those of the first two parts here."""
     rows = categories(t)
@@ -558,7 +587,9 @@ def guest_profile(t: Tables):
     return some.unionByName(each).distinct()
 
 
-@query(f"with {RANKED}, l as (select t.user_id, t.item_id, round(ln(1 + exp(-coalesce(sc.score, 0))), 6) as loss from train t left join sc using (user_id, item_id)), q as (select quantile_cont(loss, 0.9) as q from l) select user_id, item_id, loss from l, q where loss <= q", ("inter",))
+@query(f"""with {RANKED},
+    l as (select t.user_id, t.item_id, round(ln(1 + exp(-coalesce(sc.score, 0))), 6) as loss from train t left join sc using (user_id, item_id)),
+    q as (select quantile_cont(loss, 0.9) as q from l) select user_id, item_id, loss from l, q where loss <= q""", ("inter",))
 def hard_examples_pruned(t: Tables):
     """SMP-7: training pairs without the tenth of highest loss."""
     train, _ = split(t)
@@ -586,7 +617,8 @@ def eval_full(t: Tables):
     return R.list_metrics(top, test, [10])
 
 
-@query(f"with {RANKED}, tc as (select user_id from train group by 1 having count(*) <= 30), {METRICS.format(k=10).replace('from test group', 'from test where user_id in (select user_id from tc) group')} {_metrics(10)}", ("inter",))
+@query(f"""with {RANKED},
+    tc as (select user_id from train group by 1 having count(*) <= 30), {METRICS.format(k=10).replace('from test group', 'from test where user_id in (select user_id from tc) group')} {_metrics(10)}""", ("inter",))
 def eval_cold(t: Tables):
     """EVL-11 for users with few training items."""
     top, train, test = ranked(t)
@@ -597,7 +629,10 @@ def eval_cold(t: Tables):
 EVERY = "(select user_id, item_id from train union all select user_id, item_id from test)"
 
 
-@query(f"with {RANKED}, un as (select distinct user_id from test), {drawn('un', EVERY)}, cs as (select user_id, item_id from ng union all select user_id, item_id from test), tp as (select user_id, item_id, rk from (select cs.user_id, cs.item_id, row_number() over (partition by cs.user_id order by coalesce(sc.score, 0) desc, cs.item_id) as rk from cs left join sc using (user_id, item_id)) where rk <= 10), {METRICS.format(k=10).replace('from top join', 'from tp join').replace('top.user_id', 'tp.user_id')} {_metrics(10)}", ("inter",))
+@query(f"""with {RANKED},
+    un as (select distinct user_id from test), {drawn('un', EVERY)},
+    cs as (select user_id, item_id from ng union all select user_id, item_id from test),
+    tp as (select user_id, item_id, rk from (select cs.user_id, cs.item_id, row_number() over (partition by cs.user_id order by coalesce(sc.score, 0) desc, cs.item_id) as rk from cs left join sc using (user_id, item_id)) where rk <= 10), {METRICS.format(k=10).replace('from top join', 'from tp join').replace('top.user_id', 'tp.user_id')} {_metrics(10)}""", ("inter",))
 def eval_loo100(t: Tables):
     """EVL-11, RNK-2: all test items of all users among 100 sampled negatives each."""
     train, test = split(t)
@@ -607,7 +642,9 @@ def eval_loo100(t: Tables):
     return R.list_metrics(top_per(scores, ["user_id"], [F.desc("score"), F.col("item_id")], 10), test, [10])
 
 
-@query(f"with {RANKED}, x as (select fr.user_id, score, (t.item_id is not null)::int as pos from fr left join test t on t.user_id = fr.user_id and t.item_id = fr.item_id), r as (select *, rank() over (partition by user_id order by score) + (count(*) over (partition by user_id, score) - 1) / 2.0 as rk from x) select user_id, round((sum(rk * pos) - sum(pos) * (sum(pos) + 1) / 2.0) / (sum(pos) * (count(*) - sum(pos))), 6) as auc from r group by 1 having sum(pos) > 0 and count(*) > sum(pos)", ("inter",))
+@query(f"""with {RANKED},
+    x as (select fr.user_id, score, (t.item_id is not null)::int as pos from fr left join test t on t.user_id = fr.user_id and t.item_id = fr.item_id),
+    r as (select *, rank() over (partition by user_id order by score) + (count(*) over (partition by user_id, score) - 1) / 2.0 as rk from x) select user_id, round((sum(rk * pos) - sum(pos) * (sum(pos) + 1) / 2.0) / (sum(pos) * (count(*) - sum(pos))), 6) as auc from r group by 1 having sum(pos) > 0 and count(*) > sum(pos)""", ("inter",))
 def auc_user(t: Tables):
     train, test = split(t)
     free = scored(train).withColumn("score", X.r6(F.col("score"))).join(train.select("user_id", "item_id"), ["user_id", "item_id"], "left_anti")
@@ -627,18 +664,26 @@ def auc_global(t: Tables):
     return R.auc_all(free, test)
 
 
-@query(f"with {RANKED}, {CATEGORY}, c as (select user_id, category, count(*) as c from top join cat using (item_id) group by 1, 2), p as (select user_id, c / sum(c) over (partition by user_id) as p from c) select user_id, round(-sum(p * log2(p + 1e-9)), 6) as entropy from p group by 1", ("inter",))
+@query(f"""with {RANKED},
+    {CATEGORY},
+    c as (select user_id, category, count(*) as c from top join cat using (item_id) group by 1, 2),
+    p as (select user_id, c / sum(c) over (partition by user_id) as p from c) select user_id, round(-sum(p * log2(p + 1e-9)), 6) as entropy from p group by 1""", ("inter",))
 def entropy_list(t: Tables):
     return R.list_entropy(ranked(t)[0], categories(t))
 
 
-@query(f"with {RANKED}, pop as (select item_id, count(*) as n from train group by 1), s as (select avg(coalesce(n, 0)) as arp, count(distinct top.item_id) as shown from top left join pop using (item_id)), e as (select avg(n) as mean, count(*) as items from pop) select round(arp, 6) as arp, round(mean, 6) as catalogue_mean, round(arp / mean, 6) as ratio, round(shown / items, 6) as coverage from s, e", ("inter",))
+@query(f"""with {RANKED},
+    pop as (select item_id, count(*) as n from train group by 1),
+    s as (select avg(coalesce(n, 0)) as arp, count(distinct top.item_id) as shown from top left join pop using (item_id)),
+    e as (select avg(n) as mean, count(*) as items from pop) select round(arp, 6) as arp, round(mean, 6) as catalogue_mean, round(arp / mean, 6) as ratio, round(shown / items, 6) as coverage from s, e""", ("inter",))
 def arp_coverage(t: Tables):
     top, train, _ = ranked(t)
     return R.popularity_bias(top, train)
 
 
-@query(f"with {RANKED}, pop as (select item_id, count(*) as n from train group by 1), p10 as (select user_id, item_id from (select u.user_id, p.item_id, row_number() over (partition by u.user_id order by p.n desc, p.item_id) as rk from (select distinct user_id from train) u cross join (select * from pop order by n desc, item_id limit 10) p) where rk <= 10) select user_id, count(*)::bigint as shared from top join p10 using (user_id, item_id) group by 1", ("inter",))
+@query(f"""with {RANKED},
+    pop as (select item_id, count(*) as n from train group by 1),
+    p10 as (select user_id, item_id from (select u.user_id, p.item_id, row_number() over (partition by u.user_id order by p.n desc, p.item_id) as rk from (select distinct user_id from train) u cross join (select * from pop order by n desc, item_id limit 10) p) where rk <= 10) select user_id, count(*)::bigint as shared from top join p10 using (user_id, item_id) group by 1""", ("inter",))
 def compare_models(t: Tables):
     """RNK-16: overlap of the neighbours' list with the ten most popular items."""
     top, train, _ = ranked(t)

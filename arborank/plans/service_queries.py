@@ -30,7 +30,10 @@ def hashed(key: str, n: int = 8):
 # vectors of words, items and codes
 
 
-@query(f"with {WORDS}, w as (select term, list({HASHED.format("term || ':' || dim")} order by dim) as e from (select distinct term from post), range(0, 4) r(dim) group by 1), q as (select term from post group by 1 order by sum(tf) desc, term limit 20), s as (select a.term as a, b.term as b, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) as sim from w a join w b on a.term <> b.term where a.term in (select term from q)) select a, b, sim, rk from (select *, row_number() over (partition by a order by sim desc, b) as rk from s) where rk <= 5")
+@query(f"""with {WORDS},
+    w as (select term, list({HASHED.format("term || ':' || dim")} order by dim) as e from (select distinct term from post), range(0, 4) r(dim) group by 1),
+    q as (select term from post group by 1 order by sum(tf) desc, term limit 20),
+    s as (select a.term as a, b.term as b, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) as sim from w a join w b on a.term <> b.term where a.term in (select term from q)) select a, b, sim, rk from (select *, row_number() over (partition by a order by sim desc, b) as rk from s) where rk <= 5""")
 def similar_words(t: Tables):
     """EMB-10: the words nearest to each of the 20 most frequent ones, all words against them."""
     post = posted(t)
@@ -48,7 +51,11 @@ def as_arrays(rows, key: str):
     return each.select(F.col(key).alias("vec_id"), F.transform("x", lambda r: r["value"]).alias("embedding"))
 
 
-@query(f"with {WORDS}, {DOCVEC}, {BY_ITEM}, qv as (select query_id, list(value order by dim) as e from (select query_id, dim, sum(qtf * ({HASHED.format("term || ':' || dim")})) / sum(qtf) as value from q, range(0, 4) r(dim) where term in (select term from post) group by 1, 2) group by 1), s as (select query_id, doc_id, round({COSINE}, 6) as sim from qv a cross join dv b) select query_id, doc_id, sim, rk from (select *, row_number() over (partition by query_id order by sim desc, doc_id) as rk from s) where rk <= 5")
+@query(f"""with {WORDS},
+    {DOCVEC},
+    {BY_ITEM},
+    qv as (select query_id, list(value order by dim) as e from (select query_id, dim, sum(qtf * ({HASHED.format("term || ':' || dim")})) / sum(qtf) as value from q, range(0, 4) r(dim) where term in (select term from post) group by 1, 2) group by 1),
+    s as (select query_id, doc_id, round({COSINE}, 6) as sim from qv a cross join dv b) select query_id, doc_id, sim, rk from (select *, row_number() over (partition by query_id order by sim desc, doc_id) as rk from s) where rk <= 5""")
 def similar_by_text(t: Tables):
     """EMB-9: for each benchmark text, the documents whose word vectors' mean is nearest to its own."""
     post = posted(t)
@@ -67,7 +74,7 @@ def lsa_similar_top5(t: Tables):
     return S.similar_vectors(vectors, vectors.filter("vec_id % 20 = 0"), 5)
 
 
-@query(f"with c as (select vec_id, book, floor((('0x' || substr(md5(vec_id || ':' || book || ':c'), 1, 8))::bigint / 4294967296.0) * 8)::int as code from embeddings, range(0, 3) r(book)) select vec_id, dim::int as dim, round(sum({HASHED.format("book || ':' || code || ':' || dim")}), 6) as value from c, range(0, 4) d(dim) group by 1, 2")
+@query(f"""with c as (select vec_id, book, floor((('0x' || substr(md5(vec_id || ':' || book || ':c'), 1, 8))::bigint / 4294967296.0) * 8)::int as code from embeddings, range(0, 3) r(book)) select vec_id, dim::int as dim, round(sum({HASHED.format("book || ':' || code || ':' || dim")}), 6) as value from c, range(0, 4) d(dim) group by 1, 2""")
 def semantic_id_sum(t: Tables):
     """EMB-18: three codes an item, and the sum of their vectors."""
     codes = t.embeddings.select("vec_id", F.transform(F.sequence(F.lit(0), F.lit(2)), lambda b: F.floor(X.hash_unit(F.col("vec_id"), b, F.lit("c")) * 8).cast("int")).alias("codes"))
@@ -76,7 +83,7 @@ def semantic_id_sum(t: Tables):
     return S.semantic_sum(codes, books).select("vec_id", "dim", X.r6(F.col("value")).alias("value"))
 
 
-@query(f"with {VEC} select user_id, dim::int as dim, round(sum(x), 6) as value from (select user_id, unnest(e) as x, unnest(range(0, len(e))) as dim from vecread join v on item = vec_id) group by 1, 2", ("vecread",))
+@query(f"""with {VEC} select user_id, dim::int as dim, round(sum(x), 6) as value from (select user_id, unnest(e) as x, unnest(range(0, len(e))) as dim from vecread join v on item = vec_id) group by 1, 2""", ("vecread",))
 def emb_profile_sum(t: Tables):
     """EMB-6 by the sum."""
     return S.profile(reading_history(t, "embeddings"), t.embeddings, "sum").withColumn("value", X.r6(F.col("value")))
@@ -101,14 +108,17 @@ def _noisy(name: str, source: str, layer: int) -> str:
     return f"{name} as (select node, dim, value + sign(value) * h / sqrt(sum(h * h) over (partition by node)) * 0.1 as value from (select node, dim, value, {h} as h from {source}))"
 
 
-@query(f"with {GRAPH}, s1 as (select dst as node, dim, sum(w * value) as value from a join v0 on node = src group by 1, 2), {_noisy('n1', 's1', 0)} select node, dim::int as dim, round(value, 6) as value from n1", ("inter",))
+@query(f"""with {GRAPH},
+    s1 as (select dst as node, dim, sum(w * value) as value from a join v0 on node = src group by 1, 2), {_noisy('n1', 's1', 0)} select node, dim::int as dim, round(value, 6) as value from n1""", ("inter",))
 def simgcl_1layer(t: Tables):
     """CF-11: one layer with the noise that has the vector's signs."""
     edges = interest(t)
     return S.propagate_noisy(edges, start_vectors(edges), 1).withColumn("value", X.r6(F.col("value")))
 
 
-@query(f"with {GRAPH}, s1 as (select dst as node, dim, sum(w * value) as value from a join v0 on node = src group by 1, 2), {_noisy('n1', 's1', 0)}, s2 as (select dst as node, dim, sum(w * value) as value from a join n1 on node = src group by 1, 2), {_noisy('n2', 's2', 1)} select node, dim::int as dim, round(sum(value) / 2, 6) as value from (select * from n1 union all select * from n2) group by 1, 2", ("inter",))
+@query(f"""with {GRAPH},
+    s1 as (select dst as node, dim, sum(w * value) as value from a join v0 on node = src group by 1, 2), {_noisy('n1', 's1', 0)},
+    s2 as (select dst as node, dim, sum(w * value) as value from a join n1 on node = src group by 1, 2), {_noisy('n2', 's2', 1)} select node, dim::int as dim, round(sum(value) / 2, 6) as value from (select * from n1 union all select * from n2) group by 1, 2""", ("inter",))
 def xsimgcl_2layer(t: Tables):
     """CF-12: two layers with noise in each, their mean."""
     edges = interest(t)
@@ -132,7 +142,10 @@ def info_nce(t: Tables):
     return S.info_nce(view(0), view(1), batch=F.floor(X.hash_unit(F.lit("batch"), "id") * batches))
 
 
-@query(f"with e as (select user_id, item_id, 1 as label from inter union all select user_id, ((item_id * 7) % (select max(item_id) from inter)) + 1, 0 from inter), u as (select user_id, list({HASHED.format("'user_id:' || user_id || ':' || dim")} order by dim) as a from (select distinct user_id from inter), range(0, 8) r(dim) group by 1), i as (select item_id, list({HASHED.format("'item_id:' || item_id || ':' || dim")} order by dim) as b from (select distinct item_id from inter), range(0, 8) r(dim) group by 1), s as (select list_dot_product(a, b) as s, label from e join u using (user_id) join i using (item_id)) select round(avg(ln(1 + exp(-abs(s))) + greatest(s, 0) - s * label), 6) as bce_loss, count(*)::bigint as n from s", ("inter",))
+@query(f"""with e as (select user_id, item_id, 1 as label from inter union all select user_id, ((item_id * 7) % (select max(item_id) from inter)) + 1, 0 from inter),
+    u as (select user_id, list({HASHED.format("'user_id:' || user_id || ':' || dim")} order by dim) as a from (select distinct user_id from inter), range(0, 8) r(dim) group by 1),
+    i as (select item_id, list({HASHED.format("'item_id:' || item_id || ':' || dim")} order by dim) as b from (select distinct item_id from inter), range(0, 8) r(dim) group by 1),
+    s as (select list_dot_product(a, b) as s, label from e join u using (user_id) join i using (item_id)) select round(avg(ln(1 + exp(-abs(s))) + greatest(s, 0) - s * label), 6) as bce_loss, count(*)::bigint as n from s""", ("inter",))
 def bce_loss(t: Tables):
     """CF-21: the loss of hashed vectors on all pairs and a stated false one for each."""
     pairs = written(interactions(t).select("user_id", "item_id"), "pairs")
@@ -172,7 +185,9 @@ def adj_blocks(t: Tables):
     return G.block_adjacency(reads, G.same_days(first_days(t)), I.social_edges(replies(t)), 0.5).withColumn("w", X.r6(F.col("w")))
 
 
-@query(f"with {FIRST_DAY}, e as (select a.item_id as src, b.item_id as dst, 1.0::double as w from d a join d b on a.day = b.day and a.item_id < b.item_id), m as (select a.item_id as src, b.item_id as dst, 0.5::double as w from d a join d b on date_diff('day', a.day, b.day) between -1 and 1 and a.item_id < b.item_id) select * from e union all select * from m where not exists (select 1 from e where e.src = m.src and e.dst = m.dst)", ("purchases",))
+@query(f"""with {FIRST_DAY},
+    e as (select a.item_id as src, b.item_id as dst, 1.0::double as w from d a join d b on a.day = b.day and a.item_id < b.item_id),
+    m as (select a.item_id as src, b.item_id as dst, 0.5::double as w from d a join d b on date_diff('day', a.day, b.day) between -1 and 1 and a.item_id < b.item_id) select * from e union all select * from m where not exists (select 1 from e where e.src = m.src and e.dst = m.dst)""", ("purchases",))
 def augmented_edges(t: Tables):
     """A graph and the edges of a file (here pairs within a day, at half the weight) that it lacks."""
     days, path = first_days(t), shared_dir(t.spark, "edges")
@@ -183,19 +198,28 @@ def augmented_edges(t: Tables):
 # recommendations
 
 
-@query(f"{CONTENT}, f as (select * from content where not exists (select 1 from vecread r where r.user_id = content.user_id and r.item = content.item_id)) select user_id, item_id, score, rk from (select *, row_number() over (partition by user_id order by score desc, item_id) as rk from f) where rk <= 10", ("vecread",))
+@query(f"""{CONTENT},
+    f as (select * from content where not exists (select 1 from vecread r where r.user_id = content.user_id and r.item = content.item_id)) select user_id, item_id, score, rk from (select *, row_number() over (partition by user_id order by score desc, item_id) as rk from f) where rk <= 10""", ("vecread",))
 def two_towers_zero_shot(t: Tables):
     """CF-23 with identical towers: what the mean of the last ten is nearest to, for the query users."""
     return R.masked_top(content_scores(t), reading_history(t, "embeddings").select("user_id", F.col("item").alias("item_id")).distinct(), 10)
 
 
-@query(f"{CONTENT.replace('round(list_dot', '(list_dot').replace(', 6) as score', ') as score')}, {POP}, mm as (select *, min(score) over (partition by user_id) as lo, max(score) over (partition by user_id) as hi from popular), p as (select user_id, item_id, case when hi > lo then (score - lo) / (hi - lo) else 1 end as score from mm) select coalesce(p.user_id, c.user_id) as user_id, coalesce(p.item_id, c.item_id) as item_id, round(0.3 * coalesce(p.score, 0) + 0.7 * coalesce(c.score, 0), 6) as score from p full outer join content c on p.user_id = c.user_id and p.item_id = c.item_id", ("vecread",))
+@query(f"""{CONTENT.replace('round(list_dot', '(list_dot').replace(', 6) as score', ') as score')},
+    {POP},
+    mm as (select *, min(score) over (partition by user_id) as lo, max(score) over (partition by user_id) as hi from popular),
+    p as (select user_id, item_id, case when hi > lo then (score - lo) / (hi - lo) else 1 end as score from mm) select coalesce(p.user_id, c.user_id) as user_id, coalesce(p.item_id, c.item_id) as item_id, round(0.3 * coalesce(p.score, 0) + 0.7 * coalesce(c.score, 0), 6) as score from p full outer join content c on p.user_id = c.user_id and p.item_id = c.item_id""", ("vecread",))
 def hybrid_dense(t: Tables):
     """RNK-8: 0.3 of the scaled popularity and 0.7 of the content score, over all items."""
     return R.weighted(R.scaled(popular_scores(t)), content_scores(t, None), 0.3).withColumn("score", X.r6(F.col("score")))
 
 
-@query(f"with {TFIDF}, {DOCVEC}, sp as (select x.doc_id as user_id, y.doc_id as item_id, sum(x.w * y.w) as score from weights x join weights y using (term) where x.doc_id % 20 = 0 and x.doc_id <> y.doc_id group by 1, 2), de as (select a.doc_id as user_id, b.doc_id as item_id, {COSINE} as score from dv a join dv b on a.doc_id <> b.doc_id where a.doc_id % 20 = 0), m as (select coalesce(sp.user_id, de.user_id) as user_id, coalesce(sp.item_id, de.item_id) as item_id, round(0.2 * coalesce(de.score, 0) + 0.8 * coalesce(sp.score, 0), 6) as score from sp full outer join de on sp.user_id = de.user_id and sp.item_id = de.item_id) select user_id, item_id, score, rk from (select *, row_number() over (partition by user_id order by score desc, item_id) as rk from m) where rk <= 10")
+@query(f"""with {TFIDF},
+    {DOCVEC},
+    sp as (select x.doc_id as user_id, y.doc_id as item_id, sum(x.w * y.w) as score from weights x join weights y using (term) where x.doc_id % 20 = 0 and x.doc_id <> y.doc_id group by 1, 2),
+    de as (select a.doc_id as user_id, b.doc_id as item_id,
+    {COSINE} as score from dv a join dv b on a.doc_id <> b.doc_id where a.doc_id % 20 = 0),
+    m as (select coalesce(sp.user_id, de.user_id) as user_id, coalesce(sp.item_id, de.item_id) as item_id, round(0.2 * coalesce(de.score, 0) + 0.8 * coalesce(sp.score, 0), 6) as score from sp full outer join de on sp.user_id = de.user_id and sp.item_id = de.item_id) select user_id, item_id, score, rk from (select *, row_number() over (partition by user_id order by score desc, item_id) as rk from m) where rk <= 10""")
 def ensemble_top10(t: Tables):
     """RNK-9: for the query documents, whose id 20 divides, 0.2 of the dense and 0.8 of the sparse similarity."""
     weights = written(weighed(t), "weights")
@@ -213,7 +237,18 @@ def ensemble_top10(t: Tables):
 PLUS = f"{IDF} * (tf * 2.5 / (tf + 1.5 * {LENGTH}) + 0.5)"
 
 
-@query(f"with {WORDS}, size as (select doc_id, sum(tf) as dl from post group by 1), tot as (select count(*) as n, avg(dl) as avgdl from size), df as (select term, count(*) as df from post group by 1), {BY_ITEM}, sc as (select query_id, doc_id, round(sum({PLUS} * qtf), 6) as score from q join post using (term) join df using (term) join size using (doc_id) cross join tot group by 1, 2), hit as (select query_id, doc_id from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rk from sc where score > 0) where rk <= 3), {VEC}, hv as (select distinct query_id as user_id, doc_id % (select count(*) from embeddings) as item from hit), pr as (select user_id, list(value order by dim) as p from (select user_id, dim, avg(x) as value from (select user_id, unnest(e) as x, unnest(range(0, len(e))) as dim from hv join v on item = vec_id) group by 1, 2) group by 1), ct as (select user_id, vec_id as item_id, round(list_dot_product(p, e) / (sqrt(list_dot_product(p, p)) * sqrt(list_dot_product(e, e))), 6) as score from pr cross join v), f as (select * from ct where not exists (select 1 from hv where hv.user_id = ct.user_id and hv.item = ct.item_id)) select user_id, item_id, score, rk from (select *, row_number() over (partition by user_id order by score desc, item_id) as rk from f) where rk <= 10")
+@query(f"""with {WORDS},
+    size as (select doc_id, sum(tf) as dl from post group by 1),
+    tot as (select count(*) as n, avg(dl) as avgdl from size),
+    df as (select term, count(*) as df from post group by 1),
+    {BY_ITEM},
+    sc as (select query_id, doc_id, round(sum({PLUS} * qtf), 6) as score from q join post using (term) join df using (term) join size using (doc_id) cross join tot group by 1, 2),
+    hit as (select query_id, doc_id from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rk from sc where score > 0) where rk <= 3),
+    {VEC},
+    hv as (select distinct query_id as user_id, doc_id % (select count(*) from embeddings) as item from hit),
+    pr as (select user_id, list(value order by dim) as p from (select user_id, dim, avg(x) as value from (select user_id, unnest(e) as x, unnest(range(0, len(e))) as dim from hv join v on item = vec_id) group by 1, 2) group by 1),
+    ct as (select user_id, vec_id as item_id, round(list_dot_product(p, e) / (sqrt(list_dot_product(p, p)) * sqrt(list_dot_product(e, e))), 6) as score from pr cross join v),
+    f as (select * from ct where not exists (select 1 from hv where hv.user_id = ct.user_id and hv.item = ct.item_id)) select user_id, item_id, score, rk from (select *, row_number() over (partition by user_id order by score desc, item_id) as rk from f) where rk <= 10""")
 def cold_start_top10(t: Tables):
     """RNK-7: a guest who only searched (each benchmark text here) has the three best hits as history, and content alone decides."""
     hits = L.best_docs(L.bm25(posted(t), item_queries(t), "plus"), 3)
@@ -226,7 +261,10 @@ def cold_start_top10(t: Tables):
     return R.masked_top(scores, history.select("user_id", F.col("item").alias("item_id")), 10)
 
 
-@query(f"with {WORDS}, h as (select user_id, item from docread), lab as (select doc_id, max(quality) as class from labels group by 1), c as (select user_id, class, count(*) as n from h join lab on item = doc_id group by 1, 2) select user_id, class::bigint as class from (select *, row_number() over (partition by user_id order by n desc, class) as rn from c) where rn = 1", ("docread",))
+@query(f"""with {WORDS},
+    h as (select user_id, item from docread),
+    lab as (select doc_id, max(quality) as class from labels group by 1),
+    c as (select user_id, class, count(*) as n from h join lab on item = doc_id group by 1, 2) select user_id, class::bigint as class from (select *, row_number() over (partition by user_id order by n desc, class) as rn from c) where rn = 1""", ("docread",))
 def dominant_class(t: Tables):
     """CF-24: the class that most of what a user has read has."""
     classes = t.labels.groupBy(F.col("doc_id").alias("item")).agg(F.max("quality").alias("class"))
@@ -245,7 +283,8 @@ def class_odds(t: Tables):
 # evaluation and reports
 
 
-@query(f"with {RANKED}, tc as (select user_id from train group by 1 having count(*) >= 35), {METRICS.format(k=10).replace('from test group', 'from test where user_id in (select user_id from tc) group')} {_metrics(10)}", ("inter",))
+@query(f"""with {RANKED},
+    tc as (select user_id from train group by 1 having count(*) >= 35), {METRICS.format(k=10).replace('from test group', 'from test where user_id in (select user_id from tc) group')} {_metrics(10)}""", ("inter",))
 def eval_active(t: Tables):
     """EVL-13: the metrics of users with 35 training items or more."""
     top, train, test = ranked(t)
@@ -256,7 +295,10 @@ def eval_active(t: Tables):
 CBTRAIN = "(select user_id, item, ts, event_id from vecread where event_id % 5 > 0)"
 
 
-@query(f"{CONTENT.replace('from vecread)', f'from {CBTRAIN} vr)')}, test as (select distinct user_id, item as item_id from vecread vt where event_id % 5 = 0 and user_id in (select user_id from h) and not exists (select 1 from {CBTRAIN} r where r.user_id = vt.user_id and r.item = vt.item)), f as (select * from content where not exists (select 1 from {CBTRAIN} r where r.user_id = content.user_id and r.item = content.item_id)), top as (select user_id, item_id, score, rk from (select *, row_number() over (partition by user_id order by score desc, item_id) as rk from f) where rk <= 10), {METRICS.format(k=10)} {_metrics(10)}", ("vecread",))
+@query(f"""{CONTENT.replace('from vecread)', f'from {CBTRAIN} vr)')},
+    test as (select distinct user_id, item as item_id from vecread vt where event_id % 5 = 0 and user_id in (select user_id from h) and not exists (select 1 from {CBTRAIN} r where r.user_id = vt.user_id and r.item = vt.item)),
+    f as (select * from content where not exists (select 1 from {CBTRAIN} r where r.user_id = content.user_id and r.item = content.item_id)),
+    top as (select user_id, item_id, score, rk from (select *, row_number() over (partition by user_id order by score desc, item_id) as rk from f) where rk <= 10), {METRICS.format(k=10)} {_metrics(10)}""", ("vecread",))
 def eval_content(t: Tables):
     """EVL-12: content lists of the query users against what they read in the held-out fifth of events; users without a history are left out."""
     rows = written(reading_history(t, "embeddings").filter("user_id % 20 = 0"), "reads")
@@ -269,7 +311,8 @@ def eval_content(t: Tables):
     return R.list_metrics(R.masked_top(scores, seen, 10), new, [10])
 
 
-@query(f"with {CATEGORY}, ix as (select category, row_number() over (order by category) as idx from (select distinct category from cat where category <> 'SMALL')) select item_id, coalesce(idx, 0)::bigint as category_id from cat left join ix using (category)")
+@query(f"""with {CATEGORY},
+    ix as (select category, row_number() over (order by category) as idx from (select distinct category from cat where category <> 'SMALL')) select item_id, coalesce(idx, 0)::bigint as category_id from cat left join ix using (category)""")
 def category_index(t: Tables):
     """EVL-15: items to category numbers; a category that is not known (one of them here) is 0."""
     rows = categories(t)
@@ -277,14 +320,19 @@ def category_index(t: Tables):
     return rows.join(known, "category", "left").select("item_id", F.coalesce("n", F.lit(0)).cast("bigint").alias("category_id"))
 
 
-@query(f"with {RANKED}, pop as (select item_id, count(*) as n from train group by 1), s as (select avg(coalesce(n, 0)) as arp, count(distinct top.item_id) as shown from top left join pop using (item_id)), e as (select avg(n) as mean, count(*) as items from pop), b as (select round(arp, 6) as arp, round(mean, 6) as catalogue_mean, round(arp / mean, 6) as ratio, round(shown / items, 6) as coverage from s, e) select *, ratio > 2 as over_2, ratio > 5 as over_5 from b", ("inter",))
+@query(f"""with {RANKED},
+    pop as (select item_id, count(*) as n from train group by 1),
+    s as (select avg(coalesce(n, 0)) as arp, count(distinct top.item_id) as shown from top left join pop using (item_id)),
+    e as (select avg(n) as mean, count(*) as items from pop),
+    b as (select round(arp, 6) as arp, round(mean, 6) as catalogue_mean, round(arp / mean, 6) as ratio, round(shown / items, 6) as coverage from s, e) select *, ratio > 2 as over_2, ratio > 5 as over_5 from b""", ("inter",))
 def popularity_flags(t: Tables):
     """EVL-10."""
     top, train, _ = ranked(t)
     return R.bias_flags(R.popularity_bias(top, train))
 
 
-@query(f"with {RANKED}, pop as (select item_id, count(*) as n from train group by 1) select user_id, string_agg(item_id::varchar, ',' order by rk) as items, round(avg(coalesce(n, 0)), 6) as popularity from top left join pop using (item_id) group by 1", ("inter",))
+@query(f"""with {RANKED},
+    pop as (select item_id, count(*) as n from train group by 1) select user_id, string_agg(item_id::varchar, ',' order by rk) as items, round(avg(coalesce(n, 0)), 6) as popularity from top left join pop using (item_id) group by 1""", ("inter",))
 def inspected_top10(t: Tables):
     """RNK-17: each user's list and how popular it is."""
     top, train, _ = ranked(t)
@@ -301,7 +349,7 @@ def tag_frequency(t: Tables):
     return t.documents.select(F.explode(tags).alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "tag").limit(25)
 
 
-@query("with c as (select conv_id, count(*) as n from conversations group by 1) select round(avg(n), 6) as mean, round(median(n), 6) as middle, max(n)::bigint as most, round(stddev_samp(n), 6) as sd, count(*) filter (where n < 3)::bigint as few, count(*) filter (where n between 3 and 9)::bigint as some, count(*) filter (where n > 9)::bigint as many from c")
+@query("""with c as (select conv_id, count(*) as n from conversations group by 1) select round(avg(n), 6) as mean, round(median(n), 6) as middle, max(n)::bigint as most, round(stddev_samp(n), 6) as sd, count(*) filter (where n < 3)::bigint as few, count(*) filter (where n between 3 and 9)::bigint as some, count(*) filter (where n > 9)::bigint as many from c""")
 def comments_per_article(t: Tables):
     """AGG-3: the statistics and a histogram."""
     n = F.col("n")
@@ -310,7 +358,7 @@ def comments_per_article(t: Tables):
     return rows.agg(X.r6(F.avg(n)).alias("mean"), X.r6(F.lit(middle and middle[0])).alias("middle"), F.max(n).alias("most"), X.r6(F.stddev_samp(n)).alias("sd"), F.count_if(n < 3).alias("few"), F.count_if(n.between(3, 9)).alias("some"), F.count_if(n > 9).alias("many"))
 
 
-@query("select user_id, count(*) filter (where side = 'parent')::bigint as parent, count(*) filter (where side = 'reply')::bigint as reply, count(*)::bigint as total from (select parent_user_id as user_id, 'parent' as side from replies union all select reply_user_id, 'reply' from replies) where user_id is not null group by 1", ("replies",))
+@query("""select user_id, count(*) filter (where side = 'parent')::bigint as parent, count(*) filter (where side = 'reply')::bigint as reply, count(*)::bigint as total from (select parent_user_id as user_id, 'parent' as side from replies union all select reply_user_id, 'reply' from replies) where user_id is not null group by 1""", ("replies",))
 def activity_by_role(t: Tables):
     """AGG-4."""
     rows = replies(t)
@@ -319,7 +367,7 @@ def activity_by_role(t: Tables):
     return both.groupBy("user_id").agg(F.count_if(F.col("side") == "parent").alias("parent"), F.count_if(F.col("side") == "reply").alias("reply"), F.count(F.lit(1)).alias("total"))
 
 
-@query("select coalesce(category, 'all') as category, count(*)::bigint as items, sum(n)::bigint as purchases, round(avg(n), 6) as mean, max(n)::bigint as most from (select p_type as category, p_partkey, coalesce(n, 0) as n from part left join (select item_id, count(*) as n from inter group by 1) on item_id = p_partkey) group by rollup (category)", ("inter",))
+@query("""select coalesce(category, 'all') as category, count(*)::bigint as items, sum(n)::bigint as purchases, round(avg(n), 6) as mean, max(n)::bigint as most from (select p_type as category, p_partkey, coalesce(n, 0) as n from part left join (select item_id, count(*) as n from inter group by 1) on item_id = p_partkey) group by rollup (category)""", ("inter",))
 def category_summary(t: Tables):
     """AGG-13: each category and a row for all."""
     n = interactions(t).groupBy("item_id").agg(F.count(F.lit(1)).alias("n"))
@@ -327,7 +375,8 @@ def category_summary(t: Tables):
     return rows.rollup("category").agg(F.count(F.lit(1)).alias("items"), F.sum("n").alias("purchases"), X.r6(F.avg("n")).alias("mean"), F.max("n").alias("most")).select(F.coalesce("category", F.lit("all")).alias("category"), "items", "purchases", "mean", "most")
 
 
-@query("with i as (select coalesce(n, 0) as degree from part left join (select item_id, count(*) as n from inter group by 1) on item_id = p_partkey), u as (select coalesce(n, 0) as degree from customer left join (select user_id, count(*) as n from inter group by 1) on user_id = c_custkey) select side, degree::bigint as degree, count(*)::bigint as nodes from (select 'item' as side, degree from i union all select 'user', degree from u) group by 1, 2", ("inter",))
+@query("""with i as (select coalesce(n, 0) as degree from part left join (select item_id, count(*) as n from inter group by 1) on item_id = p_partkey),
+    u as (select coalesce(n, 0) as degree from customer left join (select user_id, count(*) as n from inter group by 1) on user_id = c_custkey) select side, degree::bigint as degree, count(*)::bigint as nodes from (select 'item' as side, degree from i union all select 'user', degree from u) group by 1, 2""", ("inter",))
 def degree_histogram(t: Tables):
     """AGG-15: both sides, with the nodes that have no edge."""
     pairs = interactions(t)

@@ -42,7 +42,7 @@ def csv_by_folder(t: Tables):
     return files.csv_folders(t.spark, f"{path}/*/*.csv", "doc_id bigint, n_chars bigint")
 
 
-@query("select reply_user_id::varchar as src, parent_user_id::varchar as dst, count(*)::double as w, 'social' as relation from replies where reply_user_id <> parent_user_id group by 1, 2", ("replies",))
+@query("""select reply_user_id::varchar as src, parent_user_id::varchar as dst, count(*)::double as w, 'social' as relation from replies where reply_user_id <> parent_user_id group by 1, 2""", ("replies",))
 def graph_round_trip(t: Tables):
     """SNK-3, SRC-4, G14: two relations written, one of them read, from the first folder of a list of places that has a graph."""
     path = shared_dir(t.spark, "graph")
@@ -52,7 +52,7 @@ def graph_round_trip(t: Tables):
     return sinks.read_graph(t.spark, found, "social")
 
 
-@query("select d.doc_id as idx, k::int as dim, round(case when k < 64 and e.vec_id is not null then (embedding::double[])[k::int + 1] else 0 end, 6) as value from documents d left join embeddings e on e.vec_id = d.doc_id, range(0, 66) r(k)")
+@query("""select d.doc_id as idx, k::int as dim, round(case when k < 64 and e.vec_id is not null then (embedding::double[])[k::int + 1] else 0 end, 6) as value from documents d left join embeddings e on e.vec_id = d.doc_id, range(0, 66) r(k)""")
 def vectors_aligned(t: Tables):
     """SRC-5: a vector of 66 numbers for each document, filled with zeros."""
     catalogue = t.documents.select(F.col("doc_id").alias("idx"), F.col("doc_id").alias("key"))
@@ -103,7 +103,7 @@ def index_round_trip(t: Tables):
     return state["postings"].join(state["idf"], "term").select("doc_id", "term", X.r6(F.col("tf") * F.col("idf")).alias("w"))
 
 
-@query("with m as (select lang as metric, n_chars % 3 as k, case when doc_id % 2 = 0 then 'even' else 'odd' end as model, round(avg(n_chars), 6) as value from documents group by 1, 2, 3) select metric, k::bigint as k, arg_max(model, (value, model)) as model, max(value) as value from m group by 1, 2")
+@query("""with m as (select lang as metric, n_chars % 3 as k, case when doc_id % 2 = 0 then 'even' else 'odd' end as model, round(avg(n_chars), 6) as value from documents group by 1, 2, 3) select metric, k::bigint as k, arg_max(model, (value, model)) as model, max(value) as value from m group by 1, 2""")
 def metrics_leaderboard(t: Tables):
     """SNK-7, EVL-14: the metrics of two models appended to one log, and the better one of each metric."""
     path = shared_dir(t.spark, "metrics")
@@ -166,7 +166,7 @@ def profile_parts(t: Tables):
     return t.customer.select(F.col("c_custkey").alias("user_id"), name.alias("username"), joined.alias("joined"))
 
 
-@query("select doc_id, quality, toxic, null::varchar as lang from labels where doc_id not in (select doc_id from documents where doc_id % 3 = 0) union all select doc_id, null, null, lang from documents where doc_id % 3 = 0")
+@query("""select doc_id, quality, toxic, null::varchar as lang from labels where doc_id not in (select doc_id from documents where doc_id % 3 = 0) union all select doc_id, null, null, lang from documents where doc_id % 3 = 0""")
 def metadata_upsert(t: Tables):
     """SRC-15: rows of one table replaced by those of another with the same key, and new ones added."""
     return files.upserted(t.labels, t.documents.filter("doc_id % 3 = 0").select("doc_id", "lang"), "doc_id")

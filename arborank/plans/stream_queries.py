@@ -31,7 +31,7 @@ def finished(rows: DataFrame, mode: str, what: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-@query("select user_id, string_agg(event_id::varchar, ',' order by ts desc, event_id desc) as items from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rk from events) where rk <= 10 group by 1")
+@query("""select user_id, string_agg(event_id::varchar, ',' order by ts desc, event_id desc) as items from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rk from events) where rk <= 10 group by 1""")
 def stream_last_items(t: Tables):
     """STR-5: the last ten events of each user, held as state; the last update of each user counts."""
     found = finished(streams.last_items(event_stream(t).select("user_id", F.col("event_id").alias("item"), "ts"), 10), "update", "last-items")
@@ -81,7 +81,8 @@ def stream_hourly_closed(t: Tables):
 SESSIONS = "g as (select user_id, item, ts, event_id, case when lag(ts) over (partition by user_id order by ts) is null or ts - lag(ts) over (partition by user_id order by ts) > interval 30 minute then 1 else 0 end as fresh from vecread), s as (select *, sum(fresh) over (partition by user_id order by ts, event_id) as k from g), a as (select *, row_number() over (partition by user_id, k order by ts desc, event_id desc) - 1 as age, min(ts) over (partition by user_id, k) as start from s)"
 
 
-@query(f"with {SESSIONS}, x as (select user_id, start, pow(0.9, age) as wt, unnest(embedding::double[]) as x, unnest(range(0, 64)) as dim from a join embeddings on vec_id = item where age < 10) select user_id, start, dim::int as dim, round(sum(x * wt) / sum(wt), 6) as value from x group by 1, 2, 3", ("vecread",))
+@query(f"""with {SESSIONS},
+    x as (select user_id, start, pow(0.9, age) as wt, unnest(embedding::double[]) as x, unnest(range(0, 64)) as dim from a join embeddings on vec_id = item where age < 10) select user_id, start, dim::int as dim, round(sum(x * wt) / sum(wt), 6) as value from x group by 1, 2, 3""", ("vecread",))
 def session_profiles(t: Tables):
     """STR-1 with EMB-7: of each session the mean of its last ten vectors, each older one by 0.9 lighter."""
     rows = reading_history(t, "embeddings").withColumn("ts", F.col("ts").cast("timestamp"))
@@ -92,7 +93,8 @@ def session_profiles(t: Tables):
     return each.groupBy("user_id", "start", "dim").agg(X.r6(mean).alias("value")).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("with n as (select event_type, count(*) as n from events group by 1), r as (select event_type, n, row_number() over (order by n desc, event_type) as k from n) select 0::bigint as place, '## Events' as line union all select 1, '' union all select 2, '| event_type | n |' union all select 3, '|---|---|' union all select 3 + k, '| ' || event_type || ' | ' || n || ' |' from r")
+@query("""with n as (select event_type, count(*) as n from events group by 1),
+    r as (select event_type, n, row_number() over (order by n desc, event_type) as k from n) select 0::bigint as place, '## Events' as line union all select 1, '' union all select 2, '| event_type | n |' union all select 3, '|---|---|' union all select 3 + k, '| ' || event_type || ' | ' || n || ' |' from r""")
 def markdown_report(t: Tables):
     """SNK-8: a small table as the lines of a report."""
     counts = t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "event_type")

@@ -43,7 +43,8 @@ def tokens_clean(t: Tables):
     return posted(t)
 
 
-@query(f"with {WORDS}, b as (select doc_id, unnest(case when len(ws) >= 2 then list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) else [] end) as term from words) select doc_id, term, count(*)::bigint as tf from (select doc_id, unnest(ws) as term from words union all select doc_id, term from b) group by 1, 2")
+@query(f"""with {WORDS},
+    b as (select doc_id, unnest(case when len(ws) >= 2 then list_transform(range(1, len(ws)), lambda i: ws[i] || ' ' || ws[i + 1]) else [] end) as term from words) select doc_id, term, count(*)::bigint as tf from (select doc_id, unnest(ws) as term from words union all select doc_id, term from b) group by 1, 2""")
 def ngrams_12(t: Tables):
     rows = t.documents.select("doc_id", words(t).alias("ws"))
     return L.postings(rows, F.concat("ws", X.ngrams(F.col("ws"), 2)))
@@ -62,12 +63,13 @@ def tfidf_fit_on_train(t: Tables):
     return w.select("doc_id", "term", X.r6(F.col("w")).alias("w"))
 
 
-@query(f"with {TFIDF} select doc_id, term, w, rk from (select doc_id, term, w, row_number() over (partition by doc_id order by w desc, term) as rk from (select doc_id, term, round(w, 6) as w from weights) where w > 0) where rk <= 5")
+@query(f"""with {TFIDF} select doc_id, term, w, rk from (select doc_id, term, w, row_number() over (partition by doc_id order by w desc, term) as rk from (select doc_id, term, round(w, 6) as w from weights) where w > 0) where rk <= 5""")
 def top_terms(t: Tables):
     return L.top_terms(weighed(t), 5)
 
 
-@query(f"with {TFIDF}, s as (select x.doc_id as a, y.doc_id as b, round(sum(x.w * y.w), 6) as sim from weights x join weights y using (term) where x.doc_id % 20 = 0 and x.doc_id <> y.doc_id group by 1, 2) select a, b, sim, rk from (select *, row_number() over (partition by a order by sim desc, b) as rk from s) where rk <= 5")
+@query(f"""with {TFIDF},
+    s as (select x.doc_id as a, y.doc_id as b, round(sum(x.w * y.w), 6) as sim from weights x join weights y using (term) where x.doc_id % 20 = 0 and x.doc_id <> y.doc_id group by 1, 2) select a, b, sim, rk from (select *, row_number() over (partition by a order by sim desc, b) as rk from s) where rk <= 5""")
 def tfidf_similar_top5(t: Tables):
     """The query documents are those whose id 20 divides."""
     return L.similar_docs(weighed(t), t.documents.filter("doc_id % 20 = 0"), 5)
@@ -126,7 +128,9 @@ def word_cloud_top50(t: Tables):
     return posted(t).groupBy("term").agg(F.sum("tf").alias("n")).orderBy(F.desc("n"), "term").limit(50)
 
 
-@query(f"with {WORDS}, v as (select distinct term from post where doc_id in (select doc_id from labels)), x as (select term, sum(tf) as n, max(case when term in (select term from v) then 0 else 1 end) as out from post group by 1) select round(sum(out * n) / sum(n)::double, 6) as token_oov, round(avg(out::double), 6) as type_oov from x")
+@query(f"""with {WORDS},
+    v as (select distinct term from post where doc_id in (select doc_id from labels)),
+    x as (select term, sum(tf) as n, max(case when term in (select term from v) then 0 else 1 end) as out from post group by 1) select round(sum(out * n) / sum(n)::double, 6) as token_oov, round(avg(out::double), 6) as type_oov from x""")
 def oov_rate(t: Tables):
     post = posted(t)
     return L.unknown_rate(post, post.join(t.labels.select("doc_id"), "doc_id", "left_semi"))
@@ -175,7 +179,7 @@ for _pattern in (X.TAGS, X.URLS, X.PUNCTUATION, X.NUMBERS):
     FULL = _without(FULL, _pattern)
 
 
-@query(f"select doc_id, term, count(*)::bigint as tf from (select doc_id, unnest(list_filter(string_split_regex(lower({FULL}), '[ \\t\\n\\r\\f\\x0b]+'), lambda w: length(w) between 1 and 50 and w not in ({STOPS}))) as term from documents) group by 1, 2")
+@query(f"""select doc_id, term, count(*)::bigint as tf from (select doc_id, unnest(list_filter(string_split_regex(lower({FULL}), '[ \\t\\n\\r\\f\\x0b]+'), lambda w: length(w) between 1 and 50 and w not in ({STOPS}))) as term from documents) group by 1, 2""")
 def tokens_full(t: Tables):
     """TXT-1: all steps, from composed Unicode and numbers to the length of words. There is no segmenter here."""
     text = X.cleaned(X.composed(F.col("text")), numbers=True)
@@ -188,7 +192,7 @@ def simple_clean(t: Tables):
     return t.documents.select("doc_id", X.simple_clean(F.col("text")).alias("text"))
 
 
-@query(f"with {TFIDF.replace(' having count(*) >= 2', ' having term in (select term from (select term, sum(tf) as s from post group by 1 having count(*) >= 2 order by s desc, term limit 200))')} select doc_id, term, round(w, 6) as w from weights")
+@query(f"""with {TFIDF.replace(' having count(*) >= 2', ' having term in (select term from (select term, sum(tf) as s from post group by 1 having count(*) >= 2 order by s desc, term limit 200))')} select doc_id, term, round(w, 6) as w from weights""")
 def tfidf_max_features(t: Tables):
     """TXT-9 with the 200 most frequent terms; the limit is the feature."""
     w = L.tf_idf(posted(t), t.documents.count(), min_df=2, max_features=200)

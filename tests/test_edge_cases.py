@@ -163,3 +163,23 @@ def test_loss_by_batches(spark):
         losses += list(np.log(np.exp(s).sum(1)) - np.diag(s))
     row = S.info_nce(df(a), df(b), batch=F.col("id") % 2).first()
     assert abs(row.info_nce - np.mean(losses)) < 1e-5 and row.n == 10
+
+
+def test_maps_of_users(spark):
+    r = np.random.default_rng(8)
+    vectors = {i: r.normal(size=5) for i in range(9)}
+    profiles = {1: r.normal(size=5), 2: r.normal(size=5), 3: r.normal(size=5)}
+    history, shown = [(1, 0), (1, 1), (1, 2), (2, 3), (1, 99)], [(1, 4), (1, 5)]
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    frame = lambda rows: spark.createDataFrame(rows, "user_id long, item_id long")
+    rows = R.mapped_users(spark.createDataFrame([(u, v.tolist()) for u, v in profiles.items()], "user_id long, v array<double>"), frame(history), frame(shown), table).collect()
+    assert {r.user_id for r in rows} == {1, 2}  # the third has one point
+    m = np.array([profiles[1], *[vectors[i] for i in (0, 1, 2, 4, 5)]])
+    c = m - m.mean(0)
+    values, axes = np.linalg.eigh(c.T @ c)
+    best = axes[:, np.argsort(-values)[:2]].T
+    best = best * np.sign(best[np.arange(2), np.abs(best).argmax(1)])[:, None]
+    want = {None if k == 0 else (0, 1, 2, 4, 5)[k - 1]: p for k, p in enumerate(c @ best.T)}
+    own = {r.item_id: (r.x, r.y) for r in rows if r.user_id == 1}
+    assert own.keys() == want.keys() and all(np.allclose(own[i], want[i]) for i in want)
+    assert all(r.y == 0 for r in rows if r.user_id == 2) and {r.kind for r in rows if r.user_id == 1} == {"User", "History", "Recommendation"}
