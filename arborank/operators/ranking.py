@@ -141,7 +141,7 @@ def mapped_users(profiles: DataFrame, history: DataFrame, shown: DataFrame, vect
 
     def placed(pdf: pd.DataFrame) -> pd.DataFrame:
         if len(pdf) < 2:
-            return pd.DataFrame({"user_id": [], "kind": [], "item_id": [], "x": [], "y": []})
+            return pd.DataFrame({"user_id": pd.Series(dtype="int64"), "kind": pd.Series(dtype="str"), "item_id": pd.Series(dtype="Int64"), "x": pd.Series(dtype="float64"), "y": pd.Series(dtype="float64")})
         pdf = pdf.sort_values(["kind", "item_id"], na_position="first")
         m = np.array([np.asarray(x, float) for x in pdf["v"]])
         _, _, axes = np.linalg.svd(m - m.mean(0), full_matrices=False)
