@@ -1,6 +1,6 @@
 """WARC archives in which a repeated payload is stored once and revisited by the other records.
 
-Only headers (id, payload digest, size) are dealt out by digest to find repeated payloads. Records are laid out by SQL
+Only headers (id, payload digest, size) are dealt out by digest to find repeated payloads; the pages then meet the revisits where they are read, see SENT_REVISITS. Records are laid out by SQL
 expressions and written by Spark's text sink, one gzip file a task, so that any file system Spark knows will do; files are bounded in
 records such that they stay near FILE_BYTES, and below MOST_BYTES even if all of their pages are as large as the largest.
 Reading takes whole files as bytes, walks the records by their Content-Length, checks each payload against its digest, and
@@ -29,6 +29,8 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: The date of all records, as the pages have none.
 DATE = "2000-01-01T00:00:00Z"
 FILE_BYTES, MOST_BYTES = 64 << 20, 1 << 30
+#: Up to so many revisits, of some 100 bytes each, go to the tasks that read the pages, so that no payload is moved; beyond that pages and revisits are dealt by id.
+SENT_REVISITS = 500_000
 
 
 def record_id(page: Column, digest: Column) -> Column:
@@ -42,8 +44,9 @@ def with_revisits(pages: DataFrame, min_bytes: int) -> DataFrame:
     rows = rows.withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     headers = headers_of(rows, min_bytes)
     last = headers.groupBy("digest").agg(F.max("page").alias("original"), F.min("page").alias("least")).filter("least < original").select("digest", "original")
-    revisits = spread_join(headers, last, ["digest"], F.xxhash64("page")).filter("page < original").select("page", "digest", "original").distinct()
-    return rows.join(revisits, ["page", "digest"], "left")
+    revisits = written(spread_join(headers, last, ["digest"], F.xxhash64("page")).filter("page < original").select("page", "digest", "original").distinct(), "warc-revisits")
+    few = revisits.count() <= SENT_REVISITS
+    return rows.join(F.broadcast(revisits) if few else revisits, ["page", "digest"], "left")
 
 
 def headers_of(rows: DataFrame, min_bytes: int) -> DataFrame:

@@ -24,6 +24,15 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages_df(spark, [])).collect() == []
 
 
+def test_payloads_stay_where_they_are_read(spark, monkeypatch):
+    """With few revisits no payload is moved; with many the result is the same."""
+    plan = warc.with_revisits(pages_df(spark, PAGES), 1000)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    monkeypatch.setattr(warc, "SENT_REVISITS", 0)
+    rows = warc.round_trip(pages_df(spark, PAGES)).collect()
+    assert ordered(tuple(r) for r in rows) == ordered(brute.warc(PAGES))
+
+
 def test_files_are_bounded_by_their_bytes(spark, tmp_path):
     assert warc.records_for(pages_df(spark, [])) == 2000
     assert warc.records_for(pages_df(spark, [(1, "x" * 100)])) == 2000
