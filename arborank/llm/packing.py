@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import parts_of, written
 
 #: Words whose ids a Python worker keeps, across tasks.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 200_000
 #: New words that the tokenizer gets at once.
 BATCH = 2000
 #: Fixed value: the short forms that the tokenizer cuts off as pieces of their own.

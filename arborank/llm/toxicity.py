@@ -56,7 +56,7 @@ class WordScores(dict):
         self.weights = weights
 
     def __missing__(self, word: str) -> float:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = made = sum(self.weights.get(f, 0.0) for f in features(word))
         return made
