@@ -63,9 +63,11 @@ def spread_join(rows: DataFrame, lookup: DataFrame, key: list[str], by: Column,
 
     No key's rows need meet in one task; see dealt(). rows are read twice and should be a table, or cheap, unless the sizes (key, __n) are given.
     """
-    hot = hot_keys(rows, key, sizes)
-    if hot.isEmpty():
+    sizes = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")) if sizes is None else sizes
+    largest, total = sizes.agg(F.max("__n"), F.sum("__n")).first()
+    if (largest or 0) <= max(HOT_ROWS, HOT_SHARE * (total or 0)):  # nothing to write
         return rows.join(lookup, key, how)
+    hot = hot_keys(rows, key, sizes)
     left, right = dealt(rows, lookup, key, by, hot)
     return left.join(right, [*key, "__part"], how).drop("__part")
 
