@@ -64,7 +64,7 @@ def search(c: Catalogue, text: str, k: int = 20, filters: list[str] | None = Non
     docs = c.items.select(F.col("item_id").alias("doc_id"), F.concat_ws(" ", "title", "description").alias("text"))
     words = lambda x: F.filter(F.split(F.lower(x), r"\s+"), lambda w: w != "")
     asked = c.items.sparkSession.createDataFrame([(text,)], "text string").select(F.lit(0).alias("query_id"), F.explode(words(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    rows = L.best_docs(L.bm25(L.postings(docs, words(F.col("text"))), asked, "plus"), SEARCH_MOST)
+    rows = L.best_docs(L.bm25(L.postings(docs, words(F.col("text"))), asked, "plus", k=SEARCH_MOST), SEARCH_MOST)
     if filters:
         rows = rows.join(c.items.filter(F.col("category").isin(filters)).select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi")
     return top_per(rows.drop("rk"), ["query_id"], [F.desc("score"), F.col("doc_id")], k).select(F.col("doc_id").alias("item_id"), "score", "rk")

@@ -152,7 +152,7 @@ def texts(t: Tables, a: argparse.Namespace) -> None:
         rows = written(t.documents.select("doc_id", words(t).alias("syllables")), "syllables")
         return L.postings(rows, W.segmented(F.col("syllables"), W.learnt_words(rows, F.col("syllables"))))
 
-    steps = {"tokens": lambda: posted(t), "segments": segments, "tfidf": lambda: weighed(t), "bm25": lambda: L.best_docs(L.bm25(posted(t), item_queries(t), "okapi"), 20)}
+    steps = {"tokens": lambda: posted(t), "segments": segments, "tfidf": lambda: weighed(t), "bm25": lambda: L.best_docs(L.bm25(posted(t), item_queries(t), "okapi", k=20), 20)}
     steps[a.step]().write.mode("overwrite").parquet(a.output)
 
 
