@@ -87,10 +87,13 @@ def session_profiles(t: Tables):
     """STR-1 with EMB-7: of each session the mean of its last ten vectors, each older one by 0.9 lighter."""
     rows = reading_history(t, "embeddings").withColumn("ts", F.col("ts").cast("timestamp"))
     found = streams.session_items(rows).select("user_id", "start", F.posexplode(F.slice("items", 1, 10)).alias("age", "item"))
-    each = found.join(t.embeddings.select(F.col("vec_id").alias("item"), F.posexplode(X.doubles("embedding")).alias("dim", "x")), "item")
+    vectors = t.embeddings.filter(F.col("embedding").isNotNull()).select(F.col("vec_id").alias("item"), X.doubles("embedding").alias("v"))
+    size = (vectors.select(F.size("v")).first() or [1])[0]
     weight = F.pow(F.lit(0.9), F.col("age").cast("double"))
-    mean = F.sum(F.col("x") * weight) / F.sum(weight)
-    return each.groupBy("user_id", "start", "dim").agg(X.r6(mean).alias("value")).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    each = found.join(vectors, "item").groupBy("user_id", "start")  # a vector is one row until its session has its mean
+    mean = each.agg(F.array(*[F.sum(F.get("v", F.lit(d)) * weight) for d in range(size)]).alias("v"), F.sum(weight).alias("w"))
+    rows = mean.select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.posexplode(F.transform("v", lambda x: x / F.col("w"))).alias("dim", "value"))
+    return rows.withColumn("value", X.r6(F.col("value")))
 
 
 @query("""with n as (select event_type, count(*) as n from events group by 1),
