@@ -31,3 +31,14 @@ def test_layers_read_the_written_edges(spark):
         plan = rows._jdf.queryExecution().optimizedPlan().toString()
         assert "Join" not in plan and "Aggregate" not in plan
     assert edges.filter(F.col("src").startswith("u")).count() == edges.filter(F.col("src").startswith("i")).count() > 0
+
+
+def test_a_triple_carries_one_difference(spark):
+    triples = spark.createDataFrame([(1, 10, 11), (2, 10, 11), (1, 11, 12), (3, 10, 99)], "user_id long, pos long, neg long")
+    users = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.5, 2.0]), (3, [1.0, 1.0])], "user_id long, v array<double>")
+    items = spark.createDataFrame([(10, [1.0, 2.0]), (11, [3.0, 1.0]), (12, [0.0, 1.0])], "item_id long, v array<double>")
+    got = M.gapped(triples, triples.select("pos", "neg").distinct(), users, items)
+    assert sorted((r.user_id, r.pos, r.neg, r.u, r.d) for r in got.collect()) == [(1, 10, 11, [1.0, 0.0], [-2.0, 1.0]), (1, 11, 12, [1.0, 0.0], [3.0, 0.0]), (2, 10, 11, [0.5, 2.0], [-2.0, 1.0])]
+    one = M.bpr(triples, users, items, rounds=1, rate=1.0, decay=0.0)[1].filter("item_id = 12").first().v
+    pull = 1 / (1 + 2.718281828459045**3.0)  # user 1 with items 11 and 12
+    assert abs(one[0] + pull) < 1e-9 and abs(one[1] - 1.0) < 1e-9
