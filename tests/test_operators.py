@@ -1,6 +1,7 @@
 """Edge cases of the reference-side operators."""
 
 import datetime
+import hashlib
 import math
 import random
 
@@ -301,3 +302,23 @@ def test_social_noise_keeps_the_signs(spark):
     got = {(r.node, r.dim): r.value for r in S.noisy(rows, 0).collect()}
     assert got["a", 0] > 0.5 and got["a", 1] < -0.5 and got["b", 0] == 0 and got["b", 1] > 2
     assert abs(math.hypot(got["a", 0] - 0.5, got["a", 1] + 0.5) - 0.1) < 1e-9
+
+
+def test_a_users_draws_stay_in_its_row(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(I, "written", lambda df, what, f=I.written: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), f(df, what))[1])
+    monkeypatch.setattr(I, "MOST_DRAWS", 8)
+    pairs = spark.createDataFrame([(u, i) for u in range(6) for i in range(40) if i % 6 != u], "user_id long, item_id long")
+    got = sorted(tuple(r) for r in I.negatives(pairs, pairs, pairs, 4).collect())
+    numbers = range(40)
+    want = []
+    for u in range(6):
+        found, d = [], 0
+        while len(found) < 4:
+            d += 1
+            i = numbers[int(int(hashlib.md5(f"{u}:{d}:42".encode()).hexdigest()[:8], 16) / 4294967296 * 40)]
+            found += [i] if i % 6 == u and i not in found else []
+        want += [(u, i) for i in found]
+    assert got == sorted(want)
+    draws = [p for p in plans if "md5" in p]
+    assert draws and not any("Window" in p or "Aggregate" in p or "explode" in p for p in draws)
