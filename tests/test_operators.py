@@ -15,6 +15,7 @@ from arborank.operators import lexical as L
 from arborank.operators import ordering as O
 from arborank.operators import ranking as R
 from arborank.operators import scoring as S
+from arborank.plans import service_queries
 from arborank.sources import bindings
 
 
@@ -304,6 +305,27 @@ def test_social_noise_keeps_the_signs(spark):
     assert abs(math.hypot(got["a", 0] - 0.5, got["a", 1] + 0.5) - 0.1) < 1e-9
 
 
+def test_pairs_of_days_are_made_of_lists(spark, monkeypatch):
+    monkeypatch.setattr(G, "LIST_ITEMS", 3)
+    first = datetime.date(2020, 1, 1)
+    rows = [(k, first + datetime.timedelta(days=k * k % 7), "xy"[k % 2] if k % 5 else None) for k in range(30)] + [(99, None, "x")]
+    days = spark.createDataFrame([r[:2] for r in rows], "item_id long, day date")
+    kinds = spark.createDataFrame([(r[0], r[2]) for r in rows], "item_id long, category string")
+    known = rows[:-1]
+    for window, categories in ((0, None), (1, None), (3, kinds)):
+        found = G.same_days(days, window, categories)
+        assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+        near = lambda a, b: abs((a[1] - b[1]).days) <= window and (categories is None or a[2] == b[2] is not None)  # noqa: B023, E731
+        assert sorted(map(tuple, found.collect())) == [(a[0], b[0]) for a in known for b in known if a[0] < b[0] and near(a, b)]
+
+
+def test_the_file_of_augmented_edges_holds_no_pairs_of_items(spark, monkeypatch):
+    sent = []
+    monkeypatch.setattr(service_queries.sinks, "write_csv", lambda df, path, f=service_queries.sinks.write_csv: (sent.append(df.count()), f(df, path)))
+    rows = service_queries.augmented_edges(bindings.Tables(spark, "/root/testdata/sf0.001"))
+    assert 0 < sent[0] < rows.count() / 2
+
+
 def test_a_users_draws_stay_in_its_row(spark, monkeypatch):
     plans = []
     monkeypatch.setattr(I, "written", lambda df, what, f=I.written: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), f(df, what))[1])
