@@ -51,3 +51,28 @@ def test_bm25_gives_only_the_best_of_each_task(spark):
 def test_no_queries(spark):
     post = table(spark, documents()).select("doc_id", "term", F.lit(1).cast("bigint").alias("tf"))
     assert L.bm25(post, spark.createDataFrame([], "query_id long, term string, qtf long"), k=3).isEmpty()
+
+
+def test_similar_ensemble_against_a_loop(spark, monkeypatch):
+    monkeypatch.setattr(sparse, "QUERY_ROWS", 8)
+    monkeypatch.setattr(sparse, "ENTRY_ROWS", 16)
+    docs = documents()
+    draw = random.Random(5)
+    vectors = {d: [draw.gauss(0, 1) for _ in range(4)] for d in [*docs, 500]}  # 500 has no weights
+    vectors[3] = [0.0] * 4
+    dot = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True))
+    want = {}
+    for a in [d for d in vectors if d % 5 == 0]:
+        scores = {}
+        for b in [d for d in vectors if d != a]:
+            long = (dot(vectors[a], vectors[a]) * dot(vectors[b], vectors[b])) ** 0.5
+            sparse_part = sum(x * docs.get(b, {}).get(w, 0) for w, x in docs.get(a, {}).items())
+            scores[b] = round(0.2 * (dot(vectors[a], vectors[b]) / long if long else 0) + 0.8 * sparse_part, 6)
+        want[a] = [(b, s) for b, s in sorted(scores.items(), key=lambda r: (-r[1], r[0]))[:5]]
+    dense = spark.createDataFrame(list(vectors.items()), "id long, v array<double>").repartition(3)
+    found = L.similar_ensemble(table(spark, docs), dense, spark.createDataFrame([(d,) for d in vectors if d % 5 == 0], "doc_id long"), 5, 0.2)
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.orderBy("a", "rk").collect():
+        got.setdefault(r.a, []).append((r.b, r.score))
+    assert got == want
