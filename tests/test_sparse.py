@@ -1,5 +1,6 @@
 """Products of sparse rows against plain loops, and that nothing is joined or shuffled for a pair."""
 
+import math
 import random
 
 from pyspark.sql import functions as F
@@ -76,3 +77,48 @@ def test_similar_ensemble_against_a_loop(spark, monkeypatch):
     for r in found.orderBy("a", "rk").collect():
         got.setdefault(r.a, []).append((r.b, r.score))
     assert got == want
+
+
+def test_bm25_without_what_was_read_in_blocks_of_either_side(spark, monkeypatch):
+    for name, value in (("QUERY_ROWS", 4), ("ENTRY_ROWS", 5), ("ENTRY_BLOCK", 7)):
+        monkeypatch.setattr(sparse, name, value)
+    draw = random.Random(2)
+    words = [f"w{k}" for k in range(15)]
+    post = spark.createDataFrame([(d, w, draw.randint(1, 4)) for d in range(20) for w in draw.sample(words, 6)], "doc_id long, term string, tf long").repartition(3)
+    for users, terms in ((3, 2), (60, 9)):  # few queries, and so many that the documents go to them
+        queries = spark.createDataFrame([(q, w, draw.randint(1, 3)) for q in range(users) for w in draw.sample(words, terms)], "query_id long, term string, qtf long").repartition(3)
+        read = spark.createDataFrame([(q, d) for q in range(0, users + 3, 2) for d in draw.sample(range(25), 8)], "query_id long, doc_id long")
+        want = L.best_docs(L.bm25(post, queries), 3, read)
+        asked = []
+        monkeypatch.setattr(sparse, "asking", lambda *x, real=sparse.asking, asked=asked: asked.append(1) or real(*x))
+        found = L.best_docs(L.bm25(post, queries, k=3, taken=read), 3)
+        monkeypatch.undo()
+        for name, value in (("QUERY_ROWS", 4), ("ENTRY_ROWS", 5), ("ENTRY_BLOCK", 7)):
+            monkeypatch.setattr(sparse, name, value)
+        assert "LeftAnti" not in found._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in found.collect()) == sorted(tuple(r) for r in want.collect())
+        assert bool(asked) == (users == 60)
+
+
+def test_profile_terms_move_lists(spark):
+    draw = random.Random(6)
+    words = [f"w{k:02}" for k in range(30)]
+    post = {(d, w): draw.randint(1, 5) for d in range(12) for w in draw.sample(words, 14)}
+    history = {(u, d) for u in range(9) for d in draw.sample(range(12), 3)}
+    df = {w: sum(x == w for _, x in post) for w in words}
+    n = len({d for d, _ in post})
+    table = spark.createDataFrame([(d, w, c) for (d, w), c in post.items()], "doc_id long, term string, tf long").repartition(3)
+    read = spark.createDataFrame(sorted(history), "user_id long, doc_id long").repartition(3)
+    for how in ("tf", "concat", "tfidf", "distinct"):
+        want = []
+        for u in range(9):
+            counts = {}
+            for (d, w), c in post.items():
+                counts[w] = counts.get(w, 0) + c * ((u, d) in history)
+            counts = {w: round(c * math.log((n - df[w] + 0.5) / (df[w] + 0.5) + 1), 6) if how == "tfidf" else c for w, c in counts.items() if c}
+            best = sorted(counts, key=lambda w: w if how == "distinct" else (-counts[w], w))[:5]
+            want += [(u, w, {"tf": min(counts[w], 3), "concat": counts[w]}.get(how, 1)) for w in best]
+        found = L.profile_terms(read, table, cap=5, how=how)
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "explode(" in plan and "Exchange" not in plan.split("explode(")[0]  # terms are counted where the lists are
+        assert sorted(tuple(r) for r in found.collect()) == sorted(want)
